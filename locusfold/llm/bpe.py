@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import base64
 import codecs
-import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -186,7 +185,3 @@ def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text_back").cast("binary"), 256).alias("decoded_sha256"),
     )
-
-
-def ids_sha256(ids: bytes) -> str:
-    return hashlib.sha256(ids).hexdigest()
