@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprint, langid, minhash, packing, secrets, sharding, suffix
+from . import bpe, chat, embed, fingerprint, langid, minhash, packing, secrets, sharding, suffix
 from .common import table
 
 #: Folder of the public vocabulary files is known to this module alone; operators take paths.
@@ -43,6 +43,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path(MULTI_RANKS))
 
