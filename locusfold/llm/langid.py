@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,6 +110,29 @@ def fit(docs: DataFrame, *, per_language: int = 400, landmarks: int = 40, ridge:
     return {"letters": alphabet, "vocab": vocab, "table": table, "project": whiten @ solved[:-1], "bias": solved[-1], "languages": languages}
 
 
+def _scorer(model: dict):
+    """Function of a list of texts: (predicted languages, scores)."""
+    flags = np.zeros(_SIZES[-1], np.uint8)
+
+    def score(texts: list) -> tuple[list[str], np.ndarray]:
+        if not model:
+            return ["und"] * len(texts), np.zeros(len(texts))
+        grams = np.zeros((len(texts), len(model["vocab"])), np.float32)
+        size, has = np.ones(len(texts), np.float32), np.zeros(len(texts), bool)
+        for k, t in enumerate(texts):
+            if presence(t, model["letters"], flags):
+                has[k], size[k] = True, np.count_nonzero(flags)
+                grams[k] = flags[model["vocab"]]
+        out = (grams @ model["table"] / np.sqrt(size)[:, None]) @ model["project"] + model["bias"]
+        soft = np.exp(3 * (out - out.max(1, keepdims=True)))
+        soft /= soft.sum(1, keepdims=True)
+        best = soft.argmax(1)
+        names = [model["languages"][i] if h else "und" for i, h in zip(best, has, strict=True)]
+        return names, np.where(has, soft[np.arange(len(texts)), best], 0.0)
+
+    return score
+
+
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
@@ -119,32 +143,32 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # landmarks and their n-grams: bounded by the parameters of `fit`
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        flags = np.zeros(_SIZES[-1], np.uint8)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            known, likely = ["und"] * len(texts), np.zeros(len(texts))
-            if m:
-                grams = np.zeros((len(texts), len(m["vocab"])), np.float32)
-                size, has = np.ones(len(texts), np.float32), np.zeros(len(texts), bool)
-                for k, t in enumerate(texts):
-                    if presence(t, m["letters"], flags):
-                        has[k], size[k] = True, np.count_nonzero(flags)
-                        grams[k] = flags[m["vocab"]]
-                out = (grams @ m["table"] / np.sqrt(size)[:, None]) @ m["project"] + m["bias"]
-                soft = np.exp(3 * (out - out.max(1, keepdims=True)))
-                soft /= soft.sum(1, keepdims=True)
-                best = soft.argmax(1)
-                known = [m["languages"][i] if h else "und" for i, h in zip(best, has, strict=True)]
-                likely = np.where(has, soft[np.arange(len(texts)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.string()), pa.array(likely, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            names, likely = score(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(likely, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.pmod(crc32_of_id(F.col("doc_id")), F.lit(3)) == 1, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(
-        score, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"
+        run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, lang_pred string, score double"
     )
 
 
 def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """`docs` without the rows whose language is undetermined; the others stay as they are."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(fit(docs))
+
+    @F.pandas_udf("boolean")
+    def known(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = _scorer(shared.value)
+        for text in frames:
+            yield pd.Series([n != "und" for n in score(text.tolist())[0]], dtype=bool)
+
+    return docs.filter(known("text")) if shared.value else docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))

@@ -236,3 +236,13 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
         )
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text, ...) with the smallest id of each component alone; equal rows stay once.
+
+    Rows with a null id, or without words, are kept.
+    """
+    _, links = near_links(docs)
+    gone = components(links).filter("id <> component").select(F.col("id").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)

@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -298,6 +299,32 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[new, 0], top[np.append(new[1:], len(spans)) - 1]), 1)
 
 
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, found): per document with repeats, an array of (hash of the text, packed int32 byte spans)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _plain(docs, id_col, text_col)
+    keys = repeated_minimizers(rows.filter("doc is not null"), parts).groupBy("doc").agg(F.collect_list("keys").alias("found"))
+    joined = rows.join(keys, "doc").withColumn("hash", F.xxhash64("text"))
+    return _settle(_cut(joined), parts).groupBy("doc").agg(F.collect_list(F.struct("hash", "spans")).alias("spans"))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
+def _runs_of(hash_: int, found: list | None) -> np.ndarray:
+    own = [np.frombuffer(x["spans"], "<i4").reshape(-1, 2) for x in (() if found is None else found) if x["hash"] == hash_]
+    return _merged(np.concatenate(own)) if own else np.zeros((0, 2), np.int64)
+
+
+def _without(data: bytes, runs: np.ndarray) -> bytes:
+    if not len(runs):
+        return data
+    return b"".join(data[a:z] for a, z in np.r_[0, runs.ravel(), len(data)].reshape(-1, 2).tolist())
+
+
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, text_bytes, kept_bytes, spans (packed int32 pairs) of every row of `docs`.
 
@@ -306,15 +333,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     do not repeat each other; a row with a null id is kept whole and removes nothing. Other columns
     are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")
-    )
-    keys = repeated_minimizers(rows.filter("doc is not null"), parts).groupBy("doc").agg(F.collect_list("keys").alias("found"))
-    joined = rows.join(keys, "doc").withColumn("hash", F.xxhash64("text"))
-    spans = _settle(_cut(joined), parts).groupBy("doc").agg(F.collect_list(F.struct("hash", "spans")).alias("spans"))
     names = ["doc", "text_bytes", "kept_bytes", "spans"]
     types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
@@ -322,20 +340,37 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             out = []
             for doc, text, h, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = text.encode()
-                own = [np.frombuffer(x["spans"], "<i4").reshape(-1, 2) for x in found or () if x["hash"] == h]
-                if own:
-                    runs = _merged(np.concatenate(own))
-                    edges = np.r_[0, runs.ravel(), len(data)].reshape(-1, 2).tolist()
-                    out.append((doc, len(data), b"".join(data[a:z] for a, z in edges), runs.astype("<i4").tobytes()))
-                else:
-                    out.append((doc, len(data), data, b""))
+                data, runs = text.encode(), _runs_of(h, found)
+                out.append((doc, len(data), _without(data, runs), runs.astype("<i4").tobytes()))
             yield _rows(names, types, out)
 
-    final = rows.join(spans, "doc", "left").select("doc", "text", F.xxhash64("text").alias("hash"), "spans")
+    spans = repeated_spans(docs, id_col=id_col, text_col=text_col)
+    final = _plain(docs, id_col, text_col).join(spans, "doc", "left").select("doc", "text", F.xxhash64("text").alias("hash"), "spans")
     return final.mapInArrow(keep, "doc long, text_bytes long, kept_bytes binary, spans binary")
 
 
+def strip_repeats(docs: DataFrame) -> DataFrame:
+    """`docs` (doc_id, text, n_chars, ...) with the repeated bytes cut out of its texts; every row stays.
+
+    A character of which a cut leaves a part only goes as a whole. A null text stays null.
+    """
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, hash_: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for t, h, f in zip(text, hash_, found, strict=True):
+            runs = _runs_of(h, f)
+            out.append(t if not len(runs) else _without(t.encode(), runs).decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    spans = repeated_spans(docs).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
+    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("_doc"), "left")
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", F.xxhash64("text"), "_spans"))
+    return joined.withColumn("text", text).select(
+        *[(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
+    )
+
+
 def repeat_report(docs: DataFrame) -> DataFrame:
     """Digests of `remove_repeats`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return remove_repeats(docs).select(
