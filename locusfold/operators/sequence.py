@@ -40,7 +40,7 @@ def motif_class_from_window(seq: Column, lf_end: Column | int, n_str_bp: Column
     two = F.substring(bases, 1, 2)
     one = F.when(F.substring(two, 1, 1) == F.substring(two, 2, 1), F.substring(two, 1, 1)).otherwise(two)
     known = one.rlike("^[ACGT]{1,2}$")
-    return F.when(F.length(two) == 0, F.lit("unknown")).when(known, motif_canonical(one)).otherwise(two)
+    return F.when(F.length(two) == 0, F.lit("unknown")).when(known, motif_canonical(one)).otherwise(one)
 
 
 def motif_vocab(spark: SparkSession, k: int) -> DataFrame:
