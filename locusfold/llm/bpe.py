@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 from .pretokens import pretokens
 
-#: Entries of the remembered transitions, and of encoded pretokens; each is emptied when full.
-MEMO_ENTRIES = 1 << 19
+#: Entries of the remembered transitions, which are emptied when full, and of two generations of encoded pretokens.
+MEMO_ENTRIES = 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,12 +37,20 @@ class BpeTransducer:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}  # proper prefixes: what may still grow
-        self.steps: dict[tuple, tuple] = {}
+        self.spines: dict[bytes, tuple | None] = {}
         self.memo: dict[str, bytes] = {}
-        self.compatible = lru_cache(1 << 18)(self._compatible)
-
-    def merge(self, data: bytes) -> list[bytes]:
-        """Merging in order of rank, for the short strings of the compatibility test."""
+        self.older: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the remembered transitions; state 0 is the start."""
+        start = (b"", b"", (), (0,))
+        self.states: list[tuple] = [start]
+        self.numbers = {start: 0}
+        self.steps: dict[int, tuple[int, bytes]] = {}
+
+    def merge(self, data: bytes, trace: list | None = None) -> list[bytes]:
+        """Merging in order of rank, for single tokens and the rare compatibility test."""
         parts = [data[i:i + 1] for i in range(len(data))]
         get, none = self.ranks.get, 1 << 60
         while len(parts) > 1:
@@ -52,10 +60,48 @@ class BpeTransducer:
                 break
             at = found.index(rank)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            if trace is not None:
+                trace.append((parts[0], parts[-1]))
         return parts
 
-    def _compatible(self, a: bytes, b: bytes) -> bool:
-        return self.merge(a + b) == ([a, b] if a else [b])
+    def _spine(self, token: bytes) -> tuple | None:
+        """What stands at the token's left and right edge while it merges, with the rank that ends each; None if
+        the token's bytes do not merge to it in ascending order of rank."""
+        trace = [(token[:1], token[-1:])]
+        parts = self.merge(token, trace)
+        ends = []
+        for side in (0, 1):
+            parts_ = list(dict.fromkeys(t[side] for t in trace))
+            limits = [self.ranks[p] for p in parts_[1:]]
+            if limits != sorted(limits):
+                return None
+            ends.append(list(zip(parts_, [*limits, 1 << 60], strict=True)))
+        return tuple(ends) if parts == [token] else None
+
+    def compatible(self, a: bytes, b: bytes) -> bool:
+        """Whether a and b next to each other stay as they are: at no time do the parts at the border merge first."""
+        spines = self.spines
+        for t in (a, b):
+            if t and t not in spines:
+                spines[t] = self._spine(t)
+        if not spines[b] or (a and not spines[a]):
+            return self.merge(a + b) == ([a, b] if a else [b])
+        if not a:
+            return True
+        get = self.ranks.get
+        left, right = spines[a][1], spines[b][0]
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = left[i], right[j]
+            rank = get(x + y)
+            if rank is not None and rank < x_ends and rank <= y_ends:
+                return False
+            if x_ends == y_ends == 1 << 60:
+                return True
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
 
     def _extend(self, state: tuple, byte: bytes) -> tuple[tuple, bytes]:
         """(next state, ids that are now settled). A state: the settled token before, the bytes pending after it,
@@ -93,6 +139,16 @@ class BpeTransducer:
         kept = tuple(k if i in used else 0 for i, k in enumerate(lengths[settled:], settled + 1))
         return (before, pending[settled:], kept, tuple(j - settled for j in live)), b"".join(reversed(out))
 
+    def _learn(self, number: int, byte: int) -> tuple[int, bytes]:
+        """The transition of a numbered state by a byte, determinised now."""
+        state, ids = self._extend(self.states[number], bytes((byte,)))
+        target = self.numbers.get(state)
+        if target is None:
+            target = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        step = self.steps[number << 8 | byte] = (target, ids)
+        return step
+
     def _flush(self, state: tuple) -> bytes:
         _, pending, lengths, _ = state
         out, j = [], len(pending)
@@ -101,31 +157,28 @@ class BpeTransducer:
             j -= lengths[j - 1]
         return b"".join(reversed(out))
 
-    def stream(self, data: Iterable[bytes]) -> Iterator[bytes]:
+    def stream(self, data: Iterable[int]) -> Iterator[bytes]:
         """Ids of one pretoken given byte by byte, as soon as they are settled."""
-        state = (b"", b"", (), (0,))
+        if len(self.steps) > MEMO_ENTRIES:
+            self.forget()
+        number, get = 0, self.steps.get
         for byte in data:
-            step = self.steps.get((state, byte))
-            if step is None:
-                if len(self.steps) > MEMO_ENTRIES:
-                    self.steps.clear()
-                step = self.steps[state, byte] = self._extend(state, byte)
-            state, ids = step
+            number, ids = get(number << 8 | byte) or self._learn(number, byte)
             if ids:
                 yield ids
-        yield self._flush(state)
+        yield self._flush(self.states[number])
 
     def pretoken(self, word: str) -> bytes:
-        data = word.encode()
-        return b"".join(self.stream(data[i:i + 1] for i in range(len(data))))
+        return b"".join(self.stream(word.encode()))
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers; short pretokens are remembered."""
-        memo, words = self.memo, pretokens(text)
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
+        """Ids of a text as little-endian unsigned 32-bit integers; pretokens are remembered for a while."""
+        words = pretokens(text)
+        if len(self.memo) > MEMO_ENTRIES // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
         for w in {w for w in words if w not in memo}:
-            memo[w] = self.pretoken(w)
+            memo[w] = older.get(w) or self.pretoken(w)
         return b"".join(map(memo.__getitem__, words))
 
 
