@@ -125,7 +125,7 @@ REASONS = ("imperfect", "truncated", "out_of_bounds", "kept")
 
 
 def locus_qc_funnel(loci: DataFrame, chunks: DataFrame, lengths: DataFrame, n_flank: int, context: int = 15, max_examples: int = 10,
-                    key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+                    key: str = "id", chunk_bp: int = 32768) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept loci, counts per first failing reason, up to `max_examples` rows per reason with context).
 
     `loci` has id, chrom, str_start, str_end (half-open) and motif_len.
@@ -135,7 +135,7 @@ def locus_qc_funnel(loci: DataFrame, chunks: DataFrame, lengths: DataFrame, n_fl
     s, e = F.col("str_start"), F.col("str_end")
     got = fetch_window(loci, chunks, {
         "tract": (s, e), "prev_base": (s - 1, s), "next_base": (e, e + 1), "before": (s - context, s), "after": (e, e + context),
-    }, [key]).join(lengths, "chrom", "left")
+    }, [key], chunk_bp).join(lengths, "chrom", "left")
     prev = F.when(s > 0, F.col("prev_base")).otherwise("")
     k = F.col("motif_len")
     reason = (
@@ -158,13 +158,13 @@ def motif_integrity(loci: DataFrame, unit: str = "unit", motif: str = "motif", k
 
 
 def assemble_input(loci: DataFrame, chunks: DataFrame, n_flank: int, n_str: int, n_prefix: int = 0, n_gap: int = 0, n_suffix: int = 0,
-                   key: Sequence[str] = ("id", "rev_comp")) -> DataFrame:
+                   key: Sequence[str] = ("id", "rev_comp"), chunk_bp: int = 32768) -> DataFrame:
     """Model input of fixed length: prompt marks, left flank, tiled first unit, gap, tiled last unit, right flank, suffix.
 
     `loci` has motif_len and rev_comp; a reverse row swaps the flanks and complements every part.
     """
     s, e, k = F.col("str_start"), F.col("str_end"), F.col("motif_len")
-    got = fetch_window(loci, chunks, {"lf": (s - n_flank, s), "rf": (e, e + n_flank), "first": (s, s + k), "last": (e - k, e)}, list(key))
+    got = fetch_window(loci, chunks, {"lf": (s - n_flank, s), "rf": (e, e + n_flank), "first": (s, s + k), "last": (e - k, e)}, list(key), chunk_bp)
     fwd = [F.col("lf"), tile_motif(F.col("first"), n_str, "left"), tile_motif(F.col("last"), n_str, "right"), F.col("rf")]
     rev = [reverse_complement(c) for c in reversed(fwd)]
     left, a, b, right = (F.when(F.col("rev_comp"), y).otherwise(x) for x, y in zip(fwd, rev, strict=True))
@@ -183,10 +183,10 @@ def segment_labels(n_flank: int, n_str: int, n_prefix: int = 0, n_gap: int = 0,
     return F.flatten(F.array(*[F.array_repeat(F.lit(name), n) for name, n in zip(SEGMENTS, sizes, strict=True)]))
 
 
-def edge_window(loci: DataFrame, chunks: DataFrame, n_flank: int, n_str: int, key: Sequence[str] = ("id",)) -> DataFrame:
+def edge_window(loci: DataFrame, chunks: DataFrame, n_flank: int, n_str: int, key: Sequence[str] = ("id",), chunk_bp: int = 32768) -> DataFrame:
     """Flanks with `n_str` real repeat bases at each edge, and whether the tract holds that many."""
     s, e = F.col("str_start"), F.col("str_end")
-    got = fetch_window(loci, chunks, {"pre": (s - n_flank, s + n_str), "post": (e - n_str, e + n_flank)}, list(key))
+    got = fetch_window(loci, chunks, {"pre": (s - n_flank, s + n_str), "post": (e - n_str, e + n_flank)}, list(key), chunk_bp)
     return got.withColumn("fits", e - s >= n_str).withColumn("edges_overlap", e - s < 2 * n_str)
 
 
@@ -232,10 +232,10 @@ def kmer_features(loci: DataFrame, edges: Sequence[tuple[int, int]], k_values: S
     """Long table (key, feature, value) of k-mer counts by side, bin and k; `pooled` adds the sides."""
     bins = flank_bins(loci, edges, key)
     several = len(edges) > 1
-    all_k = F.flatten(F.array(*[F.transform(kmers_of(F.col("bases"), k), lambda w, k=k: F.struct(F.lit(k).alias("k"), w.alias("kmer"))) for k in k_values]))
+    words = F.flatten(F.array(*[kmers_of(F.col("bases"), k) for k in k_values]))
     side = F.col("side") if flank_mode == "separate" else F.lit("pooled")
-    rows = bins.select(*key, side.alias("side"), "bin", F.explode(all_k).alias("w")).filter(F.col("w.kmer").rlike("^[ACGT]+$"))
-    name = F.concat("side", F.concat(F.lit("_bin"), F.col("bin")) if several else F.lit(""), F.lit("_"), F.col("w.k"), F.lit("mer_"), F.col("w.kmer"))
+    rows = bins.select(*key, side.alias("side"), "bin", F.explode(words).alias("w")).filter(F.col("w").rlike("^[ACGT]+$"))
+    name = F.concat("side", F.concat(F.lit("_bin"), F.col("bin")) if several else F.lit(""), F.lit("_"), F.length("w"), F.lit("mer_"), F.col("w"))
     return rows.groupBy(*key, name.alias("feature")).agg(F.count("*").cast("double").alias("value"))
 
 
