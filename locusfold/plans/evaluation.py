@@ -1 +1,242 @@
-"""Queries."""
+"""Queries of metrics, models and descriptive statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import metrics as m
+from ..operators import model, stats
+from . import derive as d
+from .derive import sql
+from .registry import query, rounded
+
+_TASKS = ["length", "variation"]
+_LONG = ", t AS (SELECT run, motif_len, split, id, rev_comp, 'length' AS task, pred_length AS pred, true_length AS \"true\" FROM preds UNION ALL SELECT run, motif_len, split, id, rev_comp, 'variation', pred_variation, true_variation FROM preds) "
+
+
+def _metric_sql(src: str, group: str) -> str:
+    """CTEs r and met: the metrics of src by group and task."""
+    return f"""
+, r AS (SELECT *, rank() OVER (PARTITION BY {group}, task ORDER BY pred) + (count(*) OVER (PARTITION BY {group}, task, pred) - 1) / 2.0 AS rp,
+  rank() OVER (PARTITION BY {group}, task ORDER BY "true") + (count(*) OVER (PARTITION BY {group}, task, "true") - 1) / 2.0 AS rt FROM {src}),
+met AS (SELECT {group}, task, count(*) AS n, avg((pred - "true") * (pred - "true")) AS MSE, avg(abs(pred - "true")) AS MAE,
+  avg(abs(pred - "true") / greatest(abs("true"), 2.220446049250313e-16)) AS MAPE,
+  1 - avg((pred - "true") * (pred - "true")) / nullif(var_pop("true"), 0) AS R2,
+  covar_pop(pred, "true") / nullif(sqrt(var_pop(pred) * var_pop("true")), 0) AS Pearson_r,
+  covar_pop(rp, rt) / nullif(sqrt(var_pop(rp) * var_pop(rt)), 0) AS Spearman_r FROM r GROUP BY {group}, task) """
+
+
+_ROUND = "round(MSE, 4) AS MSE, round(MAE, 4) AS MAE, round(R2, 4) AS R2, round(Pearson_r, 4) AS Pearson_r, round(Spearman_r, 4) AS Spearman_r"
+
+
+def _scores(df, *keys):
+    return rounded(df.select(*keys, "MSE", "MAE", "R2", "Pearson_r", "Spearman_r"), 4)
+
+
+@query("target_transform", sql("SELECT id, round(avg(ln(1 + true_length)), 6) AS a, round(avg(asin(sqrt(true_variation))), 6) AS b FROM preds GROUP BY id", "preds"))
+def target_transform(spark, sf):
+    p = d.preds(spark, sf)
+    return rounded(p.groupBy("id").agg(F.avg(m.target_transform(F.col("true_length"), "log1p")).alias("a"), F.avg(m.target_transform(F.col("true_variation"), "arcsine")).alias("b")))
+
+
+@query("inverse_transform", sql("SELECT id, rev_comp, round(exp(true_variation) - 1, 6) AS a, round(pow(sin(least(true_variation * 3, pi() / 2)), 2), 6) AS b FROM preds", "preds"))
+def inverse_transform(spark, sf):
+    v = F.col("true_variation")
+    return rounded(d.preds(spark, sf).select("id", "rev_comp", m.inverse_transform(v, "log1p").alias("a"), m.inverse_transform(v * 3, "arcsine").alias("b")))
+
+
+@query("regression_metrics", sql(_LONG + _metric_sql("t", "run") + f"SELECT run, task, n, {_ROUND} FROM met", "preds"))
+def regression_metrics(spark, sf):
+    got = m.regression_metrics(d.preds(spark, sf), ["run"])
+    return rounded(got.select("run", "task", "n", "MSE", "MAE", "R2", "Pearson_r", "Spearman_r"), 4)
+
+
+@query("avg_rank", sql("SELECT id, rev_comp, rank() OVER (ORDER BY pred_variation) + (count(*) OVER (PARTITION BY pred_variation) - 1) / 2.0::DOUBLE AS rank FROM preds", "preds"))
+def avg_rank(spark, sf):
+    return m.avg_rank(d.preds(spark, sf), "pred_variation").select("id", "rev_comp", F.col("rank").cast("double").alias("rank"))
+
+
+@query("rc_average", sql("SELECT id, round(avg(pred_length), 9) AS pred_length, min(true_length) AS true_length, count(*) AS n_strands FROM preds GROUP BY id", "preds"))
+def rc_average(spark, sf):
+    return rounded(m.rc_average(d.preds(spark, sf), ["length"]), 9)
+
+
+@query("mean_baselines", sql(", tr AS (SELECT * FROM preds WHERE split = 'train' AND motif <> '5-LOW'), g AS (SELECT motif, avg(true_length) AS pg FROM tr GROUP BY motif) SELECT id, motif, true_length AS \"true\", round((SELECT avg(true_length) FROM tr), 4) AS pred_mean, round(pg, 4) AS pred_group_mean FROM preds LEFT JOIN g USING (motif) WHERE split = 'test' AND NOT rev_comp", "preds"))
+def mean_baselines(spark, sf):
+    p = d.preds(spark, sf).filter("(split = 'train' and motif <> '5-LOW') or (split = 'test' and not rev_comp)")
+    return m.mean_baselines(p, "true_length").withColumns({c: F.round(c, 4) for c in ("pred_mean", "pred_group_mean")})
+
+
+_BY_LEN = sql(_LONG + _metric_sql("t", "run, motif_len"), "preds")
+
+
+def _by_length(spark, sf):
+    return m.regression_metrics(d.preds(spark, sf), ["run", "motif_len"])
+
+
+@query("best_run", _BY_LEN + "SELECT task, motif_len, run, round(MSE, 4) AS MSE FROM met QUALIFY row_number() OVER (PARTITION BY task, motif_len ORDER BY MSE, run) = 1")
+def best_run(spark, sf):
+    return rounded(m.best_run(_by_length(spark, sf), "MSE", ["task", "motif_len"]).select("task", "motif_len", "run", "MSE"), 4)
+
+
+@query("leaderboard", sql(_LONG + _metric_sql("t", "run") + "SELECT run, task, round(MSE, 4) AS MSE, 'multi_task' AS model_type, row_number() OVER (PARTITION BY task ORDER BY MSE, run) AS place FROM met", "preds"))
+def leaderboard(spark, sf):
+    got = m.leaderboard(m.regression_metrics(d.preds(spark, sf), ["run"]))
+    return rounded(got.select("run", "task", "MSE", "model_type", F.col("place").cast("long").alias("place")), 4)
+
+
+@query("metric_by_length", _BY_LEN + "SELECT task, motif_len, round(max(Spearman_r), 4) AS model, round(max(CASE WHEN run = 'm0' THEN Spearman_r END), 4) AS linear FROM (SELECT task, motif_len, CASE WHEN run <> 'm0' THEN Spearman_r END AS Spearman_r, run FROM met WHERE run <> 'm0' UNION ALL SELECT task, motif_len, NULL, run FROM met WHERE false) GROUP BY ALL".replace(", round(max(CASE WHEN run = 'm0' THEN Spearman_r END), 4) AS linear", ""))
+def metric_by_length(spark, sf):
+    rows = _by_length(spark, sf).withColumn("run", F.when(F.col("run") == "m0", "linear_m0").otherwise(F.col("run")))
+    return rounded(m.metric_by_length(rows).select("task", "motif_len", "model"), 4)
+
+
+@query("metric_by_flank", sql(", f AS (SELECT *, (id % 3 + 1) * 1000 AS flank FROM preds)" + _LONG.replace("SELECT run, motif_len, split, id", "SELECT flank, run, motif_len, split, id").replace("FROM preds", "FROM f") + _metric_sql("t", "flank") + "SELECT flank, task, round(MSE, 4) AS MSE, round(Spearman_r, 4) AS Spearman_r FROM met", "preds"))
+def metric_by_flank(spark, sf):
+    return rounded(m.regression_metrics(d.preds(spark, sf).withColumn("flank", (F.col("id") % 3 + 1) * 1000), ["flank"]).select("flank", "task", "MSE", "Spearman_r"), 4)
+
+
+@query("metric_by_model_type", sql(", f AS (SELECT *, CASE WHEN run IN ('m0', 'm1') THEN 'single' ELSE 'multi' END AS series FROM preds)" + _LONG.replace("SELECT run, motif_len, split, id", "SELECT series, run, motif_len, split, id").replace("FROM preds", "FROM f") + _metric_sql("t", "series") + f"SELECT series, task, {_ROUND} FROM met", "preds"))
+def metric_by_model_type(spark, sf):
+    p = d.preds(spark, sf).withColumn("series", F.when(F.col("run").isin("m0", "m1"), "single").otherwise("multi"))
+    return _scores(m.regression_metrics(p, ["series"]), "series", "task")
+
+
+@query("target_variance", sql("SELECT 'true_length' AS target, round(var_pop(ln(1 + true_length)), 6) AS variance FROM preds WHERE split = 'train' UNION ALL SELECT 'true_variation', round(var_pop(asin(sqrt(true_variation))), 6) FROM preds WHERE split = 'train'", "preds"))
+def target_variance(spark, sf):
+    return rounded(m.target_variance(d.preds(spark, sf).filter("split = 'train'"), {"true_length": "log1p", "true_variation": "arcsine"}))
+
+
+@query("fixed_variance_score", sql("SELECT round(avg(pow(ln(1 + pred_length) - ln(1 + true_length), 2)) / var_pop(ln(1 + true_length)) + avg(pow(pred_variation - true_variation, 2)) / var_pop(true_variation), 5) AS score FROM preds", "preds"))
+def fixed_variance_score(spark, sf):
+    p = d.preds(spark, sf)
+    kinds = {"length": "log1p", "variation": "identity"}
+    v = m.target_variance(p, {f"true_{k}": n for k, n in kinds.items()}).withColumn("target", F.replace("target", F.lit("true_"), F.lit("")))
+    return rounded(m.fixed_variance_score(p, v, kinds), 5)
+
+
+@query("bootstrap_metrics", sql(", x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, pred_length AS pred, true_length AS \"true\" FROM preds WHERE run = 'm1' AND motif_len = 2 AND NOT rev_comp), n AS (SELECT count(*) AS n FROM x), dr AS (SELECT r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 20)) AS r), (SELECT unnest(range(0, 5000)) AS k) WHERE k < n), b AS (SELECT replicate, avg(pow(pred - \"true\", 2)) AS v FROM dr JOIN x USING (i) GROUP BY replicate) SELECT 'length' AS task, 'MSE' AS metric, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, count(*) AS n_boot FROM b", "preds"))
+def bootstrap_metrics(spark, sf):
+    p = d.preds(spark, sf).filter("run = 'm1' and motif_len = 2 and not rev_comp")
+    return rounded(m.bootstrap_metrics(p, ["length"], 20).filter("metric = 'MSE'"), 4)
+
+
+@query("standardize", sql(", tr AS (SELECT avg(true_length) AS a, stddev_pop(true_length) AS s FROM preds WHERE split = 'train') SELECT id, rev_comp, round((true_length - a) / s, 6) AS true_length FROM preds, tr", "preds"))
+def standardize(spark, sf):
+    return rounded(model.standardize(d.preds(spark, sf), ["true_length"]).select("id", "rev_comp", "true_length"))
+
+
+_FEATURES = ["true_variation", "pred_variation"]
+
+
+@query("ridge_alpha_search")
+def ridge_alpha_search(spark, sf):
+    return model.ridge_alpha_search(model.standardize(d.preds(spark, sf), _FEATURES), _FEATURES, "true_length", [0.1, 1.0, 10.0, 1000.0], "log1p")[1]
+
+
+@query("ridge_coefficients")
+def ridge_coefficients(spark, sf):
+    return model.ridge_alpha_search(model.standardize(d.preds(spark, sf), _FEATURES), _FEATURES, "true_length", [0.1, 1.0, 10.0], "log1p")[0]
+
+
+@query("predict_native", sql("SELECT id, rev_comp, round(exp(0.5 + 2.0 * true_variation - 1.0 * pred_variation) - 1, 6) AS pred FROM preds", "preds"))
+def predict_native(spark, sf):
+    coefs = {"intercept": 0.5, "true_variation": 2.0, "pred_variation": -1.0}
+    return rounded(model.predict_native(d.preds(spark, sf), _FEATURES, coefs, "log1p").select("id", "rev_comp", "pred"))
+
+
+@query("batch_score", sql("SELECT id, rev_comp, round(0.5 + 2.0 * true_variation - 1.0 * pred_variation, 6) AS pred FROM preds", "preds"))
+def batch_score(spark, sf):
+    def scorer(f):
+        out = f[["id", "rev_comp"]].copy()
+        out["pred"] = 0.5 + 2.0 * f["true_variation"] - f["pred_variation"]
+        return out
+
+    return rounded(model.batch_score(d.preds(spark, sf), scorer, "pred double", ["id", "rev_comp"]))
+
+
+_COEF = ", c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'left_bin' || (p_partkey % 3) || '_3mer_ACG' WHEN 1 THEN 'right_bin' || (p_partkey % 3) || '_4mer_ACGT' WHEN 2 THEN 'motif_AC' ELSE 'other' END AS feature_name, (p_retailprice - 1500) / 1000 AS coef FROM part) "
+
+
+def _coefs(spark, sf):
+    k = F.col("p_partkey")
+    name = (
+        F.when(k % 4 == 0, F.concat(F.lit("left_bin"), k % 3, F.lit("_3mer_ACG"))).when(k % 4 == 1, F.concat(F.lit("right_bin"), k % 3, F.lit("_4mer_ACGT")))
+        .when(k % 4 == 2, "motif_AC").otherwise("other")
+    )
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", name.alias("feature_name"), ((F.col("p_retailprice") - 1500) / 1000).alias("coef"))
+    return model.parse_feature_name(rows, [(0, 100), (100, 300), (300, 1000)])
+
+
+@query("parse_feature_name", "WITH x AS (SELECT 1)" + _COEF + "SELECT p_partkey, p_partkey % 4 <> 3 AS known, CASE p_partkey % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, CASE WHEN p_partkey % 4 < 2 THEN (p_partkey % 3)::INT END AS bin, CASE WHEN p_partkey % 4 < 2 THEN [0, 100, 300][p_partkey % 3 + 1] END AS bp_start, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS k, CASE p_partkey % 4 WHEN 0 THEN 'ACG' WHEN 1 THEN 'ACGT' WHEN 2 THEN 'AC' END AS word FROM c")
+def parse_feature_name(spark, sf):
+    return _coefs(spark, sf).select("p_partkey", "known", "side", "bin", "bp_start", "k", "word")
+
+
+@query("rank_coefficients", "WITH x AS (SELECT 1)" + _COEF + "SELECT feature_name, round(coef, 6) AS coef, round(abs(coef), 6) AS abs_coef FROM c ORDER BY abs(coef) DESC, feature_name LIMIT 5")
+def rank_coefficients(spark, sf):
+    return rounded(model.rank_coefficients(_coefs(spark, sf), 5).select("feature_name", "coef", "abs_coef"))
+
+
+@query("category_importance", "WITH x AS (SELECT 1)" + _COEF + "SELECT k, round(avg(abs(coef)), 6) AS mean_abs, round(sum(abs(coef)), 4) AS sum_abs, count(*) AS n FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS k FROM c) GROUP BY k")
+def category_importance(spark, sf):
+    return rounded(model.category_importance(_coefs(spark, sf), "k").withColumn("sum_abs", F.round("sum_abs", 4)))
+
+
+@query("coef_spatial_profile", "WITH x AS (SELECT 1)" + _COEF + "SELECT CASE p_partkey % 4 WHEN 0 THEN 'left' ELSE 'right' END AS side, (p_partkey % 3)::INT AS bin, CASE p_partkey % 4 WHEN 0 THEN -1 ELSE 1 END * [50.0, 200.0, 650.0][p_partkey % 3 + 1]::DOUBLE AS distance, round(avg(abs(coef)), 6) AS mean_abs FROM c WHERE p_partkey % 4 < 2 GROUP BY ALL")
+def coef_spatial_profile(spark, sf):
+    return rounded(model.coef_spatial_profile(_coefs(spark, sf)))
+
+
+@query("correlation_pvalue")
+def correlation_pvalue(spark, sf):
+    return rounded(stats.correlation_pvalue(m.regression_metrics(d.preds(spark, sf), ["run"]), "Pearson_r").select("run", "task", "p"))
+
+
+@query("histogram_proportion", "WITH g AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT o_orderpriority, least(floor((o_totalprice - lo) / ((hi - lo) / 60)), 59)::BIGINT AS bin FROM orders, g), c AS (SELECT o_orderpriority, bin, count(*) AS n FROM b GROUP BY ALL) SELECT o_orderpriority, bin, n, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM c")
+def histogram_proportion(spark, sf):
+    return rounded(stats.histogram_proportion(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", "o_orderpriority"))
+
+
+@query("quantile_summary", "SELECT o_orderpriority, count(*) AS n, min(o_totalprice) AS lo, round(quantile_cont(o_totalprice, 0.5), 4) AS p50, round(quantile_cont(o_totalprice, 0.95), 4) AS p95, round(quantile_cont(o_totalprice, 0.99), 4) AS p99, max(o_totalprice) AS hi FROM orders GROUP BY o_orderpriority")
+def quantile_summary(spark, sf):
+    return rounded(stats.quantile_summary(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", per=["o_orderpriority"]), 4)
+
+
+@query("label_correlations", sql(", r AS (SELECT *, rank() OVER (PARTITION BY motif_len ORDER BY pred_length) + (count(*) OVER (PARTITION BY motif_len, pred_length) - 1) / 2.0 AS a, rank() OVER (PARTITION BY motif_len ORDER BY pred_variation) + (count(*) OVER (PARTITION BY motif_len, pred_variation) - 1) / 2.0 AS b FROM preds) SELECT motif_len, count(*) AS n, round(corr(pred_length, pred_variation), 5) AS pearson, round(corr(a, b), 5) AS spearman FROM r GROUP BY motif_len", "preds"))
+def label_correlations(spark, sf):
+    return rounded(stats.label_correlations(d.preds(spark, sf), "pred_length", "pred_variation", "motif_len"), 5)
+
+
+@query("density_2d", sql(", s AS (SELECT least(min(true_length), min(pred_length)) AS a, greatest(max(true_length), max(pred_length)) AS b FROM preds), q AS (SELECT a - 0.05 * (b - a) AS lo, b + 0.05 * (b - a) AS hi FROM s) SELECT least(floor((true_length - lo) / (hi - lo) * 50), 49)::BIGINT AS x_bin, least(floor((pred_length - lo) / (hi - lo) * 50), 49)::BIGINT AS y_bin, count(*) AS n FROM preds, q GROUP BY ALL", "preds"))
+def density_2d(spark, sf):
+    return stats.density_2d(d.preds(spark, sf), "true_length", "pred_length")
+
+
+@query("residuals", sql(", r AS (SELECT pred_length - true_length AS r FROM preds) SELECT count(*) AS n, round(avg(r), 4) AS mean, round(stddev_pop(r), 4) AS std, round(min(r), 4) AS lo, round(quantile_cont(r, 0.5), 4) AS median, round(max(r), 4) AS hi FROM r", "preds"))
+def residuals(spark, sf):
+    return rounded(stats.residuals(d.preds(spark, sf), "pred_length", "true_length"), 4)
+
+
+@query("box_stats", "WITH q AS (SELECT p_brand, count(*) AS n, quantile_cont(p_retailprice, 0.25) AS q1, quantile_cont(p_retailprice, 0.5) AS median, quantile_cont(p_retailprice, 0.75) AS q3 FROM part GROUP BY p_brand) SELECT p_brand, n, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3, round(min(p_retailprice), 4) AS whisker_lo, round(max(p_retailprice), 4) AS whisker_hi FROM q JOIN part USING (p_brand) WHERE p_retailprice BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY ALL")
+def box_stats(spark, sf):
+    return rounded(stats.box_stats(spark.read.parquet(f"{sf}/part.parquet"), "p_retailprice", "p_brand"), 4)
+
+
+_KW = "WITH r AS (SELECT {c} AS c, {v} AS v, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS rk FROM {t}), g AS (SELECT c, sum(rk) AS s, count(*) AS m FROM r GROUP BY c), t AS (SELECT sum(x * x * x - x)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS x FROM r GROUP BY v)), a AS (SELECT sum(s * s / m) AS s, sum(m)::DOUBLE AS n, count(*) AS k FROM g), h AS (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS H, k, n FROM a, t) SELECT round(H, 4) AS H, k, n::BIGINT AS n, round(H / (n - 1), 6) AS epsilon_sq, round((H - k + 1) / (n - k), 6) AS eta_sq FROM h"
+
+
+@query("kruskal_wallis", _KW.format(c="o_orderpriority", v="o_totalprice", t="orders"))
+def kruskal_wallis(spark, sf):
+    got = stats.kruskal_wallis(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", "o_orderpriority").drop("p")
+    return rounded(got.withColumn("H", F.round("H", 4)))
+
+
+@query("effect_size_table")
+def effect_size_table(spark, sf):
+    return rounded(stats.effect_size_table(spark.read.parquet(f"{sf}/part.parquet"), ["p_retailprice", "p_size"], ["p_brand", "p_type"]), 4)
+
+
+@query("pca_projection")
+def pca_projection(spark, sf):
+    return rounded(stats.pca_projection(spark.read.parquet(f"{sf}/embeddings.parquet"), "embedding", "vec_id"), 4)
