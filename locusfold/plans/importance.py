@@ -1 +1,157 @@
-"""Queries."""
+"""Queries of region permutation importance, reach and profile clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import importance as i
+from ..operators import metrics
+from . import derive as d
+from .derive import sql
+
+from .registry import query, rounded
+
+_REGIONS = ", rg AS (SELECT region_id, CASE WHEN region_id % 2 = 0 THEN 'left' ELSE 'right' END AS flank, region_id // 2 AS region_idx, region_id // 2 * 10 AS distance_start, CASE WHEN region_id < 2 THEN 10 ELSE 15 END AS distance_end FROM (SELECT unnest(range(0, 4)) AS region_id)) "
+
+
+def _regions(spark):
+    return i.flank_regions(spark, 15, 2, 4, 3, 10)
+
+
+@query("flank_regions", sql(_REGIONS + "SELECT flank, region_idx, region_id, distance_start, distance_end, CASE flank WHEN 'left' THEN 17 - distance_end ELSE 28 + distance_start END AS token_start, CASE flank WHEN 'left' THEN 17 - distance_start ELSE 28 + distance_end END AS token_end, n FROM rg, (SELECT count(*) AS n FROM perturbed)", "perturbed"))
+def flank_regions(spark, sf):
+    n = d.perturbed(spark, sf).agg(F.count("*").alias("n"))
+    return _regions(spark).crossJoin(F.broadcast(n))  # one row joins
+
+
+_SHUFFLED = "array_to_string(list_transform(list_sort(list_transform(range(1, 11), lambda k: md5('42|' || id || '|' || rev_comp::VARCHAR || '|' || k) || substr(sequence, 20 + k, 1))), lambda x: right(x, 1)), '')"
+
+
+@query("shuffle_region", sql(f"SELECT id, rev_comp, left(sequence, 20) || {_SHUFFLED} || substr(sequence, 31) AS s FROM attr", "attr"))
+def shuffle_region(spark, sf):
+    rows = d.attr(spark, sf)
+    lo, hi = F.lit(20).cast("long"), F.lit(30).cast("long")
+    return rows.select("id", "rev_comp", i.shuffle_region(F.col("sequence"), lo, hi, 42, "id", "rev_comp").alias("s"))
+
+
+@query("perturbed_predictions")
+def perturbed_predictions(spark, sf):
+    rows = d.attr(spark, sf).select("id", "rev_comp", F.col("sequence").alias("input"))
+    score = lambda s: (F.instr(s, "AC") + F.instr(s, "GT") * 2 + F.length(F.regexp_replace(s, "CG", ""))).cast("double")
+    return i.perturbed_predictions(rows, i.flank_regions(spark, 24, 0, 8, 0, 12), 3, score)
+
+
+@query("delta_summary", sql("SELECT task, round(avg(abs(permuted - baseline)), 5) AS mean_abs_delta, round(max(abs(permuted - baseline)), 5) AS max_abs_delta, count(*) AS n FROM perturbed GROUP BY task", "perturbed"))
+def delta_summary(spark, sf):
+    return rounded(i.delta_summary(d.perturbed(spark, sf)), 5)
+
+
+_PCT = ", e AS (SELECT region_id, id, rev_comp, abs(avg(100 * (permuted - baseline) / nullif(baseline, 0))) AS p FROM perturbed GROUP BY ALL) "
+
+
+@query("local_effect", sql(_PCT + "SELECT region_id, round(avg(p), 5) AS local_mean, round(stddev_samp(p), 5) AS local_std, count(p) AS n, count(*) FILTER (p IS NULL) AS n_zero FROM e GROUP BY region_id", "perturbed"))
+def local_effect(spark, sf):
+    return rounded(i.local_effect(d.perturbed(spark, sf)), 5)
+
+
+def _truth(spark, sf):
+    return d.perturbed(spark, sf).select("id", "rev_comp", (F.col("baseline") * 1.1).alias("true")).distinct()
+
+
+_GLOBAL = ", x AS (SELECT region_id, perm, baseline * 1.1 AS \"true\", permuted AS pred, baseline, 't' AS task FROM perturbed), b AS (SELECT avg(pow(baseline - \"true\", 2)) AS bm, avg(abs(baseline - \"true\")) AS ba FROM x WHERE region_id = 0 AND perm = 0), m AS (SELECT region_id, perm, avg(pow(pred - \"true\", 2)) AS mse, avg(abs(pred - \"true\")) AS mae FROM x GROUP BY ALL) "
+
+
+@query("global_effect", sql(_GLOBAL + "SELECT region_id, round(avg(mse - bm), 5) AS \"d_MSE\", round(avg(mae - ba), 5) AS \"d_MAE\" FROM m, b GROUP BY region_id", "perturbed"))
+def global_effect(spark, sf):
+    return rounded(i.global_effect(d.perturbed(spark, sf), _truth(spark, sf)).select("region_id", "d_MSE", "d_MAE"), 5)
+
+
+def _table(spark, sf):
+    p = d.perturbed(spark, sf)
+    return i.region_table(_regions(spark), i.local_effect(p), i.global_effect(p, _truth(spark, sf)))
+
+
+@query("region_table", sql(_PCT + _GLOBAL + _REGIONS + ", l AS (SELECT region_id, avg(p) AS lm FROM e GROUP BY region_id), g AS (SELECT region_id, avg(mse - bm) AS dm FROM m, b GROUP BY region_id) SELECT region_id, flank, (distance_start + distance_end) / 2.0 AS midpoint, round(lm, 5) AS local_mean, round(dm, 5) AS \"d_MSE\" FROM rg LEFT JOIN l USING (region_id) LEFT JOIN g USING (region_id)", "perturbed"))
+def region_table(spark, sf):
+    return rounded(_table(spark, sf).select("region_id", "flank", "midpoint", "local_mean", "d_MSE"), 5)
+
+
+@query("left_right_compare", sql(_PCT + ", l AS (SELECT region_id, avg(p) AS v FROM e GROUP BY region_id) SELECT a.region_id // 2 AS region_idx, round(a.v, 5) AS left_value, round(b.v, 5) AS right_value, round(a.v - b.v, 5) AS difference FROM l a JOIN l b ON a.region_id % 2 = 0 AND b.region_id = a.region_id + 1", "perturbed"))
+def left_right_compare(spark, sf):
+    return rounded(i.left_right_compare(_table(spark, sf)), 5)
+
+
+_GENOMIC = _PCT + _REGIONS + ", st AS (SELECT id FROM perturbed GROUP BY id HAVING count(DISTINCT rev_comp) = 2), gp AS (SELECT id, CASE WHEN (flank = 'left') <> rev_comp THEN 'up' ELSE 'down' END AS side, region_idx, (distance_start + distance_end) / 2.0 AS midpoint, avg(p) AS value FROM e JOIN rg USING (region_id) SEMI JOIN st USING (id) GROUP BY ALL) "
+
+
+def _genomic(spark, sf):
+    return i.genomic_profile(d.perturbed(spark, sf), _regions(spark))
+
+
+@query("genomic_profile", sql(_GENOMIC + "SELECT id, side, region_idx, midpoint, round(value, 5) AS value FROM gp", "perturbed"))
+def genomic_profile(spark, sf):
+    return rounded(_genomic(spark, sf)[0], 5)
+
+
+@query("profile_mean", sql(_GENOMIC + "SELECT side, region_idx, midpoint, round(avg(value), 5) AS mean, count(value) AS n FROM gp GROUP BY ALL", "perturbed"))
+def profile_mean(spark, sf):
+    return rounded(i.profile_mean(_genomic(spark, sf)[0]), 5)
+
+
+@query("profile_mean_ci", sql(_GENOMIC + ", x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, value FROM gp WHERE side = 'up' AND region_idx = 0), n AS (SELECT count(*) AS n FROM x), dr AS (SELECT r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 20)) AS r), (SELECT unnest(range(0, 100000)) AS k) WHERE k < n), b AS (SELECT replicate, avg(value) AS v FROM dr JOIN x USING (i) GROUP BY replicate) SELECT round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b", "perturbed"))
+def profile_mean_ci(spark, sf):
+    rows = _genomic(spark, sf)[0].filter("side = 'up' and region_idx = 0").select("id", "value")
+    means = metrics.resample(rows, 20, 42, "id").groupBy("replicate").agg(F.avg("value").alias("v"))
+    return rounded(means.agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")), 5)
+
+
+@query("profile_overlay", sql(_GENOMIC + ", mm AS (SELECT side, region_idx, avg(value) AS mean FROM gp GROUP BY ALL) SELECT side, region_idx, round(mean / max(mean) OVER (PARTITION BY side), 5) AS scaled FROM mm", "perturbed"))
+def profile_overlay(spark, sf):
+    return rounded(i.profile_overlay(i.profile_mean(_genomic(spark, sf)[0])).select("side", "region_idx", "scaled"), 5)
+
+
+_REACH = ", w AS (SELECT id, midpoint, greatest(value, 0) AS w, sum(greatest(value, 0)) OVER (PARTITION BY id) AS t, sum(greatest(value, 0)) OVER (PARTITION BY id ORDER BY midpoint) AS c FROM profiles) "
+
+
+@query("reach_metrics", sql(_REACH + "SELECT id, round(coalesce(sum(w * midpoint) / nullif(max(t), 0), 0), 5) AS center_of_mass, round(coalesce(sum(CASE WHEN midpoint > 1000 THEN w ELSE 0 END) / nullif(max(t), 0), 0), 5) AS frac_beyond, CASE WHEN max(t) > 0 THEN coalesce(min(CASE WHEN c / t >= 0.9 THEN midpoint END), max(midpoint)) ELSE 0 END AS reach_distance FROM w GROUP BY id", "profiles"))
+def reach_metrics(spark, sf):
+    return rounded(i.reach_metrics(d.profiles(spark, sf)), 5)
+
+
+def _units(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 20).cast("array<double>").alias("p"))
+    return rows.withColumn("unit", i.unit_area(F.col("p"))).drop("p")
+
+
+@query("unit_area", sql(_REACH + "SELECT id, midpoint, round(w / t, 6) AS share FROM w WHERE t > 0", "profiles"))
+def unit_area(spark, sf):
+    return rounded(_units(spark, sf).select("id", F.posexplode("unit").alias("k", "share")).select("id", (F.col("k") * 100 + 50).cast("double").alias("midpoint"), "share"))
+
+
+@query("profile_kmeans")
+def profile_kmeans(spark, sf):
+    return i.profile_kmeans(_units(spark, sf)).select("id", "cluster")
+
+
+@query("silhouette_sweep")
+def silhouette_sweep(spark, sf):
+    return i.silhouette_sweep(_units(spark, sf), (2, 3, 4))
+
+
+@query("hierarchical_profiles")
+def hierarchical_profiles(spark, sf):
+    return i.hierarchical_profiles(_units(spark, sf)).select("id", "cluster")
+
+
+def _labels(spark, sf):
+    return _units(spark, sf).withColumn("cluster", (F.col("id") % 3).cast("int"))
+
+
+@query("long_range_cluster", sql(_REACH + ", r AS (SELECT id, id % 3 AS cluster, sum(w * midpoint) / max(t) AS cm FROM w GROUP BY id), b AS (SELECT cluster, avg(cm) AS m, count(*) AS n FROM r GROUP BY cluster ORDER BY m DESC LIMIT 1) SELECT id, r.cluster::INT AS cluster, n AS cluster_size, round(cm, 5) AS center_of_mass FROM r JOIN b ON r.cluster = b.cluster", "profiles"))
+def long_range_cluster(spark, sf):
+    return rounded(i.long_range_cluster(_labels(spark, sf), i.reach_metrics(d.profiles(spark, sf))), 5)
+
+
+@query("cluster_examples", sql(_REACH + ", u AS (SELECT id, id % 3 AS cluster, midpoint, w / t AS x FROM w), c AS (SELECT cluster, midpoint, avg(x) AS m FROM u GROUP BY ALL), q AS (SELECT u.id, u.cluster, sqrt(sum(pow(x - m, 2))) AS dist FROM u JOIN c USING (cluster, midpoint) GROUP BY ALL) SELECT cluster::INT AS cluster, id, round(dist, 6) AS distance FROM q QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY dist, id) <= 5", "profiles"))
+def cluster_examples(spark, sf):
+    return rounded(i.cluster_examples(_labels(spark, sf)).select("cluster", "id", "distance"))
