@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import avg_rank
+from .metrics import avg_rank, resample
 from .relational import dice
 from .sequence import canonical_kmer
 
@@ -74,6 +74,14 @@ def position_profile(df: DataFrame, attr: str = "attr") -> DataFrame:
     return df.select(F.posexplode(attr).alias("pos", "x")).groupBy("pos").agg(F.avg(F.abs("x")).alias("mean_abs"), F.count("x").alias("n"))
 
 
+def position_profile_ci(df: DataFrame, n_boot: int = 1000, level: float = 0.95, seed: int = 42, attr: str = "attr", key: Sequence[str] = ("id", "rev_comp")) -> DataFrame:
+    """Percentile interval of `position_profile` over resamples of the rows."""
+    rows = df.select(F.struct(*key).alias("row"), F.posexplode(attr).alias("pos", "x")).filter("x is not null").withColumn("x", F.abs("x"))
+    means = resample(rows, n_boot, seed, "row", ["pos"]).groupBy("pos", "replicate").agg(F.avg("x").alias("v"))
+    a = (1 - level) / 2
+    return means.groupBy("pos").agg(F.percentile("v", a).alias("lo"), F.percentile("v", 1 - a).alias("hi"))
+
+
 def smooth_profile(profile: DataFrame, window: int, value: str = "mean_abs", flank: str = "flank", pos: str = "pos") -> DataFrame:
     """Centred moving sum over `window` positions of a flank, divided by the window; edges shrink."""
     if window <= 1:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .metrics import METRICS, regression_metrics
+from .metrics import METRICS, regression_metrics, resample
 from .relational import dice
 
 
@@ -66,6 +66,15 @@ def local_effect(perturbed: DataFrame, log_space: bool = False) -> DataFrame:
     return each.groupBy("region_id").agg(F.avg("abs_pct").alias("local_mean"), F.stddev_samp("abs_pct").alias("local_std"), F.count("abs_pct").alias("n"), F.count_if(F.col("abs_pct").isNull()).alias("n_zero"))
 
 
+def local_effect_ci(perturbed: DataFrame, n_boot: int = 10000, level: float = 0.95, seed: int = 42, log_space: bool = False) -> DataFrame:
+    """Percentile interval of `local_effect`'s mean by region over resamples of its rows."""
+    each = _abs_pct(perturbed, ["region_id", "id", "rev_comp"], log_space).filter("abs_pct is not null")
+    keyed = each.select("region_id", F.struct("id", "rev_comp").alias("row"), "abs_pct")
+    means = resample(keyed, n_boot, seed, "row", ["region_id"]).groupBy("region_id", "replicate").agg(F.avg("abs_pct").alias("v"))
+    a = (1 - level) / 2
+    return means.groupBy("region_id").agg(F.percentile("v", a).alias("lo"), F.percentile("v", 1 - a).alias("hi"))
+
+
 def global_effect(perturbed: DataFrame, truth: DataFrame) -> DataFrame:
     """Per region the mean change of each metric over permutations, signed so that positive means that the region matters."""
     rows = perturbed.join(truth, ["id", "rev_comp"])

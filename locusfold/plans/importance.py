@@ -54,6 +54,11 @@ def local_effect(spark, sf):
     return rounded(i.local_effect(d.perturbed(spark, sf)), 5)
 
 
+@query("local_effect_ci", sql(_PCT + ", x AS (SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY id, rev_comp) - 1 AS i, p FROM e WHERE p IS NOT NULL), n AS (SELECT region_id, count(*) AS n FROM x GROUP BY region_id), dr AS (SELECT region_id, r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 10)) AS r), (SELECT unnest(range(0, 20000)) AS k) WHERE k < n), b AS (SELECT region_id, replicate, avg(p) AS v FROM dr JOIN x USING (region_id, i) GROUP BY ALL) SELECT region_id, round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b GROUP BY region_id", "perturbed"))
+def local_effect_ci(spark, sf):
+    return rounded(i.local_effect_ci(d.perturbed(spark, sf), 10), 5)
+
+
 def _truth(spark, sf):
     return d.perturbed(spark, sf).select("id", "rev_comp", (F.col("baseline") * 1.1).alias("true")).distinct()
 
