@@ -1 +1 @@
-
+"""Registered queries on the given tables, with their SQL."""
