@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Common prefixes are counted up to here; longer ones are not told apart.
 DEPTH = 64
 _LANES = 258
+_MASKS = np.array([0xFFFF << (16 * i) for i in range(4)], np.uint64)
 
 
 class LaneQueue:
@@ -95,26 +96,44 @@ class _Inducer:
         wave = self.queue.pop(lane)
         while wave:
             again = []
-            for chunk in wave:
+            for chunk in _together(wave):
                 yield chunk
                 if (more := self.feed(lane, *chunk)) is not None:
                     again.append(more)
             wave = again
 
 
+def _together(chunks: Iterable[tuple[np.ndarray, np.ndarray]], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Small chunks joined, in order."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for c in chunks:
+        held.append(c)
+        n += len(c[0])
+        if n >= size:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held, n = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+
+
 def _runs(text: np.ndarray) -> np.ndarray:
     """Repeats of the character from each position on, up to DEPTH."""
-    ends = np.flatnonzero(np.r_[text[1:] != text[:-1], True])
-    return np.minimum(ends[np.searchsorted(ends, np.arange(len(text)))] - np.arange(len(text)) + 1, DEPTH).astype(np.uint8)
+    ends = _run_ends(text)
+    left = np.repeat(ends, np.diff(ends, prepend=-1))
+    left -= np.arange(len(text), dtype=np.int32)
+    return np.minimum(left + 1, DEPTH).astype(np.uint8)
+
+
+def _run_ends(text: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(text[1:] != text[:-1], True)).astype(np.int32)
 
 
 def _is_s(text: np.ndarray) -> np.ndarray:
     """S-type positions: the suffix is smaller than the one after it; the last is S."""
-    n = len(text)
-    differs = np.append(text[1:] != text[:-1], True)
-    ends = np.flatnonzero(differs)
+    ends = _run_ends(text)
     rises = np.append(text[1:] > text[:-1], True)
-    return rises[ends[np.searchsorted(ends, np.arange(n))]]
+    return np.repeat(rises[ends], np.diff(ends, prepend=-1))
 
 
 def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, order: np.ndarray, prefix: np.ndarray, folder: str,
@@ -143,7 +162,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, order: np.ndarr
             yield wave
             last = int(wave[0][-1])
         if c == 0 and last is None:
-            yield np.array([len(text) - 1]), np.zeros(1, np.uint8)  # the end of the text
+            yield np.array([len(text) - 1], np.int32), np.zeros(1, np.uint8)  # the end of the text
         carried = None  # of the L-type ones the prefix is with the smaller neighbour: shift by one
         for positions, p in reversed(list(placed.pop(c))):
             positions, p = positions[::-1], p[::-1]
@@ -159,29 +178,33 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, order: np.ndarr
 
 def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Common prefix of the suffixes at a and b, up to DEPTH."""
-    out = np.zeros(len(a), np.uint8)
-    live = np.arange(len(a))
+    n = len(text)
     padded = np.concatenate((text, np.arange(2 * DEPTH, dtype=text.dtype)))
-    for k in range(DEPTH):
-        same = (padded[a[live] + k] == padded[b[live] + k]) & (a[live] + k < len(text)) & (b[live] + k < len(text))
-        live = live[same]
+    words = np.ndarray((len(padded) - 3,), "<u8", buffer=padded, strides=(2,))  # four characters at once
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    for k in range(0, DEPTH, 4):
+        differ = words[a[live] + k] ^ words[b[live] + k]
+        ends = differ != 0
+        at = live[ends]
+        out[at] = k + (differ[ends][:, None] & _MASKS != 0).argmax(1)
+        live = live[~ends]
         if not len(live):
             break
-        out[live] += 1
-    return out
+        out[live] = k + 4
+    return np.minimum(out, n - np.maximum(a, b)).astype(np.uint8)
 
 
 def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Rank of each left-most-S substring (up to DEPTH bytes), for `lms` in text order."""
     length = np.append(np.diff(lms) + 1, 1)
-    by_place = np.empty(len(text), np.int64)
-    by_place[lms] = np.arange(len(lms))
-    size = length[by_place[ordered]]
+    at = np.searchsorted(lms, ordered)
+    size = length[at]
     a, b = ordered[:-1], ordered[1:]
     same = (size[:-1] == size[1:]) & (_common(text, a, b) >= np.minimum(size[:-1], DEPTH))
     name = np.concatenate(([0], np.cumsum(~same)))
     out = np.empty(len(lms), np.int64)
-    out[by_place[ordered]] = name
+    out[at] = name
     return out
 
 
@@ -190,7 +213,7 @@ def sorted_suffixes(data: np.ndarray, folder: str | None = None, bound: int = 1
     characters: (positions, common prefix with the one before, up to DEPTH), never across a first character."""
     text = np.append(data, np.uint16(0))
     is_s, run = _is_s(text), _runs(text)
-    lms = np.flatnonzero(is_s & np.append(False, ~is_s[:-1]))
+    lms = np.flatnonzero(is_s & np.append(False, ~is_s[:-1])).astype(np.int32)
     with tempfile.TemporaryDirectory(dir=folder) as temp:
         if len(lms) > 1:
             start = lms[np.argsort(text[lms], kind="stable")]

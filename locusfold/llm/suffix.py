@@ -2,11 +2,12 @@
 
 Every 50-byte window has a minimizer, the least hash of its 16-byte strings, and equal windows
 have equal ones. Neighbouring windows with one minimizer form a segment. Minimizers that occur in
-one document alone cannot repeat and are left out; the other segments are dealt by minimizer, so
-that all equal windows meet in one shard. There, equal segments are settled by their smallest
-document, and what remains is sorted by suffix (see `induced`): windows in one run of common
-prefixes of 50 bytes or more are equal. No shard sees more than its part of the segments, and a
-segment that many documents share is sent once per task.
+one document alone cannot repeat and are left out. Where all segments of a minimizer are equal, they
+are settled by their smallest document without their text. The different segments of a minimizer,
+one copy of each, are dealt by minimizer, so that all equal windows meet in one shard, and are
+sorted by suffix there (see `induced`): windows in one run of common prefixes of 50 bytes or more
+are equal. No shard sees more than its part of the segments, and a segment that many documents
+share is sent once per task.
 """
 
 from __future__ import annotations
@@ -21,19 +22,27 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 from .induced import sorted_suffixes
+from .minhash import mix, powers
 
 #: Bytes of a window, and of the strings whose hashes make the minimizer.
 WINDOW, GRAM = 50, 16
 #: Segments that a task gathers before it sends their minimizers on.
 CHUNK = 1 << 21
-
+#: Bytes of different segments that are sorted together; a single minimizer's may be more.
+SHARD = 1 << 21
+#: Bytes of a minimizer and of a segment's hash on the way: together they tell segments apart.
+KEY_BYTES, HASH_BYTES = 5, 6
+#: What is found out about 2^NEIGHBOURS ids next to each other travels in one row per part.
+NEIGHBOURS = 6
+
+_BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, text's place in the list, first byte, end) of every segment, in order of place and byte."""
+def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(minimizer, text's place in the list, first byte, end, hash of the segment) of every segment, in order."""
     data = b"".join(texts)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(data) < WINDOW:
         return none
     words = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
@@ -55,14 +64,29 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     low, place = low[at], place[at]
     new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (place[1:] != place[:-1])])
     last = np.append(new[1:], len(at)) - 1
-    start = (ends - sizes)[place[new]]
-    return low[new], place[new], at[new] - start, at[last] + WINDOW - start
+    start, a, b = (ends - sizes)[place[new]], at[new], at[last] + WINDOW
+    power, inverse = powers(len(data))
+    sums = np.cumsum(np.concatenate((np.zeros(1, np.uint64), _BYTES[np.frombuffer(data, np.uint8)] * power)), dtype=np.uint64)
+    whole = mix((sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64))
+    return low[new], place[new], a - start, b - start, whole
 
 
 def _bytes(x: np.ndarray) -> bytes:
     return x.tobytes()
 
 
+def _short(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of unsigned 64-bit numbers."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _long(packed: bytes, size: int) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, size)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :size] = raw
+    return out.view("<u8").ravel()
+
+
 def _rows(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
@@ -73,112 +97,146 @@ def _grouped(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def repeated_minimizers(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc, keys): per document the packed minimizers that occur in another document too, in pieces.
+def repeated_segments(docs: DataFrame, parts: int) -> DataFrame:
+    """(doc, settled, mixed): packed hashes of a document's segments, one row per document that has any.
 
-    A task sends each of its minimizers once, with one document; where it holds several documents
-    with it, these are sure to repeat and go straight to the document's part.
+    A settled segment occurs in a document with a smaller id. A mixed one is the first of its kind,
+    but its minimizer has other segments, in several documents: it may share windows with them. A
+    task sends each of its segments once, for its smallest document; the other documents' are
+    settled at once and go straight to the document's part.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            key, doc = np.concatenate(keys), np.concatenate(owners)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            fresh = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
-            key, doc = key[fresh], doc[fresh]
-            first = np.r_[True, key[1:] != key[:-1]]
-            several = np.repeat(np.diff(np.append(np.flatnonzero(first), len(key))) > 1, np.diff(np.append(np.flatnonzero(first), len(key))))
-            kind = np.where(first, several.astype(np.int8), 2)
+            key, whole, doc = np.concatenate(keys), np.concatenate(wholes), np.concatenate(owners)
+            order = np.lexsort((doc, whole, key))
+            key, whole, doc = key[order], whole[order], doc[order]
+            first = np.r_[True, (whole[1:] != whole[:-1]) | (key[1:] != key[:-1])]
+            fresh = first | np.r_[True, doc[1:] != doc[:-1]]
+            low = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(doc))))
+            fresh &= first | (doc > low)
+            key, whole, doc, first = key[fresh], whole[fresh], doc[fresh], first[fresh]
             part = (np.where(first, key, doc.astype(np.uint64) * _A) >> np.uint64(20)) % np.uint64(parts)
-            order = np.lexsort((doc, kind, part))
-            key, doc, kind, part = key[order], doc[order], kind[order], part[order].astype(np.int64)
-            rows = [(int(part[a]), int(kind[a]), _bytes(key[a:b]), _bytes(doc[a:b])) for a, b in _grouped(part * 4 + kind)]
-            return _rows(["part", "kind", "keys", "docs"], [pa.int32(), pa.int8(), pa.binary(), pa.binary()], rows)
-
-        keys, owners, held = [], [], 0
+            order = np.lexsort((doc, first, part))
+            key, whole, doc, first, part = key[order], whole[order], doc[order], first[order], part[order].astype(np.int64)
+            rows = [
+                (int(part[a]), bool(first[a]), _short(key[a:b], KEY_BYTES) if first[a] else None, _short(whole[a:b], HASH_BYTES), _bytes(doc[a:b]))
+                for a, b in _grouped(part * 2 + first)
+            ]
+            return _rows(["part", "first", "keys", "wholes", "docs"], [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], rows)
+
+        keys, wholes, owners, held = [], [], [], 0
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), np.int64)
-            key, place, _, _ = segments([(t or "").encode() for t in b.column(1).to_pylist()])
+            key, place, _, _, whole = segments([(t or "").encode() for t in b.column(1).to_pylist()])
             keys.append(key)
+            wholes.append(whole)
             owners.append(ids[place])
             held += len(key)
             if held >= CHUNK:
                 yield flush()
-                keys, owners, held = [], [], 0
+                keys, wholes, owners, held = [], [], [], 0
         if held:
             yield flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, docs_, sure = [], [], []
-        ready: list[tuple[np.ndarray, np.ndarray]] = []
+        keys, wholes, docs_ = [], [], []
+        ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for b in batches:
-            for kind, k, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                k, d = np.frombuffer(k, np.uint64), np.frombuffer(d, np.int64)
-                if kind == 2:
-                    ready.append((k, d))
-                else:
-                    keys.append(k)
+            for first, k, w, d in zip(*(b.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
+                w, d = _long(w, HASH_BYTES), np.frombuffer(d, np.int64)
+                if first:
+                    keys.append(_long(k, KEY_BYTES))
+                    wholes.append(w)
                     docs_.append(d)
-                    sure.append(np.full(len(k), kind == 1))
+                else:
+                    ready.append((d, w, np.zeros(len(d), bool)))
         if keys:
-            k, d, s = np.concatenate(keys), np.concatenate(docs_), np.concatenate(sure)
-            order = np.argsort(k, kind="stable")
-            k, d, s = k[order], d[order], s[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            size = np.diff(np.append(first, len(k)))
-            good = np.repeat(np.logical_or.reduceat(s, first) | (size > 1), size)
-            ready.append((k[good], d[good]))
+            k, w, d = np.concatenate(keys), np.concatenate(wholes), np.concatenate(docs_)
+            order = np.lexsort((d, w, k))
+            k, w, d = k[order], w[order], d[order]
+            new_key = np.r_[True, k[1:] != k[:-1]]
+            new_whole = new_key | np.r_[True, w[1:] != w[:-1]]
+            at_key, at_whole = np.flatnonzero(new_key), np.flatnonzero(new_whole)
+            late = d > np.repeat(d[at_whole], np.diff(np.append(at_whole, len(d))))
+            several = (np.add.reduceat(new_whole.astype(np.int64), at_key) > 1) & (np.minimum.reduceat(d, at_key) < np.maximum.reduceat(d, at_key))
+            mixed = np.repeat(several, np.diff(np.append(at_key, len(d)))) & ~late
+            use = late | mixed
+            ready.append((d[use], w[use], mixed[use]))
         if ready:
-            k, d = np.concatenate([r[0] for r in ready]), np.concatenate([r[1] for r in ready])
+            d, w, m = (np.concatenate([r[i] for r in ready]) for i in range(3))
             order = np.argsort(d, kind="stable")
-            k, d = k[order], d[order]
-            spans = list(_grouped(d))
-            for i in range(0, len(spans), 4096):
-                yield _rows(["doc", "keys"], [pa.int64(), pa.binary()], [(int(d[a]), _bytes(k[a:b])) for a, b in spans[i:i + 4096]])
+            d, w, m = d[order], w[order], m[order]
+            spans = list(_grouped(d >> NEIGHBOURS))
+            for i in range(0, len(spans), 1024):
+                yield _rows(
+                    ["near", "docs", "wholes", "mixed"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()],
+                    [(int(d[a] >> NEIGHBOURS), _bytes(d[a:b]), _short(w[a:b], HASH_BYTES), _bytes(m[a:b])) for a, b in spans[i:i + 1024]],
+                )
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            d, w, m = (np.concatenate([h[i] for h in held]) for i in range(3))
+            order = np.argsort(d, kind="stable")
+            d, w, m = d[order], w[order], m[order]
+            return _rows(
+                ["doc", "settled", "mixed"], [pa.int64(), pa.binary(), pa.binary()],
+                [(int(d[a]), _short(w[a:b][~m[a:b]], HASH_BYTES), _short(w[a:b][m[a:b]], HASH_BYTES)) for a, b in _grouped(d)],
+            )
 
-    sent = docs.select("doc", "text").mapInArrow(gather, "part int, kind tinyint, keys binary, docs binary")
-    return sent.repartition(parts, "part").mapInArrow(match, "doc long, keys binary")
+        at, held = None, []
+        for b in batches:
+            for near, d, w, m in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if near != at:
+                    if held:
+                        yield rows()
+                    at, held = near, []
+                held.append((np.frombuffer(d, np.int64), _long(w, HASH_BYTES), np.frombuffer(m, bool)))
+        if held:
+            yield rows()
 
+    sent = docs.select("doc", "text").mapInArrow(gather, "part int, first boolean, keys binary, wholes binary, docs binary")
+    replies = sent.repartition(parts, "part").mapInArrow(match, "near long, docs binary, wholes binary, mixed binary")
+    dealt = replies.repartition(parts, "near").sortWithinPartitions("near")
+    return dealt.mapInArrow(unpack, "doc long, settled binary, mixed binary")
 
-_FOUND = "key long, doc long, hash long, start int, text binary, end int"
+
+def _member(values: np.ndarray, packed: bytes) -> np.ndarray:
+    """Which values are among packed hashes, by the bytes that these keep."""
+    table = np.sort(_long(packed, HASH_BYTES))
+    if not len(table):
+        return np.zeros(len(values), bool)
+    values = values & np.uint64((1 << 8 * HASH_BYTES) - 1)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
 def _cut(joined: DataFrame) -> DataFrame:
-    """Of (doc, hash, text, found keys): the segments to compare (text set), and spans that are
-    already known to repeat (text null), since the task holds the same segment of a smaller document."""
-    names = ["key", "doc", "hash", "start", "text", "end"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+    """Of (doc, hash, text, found): the mixed segments with their text, and the settled spans of each row."""
+    names = ["key", "doc", "hash", "start", "text", "spans"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, int] = {}  # smallest document so far that holds the segment in this task
         for b in batches:
             ids, hashes, texts, found = (b.column(i).to_pylist() for i in range(4))
-            raw = [(t or "").encode() for t in texts]
-            key, place, start, end = segments(raw)
+            raw = [(t or "").encode() if f else b"" for t, f in zip(texts, found, strict=True)]
+            key, place, start, end, whole = segments(raw)
             out = []
             edges = np.searchsorted(place, np.arange(len(raw) + 1))
             for p, wanted in enumerate(found):
-                if not wanted:
-                    continue
                 a, z = edges[p], edges[p + 1]
-                table = np.sort(np.concatenate([np.frombuffer(w, np.uint64) for w in wanted]))
-                at = np.searchsorted(table, key[a:z])
-                hit = np.flatnonzero(table[np.minimum(at, len(table) - 1)] == key[a:z]) + a
+                if not wanted or a == z:
+                    continue
                 doc, h, data = ids[p], hashes[p], raw[p]
+                hit = _member(whole[a:z], wanted["settled"])
+                if hit.any():
+                    spans = _merged(np.stack((start[a:z][hit], end[a:z][hit]), 1))
+                    out.append((None, doc, h, None, None, spans.astype("<i4").tobytes()))
+                hit = np.flatnonzero(_member(whole[a:z], wanted["mixed"])) + a
                 for k, s, e in zip(key[hit].view(np.int64).tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
-                    segment = data[s:e]
-                    known = best.get(segment)
-                    if known is not None and known < doc:
-                        out.append((None, doc, h, s, None, e))
-                    else:
-                        best[segment] = doc
-                        out.append((k, doc, h, s, segment, e))
-            if len(best) > 1 << 18:
-                best.clear()
+                    out.append((k, doc, h, s, data[s:e], None))
             yield _rows(names, types, out)
 
-    return joined.select("doc", "hash", "text", "found").mapInArrow(run, _FOUND)
+    return joined.select("doc", "hash", "text", "found").mapInArrow(run, "key long, doc long, hash long, start int, text binary, spans binary")
 
 
 def _pack_spans(doc: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -205,10 +263,8 @@ def repeated_windows(texts: list[bytes], owner: np.ndarray) -> np.ndarray:
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 2
     ends = np.cumsum(sizes + 1) - 1
     joined[ends] = 1
-    place = np.repeat(np.arange(len(texts)), sizes + 1)
-    least = owner[place].copy()
-    fits = np.arange(len(joined)) + WINDOW <= ends[place]
-    fits = np.append(fits, False)
+    least = np.repeat(owner, sizes + 1)
+    fits = np.append(np.arange(len(joined)) + WINDOW <= np.repeat(ends, sizes + 1), False)
     carry: list[np.ndarray] = []
     for positions, prefix in sorted_suffixes(joined):
         # a run of windows goes on into the next chunk while the common prefix reaches over a window
@@ -237,6 +293,43 @@ def repeated_windows(texts: list[bytes], owner: np.ndarray) -> np.ndarray:
     return least
 
 
+def _sharing(texts: list[bytes]) -> np.ndarray:
+    """Which texts have a window whose hash occurs again: the others need no sorting."""
+    if not texts:
+        return np.zeros(0, bool)
+    hashes, owners = [], []
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    cuts = np.searchsorted(np.cumsum(sizes), np.arange(1 << 20, sizes.sum(), 1 << 20))
+    for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True):  # about 1 MB each
+        size = sizes[first:last]
+        data = np.frombuffer(b"".join(texts[first:last]), np.uint8)
+        power, inverse = powers(len(data))
+        sums = np.cumsum(np.concatenate((np.zeros(1, np.uint64), _BYTES[data] * power)), dtype=np.uint64)
+        at = np.flatnonzero(np.arange(len(data)) + WINDOW <= np.repeat(np.cumsum(size), size))
+        hashes.append((sums[at + WINDOW] - sums[at]) * inverse[at])
+        owners.append(np.repeat(np.arange(first, last, dtype=np.int32), size)[at])
+    windows, place = np.concatenate(hashes), np.concatenate(owners)
+    ordered = np.sort(windows)
+    twice = ordered[1:][ordered[1:] == ordered[:-1]]
+    out = np.zeros(len(texts), bool)
+    if len(twice):
+        out[place[twice[np.minimum(np.searchsorted(twice, windows), len(twice) - 1)] == windows]] = True
+    return out
+
+
+def _shards(order: np.ndarray, group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Cuts `order`, sorted by group, between groups so that a part has about SHARD bytes."""
+    if not len(order):
+        return
+    upto = np.cumsum(size[order])
+    ends = np.flatnonzero(np.append(group[order][1:] != group[order][:-1], True)) + 1
+    start = done = 0
+    for e in ends.tolist():
+        if upto[e - 1] - done >= SHARD or e == len(order):
+            yield order[start:e]
+            start, done = e, upto[e - 1]
+
+
 def _settle(found: DataFrame, parts: int) -> DataFrame:
     """(doc, hash, spans): packed spans of bytes that repeat from a smaller document, in pieces."""
 
@@ -244,11 +337,12 @@ def _settle(found: DataFrame, parts: int) -> DataFrame:
         table: dict[bytes, int] = {}
         segs: list[bytes] = []
         keys: list[int] = []
-        which, docs, hashes, starts, known = [], [], [], [], []
+        which, docs, hashes, starts = [], [], [], []
         for b in batches:
-            for k, d, h, s, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            passed = []
+            for k, d, h, s, t, spans in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t is None:
-                    known.append((d, h, s, e))
+                    passed.append((d, h, spans))
                     continue
                 i = table.setdefault(t, len(segs))
                 if i == len(segs):
@@ -258,8 +352,9 @@ def _settle(found: DataFrame, parts: int) -> DataFrame:
                 docs.append(d)
                 hashes.append(h)
                 starts.append(s)
+            yield _rows(["doc", "hash", "spans"], [pa.int64(), pa.int64(), pa.binary()], passed)
         table.clear()
-        out = [np.array(known, np.int64).reshape(-1, 4)]
+        out = [np.zeros((0, 4), np.int64)]
         if segs:
             w, d, h, s = (np.array(x, np.int64) for x in (which, docs, hashes, starts))
             owner = np.full(len(segs), np.iinfo(np.int64).max)
@@ -271,23 +366,27 @@ def _settle(found: DataFrame, parts: int) -> DataFrame:
             key = np.array(keys, np.int64)
             _, back, count = np.unique(key, return_inverse=True, return_counts=True)
             mixed = np.flatnonzero(count[back] > 1)
-            if len(mixed):
-                least = repeated_windows([segs[i] for i in mixed], owner[mixed])
-                begin = np.full(len(segs), -1)
-                begin[mixed] = np.cumsum(size[mixed] + 1) - size[mixed] - 1
-                rest = np.flatnonzero(~late & (begin[w] >= 0))
-                for i in rest.tolist():
-                    a = begin[w[i]]
-                    bad = np.flatnonzero(least[a:a + size[w[i]] - WINDOW + 1] < d[i])
-                    if len(bad):
-                        cut = np.flatnonzero(np.diff(bad) > 1)
-                        lo, hi = bad[np.r_[0, cut + 1]], bad[np.r_[cut, len(bad) - 1]]
-                        out.append(np.stack((np.full(len(lo), d[i]), np.full(len(lo), h[i]), s[i] + lo, s[i] + hi + WINDOW), 1))
+            by_segment = np.argsort(w, kind="stable")
+            edges = np.searchsorted(w[by_segment], np.arange(len(segs) + 1))
+            mixed = mixed[_sharing([segs[i] for i in mixed])]
+            for part in _shards(mixed[np.argsort(back[mixed], kind="stable")], back, size):
+                least = repeated_windows([segs[i] for i in part], owner[part])
+                begin = np.cumsum(size[part] + 1) - size[part] - 1
+                for j, a in zip(part.tolist(), begin.tolist(), strict=True):
+                    windows = least[a:a + size[j] - WINDOW + 1]
+                    if windows.min() >= owner[j]:
+                        continue
+                    bad = np.flatnonzero(windows < owner[j])
+                    cut = np.flatnonzero(np.diff(bad) > 1)
+                    lo, hi = bad[np.r_[0, cut + 1]], bad[np.r_[cut, len(bad) - 1]]
+                    for i in by_segment[edges[j]:edges[j + 1]].tolist():
+                        if d[i] == owner[j]:
+                            out.append(np.stack((np.full(len(lo), d[i]), np.full(len(lo), h[i]), s[i] + lo, s[i] + hi + WINDOW), 1))
         every = np.concatenate(out)
         if len(every):
             yield from _pack_spans(every[:, 0], every[:, 1], every[:, 2], every[:, 3])
 
-    dealt = found.repartition(parts, F.coalesce("key", F.xxhash64("doc", "start")))
+    dealt = found.repartition(parts, F.coalesce("key", F.xxhash64("doc", "hash")))
     return dealt.mapInArrow(run, "doc long, hash long, spans binary")
 
 
@@ -305,8 +404,9 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _plain(docs, id_col, text_col)
-    keys = repeated_minimizers(rows.filter("doc is not null"), parts).groupBy("doc").agg(F.collect_list("keys").alias("found"))
-    joined = rows.join(keys, "doc").withColumn("hash", F.xxhash64("text"))
+    found = repeated_segments(rows.filter("doc is not null"), parts).select("doc", F.struct("settled", "mixed").alias("found"))
+    # a left join, as the last one of `remove_repeats`, so that both can share one exchange of the texts
+    joined = rows.join(found, "doc", "left").withColumn("hash", F.xxhash64("text"))
     return _settle(_cut(joined), parts).groupBy("doc").agg(F.collect_list(F.struct("hash", "spans")).alias("spans"))
 
 
