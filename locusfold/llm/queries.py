@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embed, fingerprint, langid, minhash, packing, secrets, sharding, suffix
+from . import bpe, chat, embed, fingerprint, langid, minhash, oracles, packing, secrets, sharding, suffix
 from .common import table
 
 #: Folder of the public vocabulary files is known to this module alone; operators take paths.
@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_secret_scans": secrets.report_sql()}
+    return oracles.oracle_sql()

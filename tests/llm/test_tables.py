@@ -100,14 +100,17 @@ def test_registered(name, spark, sf_dir):
     assert queries.queries()[name](spark, sf_dir).count() > 0
 
 
-def test_secret_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql(name, spark, sf_dir):
     import os
 
     import duckdb
 
-    path = f"{sf_dir}/documents.parquet"
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
-    sql = con.sql(queries.oracle_sql()["op10_secret_scans"])
-    df = queries.op10_secret_scans(spark, sf_dir)
+    for t in ("documents", "conversations", "embeddings"):
+        path = f"{sf_dir}/{t}.parquet"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
+    sql = con.sql(queries.oracle_sql()[name])
+    df = queries.queries()[name](spark, sf_dir)
+    assert sorted(df.columns) == sorted(sql.columns)
     assert sorted(map(tuple, df.select(*sql.columns).collect())) == sorted(sql.fetchall())
