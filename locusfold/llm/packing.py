@@ -13,6 +13,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize
 from .pretokens import pretokens
 
-#: Entries of a worker's memory of encoded pretokens; it is emptied when full.
+#: Entries of each of the two generations of a worker's memory of encoded pretokens.
 MEMO_ENTRIES = 1 << 19
 
 
@@ -38,16 +39,23 @@ class PretokenEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [pretokens(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        new = list({w for words in split for w in words if w not in memo})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.memo) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = []
+        for w in {w for words in split for w in words if w not in memo}:
+            if w in older:
+                memo[w] = older[w]
+            else:
+                new.append(w)
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = e.ids
+            memo[w] = pack_ids(f"<{len(ids)}I", *ids)
         return [b"".join(map(memo.__getitem__, words)) for words in split]
 
 
