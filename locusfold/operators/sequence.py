@@ -196,8 +196,12 @@ def kmers_of(seq: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def count_kmers(df: DataFrame, seq: str, k: int, key: Sequence[str] = ("id",)) -> DataFrame:
-    kmers = df.select(*key, F.explode(kmers_of(F.col(seq), k)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
+def count_kmers(df: DataFrame, seq: str, k: int, key: Sequence[str] = ("id",), piece: int = 512) -> DataFrame:
+    """k-mers of A, C, G and T per row. Long sequences are cut into overlapping pieces first, as a substring
+    costs as much as its distance from the start."""
+    last = F.floor((F.greatest(F.length(seq), F.lit(1)) - 1) / piece).cast("int")
+    pieces = df.select(*key, F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(seq), i * piece + 1, F.lit(piece + k - 1)))).alias("_piece"))
+    kmers = pieces.select(*key, F.explode(kmers_of(F.col("_piece"), k)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
     return kmers.groupBy(*key, "kmer").agg(F.count("*").alias("n"))
 
 
