@@ -236,7 +236,9 @@ def _cut(joined: DataFrame) -> DataFrame:
                     out.append((k, doc, h, s, data[s:e], None))
             yield _rows(names, types, out)
 
-    return joined.select("doc", "hash", "text", "found").mapInArrow(run, "key long, doc long, hash long, start int, text binary, spans binary")
+    # all columns go in, so that no column is pruned and the exchange of the rows can be used again
+    first = ("doc", "hash", "text", "found")
+    return joined.select(*first, *[c for c in joined.columns if c not in first]).mapInArrow(run, "key long, doc long, hash long, start int, text binary, spans binary")
 
 
 def _pack_spans(doc: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -398,22 +400,20 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[new, 0], top[np.append(new[1:], len(spans)) - 1]), 1)
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, found): per document with repeats, an array of (hash of the text, packed int32 byte spans)."""
-    spark = docs.sparkSession
+def repeated_spans(rows: DataFrame) -> DataFrame:
+    """(doc, spans): per document with repeats, an array of (hash of the text, packed int32 byte spans).
+
+    `rows` has doc (an integer id) and text; a later left join of the result to the same `rows` by
+    doc can use their exchange again.
+    """
+    spark = rows.sparkSession
     small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _plain(docs, id_col, text_col)
     found = repeated_segments(rows.filter("doc is not null"), parts).select("doc", F.struct("settled", "mixed").alias("found"))
-    # a left join, as the last one of `remove_repeats`, so that both can share one exchange of the texts
     joined = rows.join(found, "doc", "left").withColumn("hash", F.xxhash64("text"))
     return _settle(_cut(joined), parts).groupBy("doc").agg(F.collect_list(F.struct("hash", "spans")).alias("spans"))
 
 
-def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
-
-
 def _runs_of(hash_: int, found: list | None) -> np.ndarray:
     own = [np.frombuffer(x["spans"], "<i4").reshape(-1, 2) for x in (() if found is None else found) if x["hash"] == hash_]
     return _merged(np.concatenate(own)) if own else np.zeros((0, 2), np.int64)
@@ -440,12 +440,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         for b in batches:
             out = []
             for doc, text, h, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data, runs = text.encode(), _runs_of(h, found)
+                data, runs = (text or "").encode(), _runs_of(h, found)
                 out.append((doc, len(data), _without(data, runs), runs.astype("<i4").tobytes()))
             yield _rows(names, types, out)
 
-    spans = repeated_spans(docs, id_col=id_col, text_col=text_col)
-    final = _plain(docs, id_col, text_col).join(spans, "doc", "left").select("doc", "text", F.xxhash64("text").alias("hash"), "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    final = rows.join(repeated_spans(rows), "doc", "left").select("doc", "text", F.xxhash64("text").alias("hash"), "spans")
     return final.mapInArrow(keep, "doc long, text_bytes long, kept_bytes binary, spans binary")
 
 
@@ -463,12 +463,13 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
             out.append(t if not len(runs) else _without(t.encode(), runs).decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    spans = repeated_spans(docs).select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans"))
-    joined = docs.join(spans, docs["doc_id"].cast("long") == F.col("_doc"), "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", F.xxhash64("text"), "_spans"))
-    return joined.withColumn("text", text).select(
-        *[(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
-    )
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "n_chars")}  # n_chars is counted anew
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text", *[F.col(c).alias(n) for c, n in names.items()])
+    joined = rows.join(repeated_spans(rows), "doc", "left")
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", F.xxhash64("text"), "spans"))
+    done = joined.withColumn("text", text)
+    size = F.length("text").cast("long")
+    return done.select(*[F.col(c) if c == "text" else (size if c == "n_chars" else F.col(names[c])).alias(c) for c in docs.columns])
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
