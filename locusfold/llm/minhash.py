@@ -55,7 +55,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         inverse = np.uint64(pow(int(_MULT), -1, 1 << 64))
         for k, base in enumerate((_MULT, inverse)):
-            steps = np.full(2 * n, base)
+            steps = np.full(n + n // 8, base)
             steps[0] = 1
             _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[0][:n], _POWERS[1][:n]

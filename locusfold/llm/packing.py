@@ -24,7 +24,7 @@ from .common import map_rows, materialize
 from .pretokens import pretokens
 
 #: Entries of each of the two generations of a worker's memory of encoded pretokens.
-MEMO_ENTRIES = 1 << 19
+MEMO_ENTRIES = 1 << 18
 
 
 class PretokenEncoder:
