@@ -93,11 +93,13 @@ def chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tracts(spark: SparkSession, d: str) -> DataFrame:
-    n = F.length("seq")
-    g = genome(spark, d).withColumn("n", n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("n >= 300 or (j = 0 and n >= 60)")
-    start = 20 + F.col("j") * 60 + F.col("n") % 13
+    """A locus at every FLANK letters of every text, so that each letter lies in some window; SQL["tracts"] has four a text at most."""
+    at = F.floor(F.col("n") / 2) % 13
+    g = genome(spark, d).select("chrom", F.length("seq").cast("long").alias("n")).filter("n > 0").withColumn("at", at)
+    g = g.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1 - F.col("at")) / FLANK))))
+    start = F.col("at") + F.col("j") * FLANK
     return g.select(
-        F.concat_ws("_", "chrom", "j").alias("id"), "chrom", start.cast("long").alias("str_start"), (start + 2 + F.col("j")).cast("long").alias("str_end"), (1 + F.col("j") % 2).alias("motif_len")
+        F.concat_ws("_", "chrom", "j").alias("id"), "chrom", start.alias("str_start"), F.least(start + 2 + F.col("j") % 4, F.col("n")).alias("str_end"), (1 + F.col("j") % 2).cast("int").alias("motif_len")
     )
 
 

@@ -53,3 +53,60 @@ def test_permutations_take_all_rows(spark, orders):
         hits = sum(null[f"K{j}", perm] >= observed[j] - 1e-9 for perm in range(10_000))
         n, p = ps[f"K{j}"]
         assert n == 40 and abs(p - (hits + 1) / 10_001) < 1e-3  # equal means may differ in the last bit
+
+
+TO_BASES = str.maketrans("abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
+
+
+def rc(s):
+    return s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    """(path, sequences by chromosome): none, few and many letters, and some that cross chunk borders."""
+    rng = random.Random(2)
+    path = str(tmp_path_factory.mktemp("documents"))
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (0, 1, 2, 3, 12, 13, 40, 59, 60, 300, 1500)]
+    spark.createDataFrame([(i, f"{t[:5]}, {t[5:]}.", "en", "s", len(t) + 3) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return path, {f"doc{i}": t.translate(TO_BASES) for i, t in enumerate(texts)}
+
+
+def test_loci_along_whole_sequences(spark, documents):
+    path, genome = documents
+    want, read = {}, defaultdict(set)
+    for chrom, seq in genome.items():
+        n = len(seq)
+        for j, a in enumerate(range(n // 2 % 13, n, 24)):
+            b = min(a + 2 + j % 4, n)
+            want[f"{chrom}_{j}"] = chrom, a, b, 1 + j % 2, seq[max(a - 24, 0):a], seq[a:b], seq[b:b + 24]
+            read[chrom].update(range(max(a - 24, 0), min(b + 24, n)))
+        assert len(read[chrom]) == n
+    assert any(a // 512 != (b + 24) // 512 for _, a, b, *_ in want.values())
+    run = lambda name: catalog.queries()[name](spark, path).collect()
+    assert {r.id: (r.lf, r.tract, r.rf) for r in run("fetch_window")} == {i: (x[4], x[5], x[6]) for i, x in want.items()}
+    ok = {i: x[1] >= 24 and x[2] + 24 <= len(genome[x[0]]) for i, x in want.items()}
+    assert {r.id: r.ok for r in run("flank_in_bounds")} == ok and any(ok.values())
+    perfect = {i: all(c == t[p % k] for p, c in enumerate(t)) for i, (_, _, _, k, _, t, _) in want.items()}
+    assert {r.id: r.perfect for r in run("perfect_repeat")} == perfect
+    assert sum(r.n for r in run("locus_qc_funnel")) == len(want)
+    inputs = {}
+    for i, (_, _, _, k, lf, t, rf) in want.items():
+        if ok[i]:
+            x, y = lf + (t[:k] * 6)[:6], (t[-k:] * 6)[-6:] + rf
+            inputs[i, False], inputs[i, True] = "XX" + x + "XXX" + y + "XXXX", "XX" + rc(y) + "XXX" + rc(x) + "XXXX"
+    assert {(r.id, r.rev_comp): r.input for r in run("assemble_input")} == inputs
+    gc = {}
+    for i, (_, _, _, _, lf, _, rf) in want.items():
+        if ok[i]:
+            for name, part in (("left_bin0", lf[-8:]), ("left_bin1", lf[:-8]), ("right_bin0", rf[:8]), ("right_bin1", rf[8:])):
+                gc[i, f"{name}_gc"] = round(sum(c in "GC" for c in part) / len(part), 6)
+    assert {(r.id, r.feature): r.value for r in run("gc_features")} == gc
+    counts = defaultdict(int)
+    for i, x in want.items():
+        if ok[i]:
+            for b, parts in enumerate(((x[4][-8:], x[6][:8]), (x[4][:-8], x[6][8:]))):
+                for part in parts:
+                    for p in range(len(part) - 2):
+                        counts[i, f"pooled_bin{b}_3mer_{part[p:p + 3]}"] += 1
+    assert {(r.id, r.feature): r.value for r in run("kmer_features_pooled")} == counts
