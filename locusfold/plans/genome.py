@@ -15,7 +15,11 @@ _WORDS = ", words AS (SELECT chrom AS id, substr(seq, 10, 4) AS w FROM genome WH
 
 
 def _words(spark, sf):
-    return d.genome(spark, sf).filter("length(seq) >= 60").select(F.col("chrom").alias("id"), F.substring("seq", 10, 4).alias("w"))
+    """Every word of four letters of every sequence; _WORDS, the SQL, has one of each text. Long sequences are cut into pieces first, as in count_kmers."""
+    last = F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / CHUNK).cast("int")
+    piece = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("seq"), i * CHUNK + 1, F.lit(CHUNK + 3)))
+    pieces = d.genome(spark, sf).select(F.col("chrom").alias("id"), F.explode(piece).alias("piece"))
+    return pieces.select("id", F.explode(s.kmers_of(F.col("piece"), 4)).alias("w"))
 
 
 def _windows(spark, sf, windows, extra=()):
@@ -40,7 +44,7 @@ def fetch_window(spark, sf):
 
 @query("reverse_complement", sql(_WORDS + f"SELECT id, {_RC.format('w')} AS rc FROM words", "genome"))
 def reverse_complement(spark, sf):
-    return _words(spark, sf).select("id", s.reverse_complement(F.col("w")).alias("rc"))
+    return d.genome(spark, sf).select(F.col("chrom").alias("id"), s.reverse_complement(F.col("seq")).alias("rc"))
 
 
 @query("canonical_kmer", sql(_WORDS + f"SELECT id, least(w, {_RC.format('w')}) AS kmer FROM words", "genome"))

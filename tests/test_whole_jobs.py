@@ -110,3 +110,23 @@ def test_loci_along_whole_sequences(spark, documents):
                     for p in range(len(part) - 2):
                         counts[i, f"pooled_bin{b}_3mer_{part[p:p + 3]}"] += 1
     assert {(r.id, r.feature): r.value for r in run("kmer_features_pooled")} == counts
+
+
+def test_words_of_whole_sequences(spark, documents):
+    path, genome = documents
+    run = lambda name: catalog.queries()[name](spark, path).collect()
+    words = [(i, seq[p:p + 4]) for i, seq in genome.items() for p in range(len(seq) - 3)]
+    rotated = lambda w: min(w[p:] + w[:p] for p in range(len(w)))
+    both = lambda w: min(rotated(w), rotated(rc(w)))
+    kind = lambda w: both(w[1] if w[1] == w[2] else w[1:3])
+    assert sorted((r.id, r.rc) for r in run("reverse_complement")) == sorted((i, rc(seq)) for i, seq in genome.items())
+    assert sorted((r.id, r.kmer) for r in run("canonical_kmer")) == sorted((i, min(w, rc(w))) for i, w in words)
+    assert sorted((r.id, r.motif) for r in run("rotation_canonical")) == sorted((i, rotated(w)) for i, w in words)
+    assert sorted((r.id, r.motif) for r in run("motif_canonical")) == sorted((i, both(w)) for i, w in words)
+    assert sorted((r.id, r.motif_class) for r in run("motif_class_from_window")) == sorted((i, kind(w)) for i, w in words)
+    assert sorted(r.motif for r in run("motif_vocab")) == sorted({rotated(w) for _, w in words if w not in (w + w)[1:-1]})
+    assert [(r.n_violations, r.n_checked) for r in run("motif_integrity")] == [(sum(both(w) not in ("ACGT", "AACC") for _, w in words), len(words))]
+    assert sorted((r.id, r.head, r.tail) for r in run("tile_motif")) == sorted((i, (w * 3)[:10], (w * 3)[-10:]) for i, w in words)
+    units = [(i, r, rotated(rc(w[:2]) if r else w[:2])) for i, w in words for r in (False, True)]
+    places = {"AC": 0, "AG": 1, "AT": 2, "CG": 3, "CT": 4, "GT": 5}
+    assert sorted((r.id, r.rev_comp, r.motif, str(r.place)) for r in run("motif_onehot")) == sorted((i, r, u, str(places.get(u))) for i, r, u in units)
