@@ -154,5 +154,5 @@ def perturbed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 20)).alias("i", "value"))
+    rows = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("i", "value"))
     return rows.select("id", (F.col("i") * 100 + 50).cast("double").alias("midpoint"), F.col("value").cast("double").alias("value"))

@@ -124,7 +124,7 @@ def reach_metrics(spark, sf):
 
 
 def _units(spark, sf):
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 20).cast("array<double>").alias("p"))
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("p"))
     return rows.withColumn("unit", i.unit_area(F.col("p"))).drop("p")
 
 

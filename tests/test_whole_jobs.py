@@ -130,3 +130,31 @@ def test_words_of_whole_sequences(spark, documents):
     units = [(i, r, rotated(rc(w[:2]) if r else w[:2])) for i, w in words for r in (False, True)]
     places = {"AC": 0, "AG": 1, "AT": 2, "CG": 3, "CT": 4, "GT": 5}
     assert sorted((r.id, r.rev_comp, r.motif, str(r.place)) for r in run("motif_onehot")) == sorted((i, r, u, str(places.get(u))) for i, r, u in units)
+
+
+def test_profiles_of_whole_vectors(spark, tmp_path):
+    rng = random.Random(3)
+    vectors = {i: [0.0] * 20 + [float(rng.randrange(-8, 9)) for _ in range(44)] for i in range(30)}  # exact as floats
+    spark.createDataFrame([(i, v, i % 3) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    shares = {}
+    for i, v in vectors.items():
+        w = [max(x, 0.0) for x in v]
+        shares[i] = [x / sum(w) for x in w]
+    reach = {r.id: r for r in run("reach_metrics")}
+    centres = {i: sum(x * (100 * k + 50) for k, x in enumerate(p)) for i, p in shares.items()}
+    for i, p in shares.items():
+        assert abs(reach[i].center_of_mass - centres[i]) < 2e-5
+        assert reach[i].frac_beyond == 1.0 and reach[i].reach_distance > 1950
+    got = {(r.id, r.midpoint): r.share for r in run("unit_area")}
+    assert len(got) == 30 * 64 and all(abs(got[i, 100.0 * k + 50] - x) < 2e-6 for i, p in shares.items() for k, x in enumerate(p))
+    far = max(range(3), key=lambda c: sum(centres[i] for i in centres if i % 3 == c) / 10)
+    assert {r.id for r in run("long_range_cluster")} == {i for i in centres if i % 3 == far}
+    means = {c: [sum(shares[i][k] for i in shares if i % 3 == c) / 10 for k in range(64)] for c in range(3)}
+    dist = {i: sum((x - y) ** 2 for x, y in zip(p, means[i % 3])) ** 0.5 for i, p in shares.items()}
+    nearest = {i for c in range(3) for i in sorted((i for i in dist if i % 3 == c), key=lambda i: (dist[i], i))[:5]}
+    examples = {r.id: r.distance for r in run("cluster_examples")}
+    assert examples.keys() == nearest and all(abs(examples[i] - dist[i]) < 2e-6 for i in nearest)
+    for name in ("profile_kmeans", "hierarchical_profiles"):  # without the slice no profile is empty, so none gets -2
+        assert {r.id for r in run(name) if r.cluster >= 0} == set(vectors)
+    assert len(run("silhouette_sweep")) == 3
