@@ -131,13 +131,13 @@ def _numbered(df: DataFrame, order: str) -> DataFrame:
     return ranged.join(F.broadcast(sums), "_p").withColumn("_i", within + F.col("_before")).drop("_p", "_before")
 
 
-def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, resample_frac: float = 1.0, key: str = "id") -> DataFrame:
-    """Percentile interval of every metric over resamples of the rows, per task."""
-    drawn = resample(df, n_boot, seed, key, frac=resample_frac)
-    each = regression_metrics(drawn, ["replicate"], tasks)
+def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, resample_frac: float = 1.0, key: str = "id", per: Sequence[str] = ()) -> DataFrame:
+    """Percentile interval of every metric over resamples of the rows of each group, per task."""
+    drawn = resample(df, n_boot, seed, key, per, resample_frac)
+    each = regression_metrics(drawn, [*per, "replicate"], tasks)
     a = (1 - level) / 2
     stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
-    return each.select("task", stack.alias("s")).groupBy("task", F.col("s.metric").alias("metric")).agg(
+    return each.select(*per, "task", stack.alias("s")).groupBy(*per, "task", F.col("s.metric").alias("metric")).agg(
         F.percentile("s.value", a).alias("lo"), F.percentile("s.value", 1 - a).alias("hi"), F.count("s.value").alias("n_boot")
     )
 

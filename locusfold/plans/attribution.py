@@ -267,8 +267,7 @@ def concat_chromosomes(spark, sf):
 
 @query("position_profile_ci", sql(", x AS (SELECT pos, row_number() OVER (PARTITION BY pos ORDER BY id, rev_comp) - 1 AS i, v FROM (SELECT i - 1 AS pos, id, rev_comp, abs(attr[i]) AS v FROM attr, (SELECT unnest(range(1, 5)) AS i))), n AS (SELECT pos, count(*) AS n FROM x GROUP BY pos), dr AS (SELECT pos, r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 10)) AS r), (SELECT unnest(range(0, 3000)) AS k) WHERE k < n), b AS (SELECT pos, replicate, avg(v) AS v FROM dr JOIN x USING (pos, i) GROUP BY ALL) SELECT pos, round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b GROUP BY pos", "attr"))
 def position_profile_ci(spark, sf):
-    rows = d.attr(spark, sf).withColumn("attr", F.slice("attr", 1, 4))
-    return rounded(a.position_profile_ci(rows, 10).withColumn("pos", F.col("pos").cast("long")), 5)
+    return rounded(a.position_profile_ci(d.attr(spark, sf)).withColumn("pos", F.col("pos").cast("long")), 5)
 
 
 @query("write_tsv", sql("SELECT id, numcalled::VARCHAR AS numcalled FROM stats", "stats"))

@@ -117,8 +117,7 @@ def fixed_variance_score(spark, sf):
 
 @query("bootstrap_metrics", sql(", x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, pred_length AS pred, true_length AS \"true\" FROM preds WHERE run = 'm1' AND motif_len = 2 AND NOT rev_comp), n AS (SELECT count(*) AS n FROM x), dr AS (SELECT r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 20)) AS r), (SELECT unnest(range(0, 5000)) AS k) WHERE k < n), b AS (SELECT replicate, avg(pow(pred - \"true\", 2)) AS v FROM dr JOIN x USING (i) GROUP BY replicate) SELECT 'length' AS task, 'MSE' AS metric, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, count(*) AS n_boot FROM b", "preds"))
 def bootstrap_metrics(spark, sf):
-    p = d.preds(spark, sf).filter("run = 'm1' and motif_len = 2 and not rev_comp")
-    return rounded(m.bootstrap_metrics(p, ["length"], 20).filter("metric = 'MSE'"), 4)
+    return rounded(m.bootstrap_metrics(d.preds(spark, sf), ["length", "variation"], per=["run", "motif_len", "rev_comp"]), 4)
 
 
 @query("standardize", sql(", tr AS (SELECT avg(true_length) AS a, stddev_pop(true_length) AS s FROM preds WHERE split = 'train') SELECT id, rev_comp, round((true_length - a) / s, 6) AS true_length FROM preds, tr", "preds"))

@@ -56,7 +56,7 @@ def local_effect(spark, sf):
 
 @query("local_effect_ci", sql(_PCT + ", x AS (SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY id, rev_comp) - 1 AS i, p FROM e WHERE p IS NOT NULL), n AS (SELECT region_id, count(*) AS n FROM x GROUP BY region_id), dr AS (SELECT region_id, r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 10)) AS r), (SELECT unnest(range(0, 20000)) AS k) WHERE k < n), b AS (SELECT region_id, replicate, avg(p) AS v FROM dr JOIN x USING (region_id, i) GROUP BY ALL) SELECT region_id, round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b GROUP BY region_id", "perturbed"))
 def local_effect_ci(spark, sf):
-    return rounded(i.local_effect_ci(d.perturbed(spark, sf), 10), 5)
+    return rounded(i.local_effect_ci(d.perturbed(spark, sf)), 5)
 
 
 def _truth(spark, sf):
@@ -105,9 +105,9 @@ def profile_mean(spark, sf):
 
 @query("profile_mean_ci", sql(_GENOMIC + ", x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, value FROM gp WHERE side = 'up' AND region_idx = 0), n AS (SELECT count(*) AS n FROM x), dr AS (SELECT r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 20)) AS r), (SELECT unnest(range(0, 100000)) AS k) WHERE k < n), b AS (SELECT replicate, avg(value) AS v FROM dr JOIN x USING (i) GROUP BY replicate) SELECT round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b", "perturbed"))
 def profile_mean_ci(spark, sf):
-    rows = _genomic(spark, sf)[0].filter("side = 'up' and region_idx = 0").select("id", "value")
-    means = metrics.resample(rows, 20, 42, "id").groupBy("replicate").agg(F.avg("value").alias("v"))
-    return rounded(means.agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")), 5)
+    by = ["side", "region_idx"]
+    means = metrics.resample(_genomic(spark, sf)[0].select(*by, "id", "value"), 10_000, 42, "id", by).groupBy(*by, "replicate").agg(F.avg("value").alias("v"))
+    return rounded(means.groupBy(*by).agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")), 5)
 
 
 @query("profile_overlay", sql(_GENOMIC + ", mm AS (SELECT side, region_idx, avg(value) AS mean FROM gp GROUP BY ALL) SELECT side, region_idx, round(mean / max(mean) OVER (PARTITION BY side), 5) AS scaled FROM mm", "perturbed"))

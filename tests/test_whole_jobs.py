@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from locusfold import catalog
@@ -158,3 +159,55 @@ def test_profiles_of_whole_vectors(spark, tmp_path):
     for name in ("profile_kmeans", "hierarchical_profiles"):  # without the slice no profile is empty, so none gets -2
         assert {r.id for r in run(name) if r.cluster >= 0} == set(vectors)
     assert len(run("silhouette_sweep")) == 3
+
+
+def midranks(x):
+    x = np.asarray(x)
+    return (x[:, None] > x).sum(1) + ((x[:, None] == x).sum(1) + 1) / 2
+
+
+def draws(n, n_boot):
+    return np.array([[dice(42, b, k) % n for k in range(n)] for b in range(n_boot)])
+
+
+def test_bootstraps_are_whole(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([1, 13, 2, 8, 20]), "O", float(rng.randrange(10**5, 5 * 10**5)), datetime(1995, 1, 1), "1-URGENT") for k in range(96)]
+    kind = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/orders.parquet")
+    vectors = [[float(rng.randrange(-50, 50)) for _ in range(64)] for _ in range(6)]
+    spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+    ci = lambda v: np.quantile(v, [0.025, 0.975])
+
+    got = {r.pos: (r.lo, r.hi) for r in run("position_profile_ci")}
+    x = np.abs(np.array(vectors))[draws(6, 1000)].mean(1)
+    assert sorted(got) == list(range(64)) and all(np.allclose(got[i], ci(x[:, i]), atol=2e-5) for i in got)
+
+    groups = defaultdict(list)
+    for k, c, _, price, *_ in rows:
+        groups[f"m{c % 4}", c % 6 + 1, k % 2 == 1].append((price / 1000, 0.9 * price / 1000 + c % 17, c % 100 / 100, c % 100 / 200 + k % 7 / 20))
+    got = {(r.run, r.motif_len, r.rev_comp, r.task, r.metric): r for r in run("bootstrap_metrics")}
+    assert len(got) == len(groups) * 2 * 6
+    for g, values in groups.items():
+        v, at = np.array(values), draws(len(values), 1000)
+        for task, (t, p) in {"length": (v[at, 0], v[at, 1]), "variation": (v[at, 2], v[at, 3])}.items():
+            want = {"MSE": ((p - t) ** 2).mean(1), "MAE": np.abs(p - t).mean(1), "MAPE": (np.abs(p - t) / t).mean(1)}
+            if task == "length":
+                want |= {"R2": 1 - want["MSE"] / t.var(1), "Pearson_r": [np.corrcoef(a, b)[0, 1] for a, b in zip(p, t)]}
+                want["Spearman_r"] = [np.corrcoef(midranks(a), midranks(b))[0, 1] for a, b in zip(p, t)]
+            for metric, x in want.items():
+                r = got[*g, task, metric]
+                assert r.n_boot == 1000 and np.allclose((r.lo, r.hi), ci(x), atol=2e-4), (g, task, metric)
+
+    effects = defaultdict(list)
+    sides = defaultdict(lambda: defaultdict(list))
+    for k, _, _, price, *_ in rows:
+        e = abs(100 * (price % 100 / 10) / (k // 4 % 50 + 10))
+        effects[k % 4].append(e)
+        sides["up" if (k % 2 == 0) != (k // 4 % 2 == 1) else "down", k % 4 // 2][k // 8].append(e)
+    for name, want in (("local_effect_ci", effects), ("profile_mean_ci", {g: [np.mean(x) for _, x in sorted(v.items())] for g, v in sides.items()})):
+        got = {r.region_id if name == "local_effect_ci" else (r.side, r.region_idx): (r.lo, r.hi) for r in run(name)}
+        assert got.keys() == want.keys() and len(got) == 4
+        for g, v in want.items():
+            assert np.allclose(got[g], ci(np.array(v)[draws(len(v), 10_000)].mean(1)), atol=2e-5), (name, g)
