@@ -28,7 +28,10 @@ MEMO_ENTRIES = 1 << 18
 
 
 class PretokenEncoder:
-    """Encodes texts with a `tokenizers` file; every distinct pretoken is encoded once and remembered."""
+    """Encodes texts with a `tokenizers` file as its plain call does; every distinct pretoken is encoded once and remembered.
+
+    A text that holds an added token (such as <|endoftext|>) is encoded as a whole, without the memory.
+    """
 
     def __init__(self, path: str):
         import os
@@ -37,13 +40,15 @@ class PretokenEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [pretokens(t) for t in texts]
+        texts = list(texts)
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        split = [[] if i in whole else pretokens(t) for i, t in enumerate(texts)]
         if len(self.memo) > MEMO_ENTRIES:
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
@@ -54,9 +59,15 @@ class PretokenEncoder:
             else:
                 new.append(w)
         for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids = e.ids
-            memo[w] = pack_ids(f"<{len(ids)}I", *ids)
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+            memo[w] = self._packed(e.ids)
+        return [
+            self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) if i in whole else b"".join(map(memo.__getitem__, words))
+            for i, words in enumerate(split)
+        ]
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return pack_ids(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)
