@@ -49,8 +49,7 @@ _PAIRS = ", p AS (SELECT id, max(CASE WHEN NOT rev_comp THEN pred END) AS fwd_pr
 
 
 def _pairs(spark, sf):
-    rows = d.attr(spark, sf).filter("id % 9 <> 0 or rev_comp")
-    return a.pair_strands(rows, ["pred", "attr", "sequence", "motif_class", "delta"])
+    return a.pair_strands(d.attr(spark, sf), ["pred", "attr", "sequence", "motif_class", "delta"])
 
 
 @query("pair_strands", sql(_PAIRS + "SELECT id, round(fwd_pred, 6) AS fwd_pred, round(rc_pred, 6) AS rc_pred FROM p", "attr"))
@@ -106,7 +105,7 @@ _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 @query("kmer_occurrences", sql(_AVG + f", o AS (SELECT d AS distance, motif_class, list_sum(\"left\"[{_L} - d - 3:{_L} - d + 1]) / 5 AS s, substr(sequence, {_L} - d - 3, 5) AS w FROM v, (SELECT unnest(range(1, 11)) AS d) UNION ALL SELECT d, motif_class, list_sum(\"right\"[d:d + 4]) / 5, substr(sequence, {64 - _L} + d, 5) FROM v, (SELECT unnest(range(1, 11)) AS d)) SELECT distance::INT AS distance, least(w, {_RC.format('w')}) AS kmer, motif_class, count(*) AS n, round(sum(s), 5) AS score FROM o GROUP BY ALL", "attr"))
 def kmer_occurrences(spark, sf):
-    rows = a.kmer_occurrences(_averaged(spark, sf), 5, _L, _L, 10)
+    rows = a.kmer_occurrences(_averaged(spark, sf), 5, _L, _L)
     return rounded(rows.groupBy("distance", "kmer", "motif_class").agg(F.count("*").alias("n"), F.sum("ig_score").alias("score")), 5)
 
 
@@ -245,10 +244,9 @@ def project_region_dump(spark, sf):
 @query("load_runs", sql("SELECT run, count(*) AS n FROM preds WHERE run = 'm1' GROUP BY run", "preds"))
 def load_runs(spark, sf):
     path = _folder(spark)
-    for run in ("m1", "m2"):
+    for run in ("m0", "m1", "m2", "m3"):
         io.write_tsv(d.preds(spark, sf).filter(F.col("run") == run).select("id", "pred_length"), f"{path}/{run}/predictions_test.tsv")
-    rows = io.load_runs(spark, path, filename="predictions_test.tsv/*.csv").withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/predictions_test", 1))
-    return rows.filter("run = 'm1'").groupBy("run").agg(F.count("*").alias("n"))
+    return io.load_runs(spark, path, filename="predictions_test.tsv/*.csv").withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/predictions_test", 1))
 
 
 @query("parquet_roundtrip", sql("SELECT kmer, count(*) AS n, round(sum(ig_score::FLOAT::DOUBLE), 4) AS s FROM kmers GROUP BY kmer", "kmers"))
@@ -259,7 +257,7 @@ def parquet_roundtrip(spark, sf):
 
 @query("concat_chromosomes", sql("SELECT id, chrom FROM loci WHERE chrom IN ('chr1', 'chr2')", "loci"))
 def concat_chromosomes(spark, sf):
-    paths = [_folder(spark) for _ in range(2)]
+    paths = [_folder(spark) for _ in range(22)]
     for k, path in enumerate(paths):
         io.write_tsv(d.loci(spark, sf).filter(F.col("chrom") == f"chr{k + 1}").select("id", "chrom"), path)
     return cohort.concat_chromosomes(spark, paths, "id long, chrom string")

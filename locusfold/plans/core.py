@@ -101,7 +101,7 @@ def missing_members(spark, sf):
 @query("attach_metadata", sql(", m AS (SELECT id, motif_len, split FROM preds WHERE id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY motif_len, split) = 1), q AS (SELECT DISTINCT id FROM preds) SELECT q.id, m.motif_len, m.split FROM q LEFT JOIN m USING (id)", "preds"))
 def attach_metadata(spark, sf):
     p = d.preds(spark, sf)
-    return relational.attach_metadata(p.select("id").distinct(), p.filter("id % 5 <> 0"), "id", ["motif_len", "split"])
+    return relational.attach_metadata(p.select("id").distinct(), p, "id", ["motif_len", "split"])
 
 
 @query("map_lookup", "SELECT c_custkey, n_name FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON c_nationkey = n_nationkey")
@@ -124,7 +124,7 @@ _SAMP = ", s AS (SELECT DISTINCT 'chr' || (l_linenumber % 3) AS chrom, l_suppkey
 
 
 def _samples(spark, sf):
-    rows = spark.read.parquet(f"{sf}/lineitem.parquet").filter("(l_suppkey + l_linenumber) % 7 <> 0").select(F.concat(F.lit("chr"), F.col("l_linenumber") % 3).alias("chrom"), F.col("l_suppkey").alias("sample"))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.concat(F.lit("chr"), F.col("l_linenumber") % 3).alias("chrom"), F.col("l_suppkey").alias("sample"))
     return relational.sample_sets(rows)
 
 
@@ -176,13 +176,13 @@ def column_profile(spark, sf):
 
 @query("strand_completeness", sql("SELECT id, bool_or(rev_comp) AND bool_or(NOT rev_comp) AS complete FROM preds WHERE id % 3 <> 0 OR rev_comp GROUP BY id", "preds"))
 def strand_completeness(spark, sf):
-    ok, bad = relational.strand_completeness(d.preds(spark, sf).filter("id % 3 <> 0 or rev_comp"))
+    ok, bad = relational.strand_completeness(d.preds(spark, sf))
     return ok.withColumn("complete", F.lit(True)).unionByName(bad.withColumn("complete", F.lit(False)))
 
 
 @query("genotype_locus_stats", sql(", a AS (SELECT locus, unnest([allele_1, allele_2]) AS allele FROM calls WHERE sample % 4 <> 0), c AS (SELECT locus, allele, count(*) AS n FROM a GROUP BY ALL) SELECT locus, round(1 - sum(n * n) / (sum(n) * sum(n)), 6) AS heterozygosity, arg_max(allele, n * 1000 - allele) AS mode_allele, (sum(n) // 2)::BIGINT AS numcalled FROM c GROUP BY locus", "calls"))
 def genotype_locus_stats(spark, sf):
-    samples = d.calls(spark, sf).select("sample").distinct().filter("sample % 4 <> 0")
+    samples = d.calls(spark, sf).select("sample").distinct()
     return rounded(cohort.genotype_locus_stats(d.calls(spark, sf), samples))
 
 

@@ -211,3 +211,44 @@ def test_bootstraps_are_whole(spark, tmp_path):
         assert got.keys() == want.keys() and len(got) == 4
         for g, v in want.items():
             assert np.allclose(got[g], ci(np.array(v)[draws(len(v), 10_000)].mean(1)), atol=2e-5), (name, g)
+
+
+def test_no_rows_are_filtered_by_number(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(1, 500), "O", float(rng.randrange(10**5, 5 * 10**5)), datetime(1995, 1, 1), "1-URGENT") for k in range(120) if k not in (7, 30)]
+    kind = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/orders.parquet")
+    vectors = [(i, [float(rng.randrange(-50, 50)) for _ in range(64)], i % 3) for i in range(40) if i not in (5, 24)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lines = [(rng.randrange(10), s, float(rng.randrange(1, 50)), s % 5 + 1) for s in range(60)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    run = lambda name: catalog.queries()[name](spark, str(tmp_path)).collect()
+
+    assert sorted((r.run, r.id, round(r.pred_length, 6)) for r in run("load_runs")) == sorted((f"m{c % 4}", k // 2, round(0.9 * price / 1000 + c % 17, 6)) for k, c, _, price, *_ in rows)
+    assert sorted((r.id, r.chrom) for r in run("concat_chromosomes")) == [(r[0], f"chr{r[1] % 22 + 1}") for r in rows]
+    meta = {r.id: (r.motif_len, r.split) for r in run("attach_metadata")}
+    split = lambda c: {0: "val", 1: "test"}.get(c % 5, "train")
+    assert meta == {i: min((c % 6 + 1, split(c)) for k, c, *_ in rows if k // 2 == i) for i in range(60)}
+    assert {r.id: r.complete for r in run("strand_completeness")} == {i: i not in (3, 15) for i in range(60)}
+
+    paired = {i: (vectors_by[2 * i], vectors_by[2 * i + 1]) for vectors_by in [{v[0]: v[1] for v in vectors}] for i in range(20) if i not in (2, 12)}
+    assert {r.id for r in run("pair_strands")} == paired.keys()
+    want = {(i, p + 1): ((f[p] + r[63 - p]) / 2, (f[40 + p] + r[23 - p]) / 2) for i, (f, r) in paired.items() for p in range(24)}
+    assert {(r.id, r.i): (r.left_x, r.right_x) for r in run("strand_average")} == want
+    counts = defaultdict(int)
+    for r in run("kmer_occurrences"):
+        counts[r.distance] += r.n
+    assert counts == {x: 2 * len(paired) for x in range(1, 21)}
+    pred = lambda v: 2.0 + v % 7 / 10
+    assert {r.id for r in run("rank_candidates")} == {i for i in paired if min(pred(2 * i), pred(2 * i + 1)) - 1.5 >= 0.55}
+
+    alleles = defaultdict(list)
+    for locus, _, a, b in lines:
+        alleles[locus] += [int(a), b]
+    got = {r.locus: r for r in run("genotype_locus_stats")}
+    assert got.keys() == alleles.keys()
+    for locus, x in alleles.items():
+        assert got[locus].numcalled == len(x) // 2 and abs(got[locus].heterozygosity - (1 - sum((x.count(v) / len(x)) ** 2 for v in set(x)))) < 2e-6
+        assert got[locus].mode_allele == min(set(x), key=lambda v: (-x.count(v), v))
+    assert {r.sample for r in run("sample_sets")} == set(range(60))
+    assert sum(r.n_samples for r in run("sample_set_sizes")) == 60
