@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
+#: Letters whose k-mers a task counts at once.
+SLICE = 1 << 21
 
 
 def reverse_complement(s: Column) -> Column:
@@ -84,41 +89,46 @@ def tile_motif(unit: Column, length: Column | int, anchor: str = "left") -> Colu
     return F.when(length <= 0, "").otherwise(cut)
 
 
+def pieces_of(seq: Column, size: int) -> Column:
+    """A string in pieces of `size` letters, in one pass (a substring costs its distance from the start); one empty piece for an empty string."""
+    return F.when(seq == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
+
+
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("chrom").agg(F.max(F.col("chunk_start") + F.length("seq")).alias("chrom_len"))
+
+
 def genome_chunks(sequences: DataFrame, chunk_bp: int = 32768) -> tuple[DataFrame, DataFrame]:
     """(chunks, lengths) of (chrom, seq): rows of at most `chunk_bp` bases, upper case, and lengths by chromosome."""
-    chunks = sequences.select(
-        "chrom", F.col("seq"), F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / chunk_bp).cast("int"))).alias("chunk_idx")
-    ).select(
-        "chrom", F.col("chunk_idx").cast("long").alias("chunk_idx"), (F.col("chunk_idx").cast("long") * chunk_bp).alias("chunk_start"),
-        F.upper(F.substring("seq", F.col("chunk_idx") * chunk_bp + 1, F.lit(chunk_bp))).alias("seq"),
-    )
-    lengths = chunks.groupBy("chrom").agg(F.max(F.col("chunk_start") + F.length("seq")).alias("chrom_len"))
-    return chunks, lengths
+    rows = sequences.select("chrom", F.posexplode(pieces_of(F.upper("seq"), chunk_bp)).alias("i", "seq"))
+    at = F.col("i").cast("long")
+    chunks = rows.select("chrom", at.alias("chunk_idx"), (at * chunk_bp).alias("chunk_start"), "seq")
+    return chunks, chunk_lengths(chunks)
 
 
 def fetch_window(loci: DataFrame, chunks: DataFrame, windows: dict[str, tuple[Column, Column]], key: Sequence[str] = ("id",), chunk_bp: int = 32768) -> DataFrame:
     """`loci` with a sequence column for each named window [start, end) of its chromosome.
 
     One join on (chrom, chunk) fetches the hull of all windows, so several windows of a locus cost
-    one pass. Parts outside the chromosome are empty.
+    one pass. Parts outside the chromosome are empty. `key` tells the loci of a chromosome apart.
     """
     lo = F.greatest(F.lit(0), F.least(*[a for a, _ in windows.values()], F.lit(2**62)))
     hi = F.greatest(*[b for _, b in windows.values()], F.lit(0))
-    asked = loci.withColumn("_lo", lo.cast("long")).withColumn("_hi", F.greatest(hi, F.col("_lo") + 1).cast("long"))
-    need = asked.select(*key, "chrom", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") / chunk_bp), F.floor((F.col("_hi") - 1) / chunk_bp))).alias("chunk_idx"))
-    first = F.greatest(F.col("_lo") - F.col("chunk_start"), F.lit(0))
-    last = F.least(F.col("_hi") - F.col("chunk_start"), F.lit(chunk_bp))
-    parts = need.join(chunks, ["chrom", "chunk_idx"]).select(
-        *key, "chrom", F.struct("chunk_idx", F.substring("seq", (first + 1).cast("int"), (last - first).cast("int")).alias("seq")).alias("p")
-    )
-    hull = parts.groupBy(*key, "chrom").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
-        *key, "chrom", F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("_hull")
+    row = F.struct(*[c for c in loci.columns if c not in (*key, "chrom")], "_lo", "_hi")
+    asked = loci.withColumn("_lo", lo.cast("long")).withColumn("_hi", F.greatest(hi, F.col("_lo") + 1).cast("long")).select(*key, "chrom", row.alias("_row"))
+    need = asked.withColumn("chunk_idx", F.explode(F.sequence(F.floor(F.col("_row._lo") / chunk_bp), F.floor((F.col("_row._hi") - 1) / chunk_bp))))
+    first = F.greatest(F.col("_row._lo") - F.col("chunk_start"), F.lit(0))
+    last = F.least(F.col("_row._hi") - F.col("chunk_start"), F.lit(chunk_bp))
+    # the locus travels with its parts, so that they need no further join
+    parts = need.join(chunks, ["chrom", "chunk_idx"], "left").select(
+        *key, "chrom", "_row", F.struct("chunk_idx", F.coalesce(F.substring("seq", (first + 1).cast("int"), (last - first).cast("int")), F.lit("")).alias("seq")).alias("p")
     )
-    joined = asked.join(hull, [*key, "chrom"], "left").withColumn("_hull", F.coalesce("_hull", F.lit("")))
+    hull = parts.groupBy(*key, "chrom").agg(F.first("_row").alias("_row"), F.array_sort(F.collect_list("p")).alias("p"))
+    joined = hull.withColumn("_hull", F.array_join(F.transform("p", lambda x: x["seq"]), "")).select(*key, "chrom", "_row.*", "_hull")
     for name, (a, b) in windows.items():
         a = F.greatest(a, F.lit(0))
         joined = joined.withColumn(name, F.substring("_hull", (a - F.col("_lo") + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int")))
-    return joined.drop("_lo", "_hi", "_hull")
+    return joined.select(*loci.columns, *[n for n in windows if n not in loci.columns])
 
 
 REASONS = ("imperfect", "truncated", "out_of_bounds", "kept")
@@ -196,13 +206,69 @@ def kmers_of(seq: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-def count_kmers(df: DataFrame, seq: str, k: int, key: Sequence[str] = ("id",), piece: int = 512) -> DataFrame:
-    """k-mers of A, C, G and T per row. Long sequences are cut into overlapping pieces first, as a substring
-    costs as much as its distance from the start."""
-    last = F.floor((F.greatest(F.length(seq), F.lit(1)) - 1) / piece).cast("int")
-    pieces = df.select(*key, F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col(seq), i * piece + 1, F.lit(piece + k - 1)))).alias("_piece"))
-    kmers = pieces.select(*key, F.explode(kmers_of(F.col("_piece"), k)).alias("kmer")).filter(F.col("kmer").rlike("^[ACGT]+$"))
-    return kmers.groupBy(*key, "kmer").agg(F.count("*").alias("n"))
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(BASES.encode(), np.uint8)] = range(4)
+
+
+def _counted(texts: list[bytes], rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, code, n) of the k-mers of A, C, G and T in texts that belong to rows; codes have two bits a base."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[bytes, int]] = []
+
+    def count() -> None:
+        sizes = np.fromiter((len(t) + 1 for t, _ in held), np.int64, len(held))
+        codes = _CODES[np.frombuffer(b"\n".join([*(t for t, _ in held), b""]), np.uint8)]
+        n = len(codes) - k + 1
+        if n < 1:
+            return
+        word, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+        for j in range(k):
+            word = word * 4 + codes[j:n + j]
+            bad |= codes[j:n + j] > 3
+        key = np.repeat(np.array([r for _, r in held], np.int64), sizes)[:n]
+        found.append(np.unique((key << 2 * k | word)[~bad], return_counts=True))
+
+    size = 0
+    for text, row in zip(texts, rows.tolist(), strict=True):
+        for at in range(0, max(1, len(text) - k + 1), SLICE):  # a long text in slices that overlap by k - 1
+            held.append((text[at:at + SLICE + k - 1], row))
+            size += len(held[-1][0])
+            if size >= SLICE:
+                count()
+                held, size = [], 0
+    if held:
+        count()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([c for _, c in found])).astype(np.int64)
+    return key >> 2 * k, key & ((1 << 2 * k) - 1), n
+
+
+def _words(codes: np.ndarray, k: int) -> pa.Array:
+    """The k-mers of codes."""
+    letters = np.frombuffer(BASES.encode(), np.uint8)[codes[:, None] >> 2 * np.arange(k - 1, -1, -1) & 3]
+    ends = np.arange(len(codes) + 1, dtype=np.int32) * k
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(letters)))
+
+
+def _kinds(df: DataFrame, key: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.select(*key).dtypes)
+
+
+def count_kmers(df: DataFrame, seq: str, k: int, key: Sequence[str] = ("id",)) -> DataFrame:
+    """(key, kmer, n): k-mers of A, C, G and T of every row, k up to 16.
+
+    A row's k-mers meet no other row's, so they are counted where the row lies, without an exchange.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [(t or "").encode() for t in b.column(len(key)).to_pylist()]
+            row, code, n = _counted(texts, np.arange(len(texts)), k)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(row)) for i in range(len(key))), _words(code, k), pa.array(n)], [*key, "kmer", "n"])
+
+    return df.select(*key, seq).mapInArrow(run, f"{_kinds(df, key)}, kmer string, n long")
 
 
 def distance_edges(bins: int | Sequence[int] | None, n_flank: int) -> list[tuple[int, int]]:
@@ -232,15 +298,26 @@ def flank_bins(loci: DataFrame, edges: Sequence[tuple[int, int]], key: Sequence[
 
 
 def kmer_features(loci: DataFrame, edges: Sequence[tuple[int, int]], k_values: Sequence[int] = (3, 4, 5), flank_mode: str = "separate",
-                  key: Sequence[str] = ("id",)) -> DataFrame:
-    """Long table (key, feature, value) of k-mer counts by side, bin and k; `pooled` adds the sides."""
-    bins = flank_bins(loci, edges, key)
-    several = len(edges) > 1
-    words = F.flatten(F.array(*[kmers_of(F.col("bases"), k) for k in k_values]))
-    side = F.col("side") if flank_mode == "separate" else F.lit("pooled")
-    rows = bins.select(*key, side.alias("side"), "bin", F.explode(words).alias("w")).filter(F.col("w").rlike("^[ACGT]+$"))
-    name = F.concat("side", F.concat(F.lit("_bin"), F.col("bin")) if several else F.lit(""), F.lit("_"), F.length("w"), F.lit("mer_"), F.col("w"))
-    return rows.groupBy(*key, name.alias("feature")).agg(F.count("*").cast("double").alias("value"))
+                  key: Sequence[str] = ("id",), lf: str = "lf", rf: str = "rf") -> DataFrame:
+    """Long table (key, feature, value) of k-mer counts by side, bin and k; `pooled` adds the sides. Rows are counted where they lie."""
+    sides = ("left", "right") if flank_mode == "separate" else ("flank", "flank")
+    names = [f"{s}{f'_bin{i}' if len(edges) > 1 else ''}_" for s in dict.fromkeys(sides) for i in range(len(edges))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = ([(t or "").encode() for t in b.column(len(key) + i).to_pylist()] for i in range(2))
+            texts, rows = [], []
+            for i, (lo, hi) in enumerate(edges):
+                far = len(edges) + i if sides[0] != sides[1] else i
+                texts += [t[max(len(t) - hi, 0):max(len(t) - lo, 0)] for t in left] + [t[lo:hi] for t in right]
+                rows += [np.arange(len(left)) * len(names) + i, np.arange(len(right)) * len(names) + far]
+            for k in k_values:
+                row, code, n = _counted(texts, np.concatenate(rows), k)
+                feature = pc.binary_join_element_wise(pa.array([f"{x}{k}mer_" for x in names]).take(pa.array(row % len(names))), _words(code, k), "")
+                keys = [b.column(i).take(pa.array(row // len(names))) for i in range(len(key))]
+                yield pa.RecordBatch.from_arrays([*keys, feature, pa.array(n.astype(np.float64))], [*key, "feature", "value"])
+
+    return loci.select(*key, lf, rf).mapInArrow(run, f"{_kinds(loci, key)}, feature string, value double")
 
 
 def gc_features(loci: DataFrame, edges: Sequence[tuple[int, int]], flank_mode: str = "separate", key: Sequence[str] = ("id",)) -> DataFrame:
@@ -249,7 +326,7 @@ def gc_features(loci: DataFrame, edges: Sequence[tuple[int, int]], flank_mode: s
     several = len(edges) > 1
     valid = F.length(F.regexp_replace("bases", "[^ACGT]", ""))
     gc = F.length(F.regexp_replace("bases", "[^GC]", ""))
-    side = F.col("side") if flank_mode == "separate" else F.lit("pooled")
+    side = F.col("side") if flank_mode == "separate" else F.lit("flank")
     name = F.concat(side, F.concat(F.lit("_bin"), F.col("bin")) if several else F.lit(""), F.lit("_gc"))
     sums = bins.groupBy(*key, name.alias("feature")).agg(F.sum(gc).alias("gc"), F.sum(valid).alias("valid"))
     return sums.select(*key, "feature", F.coalesce(F.col("gc") / F.nullif(F.col("valid"), F.lit(0)), F.lit(0.0)).alias("value"))

@@ -17,16 +17,19 @@ SQL = {
     "regions": "SELECT 'chr' || (l_suppkey % 22 + 1) AS chrom, l_orderkey * 40 AS \"start\", l_orderkey * 40 + l_quantity::BIGINT AS \"end\", l_returnflag AS region_class, CASE l_linenumber % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'val' ELSE 'test' END AS split FROM lineitem",
     "segments": "SELECT * FROM (SELECT 'chr' || (user_id % 22 + 1) AS chrom, event_id * 60 AS \"start\", lead(event_id * 60) OVER (PARTITION BY user_id % 22 ORDER BY event_id) AS \"end\", (event_id % 5) || '_' || event_type AS segment_name FROM events) WHERE \"end\" IS NOT NULL",
     "genome": f"SELECT 'doc' || doc_id AS chrom, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{LETTERS}', '{BASES}') AS seq FROM documents",
-    "tracts": "SELECT chrom || '_' || j AS id, chrom, 20 + j * 60 + length(seq) % 13 AS str_start, 20 + j * 60 + length(seq) % 13 + 2 + j AS str_end, 1 + j % 2 AS motif_len, seq, length(seq) AS chrom_len FROM genome, (SELECT unnest(range(0, 4)) AS j) WHERE length(seq) >= 300 OR (j = 0 AND length(seq) >= 60)",
+    # w is the text around the tract with its flanks, o the tract's place there
+    "tracts": f"SELECT *, str_start - a AS o, substr(seq, a + 1, str_end + {FLANK} - a) AS w FROM (SELECT *, greatest(str_start - {FLANK}, 0) AS a FROM (SELECT chrom || '_' || j AS id, chrom, seq, n AS chrom_len, (n // 2) % 13 + {FLANK} * j AS str_start, least((n // 2) % 13 + {FLANK} * j + 2 + j % 4, n) AS str_end, (1 + j % 2)::INT AS motif_len FROM (SELECT *, length(seq) AS n, unnest(range(0, CASE WHEN length(seq) = 0 THEN 0 ELSE (length(seq) - 1 - (length(seq) // 2) % 13) // {FLANK} + 1 END)) AS j FROM genome)))",
+    "pieces": f"SELECT chrom, i * {CHUNK} AS off, substr(seq, i * {CHUNK} + 1, {CHUNK} + 3) AS piece FROM (SELECT *, unnest(range(0, length(seq) // {CHUNK} + 1)) AS i FROM genome)",
+    "words": f"SELECT id, w, count(*) AS n FROM (SELECT chrom AS id, substr(piece, j, 4) AS w FROM (SELECT chrom, piece, unnest(range(1, least({CHUNK}, length(piece) - 3) + 1)) AS j FROM pieces)) GROUP BY ALL",
     "ped": "SELECT n_name AS FamilyID, 'S' || c_custkey AS SampleID, CASE WHEN c_custkey % 7 = 0 THEN 'S' || (c_custkey - 1) ELSE '0' END AS FatherID, CASE WHEN c_custkey % 11 = 0 THEN 'S' || (c_custkey - 2) ELSE '0' END AS MotherID, (c_custkey % 3)::VARCHAR AS Sex, n_name AS Population, r_name AS Superpopulation FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "calls": "SELECT l_partkey AS locus, l_suppkey AS sample, l_quantity::BIGINT AS allele_1, l_linenumber::BIGINT AS allele_2 FROM lineitem",
     "preds": "SELECT o_orderkey // 2 AS id, o_orderkey % 2 = 1 AS rev_comp, o_custkey % 6 + 1 AS motif_len, 'm' || (o_custkey % 4) AS run, o_totalprice / 1000 AS true_length, 0.9 * o_totalprice / 1000 + o_custkey % 17 AS pred_length, (o_custkey % 100) / 100.0 AS true_variation, (o_custkey % 100) / 200.0 + (o_orderkey % 7) / 20.0 AS pred_variation, CASE o_custkey % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split, o_orderpriority AS motif FROM orders",
     "attr": f"SELECT vec_id // 2 AS id, vec_id % 2 = 1 AS rev_comp, 'length' AS task, embedding::DOUBLE[] AS attr, 2.0 + (vec_id % 7) / 10.0 AS pred, 1.5 AS base, (vec_id % 11) / 100.0 AS delta, 'AC' || label AS motif_class, translate(md5('a' || (vec_id // 2)) || md5('b' || (vec_id // 2)), '{HEX}', '{HEX_BASES}') AS sequence FROM embeddings",
     "kmers": "SELECT o_orderkey AS obs, (o_custkey % 10 + 1)::INT AS distance, o_totalprice / 1000 - 150 AS ig_score, 'K' || (o_orderkey % 12) AS kmer, 'A' || (o_custkey % 2) AS motif_class FROM orders",
     "perturbed": "SELECT o_orderkey // 8 AS id, (o_orderkey // 4) % 2 = 1 AS rev_comp, o_orderkey % 4 AS region_id, (o_custkey % 3)::INT AS perm, 'length' AS task, (o_orderkey // 4 % 50 + 10)::DOUBLE AS baseline, (o_orderkey // 4 % 50 + 10) + (o_totalprice % 100) / 10 AS permuted FROM orders",
-    "profiles": "SELECT vec_id AS id, (i * 100 + 50)::DOUBLE AS midpoint, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 20)) AS i)",
+    "profiles": "SELECT vec_id AS id, (i * 100 + 50)::DOUBLE AS midpoint, embedding[i + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i)",
 }
-_NEEDS = {"tracts": ["genome"]}
+_NEEDS = {"tracts": ["genome"], "pieces": ["genome"], "words": ["genome", "pieces"]}
 
 
 def sql(body: str, *names: str) -> str:
@@ -93,7 +96,7 @@ def chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def tracts(spark: SparkSession, d: str) -> DataFrame:
-    """A locus at every FLANK letters of every text, so that each letter lies in some window; SQL["tracts"] has four a text at most."""
+    """A locus at every FLANK letters of every text, so that each letter lies in some window."""
     at = F.floor(F.col("n") / 2) % 13
     g = genome(spark, d).select("chrom", F.length("seq").cast("long").alias("n")).filter("n > 0").withColumn("at", at)
     g = g.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1 - F.col("at")) / FLANK))))

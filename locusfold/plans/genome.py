@@ -11,15 +11,11 @@ from .registry import query, rounded
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 _ROT = "list_min(list_transform(range(1, length({0}) + 1), lambda i: substr({0} || {0}, i, length({0}))))"
-_WORDS = ", words AS (SELECT chrom AS id, substr(seq, 10, 4) AS w FROM genome WHERE length(seq) >= 60) "
 
 
 def _words(spark, sf):
-    """Every word of four letters of every sequence; _WORDS, the SQL, has one of each text. Long sequences are cut into pieces first, as in count_kmers."""
-    last = F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / CHUNK).cast("int")
-    piece = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("seq"), i * CHUNK + 1, F.lit(CHUNK + 3)))
-    pieces = d.genome(spark, sf).select(F.col("chrom").alias("id"), F.explode(piece).alias("piece"))
-    return pieces.select("id", F.explode(s.kmers_of(F.col("piece"), 4)).alias("w"))
+    """(id, w, n): the words of four letters of every whole sequence."""
+    return s.count_kmers(d.genome(spark, sf).withColumnRenamed("chrom", "id"), "seq", 4).withColumnRenamed("kmer", "w")
 
 
 def _windows(spark, sf, windows, extra=()):
@@ -27,12 +23,12 @@ def _windows(spark, sf, windows, extra=()):
     return s.fetch_window(d.tracts(spark, sf), chunks, windows, chunk_bp=CHUNK), chunks, lengths
 
 
-_LF = f"substr(seq, greatest(str_start - {FLANK}, 0) + 1, str_start - greatest(str_start - {FLANK}, 0))"
-_RF = f"substr(seq, str_end + 1, {FLANK})"
-_TRACT = "substr(seq, str_start + 1, str_end - str_start)"
+_LF = "substr(w, 1, o)"
+_RF = f"substr(w, o + str_end - str_start + 1, {FLANK})"
+_TRACT = "substr(w, o + 1, str_end - str_start)"
 
 
-@query("genome_chunks", sql(f"SELECT chrom, i AS chunk_idx, i * {CHUNK} AS chunk_start, substr(seq, i * {CHUNK} + 1, {CHUNK}) AS seq FROM genome, (SELECT unnest(range(0, 2000)) AS i) WHERE i * {CHUNK} < greatest(length(seq), 1)", "genome"))
+@query("genome_chunks", sql(f"SELECT chrom, off // {CHUNK} AS chunk_idx, off AS chunk_start, left(piece, {CHUNK}) AS seq FROM pieces WHERE off = 0 OR piece <> ''", "pieces"))
 def genome_chunks(spark, sf):
     return d.chunks(spark, sf)[0]
 
@@ -42,38 +38,38 @@ def fetch_window(spark, sf):
     return _windows(spark, sf, {"lf": (F.col("str_start") - FLANK, F.col("str_start")), "rf": (F.col("str_end"), F.col("str_end") + FLANK), "tract": (F.col("str_start"), F.col("str_end"))})[0].select("id", "lf", "rf", "tract")
 
 
-@query("reverse_complement", sql(_WORDS + f"SELECT id, {_RC.format('w')} AS rc FROM words", "genome"))
+@query("reverse_complement", sql(f"SELECT chrom AS id, {_RC.format('seq')} AS rc FROM genome", "genome"))
 def reverse_complement(spark, sf):
     return d.genome(spark, sf).select(F.col("chrom").alias("id"), s.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query("canonical_kmer", sql(_WORDS + f"SELECT id, least(w, {_RC.format('w')}) AS kmer FROM words", "genome"))
+@query("canonical_kmer", sql(f"SELECT id, n, w, least(w, {_RC.format('w')}) AS kmer FROM words", "words"))
 def canonical_kmer(spark, sf):
-    return _words(spark, sf).select("id", s.canonical_kmer(F.col("w")).alias("kmer"))
+    return _words(spark, sf).select("id", "n", "w", s.canonical_kmer(F.col("w")).alias("kmer"))
 
 
-@query("rotation_canonical", sql(_WORDS + f"SELECT id, {_ROT.format('w')} AS motif FROM words", "genome"))
+@query("rotation_canonical", sql(f"SELECT id, n, w, {_ROT.format('w')} AS motif FROM words", "words"))
 def rotation_canonical(spark, sf):
-    return _words(spark, sf).select("id", s.rotation_canonical(F.col("w")).alias("motif"))
+    return _words(spark, sf).select("id", "n", "w", s.rotation_canonical(F.col("w")).alias("motif"))
 
 
-@query("motif_canonical", sql(_WORDS + f"SELECT id, least({_ROT.format('w')}, {_ROT.format('(' + _RC.format('w') + ')')}) AS motif FROM words", "genome"))
+@query("motif_canonical", sql(f"SELECT id, n, w, least({_ROT.format('w')}, {_ROT.format('(' + _RC.format('w') + ')')}) AS motif FROM words", "words"))
 def motif_canonical(spark, sf):
-    return _words(spark, sf).select("id", s.motif_canonical(F.col("w")).alias("motif"))
+    return _words(spark, sf).select("id", "n", "w", s.motif_canonical(F.col("w")).alias("motif"))
 
 
 _CLASS = "CASE WHEN substr(w, 2, 1) = substr(w, 3, 1) THEN substr(w, 2, 1) ELSE substr(w, 2, 2) END"
 
 
-@query("motif_class_from_window", sql(_WORDS + f", c AS (SELECT id, {_CLASS} AS u FROM words) SELECT id, CASE WHEN u IN ('A', 'T') THEN 'A' WHEN u IN ('C', 'G') THEN 'C' WHEN u IN ('AC', 'CA', 'GT', 'TG') THEN 'AC' WHEN u IN ('AG', 'GA', 'CT', 'TC') THEN 'AG' WHEN u IN ('AT', 'TA') THEN 'AT' ELSE 'CG' END AS motif_class FROM c", "genome"))
+@query("motif_class_from_window", sql(f", c AS (SELECT id, n, w, {_CLASS} AS u FROM words) SELECT id, n, w, CASE WHEN u IN ('A', 'T') THEN 'A' WHEN u IN ('C', 'G') THEN 'C' WHEN u IN ('AC', 'CA', 'GT', 'TG') THEN 'AC' WHEN u IN ('AG', 'GA', 'CT', 'TC') THEN 'AG' WHEN u IN ('AT', 'TA') THEN 'AT' ELSE 'CG' END AS motif_class FROM c", "words"))
 def motif_class_from_window(spark, sf):
-    return _words(spark, sf).select("id", s.motif_class_from_window(F.concat(F.substring("w", 1, 1), F.lit("X"), F.substring("w", 2, 3)), 1, 4).alias("motif_class"))
+    return _words(spark, sf).select("id", "n", "w", s.motif_class_from_window(F.concat(F.substring("w", 1, 1), F.lit("X"), F.substring("w", 2, 3)), 1, 4).alias("motif_class"))
 
 
-@query("motif_vocab", sql(_WORDS + ", c AS (SELECT DISTINCT w FROM words WHERE strpos(substr(w || w, 2, 6), w) = 0), r AS (SELECT DISTINCT " + _ROT.format("w") + " AS motif FROM c) SELECT motif FROM r", "genome"))
+@query("motif_vocab", sql(", c AS (SELECT w, n FROM words WHERE strpos(substr(w || w, 2, 6), w) = 0), r AS (SELECT " + _ROT.format("w") + " AS motif, sum(n)::BIGINT AS n FROM c GROUP BY 1) SELECT motif, n FROM r", "words"))
 def motif_vocab(spark, sf):
-    own = _words(spark, sf).select(s.rotation_canonical(F.col("w")).alias("motif")).distinct()
-    return s.motif_vocab(spark, 4).join(own, "motif", "left_semi").select("motif")
+    own = _words(spark, sf).groupBy(s.rotation_canonical(F.col("w")).alias("motif")).agg(F.sum("n").alias("n"))
+    return s.motif_vocab(spark, 4).join(own, "motif").select("motif", "n")
 
 
 _PERFECT = f"({_TRACT} = substr(repeat(substr({_TRACT}, 1, motif_len), 10), 1, length({_TRACT})))"
@@ -85,8 +81,8 @@ def perfect_repeat(spark, sf):
     return got.select("id", s.perfect_repeat(F.col("tract"), F.col("motif_len")).alias("perfect"))
 
 
-_NEXT = "substr(seq, str_end + 1, 1)"
-_PREV = "substr(seq, str_start, 1)"
+_NEXT = "substr(w, o + str_end - str_start + 1, 1)"
+_PREV = "CASE WHEN o > 0 THEN substr(w, o, 1) ELSE '' END"
 _SIDE = f"CASE WHEN {_NEXT} <> '' AND {_NEXT} = substr({_TRACT}, length({_TRACT}) % motif_len + 1, 1) THEN 'right' WHEN {_PREV} <> '' AND {_PREV} = substr({_TRACT}, motif_len, 1) THEN 'left' END"
 
 
@@ -123,24 +119,24 @@ def locus_qc_kept(spark, sf):
     return _funnel(spark, sf)[0].select("id", "tract")
 
 
-@query("locus_qc_examples", sql(_REASON + f"SELECT reason, id, substr(seq, greatest(str_start - 15, 0) + 1, str_start - greatest(str_start - 15, 0)) AS before, {_TRACT} AS tract FROM q QUALIFY row_number() OVER (PARTITION BY reason ORDER BY id) <= 10", "tracts"))
+@query("locus_qc_examples", sql(_REASON + f"SELECT reason, id, substr(w, greatest(o - 15, 0) + 1, least(o, 15)) AS before, {_TRACT} AS tract FROM q QUALIFY row_number() OVER (PARTITION BY reason ORDER BY id) <= 10", "tracts"))
 def locus_qc_examples(spark, sf):
     return _funnel(spark, sf)[2].select("reason", "id", "before", "tract")
 
 
-@query("motif_integrity", sql(_WORDS + f", v AS (SELECT least({_ROT.format('w')}, {_ROT.format('(' + _RC.format('w') + ')')}) AS a FROM words) SELECT count(*) FILTER (a NOT IN ('ACGT', 'AACC')) AS n_violations, count(*) AS n_checked FROM v", "genome"))
+@query("motif_integrity", sql(f", v AS (SELECT id, least({_ROT.format('w')}, {_ROT.format('(' + _RC.format('w') + ')')}) AS a FROM words) SELECT count(*) FILTER (a NOT IN ('ACGT', 'AACC')) AS n_violations, count(*) AS n_checked FROM v", "words"))
 def motif_integrity(spark, sf):
     rows = _words(spark, sf).select(F.col("w").alias("unit"), F.lit("GTAC/AC/CCAA").alias("motif"), F.lit(4).alias("motif_len"))
     return s.motif_integrity(rows)
 
 
-@query("tile_motif", sql(_WORDS + "SELECT id, substr(repeat(w, 3), 1, 10) AS head, right(repeat(w, 3), 10) AS tail FROM words", "genome"))
+@query("tile_motif", sql("SELECT id, n, w, substr(repeat(w, 3), 1, 10) AS head, right(repeat(w, 3), 10) AS tail FROM words", "words"))
 def tile_motif(spark, sf):
-    return _words(spark, sf).select("id", s.tile_motif(F.col("w"), 10).alias("head"), s.tile_motif(F.col("w"), 10, "right").alias("tail"))
+    return _words(spark, sf).select("id", "n", "w", s.tile_motif(F.col("w"), 10).alias("head"), s.tile_motif(F.col("w"), 10, "right").alias("tail"))
 
 
 _FULL = f"FROM tracts, (SELECT unnest([false, true]) AS rev_comp) WHERE {_BOUNDS}"
-_FWD = f"{_LF} || substr(repeat(substr(seq, str_start + 1, motif_len), 6), 1, 6) || '~' || right(repeat(substr(seq, str_end - motif_len + 1, motif_len), 6), 6) || {_RF}"
+_FWD = f"{_LF} || substr(repeat(substr(w, o + 1, motif_len), 6), 1, 6) || '~' || right(repeat(substr(w, o + str_end - str_start - motif_len + 1, motif_len), 6), 6) || {_RF}"
 
 
 @query("assemble_input", sql(f"SELECT id, rev_comp, 'XX' || replace(CASE WHEN rev_comp THEN {_RC.format(_FWD)} ELSE {_FWD} END, '~', 'XXX') || 'XXXX' AS input {_FULL}", "tracts"))
@@ -151,13 +147,13 @@ def assemble_input(spark, sf):
     return s.assemble_input(loci, chunks, FLANK, 6, 2, 3, 4, chunk_bp=CHUNK).select("id", "rev_comp", "input")
 
 
-@query("edge_window", sql(f"SELECT id, substr(seq, greatest(str_start - {FLANK}, 0) + 1, str_start + 3 - greatest(str_start - {FLANK}, 0)) AS pre, substr(seq, str_end - 2, {FLANK} + 3) AS post, str_end - str_start >= 3 AS fits, str_end - str_start < 6 AS edges_overlap FROM tracts", "tracts"))
+@query("edge_window", sql(f"SELECT id, substr(w, 1, o + 3) AS pre, substr(w, greatest(o + str_end - str_start - 2, 1), o + str_end - str_start + {FLANK} - greatest(o + str_end - str_start - 3, 0)) AS post, str_end - str_start >= 3 AS fits, str_end - str_start < 6 AS edges_overlap FROM tracts", "tracts"))
 def edge_window(spark, sf):
     chunks, _ = d.chunks(spark, sf)
     return s.edge_window(d.tracts(spark, sf), chunks, FLANK, 3, chunk_bp=CHUNK).select("id", "pre", "post", "fits", "edges_overlap")
 
 
-@query("count_kmers", sql("SELECT id, w AS kmer, count(*) AS n FROM (SELECT chrom AS id, unnest(list_transform(range(1, greatest(length(seq) - 1, 1)), lambda i: substr(seq, i, 3))) AS w FROM genome) GROUP BY ALL", "genome"))
+@query("count_kmers", sql(f"SELECT id, kmer, count(*) AS n FROM (SELECT chrom AS id, substr(piece, j, 3) AS kmer FROM (SELECT chrom, piece, unnest(range(1, least({CHUNK}, length(piece) - 2) + 1)) AS j FROM pieces)) GROUP BY ALL", "pieces"))
 def count_kmers(spark, sf):
     return s.count_kmers(d.genome(spark, sf).withColumnRenamed("chrom", "id"), "seq", 3)
 
@@ -184,7 +180,7 @@ def kmer_features(spark, sf):
     return s.kmer_features(_flanks(spark, sf), _EDGES, (3, 4))
 
 
-@query("kmer_features_pooled", sql(_BINS + ", k AS (SELECT id, bin, unnest(list_transform(range(1, greatest(length(bases) - 1, 1)), lambda i: substr(bases, i, 3))) AS w FROM b" + _IN + ") SELECT id, 'pooled_bin' || bin || '_3mer_' || w AS feature, count(*)::DOUBLE AS value FROM k GROUP BY ALL", "tracts"))
+@query("kmer_features_pooled", sql(_BINS + ", k AS (SELECT id, bin, unnest(list_transform(range(1, greatest(length(bases) - 1, 1)), lambda i: substr(bases, i, 3))) AS w FROM b" + _IN + ") SELECT id, 'flank_bin' || bin || '_3mer_' || w AS feature, count(*)::DOUBLE AS value FROM k GROUP BY ALL", "tracts"))
 def kmer_features_pooled(spark, sf):
     return s.kmer_features(_flanks(spark, sf), _EDGES, (3,), "pooled")
 
@@ -194,7 +190,7 @@ def gc_features(spark, sf):
     return rounded(s.gc_features(_flanks(spark, sf), _EDGES))
 
 
-@query("motif_onehot", sql(_WORDS + f", m AS (SELECT id, rev_comp, substr(w, 1, 2) AS u FROM words, (SELECT unnest([false, true]) AS rev_comp)), c AS (SELECT id, rev_comp, CASE WHEN rev_comp THEN {_RC.format('u')} ELSE u END AS v FROM m), r AS (SELECT id, rev_comp, {_ROT.format('v')} AS motif FROM c) SELECT id, rev_comp, motif, CASE motif WHEN 'AC' THEN 0 WHEN 'AG' THEN 1 WHEN 'AT' THEN 2 WHEN 'CG' THEN 3 WHEN 'CT' THEN 4 WHEN 'GT' THEN 5 END AS place FROM r", "genome"))
+@query("motif_onehot", sql(f", m AS (SELECT id, w, n, rev_comp, substr(w, 1, 2) AS u FROM words, (SELECT unnest([false, true]) AS rev_comp)), c AS (SELECT id, w, n, rev_comp, CASE WHEN rev_comp THEN {_RC.format('u')} ELSE u END AS v FROM m), r AS (SELECT id, w, n, rev_comp, {_ROT.format('v')} AS motif FROM c) SELECT id, w, n, rev_comp, motif, CASE motif WHEN 'AC' THEN 0 WHEN 'AG' THEN 1 WHEN 'AT' THEN 2 WHEN 'CG' THEN 3 WHEN 'CT' THEN 4 WHEN 'GT' THEN 5 END AS place FROM r", "words"))
 def motif_onehot(spark, sf):
     rows = _words(spark, sf).withColumn("u", F.substring("w", 1, 2)).withColumn("rev_comp", F.explode(F.array(F.lit(False), F.lit(True))))
-    return s.motif_onehot(rows, "u", "rev_comp", 2).select("id", "rev_comp", "motif", "place")
+    return s.motif_onehot(rows, "u", "rev_comp", 2, ("id", "w", "n")).select("id", "w", "n", "rev_comp", "motif", "place")

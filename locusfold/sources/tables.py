@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import require_columns
-from ..operators.sequence import genome_chunks as chunk_sequences
+from ..operators.sequence import chunk_lengths, pieces_of
 
 REPEAT_CLASSES = "SINE|LINE|LTR|DNA|Satellite|RC|RNA|Retroposon"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary folder of a local session, an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base}/{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), columns: Sequence[str] | None = None, sep: str = "\t") -> DataFrame:
     """Table with a header; columns are matched by name, so a header without a required one is an error."""
     header = spark.read.option("sep", sep).option("header", True).csv(path)
@@ -46,12 +62,48 @@ def read_id_list(spark: SparkSession, path: str, name: str = "SampleID") -> Data
 
 
 def read_fasta(spark: SparkSession, path: str, chunk_bp: int = 32768) -> tuple[DataFrame, DataFrame]:
-    """(chunks, lengths) of FASTA files: records are split at '>' by the reader, then cut into chunks."""
-    records = spark.read.option("lineSep", "\n>").text(path)
-    body = F.regexp_replace("value", "^>", "")
-    name = F.regexp_extract(body, r"^(\S+)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace(body, r"^[^\n]*", ""), r"\s", ""))
-    return chunk_sequences(records.filter(F.trim("value") != "").select(name.alias("chrom"), seq.alias("seq")), chunk_bp)
+    """(chunks, lengths) of FASTA files, in upper case; a record without letters has one empty chunk.
+
+    Lines are read in blocks of a file. What a block needs from those before it (the name of the
+    record that goes on, and the letters that it has so far) comes from a table with a row a block.
+    Lines before the first header are left out.
+    """
+    head = F.col("value").startswith(">")
+    lines = spark.read.text(path).select(
+        F.when(head, "").otherwise(F.upper(F.regexp_replace("value", r"\s", ""))).alias("line"), F.when(head, F.regexp_extract("value", r"^>\s*(\S*)", 1)).alias("name"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    )
+    # record 0 of a block goes on from the block before
+    lines = lines.withColumn("record", F.count("name").over(Window.partitionBy("file", "block").orderBy("at")))
+    within = Window.partitionBy("file", "block", "record").orderBy("at")
+    size = F.length("line").cast("long")
+    placed = lines.withColumn("chrom", F.first("name").over(within)).withColumn("off", F.sum(size).over(within) - size)
+    ends = placed.groupBy("file", "block", "record").agg(F.first("chrom").alias("chrom"), F.sum(size).alias("n"))
+    blocks = ends.groupBy("file", "block").agg(F.max("record").alias("last"), F.max_by("chrom", "record").alias("chrom"), F.max_by("n", "record").alias("n"))
+    order = Window.partitionBy("file").orderBy("block")
+    blocks = blocks.withColumn("run", F.count_if(F.col("last") > 0).over(order))
+    blocks = blocks.withColumn("upto", F.sum("n").over(Window.partitionBy("file", "run").orderBy("block")))
+    carried = blocks.select(
+        "file", "block", F.last("chrom", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("open"), F.coalesce(F.lag("upto").over(order), F.lit(0)).alias("so_far")
+    )
+    own = F.col("record") > 0
+    rows = placed.join(carried, ["file", "block"]).select(
+        F.when(own, F.col("chrom")).otherwise(F.col("open")).alias("chrom"), F.when(own, F.col("off")).otherwise(F.col("off") + F.col("so_far")).alias("off"), "line"
+    )
+    return _chunked(rows.filter("chrom is not null"), chunk_bp)
+
+
+def _chunked(lines: DataFrame, chunk_bp: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks, lengths) of (chrom, off, line): lines are cut at the borders of chunks and put together there."""
+    room = chunk_bp - F.col("off") % chunk_bp
+    rest = F.substring("line", (room + 1).cast("int"), F.length("line"))
+    parts = F.concat(F.array(F.left("line", room)), F.when(rest == "", F.array().cast("array<string>")).otherwise(pieces_of(rest, chunk_bp)))
+    cut = lines.select("chrom", "off", F.posexplode(parts).alias("i", "part")).select(
+        "chrom", (F.floor(F.col("off") / chunk_bp) + F.col("i")).alias("chunk_idx"), F.struct(F.when(F.col("i") == 0, F.col("off") % chunk_bp).otherwise(0).alias("at"), "part").alias("p")
+    ).filter("chunk_idx = 0 or p.part <> ''")
+    chunks = cut.groupBy("chrom", "chunk_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["part"]), "").alias("seq"))
+    chunks = chunks.select("chrom", "chunk_idx", (F.col("chunk_idx") * chunk_bp).alias("chunk_start"), "seq")
+    return chunks, chunk_lengths(chunks)
 
 
 def project_region_dump(dump: DataFrame, chrom: str, start: str, end: str, class_col: str | None = None, regex: str | None = REPEAT_CLASSES) -> DataFrame:
