@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import avg_rank, resample
+from .ranks import avg_rank, exact_quantiles, join_same, present
 from .relational import dice
+from .resampling import bootstrap_means, by_size, in_blocks, interval, shuffled
 from .sequence import canonical_kmer
 
 
@@ -19,13 +22,17 @@ def relative_delta(delta: Column, difference: Column, eps: float = 1e-6) -> Colu
 
 def convergence_summary(df: DataFrame, per: Sequence[str] = ("task",), cuts: Sequence[float] = (0.05, 0.01)) -> DataFrame:
     """Summary of |delta|, relative delta and prediction difference per group."""
-    d, r, p = F.abs("delta"), relative_delta(F.col("delta"), F.col("pred") - F.col("base")), F.col("pred") - F.col("base")
+    rows = df.select(*per, F.abs("delta").alias("delta"), relative_delta(F.col("delta"), F.col("pred") - F.col("base")).alias("rel"), (F.col("pred") - F.col("base")).alias("diff"))
+    rows = rows.withColumns({c: F.when(present(c), F.col(c)) for c in ("delta", "rel", "diff")})
     aggs = [F.count("*").alias("n")]
-    for name, c in (("delta", d), ("rel", r)):
-        aggs += [F.avg(c).alias(f"{name}_mean"), F.percentile(c, 0.5).alias(f"{name}_median"), F.max(c).alias(f"{name}_max"), F.stddev_pop(c).alias(f"{name}_std")]
-    aggs += [(100.0 * F.count_if(r > cut) / F.count("*")).alias(f"pct_over_{round(cut * 100)}") for cut in cuts]
-    aggs += [F.avg(p).alias("diff_mean"), F.percentile(p, 0.5).alias("diff_median"), F.min(p).alias("diff_min"), F.max(p).alias("diff_max")]
-    return df.groupBy(*per).agg(*aggs)
+    for c in ("delta", "rel"):
+        aggs += [F.avg(c).alias(f"{c}_mean"), F.max(c).alias(f"{c}_max"), F.stddev_pop(c).alias(f"{c}_std")]
+    aggs += [(100.0 * F.count_if(F.col("rel") > cut) / F.count("*")).alias(f"pct_over_{round(cut * 100)}") for cut in cuts]
+    aggs += [F.avg("diff").alias("diff_mean"), F.min("diff").alias("diff_min"), F.max("diff").alias("diff_max")]
+    out = rows.groupBy(*per).agg(*aggs)
+    for c in ("delta", "rel", "diff"):
+        out = join_same(out, exact_quantiles(rows, c, {f"{c}_median": 0.5}, per), per)
+    return out
 
 
 def informative_summary(df: DataFrame, threshold: float = 0.05) -> DataFrame:
@@ -76,10 +83,8 @@ def position_profile(df: DataFrame, attr: str = "attr") -> DataFrame:
 
 def position_profile_ci(df: DataFrame, n_boot: int = 1000, level: float = 0.95, seed: int = 42, attr: str = "attr", key: Sequence[str] = ("id", "rev_comp")) -> DataFrame:
     """Percentile interval of `position_profile` over resamples of the rows."""
-    rows = df.select(F.struct(*key).alias("row"), F.posexplode(attr).alias("pos", "x")).filter("x is not null").withColumn("x", F.abs("x"))
-    means = resample(rows, n_boot, seed, "row", ["pos"]).groupBy("pos", "replicate").agg(F.avg("x").alias("v"))
-    a = (1 - level) / 2
-    return means.groupBy("pos").agg(F.percentile("v", a).alias("lo"), F.percentile("v", 1 - a).alias("hi"))
+    rows = df.select(F.struct(*key).alias("row"), F.posexplode(attr).alias("pos", "x")).withColumn("x", F.abs("x")).filter(present("x"))
+    return interval(bootstrap_means(rows, "x", "row", n_boot, seed, ["pos"]), "v", ["pos"], level).drop("n_boot")
 
 
 def smooth_profile(profile: DataFrame, window: int, value: str = "mean_abs", flank: str = "flank", pos: str = "pos") -> DataFrame:
@@ -106,19 +111,26 @@ def kmer_occurrences(averaged: DataFrame, k: int, n_left: int, n_right: int, max
     return rows.select("distance", F.explode(F.array(left, right)).alias("s"), motif_class).select("distance", "s.ig_score", canonical_kmer(F.col("s.w")).alias("kmer"), motif_class)
 
 
-def rank_candidates(pairs: DataFrame, weights: Sequence[float] = (1, 1, 5), min_diff: float = 0.05, n: int = 20, key: str = "id") -> DataFrame:
-    """Top pairs by a weighted sum of ordinal percentile ranks: small error, small delta, large difference."""
+def rank_candidates(pairs: DataFrame, weights: Sequence[float] = (1, 1, 5), min_diff: float = 0.05, n: int = 20, key: str = "id", max_delta: float | None = None, max_error: float | None = None) -> DataFrame:
+    """Top pairs of each task by a weighted sum of ordinal percentile ranks: small error, small delta, large difference.
+
+    Ordinal ranks count the pairs with worse values, ties by key; pairs over `max_delta` or `max_error` are left out.
+    """
     rows = pairs.filter(F.col("diff") >= min_diff)
-    out = rows
-    # ranks of few, filtered candidates; ties by id
+    for c, top in (("delta", max_delta), ("error", max_error)):
+        rows = rows if top is None else rows.filter(F.col(c) <= top)
+    sizes = rows.groupBy("task").agg(F.count("*").alias("_size"))
+    out = join_same(rows, sizes, ["task"])
     for c, up in (("error", False), ("delta", False), ("diff", True)):
-        order = F.col(c).asc() if up else F.col(c).desc()
-        w = Window.partitionBy("task").orderBy(order, key)
-        size = F.count("*").over(Window.partitionBy("task"))
-        out = out.withColumn(f"{c}_rank", F.when(size == 1, 1.0).otherwise((F.row_number().over(w) - 1) / F.nullif(size - 1, F.lit(0))))
+        # a tie's rows are told apart by key among themselves: only they share a window
+        ranked = avg_rank(out.withColumn("_v", F.col(c) if up else -F.col(c)), "_v", ["task"], "_mid")
+        tie = Window.partitionBy("task", "_v")
+        below = F.col("_mid") - (F.count("*").over(tie) + 1) / 2
+        place = below + F.row_number().over(tie.orderBy(key)) - 1
+        out = ranked.withColumn(f"{c}_rank", F.when(F.col("_size") == 1, 1.0).otherwise(place / F.nullif(F.col("_size") - 1, F.lit(0)))).drop("_v", "_mid")
     score = (weights[0] * F.col("error_rank") + weights[1] * F.col("delta_rank") + weights[2] * F.col("diff_rank")) / sum(weights)
     w = Window.partitionBy("task").orderBy(F.desc("score"), key)
-    return out.withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    return out.drop("_size").withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)  # a top-k filter: each task sends n rows of a group at most
 
 
 def logo_matrix(averaged: DataFrame, locus_id, n_left: int, n_right: int, max_dist: int = 200, key: str = "id", seq: str = "sequence") -> DataFrame:
@@ -147,17 +159,34 @@ def processed_scores(kmers: DataFrame, strata: Sequence[str], use_ranks: bool =
 def stratified_permutation(kmers: DataFrame, n_perm: int, seed: int = 42, use_ranks: bool = True, use_absolute: bool = False, by: Sequence[str] = (), key: str = "obs") -> tuple[DataFrame, DataFrame]:
     """(observed means, null means): per k-mer the mean score, and its means with scores shuffled within each distance.
 
-    A shuffle orders the rows of a stratum by a hash of (seed, permutation, row) and meets them with
-    their places by an equi-join; permutations and strata spread over the cluster. `key` numbers the rows.
+    A task shuffles one distance in a block of permutations and returns sums by k-mer, so rows times
+    permutations are never shuffled between tasks. `key` numbers the rows. Distances of more rows
+    than a task may gather are ordered by a hash of (seed, permutation, row) and met by a join.
     """
     strata = [*by, "distance"]
     rows = processed_scores(kmers, strata, use_ranks, use_absolute).select(*strata, "kmer", "score", key)
     observed = rows.groupBy(*by, "kmer").agg(F.avg("score").alias("observed_mean"), F.count("*").alias("n_occurrences"))
-    placed = rows.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(key)))
-    perms = placed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-    shuffled = perms.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "perm").orderBy(dice(seed, "perm", key), key))).select(*strata, "perm", "place", "score")
-    null = perms.select(*strata, "perm", "place", "kmer").join(shuffled, [*strata, "perm", "place"])
-    return observed, null.groupBy(*by, "perm", "kmer").agg(F.avg("score").alias("null_mean"))
+    small, large = by_size(rows, strata)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*strata).dtypes)
+    name = dict(rows.dtypes)["kmer"]
+
+    def shuffle(stratum: tuple, frame: pd.DataFrame, perms: range) -> pd.DataFrame:
+        frame = frame.sort_values(key, kind="stable")
+        code, words = pd.factorize(frame["kmer"])
+        score = frame["score"].to_numpy(np.float64)
+        text = "|".join(map(str, stratum))
+        sums = np.stack([np.bincount(code, score[shuffled(seed, text, p, len(score))], len(words)) for p in perms])
+        return pd.DataFrame({**dict(zip(strata, stratum, strict=True)), "kmer": words, "n": np.bincount(code, minlength=len(words)), "first": perms.start, "sums": list(sums.T)})
+
+    sums = in_blocks(small.filter("kmer is not null"), strata, n_perm, shuffle, f"{kinds}, kmer {name}, n long, first int, sums array<double>")
+    each = sums.select(*by, "kmer", "n", F.col("first"), F.posexplode("sums").alias("i", "s")).select(*by, "kmer", (F.col("first") + F.col("i")).alias("perm"), "n", "s")
+    if large is not None:
+        placed = large.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(key)))
+        perms = placed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
+        drawn = perms.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "perm").orderBy(dice(seed, "perm", key), key))).select(*strata, "perm", "place", "score")
+        met = join_same(perms.select(*strata, "perm", "place", "kmer"), drawn, [*strata, "perm", "place"], "inner")
+        each = each.unionByName(met.groupBy(*by, "kmer", "perm").agg(F.count("*").alias("n"), F.sum("score").alias("s")))
+    return observed, each.groupBy(*by, "perm", "kmer").agg((F.sum("s") / F.sum("n")).alias("null_mean"))
 
 
 def permutation_pvalues(observed: DataFrame, null: DataFrame, min_count: int = 30, use_absolute: bool = False, by: Sequence[str] = ()) -> DataFrame:
@@ -196,8 +225,9 @@ def dual_significance(df: DataFrame, alpha: float = 0.01, percentile: float = 99
     """Adds effect size, its percentile rank, and significance by FDR, by effect, and by both."""
     adjusted = adjust_pvalues(df, per=per).withColumn("effect_size", F.col("raw_observed") - F.col("raw_expected"))
     ranked = avg_rank(adjusted, "effect_size", per, "_r")
-    limits = ranked.groupBy(*per).agg(F.percentile(F.abs("effect_size"), percentile / 100).alias("effect_threshold"), F.count("*").alias("_n"))
-    out = ranked.join(limits, list(per)).withColumn("effect_percentile", 100 * F.col("_r") / F.col("_n")).drop("_r", "_n")
+    sizes = ranked.withColumn("_size", F.abs("effect_size"))
+    limits = join_same(ranked.groupBy(*per).agg(F.count("*").alias("_n")), exact_quantiles(sizes, "_size", {"effect_threshold": percentile / 100}, per), per)
+    out = join_same(ranked, limits, per).withColumn("effect_percentile", 100 * F.col("_r") / F.col("_n")).drop("_r", "_n")
     out = out.withColumn("sig_fdr", F.col("p_adj_fdr_bh") < alpha).withColumn("sig_effect", F.abs("effect_size") > F.col("effect_threshold"))
     return out.withColumn("sig_dual", F.col("sig_fdr") & F.col("sig_effect"))
 

@@ -7,22 +7,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .metrics import METRICS, regression_metrics, resample
-from .relational import dice
+from .metrics import METRICS, regression_metrics
+from .ranks import present
+from .resampling import bootstrap_means, interval
 
 
-def flank_regions(spark: SparkSession, n_flank: int, n_prefix: int, n_str: int, n_gap: int, width: int, max_flank_bp: int | None = None) -> DataFrame:
-    """Regions of each flank from the repeat outward, a smaller rest at the far end: token and distance ranges."""
-    rows = []
-    right_start = n_prefix + n_flank + 2 * n_str + n_gap
-    for idx, lo in enumerate(range(0, n_flank, width)):
-        hi = min(lo + width, n_flank)
-        if max_flank_bp is not None and hi > max_flank_bp:
-            continue
-        rows.append(("left", idx, n_prefix + n_flank - hi, n_prefix + n_flank - lo, lo, hi))
-        rows.append(("right", idx, right_start + lo, right_start + hi, lo, hi))
-    out = spark.createDataFrame(sorted(rows), "flank string, region_idx long, token_start long, token_end long, distance_start long, distance_end long")
-    return out.withColumn("region_id", F.when(F.col("flank") == "left", 2 * F.col("region_idx")).otherwise(2 * F.col("region_idx") + 1))
+def layout(spark: SparkSession, n_flank: int, n_prefix: int = 0, n_str: int = 0, n_gap: int = 0) -> DataFrame:
+    """One row: the sizes of the parts of a model's input."""
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in (("n_flank", n_flank), ("n_prefix", n_prefix), ("n_str", n_str), ("n_gap", n_gap))])
+
+
+def flank_regions(layouts: DataFrame, width: int, max_flank_bp: int | None = None) -> DataFrame:
+    """Regions of each flank from the repeat outward, a smaller rest at the far end: token and distance ranges.
+
+    `layouts` has n_flank, n_prefix, n_str, n_gap; each row gives regions of its own beside its other columns.
+    """
+    sizes = ("n_flank", "n_prefix", "n_str", "n_gap")
+    rows = layouts.withColumn("region_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n_flank") / width) - 1))).filter("region_idx * %d < n_flank" % width)
+    lo, hi = F.col("distance_start"), F.col("distance_end")
+    rows = rows.withColumn("distance_start", F.col("region_idx") * width).withColumn("distance_end", F.least(lo + width, F.col("n_flank")).cast("long"))
+    if max_flank_bp is not None:
+        rows = rows.filter(hi <= max_flank_bp)
+    at = F.col("n_prefix") + F.col("n_flank")
+    right = at + 2 * F.col("n_str") + F.col("n_gap")
+    side = lambda name, k, a, b: F.struct(F.lit(name).alias("flank"), (2 * F.col("region_idx") + k).alias("region_id"), a.cast("long").alias("token_start"), b.cast("long").alias("token_end"))
+    both = F.explode(F.array(side("left", 0, at - hi, at - lo), side("right", 1, right + lo, right + hi)))
+    kept = [c for c in layouts.columns if len(layouts.columns) > len(sizes) or c not in sizes]
+    return rows.withColumn("s", both).select(*kept, "s.flank", "region_idx", "s.region_id", "s.token_start", "s.token_end", "distance_start", "distance_end")
 
 
 def shuffle_region(seq: Column, start: Column, end: Column, seed: int, *keys: str) -> Column:
@@ -70,9 +81,7 @@ def local_effect_ci(perturbed: DataFrame, n_boot: int = 10000, level: float = 0.
     """Percentile interval of `local_effect`'s mean by region over resamples of its rows."""
     each = _abs_pct(perturbed, ["region_id", "id", "rev_comp"], log_space).filter("abs_pct is not null")
     keyed = each.select("region_id", F.struct("id", "rev_comp").alias("row"), "abs_pct")
-    means = resample(keyed, n_boot, seed, "row", ["region_id"]).groupBy("region_id", "replicate").agg(F.avg("abs_pct").alias("v"))
-    a = (1 - level) / 2
-    return means.groupBy("region_id").agg(F.percentile("v", a).alias("lo"), F.percentile("v", 1 - a).alias("hi"))
+    return interval(bootstrap_means(keyed, "abs_pct", "row", n_boot, seed, ["region_id"]), "v", ["region_id"], level).drop("n_boot")
 
 
 def global_effect(perturbed: DataFrame, truth: DataFrame) -> DataFrame:
@@ -110,6 +119,14 @@ def profile_mean(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("side", "region_idx", "midpoint").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
+def profile_mean_ci(profiles: DataFrame, n_boot: int = 10000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """`profile_mean` with the percentile interval of every mean over resamples of the loci."""
+    by = ["side", "region_idx"]
+    rows = profiles.filter(present("value")).select(*by, "id", "value")
+    ci = interval(bootstrap_means(rows, "value", "id", n_boot, seed, by), "v", by, level).drop("n_boot")
+    return profile_mean(profiles).join(ci, by, "left")
+
+
 def profile_overlay(means: DataFrame, per: Sequence[str] = ("side",)) -> DataFrame:
     """Each mean profile over its own maximum (a maximum of 0 counts as 1)."""
     top = F.max("mean").over(Window.partitionBy(*per))
@@ -147,9 +164,10 @@ def profile_kmeans(df: DataFrame, k: int = 3, seed: int = 42, starts: int = 4, c
     """`df` with the cluster of the cheapest of several starts; rows without a profile get -2."""
     from pyspark.ml.clustering import KMeans
 
-    rows = _features(df, col).cache()
+    rows = _features(df, col).persist()
     models = [KMeans(k=k, seed=seed + i).fit(rows) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)
+    rows.unpersist()
     return best.transform(rows).drop("features").withColumnRenamed("prediction", "cluster").unionByName(df.filter(F.col(col).isNull()).withColumn("cluster", F.lit(-2)))
 
 
@@ -157,8 +175,9 @@ def silhouette_sweep(df: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), seed
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    rows = _features(df, col).cache()
+    rows = _features(df, col).persist()
     found = [(k, float(ClusteringEvaluator().evaluate(KMeans(k=k, seed=seed).fit(rows).transform(rows)))) for k in ks]
+    rows.unpersist()
     return df.sparkSession.createDataFrame(found, "k int, silhouette double")
 
 

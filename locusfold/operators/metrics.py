@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import dice
+from .ranks import avg_rank, present
+from .resampling import _drawn_size, by_size, draws, in_blocks, interval, resample
+from .stats import correlation, correlation_pvalue
 
 EPSILON = 2.220446049250313e-16
 ERRORS = ("MSE", "MAE", "MAPE")
@@ -37,49 +41,32 @@ def detect_tasks(df: DataFrame) -> list[str]:
     return [c[5:] for c in df.columns if c.startswith("pred_") and f"true_{c[5:]}" in df.columns]
 
 
-def avg_rank(df: DataFrame, value: str, partition: Sequence[str] = (), out: str = "rank") -> DataFrame:
-    """Midranks with ties averaged, within `partition`.
-
-    Values are counted first, so ties are one row each. Without a partition the distinct values are
-    ranked in range partitions with offsets, not in one task.
-    """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*partition, value).agg(F.count("*").alias("_n"))
-    if partition:
-        upto = F.sum("_n").over(Window.partitionBy(*partition).orderBy(value))
-        ranks = counts.withColumn(out, upto - (F.col("_n") - 1) / 2)
-    else:
-        ranged = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-        sums = ranged.groupBy("_p").agg(F.sum("_n").alias("_s"), F.min(value).alias("_lo"))
-        sums = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_lo")) - F.col("_s")).select("_p", "_before")  # a row per partition
-        upto = F.sum("_n").over(Window.partitionBy("_p").orderBy(value))
-        ranks = ranged.join(F.broadcast(sums), "_p").withColumn(out, upto + F.col("_before") - (F.col("_n") - 1) / 2).drop("_p", "_before")
-    return df.join(ranks.drop("_n"), [*partition, value], "left")
-
-
-def correlation(x: Column, y: Column) -> Column:
-    """Pearson's r; null where either side is constant."""
-    return F.covar_pop(x, y) / F.nullif(F.sqrt(F.var_pop(x) * F.var_pop(y)), F.lit(0.0))
-
-
 def long_predictions(df: DataFrame, tasks: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(keep, task, pred, true) with one row per task."""
     each = [F.struct(F.lit(t).alias("task"), F.col(f"pred_{t}").cast("double").alias("pred"), F.col(f"true_{t}").cast("double").alias("true")) for t in tasks]
     return df.select(*keep, F.explode(F.array(*each)).alias("s")).select(*keep, "s.*")
 
 
-def regression_metrics(df: DataFrame, group: Sequence[str], tasks: Sequence[str] | None = None) -> DataFrame:
-    """One row per group and task: n, MSE, MAE, MAPE, R2, Pearson_r, Spearman_r."""
+def regression_metrics(df: DataFrame, group: Sequence[str], tasks: Sequence[str] | None = None, pvalues: bool = False) -> DataFrame:
+    """One row per group and task: n, MSE, MAE, MAPE, R2, Pearson_r, Spearman_r[, Pearson_p, Spearman_p].
+
+    Rows whose prediction or label is missing (null or NaN) are left out.
+    """
     tasks = list(tasks or detect_tasks(df))
-    long = long_predictions(df, tasks, group).filter("pred is not null and true is not null")
+    long = long_predictions(df, tasks, group).filter(present("pred", "true"))
     by = [*group, "task"]
     ranked = avg_rank(avg_rank(long, "pred", by, "rank_pred"), "true", by, "rank_true")
     err = F.col("pred") - F.col("true")
-    return ranked.groupBy(*by).agg(
+    out = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(err * err).alias("MSE"), F.avg(F.abs(err)).alias("MAE"),
         F.avg(F.abs(err) / F.greatest(F.abs("true"), F.lit(EPSILON))).alias("MAPE"),
         (1 - F.avg(err * err) / F.nullif(F.var_pop("true"), F.lit(0.0))).alias("R2"),
         correlation(F.col("pred"), F.col("true")).alias("Pearson_r"), correlation(F.col("rank_pred"), F.col("rank_true")).alias("Spearman_r"),
     )
+    if pvalues:
+        for name in ("Pearson", "Spearman"):
+            out = correlation_pvalue(out, f"{name}_r", out=f"{name}_p")
+    return out
 
 
 def rc_average(df: DataFrame, tasks: Sequence[str], key: str = "id") -> DataFrame:
@@ -109,37 +96,100 @@ def best_run(metrics: DataFrame, metric: str, per: Sequence[str], pins: dict[str
     return metrics.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def resample(df: DataFrame, n_boot: int, seed: int, order: str, per: Sequence[str] = (), frac: float = 1.0) -> DataFrame:
-    """B resamples with replacement: row i of replicate b is row md5(seed|b|i) mod n of its group.
+class _Sample:
+    """Rows (pred, true) of a group; scores of a resample given as the number of times that each row is drawn."""
+
+    def __init__(self, pred: np.ndarray, true: np.ndarray):
+        self.x = (pred, true)
+        self.error = pred - true
+        self.ties = [np.unique(x, return_inverse=True)[1] for x in self.x]
+
+    def scores(self, times: np.ndarray) -> tuple:
+        n = times.sum()
+        mean = lambda v: float(times @ v / n)
+        sizes = [np.bincount(t, times) for t in self.ties]
+        varied = [np.count_nonzero(s) > 1 for s in sizes]
+        mse = mean(self.error**2)
+        r2 = pearson = spearman = None
+        if varied[1]:
+            r2 = 1 - mse / mean((self.x[1] - mean(self.x[1])) ** 2)
+        if all(varied):
+            ranks = [(np.cumsum(s) - (s - 1) / 2)[t] for s, t in zip(sizes, self.ties, strict=True)]
+            both = []
+            for a, b in (self.x, ranks):
+                a, b = a - mean(a), b - mean(b)
+                both.append(mean(a * b) / math.sqrt(mean(a * a) * mean(b * b)))
+            pearson, spearman = both
+        return mse, mean(np.abs(self.error)), mean(np.abs(self.error) / np.maximum(np.abs(self.x[1]), EPSILON)), r2, pearson, spearman
+
+
+def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, resample_frac: float = 1.0, key: str = "id", per: Sequence[str] = ()) -> DataFrame:
+    """(per, task, metric, lo, hi, n_boot): percentile interval of every metric over resamples of each group's rows.
 
-    Rows are numbered in their group and met by an equi-join on that number.
+    `key` orders the rows of a group. Rows with a missing value are left out of their task.
     """
-    numbered = df.withColumn("_i", F.row_number().over(Window.partitionBy(*per).orderBy(order)) - 1) if per else _numbered(df, order)
-    sizes = numbered.groupBy(*per).agg(F.count("*").alias("_n")) if per else numbered.agg(F.count("*").alias("_n"))
-    draws_n = F.greatest(F.least(F.col("_n"), F.lit(10)), F.floor(F.col("_n") * frac))
-    draws = sizes.select(*per, "_n", draws_n.alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    draws = draws.repartition(F.col("replicate")).select(*per, "replicate", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)).alias("_d"))
-    draws = draws.select(*per, "replicate", F.pmod(dice(seed, "replicate", "_d"), F.col("_n")).alias("_i"))
-    return draws.join(numbered, [*per, "_i"]).drop("_i")
+    long = long_predictions(df, tasks, [*per, key]).filter(present("pred", "true"))
+    by = [*per, "task"]
+    small, large = by_size(long, by)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in long.select(*by).dtypes)
+
+    def replicate(group: tuple, rows: pd.DataFrame, replicates: range) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable")
+        sample = _Sample(rows["pred"].to_numpy(np.float64), rows["true"].to_numpy(np.float64))
+        n = len(rows)
+        got = [sample.scores(np.bincount(draws(seed, r, n, 0, _drawn_size(n, resample_frac)), minlength=n)) for r in replicates]
+        return pd.DataFrame({**dict(zip(by, group, strict=True)), "replicate": list(replicates), **{m: pd.array([g[i] for g in got], "Float64") for i, m in enumerate(METRICS)}})
+
+    each = in_blocks(small, by, n_boot, replicate, f"{kinds}, replicate int, " + ", ".join(f"{m} double" for m in METRICS))
+    if large is not None:
+        drawn = resample(large, n_boot, seed, key, by, resample_frac).withColumnsRenamed({"pred": "pred_t", "true": "true_t", "task": "_task"})
+        scored = regression_metrics(drawn, [*per, "_task", "replicate"], ["t"]).drop("task").withColumnRenamed("_task", "task")
+        each = each.unionByName(scored.select(*by, "replicate", *METRICS))
+    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
+    return interval(each.select(*by, stack.alias("s")).select(*by, "s.*"), "value", [*by, "metric"], level)
 
 
-def _numbered(df: DataFrame, order: str) -> DataFrame:
-    ranged = df.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    sums = ranged.groupBy("_p").agg(F.count("*").alias("_s"), F.min(order).alias("_lo"))
-    sums = sums.withColumn("_before", F.sum("_s").over(Window.orderBy("_lo")) - F.col("_s")).select("_p", "_before")  # a row per partition
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
-    return ranged.join(F.broadcast(sums), "_p").withColumn("_i", within + F.col("_before")).drop("_p", "_before")
+def _wide_intervals(intervals: DataFrame, per: Sequence[str]) -> DataFrame:
+    """<metric>_lo and <metric>_hi as columns."""
+    pick = lambda m, end: F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{m}_{end}")
+    return intervals.groupBy(*per).agg(*[pick(m, end) for m in METRICS for end in ("lo", "hi")])
 
 
-def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, resample_frac: float = 1.0, key: str = "id", per: Sequence[str] = ()) -> DataFrame:
-    """Percentile interval of every metric over resamples of the rows of each group, per task."""
-    drawn = resample(df, n_boot, seed, key, per, resample_frac)
-    each = regression_metrics(drawn, [*per, "replicate"], tasks)
-    a = (1 - level) / 2
-    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
-    return each.select(*per, "task", stack.alias("s")).groupBy(*per, "task", F.col("s.metric").alias("metric")).agg(
-        F.percentile("s.value", a).alias("lo"), F.percentile("s.value", 1 - a).alias("hi"), F.count("s.value").alias("n_boot")
-    )
+def metric_by_flank(df: DataFrame, tasks: Sequence[str], select_metric: str = "Spearman_r", per: Sequence[str] = ("motif_len", "flank"), run: str = "run", n_boot: int = 1000,
+                    level: float = 0.95, seed: int = 42, key: str = "id") -> DataFrame:
+    """Metrics of the best run of each motif length and flank size, per task, with bootstrap intervals of that run's metrics.
+
+    `n_boot` 0 leaves the intervals out.
+    """
+    won = best_run(regression_metrics(df, [*per, run], tasks, pvalues=True), select_metric, [*per, "task"], run=run)
+    if not n_boot:
+        return won
+    ci = bootstrap_metrics(df.join(won.select(*per, run).distinct(), [*per, run], "left_semi"), tasks, n_boot, level, seed, key=key, per=[*per, run])
+    return won.join(_wide_intervals(ci, [*per, run, "task"]), [*per, run, "task"], "left")
+
+
+def flank_of_run(run: Column) -> tuple[Column, Column]:
+    """(motif length, flank size) that a run's name states, such as str4_f2500_...; null where it does not."""
+    part = lambda p: F.nullif(F.regexp_extract(run, p, 1), F.lit("")).try_cast("long")
+    return part(r"^str(\d+)_f\d+(?:_|$)"), part(r"^str\d+_f(\d+)(?:_|$)")
+
+
+def metric_by_model_type(df: DataFrame, tasks: Sequence[str], series: dict[str, str], run: str = "run", per: Sequence[str] = (), n_boot: int = 1000, level: float = 0.95, seed: int = 42,
+                         resample_frac: float = 1.0, key: str = "id") -> DataFrame:
+    """Metrics with bootstrap intervals of the runs that `series` (run: series) names; runs of one series stay rows of their own.
+
+    Runs without the columns of a task have null predictions for it and no row.
+    """
+    if not series:
+        raise ValueError("series is empty")
+    names = F.create_map(*[F.lit(x) for pair in series.items() for x in pair])
+    rows = df.withColumn("series", names[F.col(run)]).filter("series is not null")
+    by = [*per, "series", run]
+    scored = regression_metrics(rows, by, tasks, pvalues=True)
+    if not n_boot:
+        return scored
+    ci = bootstrap_metrics(rows, tasks, n_boot, level, seed, resample_frac, key, by)
+    return scored.join(_wide_intervals(ci, [*by, "task"]), [*by, "task"], "left")
 
 
 def leaderboard(metrics: DataFrame, metric: str = "MSE", per: str = "task") -> DataFrame:
@@ -150,10 +200,18 @@ def leaderboard(metrics: DataFrame, metric: str = "MSE", per: str = "task") -> D
     return metrics.withColumn("model_type", kind).withColumn("place", F.row_number().over(Window.partitionBy(per).orderBy(order, "run")))
 
 
-def metric_by_length(metrics: DataFrame, metric: str = "Spearman_r") -> DataFrame:
-    """Best run of each series (model, linear, mean) by task and motif length, one column per series."""
+def metric_by_length(metrics: DataFrame, metric: str = "Spearman_r", pins: dict[int, str] | None = None) -> DataFrame:
+    """Best run of each series (model, linear, mean) by task and motif length, one column per series.
+
+    `pins` names the run that stands for its series at a motif length, where it exists.
+    """
     series = F.when(F.col("run").startswith("mean"), "mean").when(F.col("run").startswith("linear"), "linear").otherwise("model")
-    best = best_run(metrics.withColumn("series", series), metric, ["task", "motif_len", "series"])
+    pinned = F.lit(0)
+    for length, name in (pins or {}).items():
+        pinned = F.when((F.col("motif_len") == length) & (F.col("run") == name), 1).otherwise(pinned)
+    by = ["task", "motif_len", "series"]
+    rows = metrics.withColumn("series", series).withColumn("_pin", pinned).withColumn("_any", F.max("_pin").over(Window.partitionBy(*by)))
+    best = best_run(rows.filter(F.col("_pin") == F.col("_any")), metric, by)
     return best.groupBy("task", "motif_len").pivot("series", ["model", "linear", "mean"]).agg(F.first(metric))
 
 

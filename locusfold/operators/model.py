@@ -27,7 +27,7 @@ def ridge_alpha_search(df: DataFrame, features: Sequence[str], label: str, alpha
 
     spark = df.sparkSession
     y = target_transform(F.col(label).cast("double"), transform)
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.withColumn("_y", y)).select("features", "_y", "split").cache()
+    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.withColumn("_y", y)).select("features", "_y", "split").persist()
     train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
     n, std = train.agg(F.count("*"), F.stddev_pop("_y")).first()
     found = []
@@ -35,6 +35,7 @@ def ridge_alpha_search(df: DataFrame, features: Sequence[str], label: str, alpha
         model = LinearRegression(labelCol="_y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=a / n * std).fit(train)
         mse = model.transform(val).agg(F.avg((F.col("prediction") - F.col("_y")) ** 2)).first()[0]
         found.append((float(a), mse, model))
+    rows.unpersist()
     best = min(found, key=lambda x: x[1])
     coefs = [(f, float(c)) for f, c in zip(features, best[2].coefficients, strict=True)] + [("intercept", float(best[2].intercept))]
     search = spark.createDataFrame([(a, m, a == best[0]) for a, m, _ in found], "alpha double, val_mse double, chosen boolean")
@@ -59,7 +60,7 @@ def batch_score(df: DataFrame, scorer: Callable, out_schema: str, keep: Sequence
     return df.mapInPandas(lambda frames: (scorer(f) for f in frames), f"{kept}, {out_schema}")
 
 
-FEATURE_NAME = r"^(left|right|pooled)?_?(?:bin(\d+)_)?(?:(\d+)mer_([ACGT]+)|(gc)|motif_([ACGT]+))$"
+FEATURE_NAME = r"^(?:(left|right|flank)(?:_bin(\d+))?_(?:(\d+)mer_([ACGT]+)|(gc))|motif_(.+))$"
 
 
 def parse_feature_name(coefs: DataFrame, edges: Sequence[tuple[int, int]], name: str = "feature_name") -> DataFrame:
@@ -71,10 +72,10 @@ def parse_feature_name(coefs: DataFrame, edges: Sequence[tuple[int, int]], name:
     known = F.col(name).rlike(FEATURE_NAME)
     flank = known & (part(6) == "")
     side = F.when(part(1) != "", part(1))
-    category = F.when(~known, None).when(part(6) != "", "motif").otherwise(F.concat(F.coalesce(side, F.lit("all")), F.lit("_"), at))
+    category = F.when(~known, None).when(part(6) != "", "motif").otherwise(F.concat(side, F.lit("_"), at))
     return coefs.select(
         "*", known.alias("known"), side.alias("side"), F.when(flank, at).alias("bin"), F.when(flank, F.get(lo, at)).alias("bp_start"), F.when(flank, F.get(hi, at)).alias("bp_end"),
-        F.expr(f"try_cast(nullif(regexp_extract({name}, r'{FEATURE_NAME}', 3), '') as int)").alias("k"), F.nullif(F.concat(part(4), part(6)), F.lit("")).alias("word"), category.alias("category"),
+        F.expr(f"try_cast(nullif(regexp_extract({name}, r'{FEATURE_NAME}', 3), '') as int)").alias("k"), F.nullif(F.concat(part(4), part(5), part(6)), F.lit("")).alias("word"), category.alias("category"),
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantiles, join_same, present
+
 AUTOSOMES = [f"chr{i}" for i in range(1, 23)]
 
 
@@ -171,11 +173,13 @@ def sample_loci(df: DataFrame, n_loci: int, seed: int, key: str = "ID") -> DataF
 
 def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: min, median, max, distinct values."""
-    aggs = []
+    out = None
     for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.lit(c).alias("name"), F.min(x).alias("lo"), F.percentile(x, 0.5).alias("median"), F.max(x).alias("hi"), F.countDistinct(c).alias("n_distinct")))
-    return df.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("s")).select("s.*")
+        rows = df.select(F.col(c).cast("double").alias("x")).filter(present("x"))
+        ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.countDistinct("x").alias("n_distinct"))
+        one = join_same(ends, exact_quantiles(rows, "x", {"median": 0.5}), ()).select(F.lit(c).alias("name"), "lo", "median", "hi", "n_distinct")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def strand_completeness(df: DataFrame, id: str = "id", rc: str = "rev_comp") -> tuple[DataFrame, DataFrame]:

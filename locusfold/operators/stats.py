@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import avg_rank, correlation
+from .ranks import avg_rank, exact_quantiles, join_same, present
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -77,9 +77,14 @@ def correlation_pvalue(df: DataFrame, r: str = "r", n: str = "n", out: str = "p"
     return df.withColumn(out, tail(F.col(r), F.col(n).cast("long")))  # aggregate rows only
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r; null where either side is constant."""
+    return F.covar_pop(x, y) / F.nullif(F.sqrt(F.var_pop(x) * F.var_pop(y)), F.lit(0.0))
+
+
 def histogram_proportion(df: DataFrame, value: str, group: str, bins: int = 60) -> DataFrame:
     """Equal-width bins over the pooled range, each group's shares adding up to 1."""
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(present(value))
     span = rows.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
@@ -88,45 +93,51 @@ def histogram_proportion(df: DataFrame, value: str, group: str, bins: int = 60)
 
 
 def quantile_summary(df: DataFrame, value: str, probs: Sequence[float] = (0.5, 0.95, 0.99), per: Sequence[str] = ()) -> DataFrame:
-    aggs = [F.percentile(value, p).alias(f"p{round(p * 100)}") for p in probs]
-    return df.groupBy(*per).agg(F.count(value).alias("n"), F.min(value).alias("lo"), *aggs, F.max(value).alias("hi"))
+    rows = df.filter(present(value))
+    ends = rows.groupBy(*per).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    names = {f"p{round(p * 100)}": p for p in probs}
+    return join_same(ends, exact_quantiles(rows, value, names, per), per).select(*per, "n", "lo", *names, "hi")
 
 
 def label_correlations(df: DataFrame, x: str, y: str, per: str) -> DataFrame:
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = df.filter(present(x, y))
     ranked = avg_rank(avg_rank(rows, x, [per], "_rx"), y, [per], "_ry")
     return ranked.groupBy(per).agg(
         F.count("*").alias("n"), correlation(F.col(x), F.col(y)).alias("pearson"), correlation(F.col("_rx"), F.col("_ry")).alias("spearman")
     )
 
 
-def density_2d(df: DataFrame, x: str, y: str, bins: int = 50, margin: float = 0.05) -> DataFrame:
-    """Counts on a square grid over the shared range of both columns, widened by a margin."""
-    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    span = rows.agg(F.least(F.min(x), F.min(y)).cast("double").alias("a"), F.greatest(F.max(x), F.max(y)).cast("double").alias("b"))
-    span = span.select((F.col("a") - margin * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + margin * (F.col("b") - F.col("a"))).alias("hi"))
+def density_2d(df: DataFrame, x: str, y: str, bins: int = 50, margin: float = 0.05, per: str | None = None) -> DataFrame:
+    """Counts on a square grid over the shared range of both columns, widened by a margin, of each group of `per` on a range of its own."""
+    rows = df.filter(present(x, y))
+    by = [per] if per else []
+    span = rows.groupBy(*by).agg(F.least(F.min(x), F.min(y)).cast("double").alias("a"), F.greatest(F.max(x), F.max(y)).cast("double").alias("b"))
+    span = span.select(*by, (F.col("a") - margin * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + margin * (F.col("b") - F.col("a"))).alias("hi"))
     cell = lambda c: F.least(F.floor((F.col(c) - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * bins), F.lit(bins - 1)).cast("long")
-    return rows.crossJoin(F.broadcast(span)).groupBy(cell(x).alias("x_bin"), cell(y).alias("y_bin")).agg(F.count("*").alias("n"))  # one row joins
+    return join_same(rows, span, by, "inner").groupBy(*by, cell(x).alias("x_bin"), cell(y).alias("y_bin")).agg(F.count("*").alias("n"))
 
 
 def residuals(df: DataFrame, pred: str, true: str) -> DataFrame:
-    r = F.col(pred) - F.col(true)
-    return df.agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.min(r).alias("lo"), F.percentile(r, 0.5).alias("median"), F.max(r).alias("hi"))
+    rows = df.select((F.col(pred) - F.col(true)).alias("r")).filter(present("r"))
+    r = F.col("r")
+    out = rows.agg(F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev_pop(r).alias("std"), F.min(r).alias("lo"), F.max(r).alias("hi"))
+    return join_same(out, exact_quantiles(rows, "r", {"median": 0.5}), ()).select("n", "mean", "std", "lo", "median", "hi")
 
 
 def box_stats(df: DataFrame, value: str, category: str) -> DataFrame:
     """n, quartiles and whiskers (the extreme values within 1.5 IQR) by category."""
-    rows = df.filter(F.col(value).isNotNull())
-    q = rows.groupBy(category).agg(F.count("*").alias("n"), *[F.percentile(value, p).alias(c) for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    rows = df.filter(present(value))
+    q = rows.groupBy(category).agg(F.count("*").alias("n"))
+    q = join_same(q, exact_quantiles(rows, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [category]), [category])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    inside = rows.join(q.select(category, low.alias("_lo"), high.alias("_hi")), category).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
+    inside = join_same(rows, q.select(category, low.alias("_lo"), high.alias("_hi")), [category]).filter(F.col(value).between(F.col("_lo"), F.col("_hi")))
     ends = inside.groupBy(category).agg(F.min(value).alias("whisker_lo"), F.max(value).alias("whisker_hi"))
-    return q.join(ends, category, "left").orderBy("median", category)
+    return join_same(q, ends, [category]).orderBy("median", category)
 
 
 def kruskal_wallis(df: DataFrame, value: str, category: str) -> DataFrame:
-    """One row: tie-corrected H, groups, rows, epsilon squared and eta squared, and p."""
-    rows = df.filter(F.col(value).isNotNull() & F.col(category).isNotNull()).select(category, F.col(value).cast("double").alias(value))
+    """One row: tie-corrected H, groups, rows, epsilon squared and eta squared, and p. Rows with a missing value are left out."""
+    rows = df.filter(present(value) & F.col(category).isNotNull()).select(category, F.col(value).cast("double").alias(value))
     groups = avg_rank(rows, value).groupBy(category).agg(F.sum("rank").alias("r"), F.count("*").alias("m"))
     ties = rows.groupBy(value).agg(F.count("*").alias("t")).agg(F.sum(F.col("t").cast("double") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     sums = groups.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("m").cast("double").alias("n"), F.count("*").alias("k"))
@@ -151,14 +162,18 @@ def effect_size_table(df: DataFrame, values: Sequence[str], categories: Sequence
     return out
 
 
-def pca_projection(df: DataFrame, vec: str, key: str, k: int = 2) -> DataFrame:
-    """First k principal components of centred vectors; each component's largest loading is positive."""
+def pca_projection(df: DataFrame, vec: str, key: str, k: int = 2, fit_filter: str | None = None) -> DataFrame:
+    """First k principal components of centred vectors; each component's largest loading is positive.
+
+    Centre and components come from the rows of `fit_filter` (all by default); all rows are projected.
+    """
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rows = df.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
-    centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows).transform(rows)
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
+    known = F.expr(fit_filter) if fit_filter else F.lit(True)
+    rows = df.filter(F.col(vec).isNotNull()).select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"), known.alias("_fit"))
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(rows.filter("_fit")).transform(rows)
+    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred.filter("_fit"))
     loadings = model.pc.toArray()
     signs = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] >= 0 else -1.0 for i in range(k)]
     p = vector_to_array("_p")

@@ -14,7 +14,7 @@ _TASKS = ["length", "variation"]
 _LONG = ", t AS (SELECT run, motif_len, split, id, rev_comp, 'length' AS task, pred_length AS pred, true_length AS \"true\" FROM preds UNION ALL SELECT run, motif_len, split, id, rev_comp, 'variation', pred_variation, true_variation FROM preds) "
 
 
-def _metric_sql(src: str, group: str) -> str:
+def metric_sql(src: str, group: str) -> str:
     """CTEs r and met: the metrics of src by group and task."""
     return f"""
 , r AS (SELECT *, rank() OVER (PARTITION BY {group}, task ORDER BY pred) + (count(*) OVER (PARTITION BY {group}, task, pred) - 1) / 2.0 AS rp,
@@ -26,11 +26,12 @@ met AS (SELECT {group}, task, count(*) AS n, avg((pred - "true") * (pred - "true
   covar_pop(rp, rt) / nullif(sqrt(var_pop(rp) * var_pop(rt)), 0) AS Spearman_r FROM r GROUP BY {group}, task) """
 
 
-_ROUND = "round(MSE, 4) AS MSE, round(MAE, 4) AS MAE, round(R2, 4) AS R2, round(Pearson_r, 4) AS Pearson_r, round(Spearman_r, 4) AS Spearman_r"
+_ROUND = "n, round(MSE, 4) AS MSE, round(MAE, 4) AS MAE, round(ln(1 + MAPE), 6) AS log1p_MAPE, round(R2, 4) AS R2, round(Pearson_r, 4) AS Pearson_r, round(Spearman_r, 4) AS Spearman_r"
 
 
 def _scores(df, *keys):
-    return rounded(df.select(*keys, "MSE", "MAE", "R2", "Pearson_r", "Spearman_r"), 4)
+    rest = [c for c in m.METRICS if c != "MAPE"]
+    return rounded(df.select(*keys, "n", *[F.round(c, 4).alias(c) for c in rest], F.log1p("MAPE").alias("log1p_MAPE")))  # labels of 0 make MAPE huge
 
 
 @query("target_transform", sql("SELECT id, round(avg(ln(1 + true_length)), 6) AS a, round(avg(asin(sqrt(true_variation))), 6) AS b FROM preds GROUP BY id", "preds"))
@@ -45,10 +46,9 @@ def inverse_transform(spark, sf):
     return rounded(d.preds(spark, sf).select("id", "rev_comp", m.inverse_transform(v, "log1p").alias("a"), m.inverse_transform(v * 3, "arcsine").alias("b")))
 
 
-@query("regression_metrics", sql(_LONG + _metric_sql("t", "run") + f"SELECT run, task, n, {_ROUND} FROM met", "preds"))
+@query("regression_metrics", sql(_LONG + metric_sql("t", "run") + f"SELECT run, task, {_ROUND} FROM met", "preds"))
 def regression_metrics(spark, sf):
-    got = m.regression_metrics(d.preds(spark, sf), ["run"])
-    return rounded(got.select("run", "task", "n", "MSE", "MAE", "R2", "Pearson_r", "Spearman_r"), 4)
+    return _scores(m.regression_metrics(d.preds(spark, sf), ["run"]), "run", "task")
 
 
 @query("avg_rank", sql("SELECT id, rev_comp, rank() OVER (ORDER BY pred_variation) + (count(*) OVER (PARTITION BY pred_variation) - 1) / 2.0::DOUBLE AS rank FROM preds", "preds"))
@@ -67,7 +67,7 @@ def mean_baselines(spark, sf):
     return m.mean_baselines(p, "true_length").withColumns({c: F.round(c, 4) for c in ("pred_mean", "pred_group_mean")})
 
 
-_BY_LEN = sql(_LONG + _metric_sql("t", "run, motif_len"), "preds")
+_BY_LEN = sql(_LONG + metric_sql("t", "run, motif_len"), "preds")
 
 
 def _by_length(spark, sf):
@@ -79,27 +79,57 @@ def best_run(spark, sf):
     return rounded(m.best_run(_by_length(spark, sf), "MSE", ["task", "motif_len"]).select("task", "motif_len", "run", "MSE"), 4)
 
 
-@query("leaderboard", sql(_LONG + _metric_sql("t", "run") + "SELECT run, task, round(MSE, 4) AS MSE, 'multi_task' AS model_type, row_number() OVER (PARTITION BY task ORDER BY MSE, run) AS place FROM met", "preds"))
+@query("leaderboard", sql(_LONG + metric_sql("t", "run") + "SELECT run, task, round(MSE, 4) AS MSE, 'multi_task' AS model_type, row_number() OVER (PARTITION BY task ORDER BY MSE, run) AS place FROM met", "preds"))
 def leaderboard(spark, sf):
     got = m.leaderboard(m.regression_metrics(d.preds(spark, sf), ["run"]))
     return rounded(got.select("run", "task", "MSE", "model_type", F.col("place").cast("long").alias("place")), 4)
 
 
-@query("metric_by_length", _BY_LEN + "SELECT task, motif_len, round(max(Spearman_r), 4) AS model, round(max(CASE WHEN run = 'm0' THEN Spearman_r END), 4) AS linear FROM (SELECT task, motif_len, CASE WHEN run <> 'm0' THEN Spearman_r END AS Spearman_r, run FROM met WHERE run <> 'm0' UNION ALL SELECT task, motif_len, NULL, run FROM met WHERE false) GROUP BY ALL".replace(", round(max(CASE WHEN run = 'm0' THEN Spearman_r END), 4) AS linear", ""))
+_SERIES = {"m0": "linear_m0", "m1": "mean_m1"}
+
+
+@query("metric_by_length", _BY_LEN + "SELECT task, motif_len, " + ", ".join(f"round(max(Spearman_r) FILTER ({c}), 4) AS {n}" for n, c in (("model", "run IN ('m2', 'm3')"), ("linear", "run = 'm0'"), ("mean", "run = 'm1'"))) + " FROM met GROUP BY ALL")
 def metric_by_length(spark, sf):
-    rows = _by_length(spark, sf).withColumn("run", F.when(F.col("run") == "m0", "linear_m0").otherwise(F.col("run")))
-    return rounded(m.metric_by_length(rows).select("task", "motif_len", "model"), 4)
+    rows = _by_length(spark, sf).replace(_SERIES, subset="run")
+    return rounded(m.metric_by_length(rows, pins={2: "mean_m1"}).select("task", "motif_len", "model", "linear", "mean"), 4)
+
+
+_FLANKS = ", f AS (SELECT * EXCLUDE (run), (id % 3 + 1) * 1000 AS flank, 'str' || motif_len || '_f' || (id % 3 + 1) * 1000 || '_' || run AS run FROM preds)"
+
 
+def _flank_runs(spark, sf):
+    name = F.concat(F.lit("str"), "motif_len", F.lit("_f"), (F.col("id") % 3 + 1) * 1000, F.lit("_"), "run")
+    rows = d.preds(spark, sf).drop("split").withColumn("run", name)
+    length, flank = m.flank_of_run(F.col("run"))
+    return rows.withColumns({"motif_len": length, "flank": flank})
 
-@query("metric_by_flank", sql(", f AS (SELECT *, (id % 3 + 1) * 1000 AS flank FROM preds)" + _LONG.replace("SELECT run, motif_len, split, id", "SELECT flank, run, motif_len, split, id").replace("FROM preds", "FROM f") + _metric_sql("t", "flank") + "SELECT flank, task, round(MSE, 4) AS MSE, round(Spearman_r, 4) AS Spearman_r FROM met", "preds"))
+
+def _long(*keys):
+    return _LONG.replace("SELECT run, motif_len, split, id", f"SELECT {', '.join(keys)}, id")
+
+
+@query("metric_by_flank", sql(_FLANKS + _long("motif_len", "flank", "run").replace("FROM preds", "FROM f") + metric_sql("t", "motif_len, flank, run") + f"SELECT motif_len, flank, task, run, {_ROUND} FROM met QUALIFY row_number() OVER (PARTITION BY motif_len, flank, task ORDER BY met.Spearman_r DESC NULLS LAST, run) = 1", "preds"))
 def metric_by_flank(spark, sf):
-    return rounded(m.regression_metrics(d.preds(spark, sf).withColumn("flank", (F.col("id") % 3 + 1) * 1000), ["flank"]).select("flank", "task", "MSE", "Spearman_r"), 4)
+    return _scores(m.metric_by_flank(_flank_runs(spark, sf), _TASKS, n_boot=0), "motif_len", "flank", "task", "run")
+
 
+@query("metric_by_flank_ci")
+def metric_by_flank_ci(spark, sf):
+    return rounded(m.metric_by_flank(_flank_runs(spark, sf), _TASKS), 4)
 
-@query("metric_by_model_type", sql(", f AS (SELECT *, CASE WHEN run IN ('m0', 'm1') THEN 'single' ELSE 'multi' END AS series FROM preds)" + _LONG.replace("SELECT run, motif_len, split, id", "SELECT series, run, motif_len, split, id").replace("FROM preds", "FROM f") + _metric_sql("t", "series") + f"SELECT series, task, {_ROUND} FROM met", "preds"))
+
+_TYPES = {"m0": "single", "m1": "single", "m2": "multi", "m3": "uncertain"}
+_TYPE = "CASE run " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items()) + " END"
+
+
+@query("metric_by_model_type", sql(f", f AS (SELECT *, {_TYPE} AS series FROM preds)" + _long("motif_len", "series", "run").replace("FROM preds", "FROM f") + metric_sql("t", "motif_len, series, run") + f"SELECT motif_len, series, run, task, {_ROUND} FROM met", "preds"))
 def metric_by_model_type(spark, sf):
-    p = d.preds(spark, sf).withColumn("series", F.when(F.col("run").isin("m0", "m1"), "single").otherwise("multi"))
-    return _scores(m.regression_metrics(p, ["series"]), "series", "task")
+    return _scores(m.metric_by_model_type(d.preds(spark, sf), _TASKS, _TYPES, per=["motif_len"], n_boot=0), "motif_len", "series", "run", "task")
+
+
+@query("metric_by_model_type_ci")
+def metric_by_model_type_ci(spark, sf):
+    return rounded(m.metric_by_model_type(d.preds(spark, sf), _TASKS, _TYPES, per=["motif_len"]), 4)
 
 
 @query("target_variance", sql("SELECT 'true_length' AS target, round(var_pop(ln(1 + true_length)), 6) AS variance FROM preds WHERE split = 'train' UNION ALL SELECT 'true_variation', round(var_pop(asin(sqrt(true_variation))), 6) FROM preds WHERE split = 'train'", "preds"))
@@ -115,7 +145,7 @@ def fixed_variance_score(spark, sf):
     return rounded(m.fixed_variance_score(p, v, kinds), 5)
 
 
-@query("bootstrap_metrics", sql(", x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, pred_length AS pred, true_length AS \"true\" FROM preds WHERE run = 'm1' AND motif_len = 2 AND NOT rev_comp), n AS (SELECT count(*) AS n FROM x), dr AS (SELECT r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 20)) AS r), (SELECT unnest(range(0, 5000)) AS k) WHERE k < n), b AS (SELECT replicate, avg(pow(pred - \"true\", 2)) AS v FROM dr JOIN x USING (i) GROUP BY replicate) SELECT 'length' AS task, 'MSE' AS metric, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, count(*) AS n_boot FROM b", "preds"))
+@query("bootstrap_metrics")
 def bootstrap_metrics(spark, sf):
     return rounded(m.bootstrap_metrics(d.preds(spark, sf), ["length", "variation"], per=["run", "motif_len", "rev_comp"]), 4)
 
@@ -128,14 +158,23 @@ def standardize(spark, sf):
 _FEATURES = ["true_variation", "pred_variation"]
 
 
-@query("ridge_alpha_search")
+_RIDGE = """, a AS (SELECT avg(true_variation) AS m1, stddev_pop(true_variation) AS s1, avg(pred_variation) AS m2, stddev_pop(pred_variation) AS s2 FROM preds WHERE split = 'train'),
+z AS (SELECT split, (true_variation - m1) / s1 AS x1, (pred_variation - m2) / s2 AS x2, ln(1 + true_length) AS y FROM preds, a),
+g AS (SELECT avg(x1) AS c1, avg(x2) AS c2, avg(y) AS cy, covar_pop(x1, x1) * count(*) AS q11, covar_pop(x1, x2) * count(*) AS q12, covar_pop(x2, x2) * count(*) AS q22, covar_pop(x1, y) * count(*) AS p1, covar_pop(x2, y) * count(*) AS p2 FROM z WHERE split = 'train'),
+w AS (SELECT alpha, ((q22 + alpha) * p1 - q12 * p2) / ((q11 + alpha) * (q22 + alpha) - q12 * q12) AS w1, ((q11 + alpha) * p2 - q12 * p1) / ((q11 + alpha) * (q22 + alpha) - q12 * q12) AS w2, c1, c2, cy FROM g, (SELECT unnest([{alphas}]::DOUBLE[]) AS alpha)),
+v AS (SELECT alpha, w1, w2, cy - w1 * c1 - w2 * c2 AS b FROM w),
+e AS (SELECT alpha, any_value(w1) AS w1, any_value(w2) AS w2, any_value(b) AS b, avg(pow(y - b - w1 * x1 - w2 * x2, 2)) AS mse FROM v, z WHERE split = 'val' GROUP BY alpha),
+r AS (SELECT *, row_number() OVER (ORDER BY mse, alpha) = 1 AS chosen FROM e) """
+
+
+@query("ridge_alpha_search", sql(_RIDGE.format(alphas="0.1, 1, 10, 1000") + "SELECT alpha, round(mse, 6) AS val_mse, chosen FROM r", "preds"))
 def ridge_alpha_search(spark, sf):
-    return model.ridge_alpha_search(model.standardize(d.preds(spark, sf), _FEATURES), _FEATURES, "true_length", [0.1, 1.0, 10.0, 1000.0], "log1p")[1]
+    return rounded(model.ridge_alpha_search(model.standardize(d.preds(spark, sf), _FEATURES), _FEATURES, "true_length", [0.1, 1.0, 10.0, 1000.0], "log1p")[1])
 
 
-@query("ridge_coefficients")
+@query("ridge_coefficients", sql(_RIDGE.format(alphas="0.1, 1, 10") + "SELECT unnest(['true_variation', 'pred_variation', 'intercept']) AS feature_name, round(unnest([w1, w2, b]), 6) AS coef FROM r WHERE chosen", "preds"))
 def ridge_coefficients(spark, sf):
-    return model.ridge_alpha_search(model.standardize(d.preds(spark, sf), _FEATURES), _FEATURES, "true_length", [0.1, 1.0, 10.0], "log1p")[0]
+    return rounded(model.ridge_alpha_search(model.standardize(d.preds(spark, sf), _FEATURES), _FEATURES, "true_length", [0.1, 1.0, 10.0], "log1p")[0])
 
 
 @query("predict_native", sql("SELECT id, rev_comp, round(exp(0.5 + 2.0 * true_variation - 1.0 * pred_variation) - 1, 6) AS pred FROM preds", "preds"))
@@ -154,22 +193,25 @@ def batch_score(spark, sf):
     return rounded(model.batch_score(d.preds(spark, sf), scorer, "pred double", ["id", "rev_comp"]))
 
 
-_COEF = ", c AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'left_bin' || (p_partkey % 3) || '_3mer_ACG' WHEN 1 THEN 'right_bin' || (p_partkey % 3) || '_4mer_ACGT' WHEN 2 THEN 'motif_AC' ELSE 'other' END AS feature_name, (p_retailprice - 1500) / 1000 AS coef FROM part) "
+_COEF = """, n AS (SELECT p_partkey, p_partkey % 3 AS b, (p_retailprice - 1500) / 1000 AS coef, CASE p_partkey % 6 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 4 THEN 'flank' WHEN 5 THEN 'flank' END AS side, CASE p_partkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 4 WHEN 5 THEN 3 END AS k, CASE p_partkey % 6 WHEN 0 THEN 'ACG' WHEN 1 THEN 'ACGT' WHEN 2 THEN 'AC/GT' WHEN 4 THEN 'gc' WHEN 5 THEN 'AAA' END AS word, p_partkey % 6 <> 3 AS known FROM part),
+o AS (SELECT *, CASE WHEN p_partkey % 6 = 5 THEN 0 WHEN side IS NOT NULL THEN b END AS bin FROM n),
+c AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN 'motif_AC/GT' WHEN 3 THEN 'other' WHEN 4 THEN 'flank_bin' || b || '_gc' WHEN 5 THEN 'flank_3mer_AAA' ELSE side || '_bin' || b || '_' || k || 'mer_' || word END AS feature_name, coef, known, side, bin::INT AS bin, [0, 100, 300][bin + 1] AS bp_start, [100, 300, 1000][bin + 1] AS bp_end, k, word, CASE WHEN NOT known THEN NULL WHEN side IS NULL THEN 'motif' ELSE side || '_' || bin END AS category FROM o) """
 
 
 def _coefs(spark, sf):
     k = F.col("p_partkey")
+    numbered = lambda side, rest: F.concat(F.lit(f"{side}_bin"), k % 3, F.lit(rest))
     name = (
-        F.when(k % 4 == 0, F.concat(F.lit("left_bin"), k % 3, F.lit("_3mer_ACG"))).when(k % 4 == 1, F.concat(F.lit("right_bin"), k % 3, F.lit("_4mer_ACGT")))
-        .when(k % 4 == 2, "motif_AC").otherwise("other")
+        F.when(k % 6 == 0, numbered("left", "_3mer_ACG")).when(k % 6 == 1, numbered("right", "_4mer_ACGT")).when(k % 6 == 2, "motif_AC/GT")
+        .when(k % 6 == 4, numbered("flank", "_gc")).when(k % 6 == 5, "flank_3mer_AAA").otherwise("other")
     )
     rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", name.alias("feature_name"), ((F.col("p_retailprice") - 1500) / 1000).alias("coef"))
     return model.parse_feature_name(rows, [(0, 100), (100, 300), (300, 1000)])
 
 
-@query("parse_feature_name", "WITH x AS (SELECT 1)" + _COEF + "SELECT p_partkey, p_partkey % 4 <> 3 AS known, CASE p_partkey % 4 WHEN 0 THEN 'left' WHEN 1 THEN 'right' END AS side, CASE WHEN p_partkey % 4 < 2 THEN (p_partkey % 3)::INT END AS bin, CASE WHEN p_partkey % 4 < 2 THEN [0, 100, 300][p_partkey % 3 + 1] END AS bp_start, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS k, CASE p_partkey % 4 WHEN 0 THEN 'ACG' WHEN 1 THEN 'ACGT' WHEN 2 THEN 'AC' END AS word FROM c")
+@query("parse_feature_name", "WITH x AS (SELECT 1)" + _COEF + "SELECT p_partkey, known, side, bin, bp_start, bp_end, k, word, category FROM c")
 def parse_feature_name(spark, sf):
-    return _coefs(spark, sf).select("p_partkey", "known", "side", "bin", "bp_start", "k", "word")
+    return _coefs(spark, sf).select("p_partkey", "known", "side", "bin", "bp_start", "bp_end", "k", "word", "category")
 
 
 @query("rank_coefficients", "WITH x AS (SELECT 1)" + _COEF + "SELECT feature_name, round(coef, 6) AS coef, round(abs(coef), 6) AS abs_coef FROM c ORDER BY abs(coef) DESC, feature_name LIMIT 5")
@@ -177,19 +219,19 @@ def rank_coefficients(spark, sf):
     return rounded(model.rank_coefficients(_coefs(spark, sf), 5).select("feature_name", "coef", "abs_coef"))
 
 
-@query("category_importance", "WITH x AS (SELECT 1)" + _COEF + "SELECT k, round(avg(abs(coef)), 6) AS mean_abs, round(sum(abs(coef)), 4) AS sum_abs, count(*) AS n FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 4 END AS k FROM c) GROUP BY k")
+@query("category_importance", "WITH x AS (SELECT 1)" + _COEF + "SELECT k, round(avg(abs(coef)), 6) AS mean_abs, round(sum(abs(coef)), 4) AS sum_abs, count(*) AS n FROM c GROUP BY k")
 def category_importance(spark, sf):
     return rounded(model.category_importance(_coefs(spark, sf), "k").withColumn("sum_abs", F.round("sum_abs", 4)))
 
 
-@query("coef_spatial_profile", "WITH x AS (SELECT 1)" + _COEF + "SELECT CASE p_partkey % 4 WHEN 0 THEN 'left' ELSE 'right' END AS side, (p_partkey % 3)::INT AS bin, CASE p_partkey % 4 WHEN 0 THEN -1 ELSE 1 END * [50.0, 200.0, 650.0][p_partkey % 3 + 1]::DOUBLE AS distance, round(avg(abs(coef)), 6) AS mean_abs FROM c WHERE p_partkey % 4 < 2 GROUP BY ALL")
+@query("coef_spatial_profile", "WITH x AS (SELECT 1)" + _COEF + "SELECT side, bin, CASE side WHEN 'left' THEN -1 ELSE 1 END * [50.0, 200.0, 650.0][bin + 1]::DOUBLE AS distance, round(avg(abs(coef)), 6) AS mean_abs FROM c WHERE side IN ('left', 'right') GROUP BY ALL")
 def coef_spatial_profile(spark, sf):
     return rounded(model.coef_spatial_profile(_coefs(spark, sf)))
 
 
 @query("correlation_pvalue")
 def correlation_pvalue(spark, sf):
-    return rounded(stats.correlation_pvalue(m.regression_metrics(d.preds(spark, sf), ["run"]), "Pearson_r").select("run", "task", "p"))
+    return rounded(m.regression_metrics(d.preds(spark, sf), ["run"], pvalues=True).select("run", "task", "Pearson_p", "Spearman_p"))
 
 
 @query("histogram_proportion", "WITH g AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT o_orderpriority, least(floor((o_totalprice - lo) / ((hi - lo) / 60)), 59)::BIGINT AS bin FROM orders, g), c AS (SELECT o_orderpriority, bin, count(*) AS n FROM b GROUP BY ALL) SELECT o_orderpriority, bin, n, round(n / sum(n) OVER (PARTITION BY o_orderpriority), 6) AS share FROM c")
@@ -222,18 +264,22 @@ def box_stats(spark, sf):
     return rounded(stats.box_stats(spark.read.parquet(f"{sf}/part.parquet"), "p_retailprice", "p_brand"), 4)
 
 
-_KW = "WITH r AS (SELECT {c} AS c, {v} AS v, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS rk FROM {t}), g AS (SELECT c, sum(rk) AS s, count(*) AS m FROM r GROUP BY c), t AS (SELECT sum(x * x * x - x)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS x FROM r GROUP BY v)), a AS (SELECT sum(s * s / m) AS s, sum(m)::DOUBLE AS n, count(*) AS k FROM g), h AS (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS H, k, n FROM a, t) SELECT round(H, 4) AS H, k, n::BIGINT AS n, round(H / (n - 1), 6) AS epsilon_sq, round((H - k + 1) / (n - k), 6) AS eta_sq FROM h"
+_KW = "WITH r AS (SELECT {c} AS c, {v} AS v, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS rk FROM {t}), g AS (SELECT c, sum(rk) AS s, count(*) AS m FROM r GROUP BY c), t AS (SELECT sum(x * x * x - x)::DOUBLE AS ties FROM (SELECT count(*)::DOUBLE AS x FROM r GROUP BY v)), a AS (SELECT sum(s * s / m) AS s, sum(m)::DOUBLE AS n, count(*) AS k FROM g), h AS (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS H, k, n FROM a, t) SELECT round(H, 4) AS H, k, n::BIGINT AS n, round(H / (n - 1), 6) AS epsilon_sq, round((H - k + 1) / (n - k), 6) AS eta_sq{p} FROM h"
 
 
-@query("kruskal_wallis", _KW.format(c="o_orderpriority", v="o_totalprice", t="orders"))
+@query("kruskal_wallis", _KW.format(c="o_orderpriority", v="o_totalprice", t="orders", p=", round(exp(-H / 2) * (1 + H / 2), 6) AS p"))  # five groups: the tail for 4 degrees
 def kruskal_wallis(spark, sf):
-    got = stats.kruskal_wallis(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", "o_orderpriority").drop("p")
+    got = stats.kruskal_wallis(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", "o_orderpriority")
     return rounded(got.withColumn("H", F.round("H", 4)))
 
 
-@query("effect_size_table")
+_TABLE = " UNION ALL ".join(f"SELECT '{v}' AS label, '{c}' AS category, * FROM ({_KW.format(c=c, v=v, t='part', p='')})" for v in ("p_retailprice", "p_size") for c in ("p_brand", "p_type"))
+
+
+@query("effect_size_table", _TABLE)
 def effect_size_table(spark, sf):
-    return rounded(stats.effect_size_table(spark.read.parquet(f"{sf}/part.parquet"), ["p_retailprice", "p_size"], ["p_brand", "p_type"]), 4)
+    got = stats.effect_size_table(spark.read.parquet(f"{sf}/part.parquet"), ["p_retailprice", "p_size"], ["p_brand", "p_type"])
+    return rounded(got.drop("p")).withColumn("H", F.round("H", 4))  # SQL has no tail for any degrees
 
 
 @query("pca_projection")

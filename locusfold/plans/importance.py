@@ -8,20 +8,21 @@ from ..operators import importance as i
 from ..operators import metrics
 from . import derive as d
 from .derive import sql
-
+from .evaluation import metric_sql
 from .registry import query, rounded
 
 _REGIONS = ", rg AS (SELECT region_id, CASE WHEN region_id % 2 = 0 THEN 'left' ELSE 'right' END AS flank, region_id // 2 AS region_idx, region_id // 2 * 10 AS distance_start, CASE WHEN region_id < 2 THEN 10 ELSE 15 END AS distance_end FROM (SELECT unnest(range(0, 4)) AS region_id)) "
 
 
 def _regions(spark):
-    return i.flank_regions(spark, 15, 2, 4, 3, 10)
+    return i.flank_regions(i.layout(spark, 15, 2, 4, 3), 10)
 
 
-@query("flank_regions", sql(_REGIONS + "SELECT flank, region_idx, region_id, distance_start, distance_end, CASE flank WHEN 'left' THEN 17 - distance_end ELSE 28 + distance_start END AS token_start, CASE flank WHEN 'left' THEN 17 - distance_start ELSE 28 + distance_end END AS token_end, n FROM rg, (SELECT count(*) AS n FROM perturbed)", "perturbed"))
+@query("flank_regions", "WITH lay AS (SELECT p_partkey, p_size * 3 AS n_flank, p_partkey % 5 AS n_prefix, p_partkey % 9 AS n_str, p_partkey % 4 AS n_gap FROM part), rl AS (SELECT *, unnest(range(0, (n_flank + 24) // 25)) AS region_idx FROM lay), b AS (SELECT *, region_idx * 25 AS lo, least(region_idx * 25 + 25, n_flank) AS hi, n_prefix + n_flank + 2 * n_str + n_gap AS r FROM rl) SELECT p_partkey, 'left' AS flank, region_idx, 2 * region_idx AS region_id, n_prefix + n_flank - hi AS token_start, n_prefix + n_flank - lo AS token_end, lo AS distance_start, hi AS distance_end FROM b WHERE hi <= 120 UNION ALL SELECT p_partkey, 'right', region_idx, 2 * region_idx + 1, r + lo, r + hi, lo, hi FROM b WHERE hi <= 120")
 def flank_regions(spark, sf):
-    n = d.perturbed(spark, sf).agg(F.count("*").alias("n"))
-    return _regions(spark).crossJoin(F.broadcast(n))  # one row joins
+    k = F.col("p_partkey")
+    layouts = spark.read.parquet(f"{sf}/part.parquet").select(k, (F.col("p_size") * 3).alias("n_flank"), (k % 5).alias("n_prefix"), (k % 9).alias("n_str"), (k % 4).alias("n_gap"))
+    return i.flank_regions(layouts, 25, 120).drop("n_flank", "n_prefix", "n_str", "n_gap")
 
 
 _SHUFFLED = "array_to_string(list_transform(list_sort(list_transform(range(1, 11), lambda k: md5('42|' || id || '|' || rev_comp::VARCHAR || '|' || k) || substr(sequence, 20 + k, 1))), lambda x: right(x, 1)), '')"
@@ -34,11 +35,15 @@ def shuffle_region(spark, sf):
     return rows.select("id", "rev_comp", i.shuffle_region(F.col("sequence"), lo, hi, 42, "id", "rev_comp").alias("s"))
 
 
-@query("perturbed_predictions")
+_SCORE = "(strpos({0}, 'AC') + strpos({0}, 'GT') * 2 + length(replace({0}, 'CG', '')))::DOUBLE"
+_TOKENS = "[12, 40, 0, 52][region_id + 1]"
+
+
+@query("perturbed_predictions", sql(f", p AS (SELECT id, rev_comp, sequence, region_id, perm, {_TOKENS} AS tk FROM attr, (SELECT unnest(range(0, 4)) AS region_id), (SELECT unnest(range(0, 3)) AS perm)), s AS (SELECT *, left(sequence, tk) || array_to_string(list_transform(list_sort(list_transform(range(1, 13), lambda k: md5('42|' || id || '|' || rev_comp::VARCHAR || '|' || region_id || '|' || perm || '|' || k) || substr(sequence, tk + k, 1))), lambda x: right(x, 1)), '') || substr(sequence, tk + 13) AS mixed FROM p) SELECT id, rev_comp, region_id, perm, {_SCORE.format('sequence')} AS baseline, {_SCORE.format('mixed')} AS permuted FROM s", "attr"))
 def perturbed_predictions(spark, sf):
     rows = d.attr(spark, sf).select("id", "rev_comp", F.col("sequence").alias("input"))
-    score = lambda s: (F.instr(s, "AC") + F.instr(s, "GT") * 2 + F.length(F.regexp_replace(s, "CG", ""))).cast("double")
-    return i.perturbed_predictions(rows, i.flank_regions(spark, 24, 0, 8, 0, 12), 3, score)
+    score = lambda s: (F.instr(s, "AC") + F.instr(s, "GT") * 2 + F.length(F.replace(s, F.lit("CG"), F.lit("")))).cast("double")
+    return i.perturbed_predictions(rows, i.flank_regions(i.layout(spark, 24, 0, 8, 0), 12), 3, score)
 
 
 @query("delta_summary", sql("SELECT task, round(avg(abs(permuted - baseline)), 5) AS mean_abs_delta, round(max(abs(permuted - baseline)), 5) AS max_abs_delta, count(*) AS n FROM perturbed GROUP BY task", "perturbed"))
@@ -54,7 +59,7 @@ def local_effect(spark, sf):
     return rounded(i.local_effect(d.perturbed(spark, sf)), 5)
 
 
-@query("local_effect_ci", sql(_PCT + ", x AS (SELECT region_id, row_number() OVER (PARTITION BY region_id ORDER BY id, rev_comp) - 1 AS i, p FROM e WHERE p IS NOT NULL), n AS (SELECT region_id, count(*) AS n FROM x GROUP BY region_id), dr AS (SELECT region_id, r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 10)) AS r), (SELECT unnest(range(0, 20000)) AS k) WHERE k < n), b AS (SELECT region_id, replicate, avg(p) AS v FROM dr JOIN x USING (region_id, i) GROUP BY ALL) SELECT region_id, round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b GROUP BY region_id", "perturbed"))
+@query("local_effect_ci")
 def local_effect_ci(spark, sf):
     return rounded(i.local_effect_ci(d.perturbed(spark, sf)), 5)
 
@@ -63,12 +68,16 @@ def _truth(spark, sf):
     return d.perturbed(spark, sf).select("id", "rev_comp", (F.col("baseline") * 1.1).alias("true")).distinct()
 
 
-_GLOBAL = ", x AS (SELECT region_id, perm, baseline * 1.1 AS \"true\", permuted AS pred, baseline, 't' AS task FROM perturbed), b AS (SELECT avg(pow(baseline - \"true\", 2)) AS bm, avg(abs(baseline - \"true\")) AS ba FROM x WHERE region_id = 0 AND perm = 0), m AS (SELECT region_id, perm, avg(pow(pred - \"true\", 2)) AS mse, avg(abs(pred - \"true\")) AS mae FROM x GROUP BY ALL) "
+_D = ", ".join(f'round({a}, 5) AS "d_{n}"' for n, a in ((n, f"avg({'' if n in metrics.ERRORS else '-'}(m.{n} - b.{n}))") for n in metrics.METRICS))
+_GLOBAL = (
+    ", x AS (SELECT region_id, perm, baseline * 1.1 AS \"true\", permuted AS pred, 't' AS task FROM perturbed UNION ALL SELECT -1, 0, baseline * 1.1, baseline, 't' FROM perturbed WHERE region_id = 0 AND perm = 0)"
+    + metric_sql("x", "region_id, perm") + f", g AS (SELECT m.region_id, {_D} FROM met m, met b WHERE m.region_id >= 0 AND b.region_id = -1 GROUP BY m.region_id) "
+)
 
 
-@query("global_effect", sql(_GLOBAL + "SELECT region_id, round(avg(mse - bm), 5) AS \"d_MSE\", round(avg(mae - ba), 5) AS \"d_MAE\" FROM m, b GROUP BY region_id", "perturbed"))
+@query("global_effect", sql(_GLOBAL + "SELECT * FROM g", "perturbed"))
 def global_effect(spark, sf):
-    return rounded(i.global_effect(d.perturbed(spark, sf), _truth(spark, sf)).select("region_id", "d_MSE", "d_MAE"), 5)
+    return rounded(i.global_effect(d.perturbed(spark, sf), _truth(spark, sf)), 5)
 
 
 def _table(spark, sf):
@@ -76,9 +85,12 @@ def _table(spark, sf):
     return i.region_table(_regions(spark), i.local_effect(p), i.global_effect(p, _truth(spark, sf)))
 
 
-@query("region_table", sql(_PCT + _GLOBAL + _REGIONS + ", l AS (SELECT region_id, avg(p) AS lm FROM e GROUP BY region_id), g AS (SELECT region_id, avg(mse - bm) AS dm FROM m, b GROUP BY region_id) SELECT region_id, flank, (distance_start + distance_end) / 2.0 AS midpoint, round(lm, 5) AS local_mean, round(dm, 5) AS \"d_MSE\" FROM rg LEFT JOIN l USING (region_id) LEFT JOIN g USING (region_id)", "perturbed"))
+_ENDS = "CASE flank WHEN 'left' THEN 17 - distance_end ELSE 28 + distance_start END AS token_start, CASE flank WHEN 'left' THEN 17 - distance_start ELSE 28 + distance_end END AS token_end"
+
+
+@query("region_table", sql(_PCT + _GLOBAL + _REGIONS + f", l AS (SELECT region_id, round(avg(p), 5) AS local_mean, round(stddev_samp(p), 5) AS local_std, count(p) AS n, count(*) FILTER (p IS NULL) AS n_zero FROM e GROUP BY region_id) SELECT region_id, flank, region_idx, distance_start, distance_end, {_ENDS}, (distance_start + distance_end) / 2.0 AS midpoint, l.* EXCLUDE (region_id), g.* EXCLUDE (region_id) FROM rg LEFT JOIN l USING (region_id) LEFT JOIN g USING (region_id)", "perturbed"))
 def region_table(spark, sf):
-    return rounded(_table(spark, sf).select("region_id", "flank", "midpoint", "local_mean", "d_MSE"), 5)
+    return rounded(_table(spark, sf), 5)
 
 
 @query("left_right_compare", sql(_PCT + ", l AS (SELECT region_id, avg(p) AS v FROM e GROUP BY region_id) SELECT a.region_id // 2 AS region_idx, round(a.v, 5) AS left_value, round(b.v, 5) AS right_value, round(a.v - b.v, 5) AS difference FROM l a JOIN l b ON a.region_id % 2 = 0 AND b.region_id = a.region_id + 1", "perturbed"))
@@ -103,11 +115,9 @@ def profile_mean(spark, sf):
     return rounded(i.profile_mean(_genomic(spark, sf)[0]), 5)
 
 
-@query("profile_mean_ci", sql(_GENOMIC + ", x AS (SELECT row_number() OVER (ORDER BY id) - 1 AS i, value FROM gp WHERE side = 'up' AND region_idx = 0), n AS (SELECT count(*) AS n FROM x), dr AS (SELECT r AS replicate, ('0x' || substr(md5('42|' || r || '|' || k), 1, 8))::BIGINT % n AS i FROM n, (SELECT unnest(range(0, 20)) AS r), (SELECT unnest(range(0, 100000)) AS k) WHERE k < n), b AS (SELECT replicate, avg(value) AS v FROM dr JOIN x USING (i) GROUP BY replicate) SELECT round(quantile_cont(v, 0.025), 5) AS lo, round(quantile_cont(v, 0.975), 5) AS hi FROM b", "perturbed"))
+@query("profile_mean_ci")
 def profile_mean_ci(spark, sf):
-    by = ["side", "region_idx"]
-    means = metrics.resample(_genomic(spark, sf)[0].select(*by, "id", "value"), 10_000, 42, "id", by).groupBy(*by, "replicate").agg(F.avg("value").alias("v"))
-    return rounded(means.groupBy(*by).agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi")), 5)
+    return rounded(i.profile_mean_ci(_genomic(spark, sf)[0]).select("side", "region_idx", "lo", "hi"), 5)
 
 
 @query("profile_overlay", sql(_GENOMIC + ", mm AS (SELECT side, region_idx, avg(value) AS mean FROM gp GROUP BY ALL) SELECT side, region_idx, round(mean / max(mean) OVER (PARTITION BY side), 5) AS scaled FROM mm", "perturbed"))
