@@ -1,8 +1,8 @@
 """Queries whose SQL covers less than the whole job, against brute force on small tables."""
 
-import hashlib
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from datetime import datetime
 
 import numpy as np
@@ -11,8 +11,8 @@ import pytest
 from locusfold import catalog
 
 
-def dice(*parts):
-    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+def generator(*key):
+    return np.random.Generator(np.random.Philox(key=np.array(key, np.uint64)))
 
 
 @pytest.fixture(scope="module")
@@ -40,11 +40,11 @@ def test_permutations_take_all_rows(spark, orders):
     null = {}
     for perm in range(10_000):
         sums = [0.0, 0.0]
-        for pool in strata.values():
+        for stratum, pool in ((str(i), p) for i, p in strata.items()):
             places = sorted(k for k, _ in pool)
-            drawn = sorted(places, key=lambda k: (dice(42, perm, k), k))
-            for k, x in zip(places, drawn):
-                sums[k % 12] += scored[x]
+            order = generator(42, (zlib.crc32(stratum.encode()) << 32) + perm).permutation(len(places))
+            for k, x in zip(places, order):
+                sums[k % 12] += scored[places[x]]
         null.update({(f"K{j}", perm): sums[j] / 40 for j in range(2)})
     got = {(r.kmer, r.perm): r.null_mean for r in catalog.queries()["stratified_permutation"](spark, path).collect()}
     assert got.keys() == null.keys()
@@ -109,28 +109,29 @@ def test_loci_along_whole_sequences(spark, documents):
             for b, parts in enumerate(((x[4][-8:], x[6][:8]), (x[4][:-8], x[6][8:]))):
                 for part in parts:
                     for p in range(len(part) - 2):
-                        counts[i, f"pooled_bin{b}_3mer_{part[p:p + 3]}"] += 1
+                        counts[i, f"flank_bin{b}_3mer_{part[p:p + 3]}"] += 1
     assert {(r.id, r.feature): r.value for r in run("kmer_features_pooled")} == counts
 
 
 def test_words_of_whole_sequences(spark, documents):
     path, genome = documents
     run = lambda name: catalog.queries()[name](spark, path).collect()
-    words = [(i, seq[p:p + 4]) for i, seq in genome.items() for p in range(len(seq) - 3)]
+    words = Counter((i, seq[p:p + 4]) for i, seq in genome.items() for p in range(len(seq) - 3))
     rotated = lambda w: min(w[p:] + w[:p] for p in range(len(w)))
     both = lambda w: min(rotated(w), rotated(rc(w)))
     kind = lambda w: both(w[1] if w[1] == w[2] else w[1:3])
     assert sorted((r.id, r.rc) for r in run("reverse_complement")) == sorted((i, rc(seq)) for i, seq in genome.items())
-    assert sorted((r.id, r.kmer) for r in run("canonical_kmer")) == sorted((i, min(w, rc(w))) for i, w in words)
-    assert sorted((r.id, r.motif) for r in run("rotation_canonical")) == sorted((i, rotated(w)) for i, w in words)
-    assert sorted((r.id, r.motif) for r in run("motif_canonical")) == sorted((i, both(w)) for i, w in words)
-    assert sorted((r.id, r.motif_class) for r in run("motif_class_from_window")) == sorted((i, kind(w)) for i, w in words)
-    assert sorted(r.motif for r in run("motif_vocab")) == sorted({rotated(w) for _, w in words if w not in (w + w)[1:-1]})
+    for name, col, fn in (("canonical_kmer", "kmer", lambda w: min(w, rc(w))), ("rotation_canonical", "motif", rotated), ("motif_canonical", "motif", both), ("motif_class_from_window", "motif_class", kind)):
+        assert sorted((r.id, r.w, r.n, r[col]) for r in run(name)) == sorted((i, w, n, fn(w)) for (i, w), n in words.items()), name
+    vocab = Counter()
+    for (_, w), n in words.items():
+        vocab[rotated(w)] += n * (w not in (w + w)[1:-1])
+    assert {r.motif: r.n for r in run("motif_vocab")} == +vocab
     assert [(r.n_violations, r.n_checked) for r in run("motif_integrity")] == [(sum(both(w) not in ("ACGT", "AACC") for _, w in words), len(words))]
-    assert sorted((r.id, r.head, r.tail) for r in run("tile_motif")) == sorted((i, (w * 3)[:10], (w * 3)[-10:]) for i, w in words)
-    units = [(i, r, rotated(rc(w[:2]) if r else w[:2])) for i, w in words for r in (False, True)]
+    assert sorted((r.id, r.w, r.n, r.head, r.tail) for r in run("tile_motif")) == sorted((i, w, n, (w * 3)[:10], (w * 3)[-10:]) for (i, w), n in words.items())
+    units = [(i, w, n, r, rotated(rc(w[:2]) if r else w[:2])) for (i, w), n in words.items() for r in (False, True)]
     places = {"AC": 0, "AG": 1, "AT": 2, "CG": 3, "CT": 4, "GT": 5}
-    assert sorted((r.id, r.rev_comp, r.motif, str(r.place)) for r in run("motif_onehot")) == sorted((i, r, u, str(places.get(u))) for i, r, u in units)
+    assert sorted((r.id, r.w, r.n, r.rev_comp, r.motif, str(r.place)) for r in run("motif_onehot")) == sorted((*u, str(places.get(u[4]))) for u in units)
 
 
 def test_profiles_of_whole_vectors(spark, tmp_path):
@@ -167,7 +168,8 @@ def midranks(x):
 
 
 def draws(n, n_boot):
-    return np.array([[dice(42, b, k) % n for k in range(n)] for b in range(n_boot)])
+    raw = [np.random.Philox(key=np.array([42, b], np.uint64)).random_raw(n) for b in range(n_boot)]
+    return np.array([[int((int(x) >> 11) / 2**53 * n) for x in r] for r in raw])
 
 
 def test_bootstraps_are_whole(spark, tmp_path):
