@@ -23,12 +23,35 @@ from pyspark.sql import functions as F
 from .common import map_rows, materialize
 from .pretokens import pretokens
 
-#: Entries of each of the two generations of a worker's memory of encoded pretokens.
-MEMO_ENTRIES = 1 << 18
+#: Entries of each of the two generations of a worker's memory of encoded pretokens, and letters of a pretoken that is remembered.
+MEMO_ENTRIES, MEMO_LETTERS = 1 << 18, 48
+
+
+def _visible_bytes() -> dict[int, str]:
+    """The character that stands for each byte in the vocabulary: printable ones for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Memo(dict):
+    """Packed ids by pretoken; one that is not there comes from the generation before, or from `encode`."""
+
+    def __init__(self, encode, older: dict):
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encode(word)
+        if len(word) <= MEMO_LETTERS:
+            self[word] = ids
+        return ids
 
 
 class PretokenEncoder:
-    """Encodes texts with a `tokenizers` file as its plain call does; every distinct pretoken is encoded once and remembered.
+    """Encodes texts with a `tokenizers` file as its plain call does; every distinct pretoken is encoded once, by the
+    file's BPE model, and remembered.
 
     A text that holds an added token (such as <|endoftext|>) is encoded as a whole, without the memory.
     """
@@ -41,29 +64,23 @@ class PretokenEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model, self.visible = self.tokenizer.model, _visible_bytes()
+        self.memo = _Memo(self._pretoken, {})
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        texts = list(texts)
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        split = [[] if i in whole else pretokens(t) for i, t in enumerate(texts)]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        new = []
-        for w in {w for words in split for w in words if w not in memo}:
-            if w in older:
-                memo[w] = older[w]
+        out = []
+        for t in texts:
+            if len(self.memo) > MEMO_ENTRIES:
+                self.memo = _Memo(self._pretoken, dict(self.memo))
+            if any(a in t for a in self.added):
+                out.append(self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids))
             else:
-                new.append(w)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = self._packed(e.ids)
-        return [
-            self._packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids) if i in whole else b"".join(map(memo.__getitem__, words))
-            for i, words in enumerate(split)
-        ]
+                out.append(b"".join(map(self.memo.__getitem__, pretokens(t))))
+        return out
+
+    def _pretoken(self, word: str) -> bytes:
+        return self._packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.visible))])
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
@@ -161,14 +178,15 @@ def pack(pieces: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "piece"), leng
     """`pieces` with sequence_id and offset: every sequence is gapless from 0 and within `capacity`.
 
     Lengths must lie in 1..capacity. `keys` order the rows of a length; rows with equal keys
-    (also null ones) are kept, each with a slot of its own. An empty table stays empty.
+    (also null ones) are kept, each with a slot of its own. Columns of any other name are passed on,
+    but for sequence_id and offset, which are written anew. An empty table stays empty.
     """
-    spark = pieces.sparkSession
-    pieces = materialize(pieces.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")))
-    counts = pieces.groupBy(F.col(length_col).alias("_len"), "_salt").count()
-    counts = materialize(counts)
-    histogram = {r[0]: r[1] for r in counts.groupBy("_len").agg(F.sum("count")).collect()}  # at most `capacity` rows
-    if any(not 1 <= n <= capacity for n in histogram):
+    salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
+    passed = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = materialize(pieces.select(F.struct(*passed).alias("row"), F.col(length_col).cast("int").alias("len"), salt.alias("salt")))
+    counts = materialize(rows.groupBy("len", "salt").count())
+    histogram = {r[0]: r[1] for r in counts.groupBy("len").agg(F.sum("count")).collect()}  # at most `capacity` rows
+    if any(n is None or not 1 <= n <= capacity for n in histogram):
         raise ValueError(f"lengths must lie in 1..{capacity}")
     plan = sorted(plan_best_fit(histogram, capacity))
     table = np.array(plan or np.zeros((0, 5)), dtype=np.int64).reshape(-1, 5)
@@ -179,19 +197,10 @@ def pack(pieces: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "piece"), leng
         at = np.searchsorted(place, length.to_numpy(np.int64) * (1 << 46) + rank.to_numpy(np.int64), "right") - 1
         return pd.DataFrame({"sequence_id": table[at, 3] + rank.to_numpy(np.int64) - table[at, 1], "offset": table[at, 4]})
 
-    before = counts.select(
-        "_len", "_salt",
-        (F.sum("count").over(Window.partitionBy("_len").orderBy("_salt")) - F.col("count")).alias("_before"),
-    )
-    within = F.row_number().over(Window.partitionBy(length_col, "_salt").orderBy(*keys))
-    ranked = (
-        pieces.withColumn("_rank", within)
-        .join(before, (F.col(length_col) == F.col("_len")) & (before["_salt"] == pieces["_salt"]))
-        .select(*[pieces[c] for c in pieces.columns if c != "_salt"], (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
-    )
-    return ranked.withColumn("_slot", slot(F.col(length_col), F.col("_rank"))).select(
-        *[c for c in pieces.columns if c != "_salt"], "_slot.sequence_id", "_slot.offset"
-    )
+    before = counts.select("len", "salt", (F.sum("count").over(Window.partitionBy("len").orderBy("salt")) - F.col("count")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("len", "salt").orderBy(*[F.col("row")[k] for k in keys]))
+    ranked = rows.withColumn("within", within).join(before, ["len", "salt"]).select("row", slot(F.col("len"), F.col("within") - 1 + F.col("before")).alias("slot"))
+    return ranked.select("row.*", "slot.*")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 2048) -> DataFrame:
