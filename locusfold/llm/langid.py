@@ -8,7 +8,7 @@ scores by another. Prediction is a map over whole texts without any shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -159,8 +159,13 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def keep_known(docs: DataFrame) -> DataFrame:
-    """`docs` without the rows whose language is undetermined; the others stay as they are."""
+def keep_known(docs: DataFrame, languages: Collection[str] | None = None, min_score: float = 0.4) -> DataFrame:
+    """The rows of `docs` whose predicted language is one of `languages` (all learnt ones by default) with a score of
+    `min_score` or more; they stay as they are.
+
+    Null texts and texts without letters go. Repeated rows, null ids and other columns are kept. Without
+    labelled rows nothing is learnt, and all rows with a letter stay. An empty table stays empty.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs))
@@ -169,6 +174,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     def known(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
         score = _scorer(shared.value)
         for text in frames:
-            yield pd.Series([n != "und" for n in score(text.tolist())[0]], dtype=bool)
+            names, likely = score(text.tolist())
+            yield pd.Series([n != "und" and (languages is None or n in languages) and s >= min_score for n, s in zip(names, likely, strict=True)], dtype=bool)
 
     return docs.filter(known("text")) if shared.value else docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
