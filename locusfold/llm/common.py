@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; where that is unset, a temporary folder of a local session, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -40,15 +44,68 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back: lineage is cut, nothing is computed twice.
 
-    The files are deleted when the application ends.
+    The files are deleted when the application ends, or by `forget`.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        target, files = _file_system(df.sparkSession, df.scratch_path)
+        files.delete(target, True)
+
+
+#: Slots of the bitmaps that tell which rows may have to meet others: 2 MB, whatever the input.
+SLOTS = 1 << 24
+
+
+def slot_bitmap(slots: DataFrame) -> np.ndarray:
+    """Bitmap of the distinct values of the one int column of `slots`, each below SLOTS."""
+    used = slots.toDF("slot").distinct().withColumn("part", F.shiftright("slot", 14))
+
+    def bits(key, frame: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(1 << 14, np.uint8)
+        flags[frame["slot"].to_numpy() & 0x3FFF] = 1
+        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(flags).tobytes()]})
+
+    out = np.zeros((SLOTS >> 14, (1 << 14) // 8), np.uint8)
+    for r in used.groupBy("part").applyInPandas(bits, "part int, bits binary").collect():  # 1024 rows of 2 KB at most
+        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
+    return out.reshape(-1)
+
+
+def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of an id column for membership in the one column of `ids`: never false for a member, false for a null.
+
+    Rows that fail it need no join with `ids`, so that their other columns are not shuffled.
+    """
+
+    def slot(col: Column) -> Column:
+        return F.pmod(F.xxhash64(col), F.lit(SLOTS)).cast("int")
+
+    name = ids.columns[0]
+    known = ids.filter(F.col(name).isNotNull())
+    shared = ids.sparkSession.sparkContext.broadcast(slot_bitmap(known.select(slot(F.col(name)))))
+
+    @F.pandas_udf("boolean")
+    def marked(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series(shared.value[at >> 3] >> (7 - (at & 7)) & 1 == 1)
+
+    return lambda col: col.isNotNull() & marked(slot(col))
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[list[dict]], list[dict]] | Callable) -> DataFrame:
@@ -88,6 +145,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = materialize(e)
     state = None
     while True:
+        start = e
         # large star: every larger neighbour of x points to the smallest of x and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -101,7 +159,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.explode(F.array(F.col("u"), F.col("x"))).alias("v"), F.col("m").alias("u"))
             .filter("u < v").distinct()
         )
-        e = materialize(e.select("u", "v"))
+        before, e = start, materialize(e.select("u", "v"))
+        forget(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break

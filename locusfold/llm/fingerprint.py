@@ -19,11 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, small_batches
-
-#: Slots of the bitmap that tells which buckets may hold more than one row (2 MB, whatever the input).
-SLOTS = 1 << 24
-
+from .common import SLOTS, map_rows, slot_bitmap, small_batches
 
 def canonical(text: str) -> str:
     if text.isascii():
@@ -45,19 +41,9 @@ def shared_slots(docs: DataFrame, text_col: str, seed: int) -> np.ndarray:
     """Bitmap of the hash slots that two or more rows fall in."""
     slots = map_rows(
         docs.select(F.col(text_col).alias("text")), "slot int",
-        lambda c: {"slot": [int(digest(canonical(t or ""), seed)[:6], 16) for t in c["text"]]},
+        lambda c: {"slot": [int(digest(canonical(t or ""), seed)[:6], 16) % SLOTS for t in c["text"]]},
     )
-    used = slots.groupBy("slot").count().filter("count > 1").select("slot", F.shiftright("slot", 14).alias("part"))
-
-    def bits(key, frame: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(1 << 14, np.uint8)
-        flags[frame["slot"].to_numpy() & 0x3FFF] = 1
-        return pd.DataFrame({"part": [key[0]], "bits": [np.packbits(flags).tobytes()]})
-
-    out = np.zeros((SLOTS >> 14, (1 << 14) // 8), np.uint8)
-    for r in used.groupBy("part").applyInPandas(bits, "part int, bits binary").collect():  # 1024 rows of 2 KB at most
-        out[r[0]] = np.frombuffer(bytes(r[1]), np.uint8)
-    return out.reshape(-1)
+    return slot_bitmap(slots.groupBy("slot").count().filter("count > 1").select("slot"))
 
 
 def collisions(docs: DataFrame, text_col: str, seed: int) -> bool:
@@ -74,7 +60,7 @@ def collisions(docs: DataFrame, text_col: str, seed: int) -> bool:
             for t in batch.column(0).to_pylist():
                 canon = canonical(t or "")
                 d = digest(canon, seed)
-                slot = int(d[:6], 16)
+                slot = int(d[:6], 16) % SLOTS
                 if bitmap[slot >> 3] >> (7 - (slot & 7)) & 1:
                     rows.append((d, canon))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["digest", "canon"])

@@ -21,14 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches
+from .common import components, forget, materialize, may_be_among, small_batches
 
 #: Similarity in percent, words of a shingle, bins, and rows of a band.
 PERCENT, WORDS, BINS, BAND = 75, 5, 256, 6
 #: Sets up to this size are found by their prefix; larger ones by bands. Sizes up to SMALL * 100 / PERCENT do both.
 SMALL = 64
 #: Hubs that the buckets of a document are spread over; members of a block where a bucket is compared by blocks.
-HUBS, BLOCK = 4, 512
+HUBS, BLOCK = 4, 2048
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -259,14 +259,14 @@ def near_links(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
     members = materialize(spread.join(shared, "bucket"))
     wanted = members.select("id").distinct()
-    # repeated ids would give several texts: one text per id, the least, as rows of one id are one document
-    texts = materialize(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi")
-        .repartition("id")
-    )
+    may = may_be_among(wanted)  # most texts share no bucket and stay where they are
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = materialize(own.filter(may(F.col("id"))).join(wanted, "id", "left_semi"))
     found = materialize(confirm(_stars(members), texts))
-    across = _across(_mixed(members, found), texts)
-    return rows, materialize(found.unionByName(across).unionByName(same))
+    mixed = _mixed(members, found)
+    links = materialize(found.unionByName(_across(mixed, texts)).unionByName(same))
+    forget(members, texts, found, mixed)
+    return rows, links
 
 
 def _mixed(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -383,8 +383,14 @@ def dedup_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, ...) with the smallest id of each component alone; equal rows stay once.
 
-    Rows with a null id, or without words, are kept.
+    Rows without words are kept, and so is one row of each text of rows with a null id. Other
+    columns are passed on. Only rows that may go, or whose id may be repeated, are shuffled.
     """
-    _, links = near_links(docs)
-    gone = components(links).filter("id <> component").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    rows, links = near_links(docs)
+    gone = materialize(components(links).filter("id <> component").select("id"))
+    again = rows.filter("id is not null").groupBy("id").count().filter("count > 1").select("id")
+    doc = F.col("doc_id").cast("long")
+    unsure = doc.isNull() | may_be_among(gone)(doc) | may_be_among(again)(doc)
+    held = docs.filter(unsure)
+    kept = held.join(gone, doc == gone["id"], "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.filter(~unsure).unionByName(kept)

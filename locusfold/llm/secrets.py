@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Spans that a broadcast of the spans of whole texts may hold (16 bytes each and 64 a text); beyond it they are joined by a shuffle.
+BROADCAST_SPANS = 1 << 20
+
 #: Characters between two parts of one credential.
 SCOPE = 200
 
@@ -142,10 +145,11 @@ def scan_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def mask(docs: DataFrame, replacement: str = "[SECRET]") -> DataFrame:
     """`docs` (doc_id, text, ...) with every reported span replaced, n_chars counted anew.
 
-    Rows without a span are passed on as they are.
+    Rows without a span, and null texts, are passed on as they are; equal rows stay as many; an empty
+    table stays empty. Other columns are passed on.
     """
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text"), F.octet_length("text")))
-    once = keyed.select(F.col("_key").alias("doc_id"), "text")
+    key = F.struct("doc_id", F.xxhash64("text"), F.octet_length("text"))
+    once = docs.select(key.alias("doc_id"), "text")
     rows, found = spans(once)
     # overlapping spans become one run
     w = Window.partitionBy("row").orderBy("start", "end")
@@ -156,14 +160,16 @@ def mask(docs: DataFrame, replacement: str = "[SECRET]") -> DataFrame:
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_runs"))
     )
     # equal rows have equal spans, so one of each key is enough
-    hit = runs.join(rows, "row").groupBy(F.col("doc_id").alias("_key")).agg(F.any_value("_runs").alias("_runs"))
-    runs_, text = F.col("_runs"), F.col("text")
+    hit = materialize(runs.join(rows, "row").groupBy(F.col("doc_id").alias("key")).agg(F.any_value("_runs").alias("runs")))
+    size = hit.agg(F.coalesce(F.sum(F.size("runs") + 4), F.lit(0))).first()[0]
+    runs_, text = F.col("runs"), F.col("row.text")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs_, lambda r: r["end"]))
     ends = F.concat(F.transform(runs_, lambda r: r["start"]), F.array(F.length(text).cast("long")))
     kept = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     masked = F.when(runs_.isNull(), text).otherwise(F.array_join(kept, replacement))
-    return keyed.join(hit, "_key", "left").withColumn("text", masked).select(
-        *[(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns]
+    joined = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(F.broadcast(hit) if size <= BROADCAST_SPANS else hit, "key", "left")
+    return joined.select("row", masked.alias("masked")).select(
+        *[F.col("masked").alias(c) if c == "text" else F.length("masked").cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}") for c in docs.columns]
     )
 
 
