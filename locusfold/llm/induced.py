@@ -3,7 +3,7 @@
 Suffixes are sorted by inducing: from the sorted left-most-S suffixes the L-type ones follow in
 ascending order of their first character, and from those all S-type ones in descending order.
 The queue between the two is a radix priority queue: one lane for each first character, first in,
-first out, whose chunks go to disk beyond a bound. It carries (position, common prefix with the
+first out, whose lanes go to files beyond a bound. It carries (position, common prefix with the
 one before); a lane is handled in waves, one wave for each repeat of its character. The
 left-most-S substrings are sorted by the same induction and named, and the string of names is
 sorted in turn; only orders up to DEPTH bytes matter here, so that last recursion is by doubling.
@@ -11,6 +11,7 @@ sorted in turn; only orders up to DEPTH bytes matter here, so that last recursio
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -24,34 +25,59 @@ _MASKS = np.array([0xFFFF << (16 * i) for i in range(4)], np.uint64)
 
 
 class LaneQueue:
-    """Chunks of (position, common prefix) by lane, kept in memory up to `bound` entries, then on disk."""
+    """Chunks of (position, common prefix) by lane, first in, first out.
 
-    def __init__(self, folder: str, bound: int = 1 << 23):
-        self.folder, self.bound, self.held, self.files = folder, bound, 0, 0
+    Up to `bound` entries are held in memory. Beyond it the lanes that hold much are appended to
+    their files, so that a lane is its file and then what it holds.
+    """
+
+    #: Entries that queues of this process have written to disk.
+    written = 0
+    _serial = itertools.count()
+
+    def __init__(self, folder: str, bound: int):
+        self.name, self.bound, self.held = os.path.join(folder, f"queue-{next(self._serial)}"), bound, 0
         self.lanes: list[list] = [[] for _ in range(_LANES)]
+        self.sizes = [0] * _LANES
+        self.stored: list[list[int]] = [[] for _ in range(_LANES)]  # where the chunks of the lane's file start
 
     def push(self, lane: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
-        if self.held + len(positions) > self.bound:
-            path = os.path.join(self.folder, f"{id(self)}-{self.files}.npy")
-            self.files += 1
-            with open(path, "wb") as f:
+        self.lanes[lane].append((positions, prefixes))
+        self.sizes[lane] += len(positions)
+        self.held += len(positions)
+        if self.held > self.bound:
+            for k in sorted(range(_LANES), key=self.sizes.__getitem__, reverse=True):
+                if self.held <= self.bound // 2:
+                    break
+                self._store(k)
+
+    def _store(self, lane: int) -> None:
+        with open(f"{self.name}-{lane}", "ab") as f:
+            for positions, prefixes in _together(self.lanes[lane]):
+                self.stored[lane].append(f.tell())
                 np.save(f, positions)
                 np.save(f, prefixes)
-            self.lanes[lane].append(path)
-        else:
-            self.held += len(positions)
-            self.lanes[lane].append((positions, prefixes))
-
-    def pop(self, lane: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        chunks, self.lanes[lane] = self.lanes[lane], []
-        for c in chunks:
-            if isinstance(c, str):
-                with open(c, "rb") as f:
+        LaneQueue.written += self.sizes[lane]
+        self.held -= self.sizes[lane]
+        self.lanes[lane], self.sizes[lane] = [], 0
+
+    def pop(self, lane: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The lane's chunks, or from the last to the first; what is pushed to it from now on comes by another pop."""
+        chunks, places = self.lanes[lane], self.stored[lane]
+        self.held -= self.sizes[lane]
+        self.lanes[lane], self.sizes[lane], self.stored[lane] = [], 0, []
+        if backwards:
+            yield from reversed(chunks)
+        if places:
+            path = f"{self.name}-{lane}-read"
+            os.replace(f"{self.name}-{lane}", path)
+            with open(path, "rb") as f:
+                for at in reversed(places) if backwards else places:
+                    f.seek(at)
                     yield np.load(f), np.load(f)
-                os.unlink(c)
-            else:
-                self.held -= len(c[0])
-                yield c
+            os.unlink(path)
+        if not backwards:
+            yield from chunks
 
 
 class _Inducer:
@@ -164,7 +190,7 @@ def _induce(text: np.ndarray, is_s: np.ndarray, run: np.ndarray, order: np.ndarr
         if c == 0 and last is None:
             yield np.array([len(text) - 1], np.int32), np.zeros(1, np.uint8)  # the end of the text
         carried = None  # of the L-type ones the prefix is with the smaller neighbour: shift by one
-        for positions, p in reversed(list(placed.pop(c))):
+        for positions, p in placed.pop(c, backwards=True):
             positions, p = positions[::-1], p[::-1]
             if carried is None:
                 head = 0 if last is None else min(run[last], run[positions[0]])
@@ -208,7 +234,7 @@ def _names(text: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray
     return out
 
 
-def sorted_suffixes(data: np.ndarray, folder: str | None = None, bound: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sorted_suffixes(data: np.ndarray, folder: str | None = None, bound: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Suffixes of `data` (uint16: 1 for a separator, byte + 2) in descending order of their first DEPTH
     characters: (positions, common prefix with the one before, up to DEPTH), never across a first character."""
     text = np.append(data, np.uint16(0))

@@ -2,17 +2,18 @@
 
 Every 50-byte window has a minimizer, the least hash of its 16-byte strings, and equal windows
 have equal ones. Neighbouring windows with one minimizer form a segment. Minimizers that occur in
-one document alone cannot repeat and are left out. Where all segments of a minimizer are equal, they
-are settled by their smallest document without their text. The different segments of a minimizer,
-one copy of each, are dealt by minimizer, so that all equal windows meet in one shard, and are
-sorted by suffix there (see `induced`): windows in one run of common prefixes of 50 bytes or more
-are equal. No shard sees more than its part of the segments, and a segment that many documents
-share is sent once per task.
+one document alone cannot repeat and are left out. A segment that an earlier document has as a whole
+is settled by 112 bits, those of its minimizer and of its own hash, without its text. The different segments of a
+minimizer, one copy of each, are dealt by minimizer, so that all equal windows meet in one shard, and
+are sorted by suffix there (see `induced`): windows in one run of common prefixes of 50 bytes or more
+are equal. A minimizer with very many different segments is divided: their windows get a second
+minimizer by another hash, which equal windows share too. Parts are sized by the bytes of the input.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,26 +28,41 @@ from .minhash import mix, powers
 #: Bytes of a window, and of the strings whose hashes make the minimizer.
 WINDOW, GRAM = 50, 16
 #: Segments that a task gathers before it sends their minimizers on.
-CHUNK = 1 << 21
-#: Bytes of different segments that are sorted together; a single minimizer's may be more.
-SHARD = 1 << 21
+CHUNK = 1 << 19
 #: Bytes of a minimizer and of a segment's hash on the way: together they tell segments apart.
-KEY_BYTES, HASH_BYTES = 5, 6
+KEY_BYTES, HASH_BYTES = 6, 8
 #: What is found out about 2^NEIGHBOURS ids next to each other travels in one row per part.
 NEIGHBOURS = 6
 
+
+@dataclass(frozen=True)
+class Limits:
+    """Bytes of text for each part of an exchange; different segments of a minimizer that is not divided; bytes of
+    segments that are sorted together (a minimizer's may be more); suffixes that a sort holds in memory before its queues go to disk."""
+
+    part: int = 1 << 25
+    hot: int = 1 << 14
+    shard: int = 1 << 21
+    queue: int = 1 << 18
+
+
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: What is known of a segment: an earlier document has it, its minimizer has others too, or very many others.
+_SETTLED, _MIXED, _HOT = 0, 1, 2
+
 
+def segments(texts: list[bytes], again: bool = False) -> tuple[np.ndarray, ...]:
+    """(minimizer, text's place in the list, first byte, end, hash of the segment) of every segment, in order.
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(minimizer, text's place in the list, first byte, end, hash of the segment) of every segment, in order."""
+    `again` takes the minimizers by another hash.
+    """
     data = b"".join(texts)
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(data) < WINDOW:
         return none
     words = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
-    h = words[:-8] * _A + words[8:] * _B
+    h = words[:-8] * (_B if again else _A) + words[8:] * (_C if again else _B)
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     low = h ^ (h >> np.uint64(29))
     width, wanted = 1, WINDOW - GRAM + 1
@@ -97,11 +113,12 @@ def _grouped(keys: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def repeated_segments(docs: DataFrame, parts: int) -> DataFrame:
-    """(doc, settled, mixed): packed hashes of a document's segments, one row per document that has any.
+def repeated_segments(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
+    """(doc, settled, mixed, hot): packed hashes of a document's segments, one row per document that has any.
 
     A settled segment occurs in a document with a smaller id. A mixed one is the first of its kind,
     but its minimizer has other segments, in several documents: it may share windows with them. A
+    hot one is a mixed one of a minimizer with more than `limits.hot` different segments. A
     task sends each of its segments once, for its smallest document; the other documents' are
     settled at once and go straight to the document's part.
     """
@@ -150,7 +167,7 @@ def repeated_segments(docs: DataFrame, parts: int) -> DataFrame:
                     wholes.append(w)
                     docs_.append(d)
                 else:
-                    ready.append((d, w, np.zeros(len(d), bool)))
+                    ready.append((d, w, np.zeros(len(d), np.uint8)))
         if keys:
             k, w, d = np.concatenate(keys), np.concatenate(wholes), np.concatenate(docs_)
             order = np.lexsort((d, w, k))
@@ -159,10 +176,12 @@ def repeated_segments(docs: DataFrame, parts: int) -> DataFrame:
             new_whole = new_key | np.r_[True, w[1:] != w[:-1]]
             at_key, at_whole = np.flatnonzero(new_key), np.flatnonzero(new_whole)
             late = d > np.repeat(d[at_whole], np.diff(np.append(at_whole, len(d))))
-            several = (np.add.reduceat(new_whole.astype(np.int64), at_key) > 1) & (np.minimum.reduceat(d, at_key) < np.maximum.reduceat(d, at_key))
-            mixed = np.repeat(several, np.diff(np.append(at_key, len(d)))) & ~late
-            use = late | mixed
-            ready.append((d[use], w[use], mixed[use]))
+            different = np.add.reduceat(new_whole.astype(np.int64), at_key)
+            several = (different > 1) & (np.minimum.reduceat(d, at_key) < np.maximum.reduceat(d, at_key))
+            kind = np.where(several, np.where(different > limits.hot, _HOT, _MIXED), _SETTLED).astype(np.uint8)
+            kind = np.where(late, np.uint8(_SETTLED), np.repeat(kind, np.diff(np.append(at_key, len(d)))))
+            use = late | (kind != _SETTLED)
+            ready.append((d[use], w[use], kind[use]))
         if ready:
             d, w, m = (np.concatenate([r[i] for r in ready]) for i in range(3))
             order = np.argsort(d, kind="stable")
@@ -180,8 +199,8 @@ def repeated_segments(docs: DataFrame, parts: int) -> DataFrame:
             order = np.argsort(d, kind="stable")
             d, w, m = d[order], w[order], m[order]
             return _rows(
-                ["doc", "settled", "mixed"], [pa.int64(), pa.binary(), pa.binary()],
-                [(int(d[a]), _short(w[a:b][~m[a:b]], HASH_BYTES), _short(w[a:b][m[a:b]], HASH_BYTES)) for a, b in _grouped(d)],
+                ["doc", "settled", "mixed", "hot"], [pa.int64(), pa.binary(), pa.binary(), pa.binary()],
+                [(int(d[a]), *(_short(w[a:b][m[a:b] == kind], HASH_BYTES) for kind in (_SETTLED, _MIXED, _HOT))) for a, b in _grouped(d)],
             )
 
         at, held = None, []
@@ -191,14 +210,14 @@ def repeated_segments(docs: DataFrame, parts: int) -> DataFrame:
                     if held:
                         yield rows()
                     at, held = near, []
-                held.append((np.frombuffer(d, np.int64), _long(w, HASH_BYTES), np.frombuffer(m, bool)))
+                held.append((np.frombuffer(d, np.int64), _long(w, HASH_BYTES), np.frombuffer(m, np.uint8)))
         if held:
             yield rows()
 
     sent = docs.select("doc", "text").mapInArrow(gather, "part int, first boolean, keys binary, wholes binary, docs binary")
     replies = sent.repartition(parts, "part").mapInArrow(match, "near long, docs binary, wholes binary, mixed binary")
     dealt = replies.repartition(parts, "near").sortWithinPartitions("near")
-    return dealt.mapInArrow(unpack, "doc long, settled binary, mixed binary")
+    return dealt.mapInArrow(unpack, "doc long, settled binary, mixed binary, hot binary")
 
 
 def _member(values: np.ndarray, packed: bytes) -> np.ndarray:
@@ -231,6 +250,11 @@ def _cut(joined: DataFrame) -> DataFrame:
                 if hit.any():
                     spans = _merged(np.stack((start[a:z][hit], end[a:z][hit]), 1))
                     out.append((None, doc, h, None, None, spans.astype("<i4").tobytes()))
+                hit = np.flatnonzero(_member(whole[a:z], wanted["hot"])) + a
+                second, which, begin, stop, _ = segments([data[start[i]:end[i]] for i in hit.tolist()], again=True)
+                divided = mix(key[hit][which] ^ second).view(np.int64)
+                for k, s, e in zip(divided.tolist(), (start[hit][which] + begin).tolist(), (start[hit][which] + stop).tolist(), strict=True):
+                    out.append((k, doc, h, s, data[s:e], None))
                 hit = np.flatnonzero(_member(whole[a:z], wanted["mixed"])) + a
                 for k, s, e in zip(key[hit].view(np.int64).tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
                     out.append((k, doc, h, s, data[s:e], None))
@@ -258,17 +282,18 @@ def _grouped_pairs(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
 
 
-def repeated_windows(texts: list[bytes], owner: np.ndarray) -> np.ndarray:
+def repeated_windows(texts: list[bytes], owner: np.ndarray, bound: int) -> np.ndarray:
     """For each byte of the joined texts (with a separator after each): the smallest owner of the equal windows
-    that start there; the text's own owner where no window fits."""
+    that start there; the text's own owner where no window fits. The sort holds `bound` suffixes in memory."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     joined = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint16) + 2
     ends = np.cumsum(sizes + 1) - 1
     joined[ends] = 1
-    least = np.repeat(owner, sizes + 1)
-    fits = np.append(np.arange(len(joined)) + WINDOW <= np.repeat(ends, sizes + 1), False)
+    owners, rank = np.unique(owner, return_inverse=True)
+    least = np.repeat(rank.astype(np.int32), sizes + 1)
+    fits = np.append(np.arange(WINDOW, len(joined) + WINDOW, dtype=np.int32) <= np.repeat(ends.astype(np.int32), sizes + 1), False)
     carry: list[np.ndarray] = []
-    for positions, prefix in sorted_suffixes(joined):
+    for positions, prefix in sorted_suffixes(joined, bound=bound):
         # a run of windows goes on into the next chunk while the common prefix reaches over a window
         ok = fits[positions]
         group = np.cumsum(prefix < WINDOW)
@@ -292,7 +317,7 @@ def repeated_windows(texts: list[bytes], owner: np.ndarray) -> np.ndarray:
     if carry:
         run = np.concatenate(carry)
         least[run] = least[run].min()
-    return least
+    return owners[least]
 
 
 def _sharing(texts: list[bytes]) -> np.ndarray:
@@ -319,20 +344,20 @@ def _sharing(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _shards(order: np.ndarray, group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Cuts `order`, sorted by group, between groups so that a part has about SHARD bytes."""
+def _shards(order: np.ndarray, group: np.ndarray, size: np.ndarray, shard: int) -> Iterator[np.ndarray]:
+    """Cuts `order`, sorted by group, between groups so that a part has about `shard` bytes."""
     if not len(order):
         return
     upto = np.cumsum(size[order])
     ends = np.flatnonzero(np.append(group[order][1:] != group[order][:-1], True)) + 1
     start = done = 0
     for e in ends.tolist():
-        if upto[e - 1] - done >= SHARD or e == len(order):
+        if upto[e - 1] - done >= shard or e == len(order):
             yield order[start:e]
             start, done = e, upto[e - 1]
 
 
-def _settle(found: DataFrame, parts: int) -> DataFrame:
+def _settle(found: DataFrame, parts: int, limits: Limits) -> DataFrame:
     """(doc, hash, spans): packed spans of bytes that repeat from a smaller document, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,8 +396,8 @@ def _settle(found: DataFrame, parts: int) -> DataFrame:
             by_segment = np.argsort(w, kind="stable")
             edges = np.searchsorted(w[by_segment], np.arange(len(segs) + 1))
             mixed = mixed[_sharing([segs[i] for i in mixed])]
-            for part in _shards(mixed[np.argsort(back[mixed], kind="stable")], back, size):
-                least = repeated_windows([segs[i] for i in part], owner[part])
+            for part in _shards(mixed[np.argsort(back[mixed], kind="stable")], back, size, limits.shard):
+                least = repeated_windows([segs[i] for i in part], owner[part], limits.queue)
                 begin = np.cumsum(size[part] + 1) - size[part] - 1
                 for j, a in zip(part.tolist(), begin.tolist(), strict=True):
                     windows = least[a:a + size[j] - WINDOW + 1]
@@ -400,7 +425,7 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack((spans[new, 0], top[np.append(new[1:], len(spans)) - 1]), 1)
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
+def repeated_spans(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(doc, spans): per document with repeats, an array of (hash of the text, packed int32 byte spans).
 
     `rows` has doc (an integer id) and text; a later left join of the result to the same `rows` by
@@ -408,10 +433,11 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = repeated_segments(rows.filter("doc is not null"), parts).select("doc", F.struct("settled", "mixed").alias("found"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // limits.part))
+    found = repeated_segments(rows.filter("doc is not null"), parts, limits).select("doc", F.struct("settled", "mixed", "hot").alias("found"))
     joined = rows.join(found, "doc", "left").withColumn("hash", F.xxhash64("text"))
-    return _settle(_cut(joined), parts).groupBy("doc").agg(F.collect_list(F.struct("hash", "spans")).alias("spans"))
+    return _settle(_cut(joined), parts, limits).groupBy("doc").agg(F.collect_list(F.struct("hash", "spans")).alias("spans"))
 
 
 def _runs_of(hash_: int, found: list | None) -> np.ndarray:
@@ -425,7 +451,7 @@ def _without(data: bytes, runs: np.ndarray) -> bytes:
     return b"".join(data[a:z] for a, z in np.r_[0, runs.ravel(), len(data)].reshape(-1, 2).tolist())
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """doc, text_bytes, kept_bytes, spans (packed int32 pairs) of every row of `docs`.
 
     A byte goes if a 50-byte window over it also starts in a document with a smaller id, judged on
@@ -445,14 +471,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield _rows(names, types, out)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    final = rows.join(repeated_spans(rows), "doc", "left").select("doc", "text", F.xxhash64("text").alias("hash"), "spans")
+    final = rows.join(repeated_spans(rows, limits), "doc", "left").select("doc", "text", F.xxhash64("text").alias("hash"), "spans")
     return final.mapInArrow(keep, "doc long, text_bytes long, kept_bytes binary, spans binary")
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, n_chars, ...) with the repeated bytes cut out of its texts; every row stays.
 
-    A character of which a cut leaves a part only goes as a whole. A null text stays null.
+    A character of which a cut leaves a part only goes as a whole. A null text stays null; rows of one
+    id are one document and all stay, as does a row with a null id; an empty table stays empty. Other
+    columns are passed on.
     """
 
     @F.pandas_udf("string")
@@ -473,7 +501,11 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:
-    """Digests of `remove_repeats`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """Digests of `remove_repeats`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each row of `docs`.
+
+    A null text counts as empty; a row with a null id is kept whole; rows of one id do not repeat each
+    other; an empty table gives an empty result.
+    """
     return remove_repeats(docs).select(
         F.col("doc").alias("doc_id"), F.col("text_bytes").alias("n_bytes"),
         (F.col("text_bytes") - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
