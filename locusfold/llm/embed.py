@@ -1,14 +1,17 @@
 """Near-duplicate vectors by product quantisation.
 
 Vectors are scaled to length 1, so cosine >= 0.98 means a distance of at most r = 0.2. Coarse
-inverted lists come from k-means on a bounded sample, and so do the codes of the residuals by
-subspace; every vector is indexed. A query probes each list whose centre is within 2r of its own
-distance to the nearest one: by the triangle inequality no near vector lies elsewhere. A vector's
-asymmetric distance to a code, from table look-ups, differs from the true one by no more than the
-code's error, which is stored; so what is dropped before the exact rerank cannot be near either.
-
-Equal vectors are one class. The lists are cut into blocks of rows and each task compares two
-blocks of one list; it returns counts and a spanning forest of the links, never all pairs.
+inverted lists come from k-means on a bounded sample, as many as give lists of about BLOCK rows of
+one label, and so do the codes of the residuals by subspace; every vector is indexed. A near vector
+can lie in another list only if the border between the two lists is within r of the query. Its way
+across the border is one direction of many, so lists are probed up to a margin of SIGMAS standard
+deviations of a random direction's share, and no more than r (with `sigmas` None it is r, and no
+pair can be missed). Of two lists that may hold a pair, the lower one's vector asks the higher. A
+vector's asymmetric distance to a code, from table look-ups, differs from the true one by no more
+than the code's error, which is stored; so what is dropped before the exact rerank is not near.
+
+Equal vectors are one class. A task compares a block of queries with a block of one list; it
+returns counts and a spanning forest of the links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, small_batches
+from .common import components, forget, materialize, small_batches
 
 COSINE = 0.98
-#: Rows that train the quantiser, lists, subspaces, codes of a subspace, rows of a block.
-SAMPLE, LISTS, SUBSPACES, CODES, BLOCK = 20_000, 64, 8, 32, 1024
+#: Rows that train the quantiser, most lists, subspaces, codes of a subspace, rows of a block and queries of a block.
+SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, QUERIES = 20_000, 1024, 8, 32, 1024, 8192
+#: Standard deviations of a random direction that the probes cover.
+SIGMAS = 4.5
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -48,8 +53,8 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray):
-        self.centres = _kmeans(sample, LISTS)
+    def __init__(self, sample: np.ndarray, lists: int):
+        self.centres = _kmeans(sample, lists)
         residual = sample - self.centres[_nearest(sample, self.centres)]
         self.cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
         self.books = [_kmeans(residual[:, a:b], CODES, seed=7 + a) for a, b in zip(self.cuts, self.cuts[1:], strict=False)]
@@ -65,10 +70,12 @@ class Quantiser:
     def _parts(self) -> list[tuple[int, int]]:
         return list(zip(self.cuts.tolist(), self.cuts[1:].tolist(), strict=False))
 
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """Mask (rows, lists) of the lists that can hold a vector within `radius`."""
-        d = np.sqrt(_squared(x, self.centres))
-        return d <= d.min(1, keepdims=True) + 2 * radius + 1e-9
+    def probes(self, x: np.ndarray, margin: float) -> np.ndarray:
+        """Mask (rows, lists) of a vector's own list and those whose border with it is within `margin`."""
+        d = _squared(x, self.centres)
+        own = d.argmin(1)
+        apart = np.sqrt(_squared(self.centres, self.centres))
+        return d - d.min(1, keepdims=True) <= 2 * apart[own] * margin + 1e-9
 
     def approximate(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of rows of x to coded vectors of one list."""
@@ -81,6 +88,7 @@ class Quantiser:
 
 def _unit(rows: list) -> np.ndarray:
     x = np.array([np.asarray(r, np.float64) for r in rows]).reshape(len(rows), -1)
+    x = x / np.abs(x).max(1)[:, None]  # so that no square over- or underflows
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
@@ -100,21 +108,19 @@ def _forest(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -
     return [(find(v), v) for v in list(parent) if find(v) != v]
 
 
-def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sigmas: float | None = SIGMAS) -> DataFrame:
     """id, n_links, component_id, kept of every row.
 
     Rows are compared only where labels are equal and not null. A vector that is null, empty, zero
     or holds a null or non-finite component links with nothing, and so does a row with a null id
     (null component, kept) or a vector of another length. Rows of one id count as vectors of their
-    own for n_links; other columns are ignored.
+    own for n_links; other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     small_batches(spark)
     v = F.col(vector_col).cast("array<double>")
-    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
     clean = (
-        v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-        & (square > 0) & (square < float("inf"))
+        v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
     everyone = vectors.select(F.col(id_col).cast("long").alias("id"))
     good = vectors.filter(clean & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
@@ -126,7 +132,7 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     lengths = sorted(r[0] for r in classes.select("length").distinct().collect())  # a row per length of vector
     if not lengths:
         return everyone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found = [_compare(classes.filter(F.col("length") == n)) for n in lengths]
+    found = [_compare(classes.filter(F.col("length") == n), sigmas) for n in lengths]
     links, counts = found[0]
     for more_links, more_counts in found[1:]:
         links, counts = links.unionByName(more_links), counts.unionByName(more_counts)
@@ -144,15 +150,17 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     )
 
 
-def _compare(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _compare(classes: DataFrame, sigmas: float | None) -> tuple[DataFrame, DataFrame]:
     """(links a, b), (label, rep, n): forest edges between representatives, and linked vectors by representative."""
     spark = classes.sparkSession
     radius = float(np.sqrt(2 - 2 * COSINE))
     dice = F.xxhash64("rep", "label")
-    total = classes.count()
-    share = min(1.0, SAMPLE / max(1, total))
+    total, largest, length = classes.groupBy("label").count().agg(F.sum("count"), F.max("count")).join(classes.limit(1).select("length")).first()
+    margin = radius if sigmas is None else min(radius, sigmas * radius / float(np.sqrt(length)))
+    share = min(1.0, SAMPLE / total)
     sample = classes.filter(F.pmod(dice, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
-    model = spark.sparkContext.broadcast(Quantiser(_unit([r[0] for r in sample.orderBy(dice).select("v").collect()])))
+    lists = min(LISTS, -(-largest // BLOCK))
+    model = spark.sparkContext.broadcast(Quantiser(_unit([r[0] for r in sample.orderBy(dice).select("v").collect()]), lists))  # about SAMPLE rows
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -161,9 +169,10 @@ def _compare(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
             q = model.value
             x = _unit(f["v"].tolist())
             at, codes, error = q.encode(x)
+            probes = q.probes(x, margin) & (np.arange(len(q.centres)) >= at[:, None])
             yield pd.DataFrame({
                 "label": f["label"], "rep": f["rep"], "n": f["n"], "v": [r.tobytes() for r in x], "list": at.astype("int32"),
-                "codes": [c.tobytes() for c in codes], "error": error, "probes": [np.flatnonzero(m).astype("int32") for m in q.probes(x, radius)],
+                "codes": [c.tobytes() for c in codes], "error": error, "probes": [np.flatnonzero(m).astype("int32") for m in probes],
             })
 
     kind = dict(classes.dtypes)["label"]
@@ -171,46 +180,51 @@ def _compare(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         index, f"label {kind}, rep long, n long, v binary, list int, codes binary, error double, probes array<int>"
     ))
     sizes = coded.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    asked = coded.select("label", "rep", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("q_blocks"))
-    sizes = sizes.join(asked, ["label", "list"])
+    asked = coded.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.ceil(F.count("*") / QUERIES).alias("q_blocks"))
+    sizes = F.broadcast(sizes.join(asked, ["label", "list"]))  # a row per label and list
     data = coded.join(sizes, ["label", "list"]).select(
         "label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("q_block"),
-        F.lit(False).alias("query"), "rep", "n", "v", "codes", "error",
+        F.lit(-1).alias("asks"), "rep", "n", "v", "codes", "error",
     )
-    queries = coded.drop("list").withColumn("list", F.explode("probes")).join(sizes, ["label", "list"]).select(
+    queries = coded.withColumnRenamed("list", "asks").withColumn("list", F.explode("probes")).join(sizes, ["label", "list"]).select(
         "label", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
         F.pmod(F.xxhash64("rep", F.lit(1)), F.col("q_blocks")).alias("q_block"),
-        F.lit(True).alias("query"), "rep", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"),
+        "asks", "rep", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"),
     )
 
     def match(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        q, asks = frame[frame["query"]], frame[~frame["query"]]
-        none = pd.DataFrame({"rep": [], "n": [], "other": []}).astype("int64").assign(label=pd.Series(dtype=frame["label"].dtype))
-        if not len(q) or not len(asks):
-            return none[["label", "rep", "n", "other"]]
-        x = np.frombuffer(b"".join(q["v"]), np.float64).reshape(len(q), -1)
-        y = np.frombuffer(b"".join(asks["v"]), np.float64).reshape(len(asks), -1)
-        codes = np.frombuffer(b"".join(asks["codes"]), np.uint8).reshape(len(asks), -1)
-        near = model.value.approximate(x, key[1], codes) <= radius + asks["error"].to_numpy()[None, :] + 1e-9
-        a, b = np.nonzero(near)
-        ids, others, n = q["rep"].to_numpy(), asks["rep"].to_numpy(), asks["n"].to_numpy()
-        ok = np.zeros(len(a), bool)
-        for i in range(0, len(a), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            ok[s] = np.einsum("ij,ij->i", x[a[s]], y[b[s]]) >= COSINE
-        ok &= ids[a] != others[b]
-        a, b = a[ok], b[ok]
+        asking = frame["asks"] >= 0
+        q, held = frame[asking], frame[~asking]
+        if not len(q) or not len(held):
+            return pd.DataFrame({"label": [], "rep": [], "n": [], "other": []})
+        x, y = (np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1) for f in (q, held))
+        codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
+        bound = radius + held["error"].to_numpy()[None, :] + 1e-9
+        ids, others, n, m = q["rep"].to_numpy(), held["rep"].to_numpy(), held["n"].to_numpy(), q["n"].to_numpy()
+        found = []
+        for i in range(0, len(q), 1024):
+            a, b = np.nonzero(model.value.approximate(x[i:i + 1024], key[1], codes) <= bound)
+            a += i
+            for j in range(0, len(a), 1 << 16):
+                s = slice(j, j + (1 << 16))
+                ok = (np.einsum("ij,ij->i", x[a[s]], y[b[s]]) >= COSINE) & (ids[a[s]] != others[b[s]])
+                found.append((a[s][ok], b[s][ok]))
+        a, b = (np.concatenate([f[k] for f in found] + [np.zeros(0, np.int64)]) for k in (0, 1))
+        # a pair of one list is met from both ends, a pair of two lists from the lower one alone
+        across = q["asks"].to_numpy()[a] != key[1]
         linked = np.bincount(a, n[b], len(ids)).astype(np.int64)
-        at = np.flatnonzero(linked)
+        back = np.bincount(b[across], m[a[across]], len(others)).astype(np.int64)
+        at, of = np.flatnonzero(linked), np.flatnonzero(back)
         edges = _forest(a, b, ids, others)
         return pd.DataFrame({
             "label": key[0],
-            "rep": np.r_[ids[at], [e[0] for e in edges]].astype("int64"), "n": np.r_[linked[at], [0] * len(edges)].astype("int64"),
-            "other": pd.array([None] * len(at) + [e[1] for e in edges], "Int64"),
+            "rep": np.r_[ids[at], others[of], [e[0] for e in edges]].astype("int64"), "n": np.r_[linked[at], back[of], [0] * len(edges)].astype("int64"),
+            "other": pd.array([None] * (len(at) + len(of)) + [e[1] for e in edges], "Int64"),
         })
 
     both = data.unionByName(queries).groupBy("label", "list", "block", "q_block")
     got = materialize(both.applyInPandas(match, f"label {kind}, rep long, n long, other long"))
+    forget(coded)
     links = got.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
     return links, got.filter("other is null").select("label", "rep", "n")

@@ -49,7 +49,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ),
-u AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM v),
+m AS (SELECT *, list_max(list_transform(v, lambda x: abs(x))) AS top FROM v),
+u AS (SELECT id, label, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT id, label, list_transform(v, lambda x: x / top) AS v FROM m WHERE top > 0)),
 links AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.label = y.label AND x.id <> y.id AND len(x.v) = len(y.v) WHERE x.n > 0 AND y.n > 0 AND list_dot_product(x.v, y.v) / (x.n * y.n) >= 0.98),
 nodes AS (SELECT vec_id AS id FROM embeddings),{_COMPONENTS},
 k AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
