@@ -1,7 +1,8 @@
 """Byte-balanced shards by histogram sort.
 
-Rows are ordered by (xxhash64 of the text, row number), so equal texts lie next to each other.
-Each round counts the exact bytes below a set of candidate boundaries in every partition and
+Rows are ordered by (xxhash64 of the text, row number), so equal texts lie next to each other. A
+group of equal texts is one key and stays whole, unless it is larger than the tolerance: then each of
+its rows is a key of its own, as the law allows no other way. Each round counts the exact bytes below a set of candidate boundaries in every partition and
 narrows the interval around each wanted splitter, until the bytes below it meet the tolerance.
 The rows are exchanged once, by the final splitters.
 """
@@ -78,7 +79,7 @@ def splitters(rows: DataFrame, parts: int, tolerance: int, probes: int = 32) ->
                 else:
                     top[g] = min(top[g], (p, *found[p]))
             best = min(low[g], top[g], key=lambda x: abs(x[1] - g))
-            if abs(best[1] - g) <= tolerance or top[g][2] - low[g][2] <= 1 or top[g][0] - low[g][0] <= 1:
+            if abs(best[1] - g) <= tolerance or top[g][2] - low[g][2] <= 1 or top[g][0] - low[g][0] <= 1:  # one row, or one key, lies between
                 done[g] = best
     return sorted(done[g] for g in goals)
 
@@ -88,9 +89,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
     """Every row with its shard and its place there, by the law `bytes`.
 
     Size is the text's UTF-8 bytes plus 1 (a null text has none and counts 1). `tolerance` is the
-    part of a shard that a splitter may be off. Rows with null or repeated ids are rows like any
-    other; a text that many rows share is cut between rows where it is larger than a shard. Other
-    columns are ignored; an empty table gives an empty result.
+    part of a shard that a splitter may be off. A group of equal texts of no more bytes than that lies
+    in one shard; a larger one may be cut between rows. Rows with null or repeated ids are rows like
+    any other. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -105,8 +106,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
         )
     )
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
+    allowed = int(total / shards * tolerance)
+    # rows of a small group get one key; the large groups are at most one for each `allowed` bytes
+    large = [r[0] for r in rows.groupBy("hi").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("bytes") > allowed)).select("hi").collect()]
+    cut = F.col("hi").isin(large) if large else F.lit(False)
+    rows = rows.withColumn("place", F.col("lo")).withColumn("lo", F.when(cut, F.col("lo")).otherwise(0))
     fine = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
-    cuts = splitters(rows, shards * fine, int(total / shards * tolerance))
+    cuts = splitters(rows, shards * fine, allowed)
     table = np.array([_pack(min(k, _TOP - 1)) for k, _, _ in cuts], "S16")
 
     @F.pandas_udf("int")
@@ -115,7 +121,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
 
     starts = np.array([0, *(n for _, _, n in cuts)], dtype=np.int64)
     shift = (starts - starts[np.arange(len(starts)) // fine * fine]).tolist()
-    within = F.row_number().over(Window.partitionBy("part").orderBy("hi", "lo")) - 1
+    within = F.row_number().over(Window.partitionBy("part").orderBy("hi", "place")) - 1
     return rows.withColumn("part", part("hi", "lo")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"),
         F.floor(F.col("part") / fine).cast("int").alias("shard"),
