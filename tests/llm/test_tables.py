@@ -77,6 +77,106 @@ def test_vectors(spark):
     assert embed.link_vectors(df.filter("false")).count() == 0
 
 
+def test_vectors_of_any_size(spark):
+    """Squares that over- or underflow; equal, repeated and null ids."""
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [2e-200, 2e-200], 0), (5, [1.0, -1.0], 0), (6, [1.0, -1.0], 1), (7, [0.0, 0.0], 0), (8, [1e300, -1e300], 0), (None, [1.0, 1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: tuple(r)[1:] for r in embed.link_vectors(df).collect()}
+    assert got == {1: (3, 1, True), 2: (3, 1, False), 3: (3, 1, False), 4: (3, 1, False), 5: (1, 5, True), 6: (0, 6, True), 7: (0, 7, True), 8: (1, 5, False), None: (0, None, True)}
+
+
+def test_recall_of_the_probes(spark):
+    """More rows than a list holds, so that pairs lie on both sides of borders: all are found, also without the exact margin."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(700, 64))
+    x = np.vstack([x / np.linalg.norm(x, axis=1)[:, None]] * 2)
+    way = rng.normal(size=(700, 64))
+    x[700:] += way / np.linalg.norm(way, axis=1)[:, None] * rng.uniform(0.05, 0.25, 700)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    labels = np.tile(np.arange(700) % 2, 2)
+    v = spark.createDataFrame([(i, e.tolist(), int(g)) for i, (e, g) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label int")
+    linked = (x @ x.T >= 0.98) & (labels[:, None] == labels[None])
+    want = dict(enumerate((linked.sum(1) - 1).tolist()))
+    before = embed.BLOCK
+    embed.BLOCK = 100
+    try:
+        for sigmas in (embed.SIGMAS, None):
+            got = {a.vec_id: a.n_links for a in embed.link_vectors(v, sigmas=sigmas).collect()}
+            assert sum(got.values()) > 0 and got == {i: want.get(i, 0) for i in got}
+    finally:
+        embed.BLOCK = before
+
+
+def plain_pipeline(rows, language):
+    """(doc_id, text) of what reaches packing, by brute force; `language` tells which rows the classifier keeps."""
+    rows = [r for r in rows if r[0] in language]
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k:k + 5]) for k in range(len(w) - 4)}
+    holders = defaultdict(list)
+    for i in sorted(sets):
+        for x in sets[i]:
+            holders[x].append(i)
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        met = defaultdict(int)
+        for x in sets[i]:
+            for j in holders[x]:
+                met[j] += 1
+        for j, n in met.items():
+            if j < i and 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                u, v = find(i), find(j)
+                parent[max(u, v)] = min(u, v)
+    rows = sorted((i, t.encode()) for i, t in rows if find(i) == i)
+    first = {}
+    for i, b in rows:
+        for k in range(len(b) - 49):
+            first.setdefault(b[k:k + 50], i)
+    out = []
+    for i, b in rows:
+        mark = np.zeros(len(b), bool)
+        for k in range(len(b) - 49):
+            if first[b[k:k + 50]] < i:
+                mark[k:k + 50] = True
+        out.append((i, np.frombuffer(b, np.uint8)[~mark].tobytes().decode("utf-8", "ignore")))
+    return out
+
+
+def test_pipeline_against_a_plain_one(spark, sf_dir, docs):
+    from locusfold.llm import langid, packing, secrets
+    from locusfold.llm.queries import PACK_TOKENIZER, tokenizer_path
+    from tokenizers import Tokenizer
+
+    known = {r.doc_id for r in langid.identify(docs).collect() if r.lang_pred != "und" and r.score >= 0.4}
+    rows = plain_pipeline([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.text is not None], known)
+    spans = {r.doc_id: r.spans for r in secrets.scan_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tok = Tokenizer.from_file(tokenizer_path(PACK_TOKENIZER))
+    want = {}
+    for i, t in rows:
+        mark = np.zeros(len(t) + 1, bool)
+        for _, a, b in (x.split(":") for x in spans[i].split(",") if x):
+            mark[int(a):int(b)] = True
+        t = "".join("" if mark[k] and k and mark[k - 1] else "[SECRET]" if mark[k] else c for k, c in enumerate(t))
+        want[i] = len(tok.encode(t, add_special_tokens=False).ids) + 1
+    got = defaultdict(int)
+    for r in corpus_pipeline.run(spark, sf_dir).collect():
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_pipeline_of_an_empty_table(spark, none):
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, None)
+    assert none.count() == 0
+
+
 def test_pipeline(spark, docs, odd):
     frame = docs
     seen = []
