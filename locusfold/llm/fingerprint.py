@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SLOTS, map_rows, slot_bitmap, small_batches
@@ -91,37 +91,53 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def next_in_order(docs: DataFrame, id_col: str, text_col: str, fn, schema: str) -> DataFrame:
     """`fn(id, text, next text)` for every row, where next goes by descending id and wraps around.
 
-    One exchange by ranges of the id. Each range also gets the topmost row of the range below it
-    (the lowest range: of the highest), so no window spans the table. Rows of equal id are ordered
-    by the hash of their text; null ids are the lowest; a null text counts as empty. A single row
-    is its own next.
+    One exchange by ranges of (id, hash of the text). Each range also gets the topmost row of the range
+    below it (the lowest range: of the highest), so no window spans the table; an id with the rows of
+    several ranges, and the null id, are divided by the hash. Rows of equal id are ordered by that
+    hash, so equal rows stay together; null ids are the lowest; a null text counts as empty. A single
+    row is its own next.
     """
     spark = docs.sparkSession
     small_batches(spark)
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col(id_col).alias("id"))
-    cuts = np.array(sorted(set(ids.filter("id is not null").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))), dtype=np.int64)
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    n, n_null = ids.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    null_ranges = parts * n_null // n if n else 0
+    quantiles = ids.filter("id is not null").approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)
+    cuts, ranges = np.unique(np.array(quantiles, dtype=np.int64), return_counts=True)
+    passed = null_ranges + np.append(0, np.cumsum(ranges))  # ranges below each cut
 
     @F.pandas_udf("int")
-    def part(i: pd.Series) -> pd.Series:
-        known = i.notna()
-        return pd.Series(np.where(known, np.searchsorted(cuts, i.where(known, 0).to_numpy(np.int64), "right"), 0).astype("int32"))
-
-    tops = {r[0]: r[1] for r in ids.groupBy(part("id").alias("part")).agg(F.max("id")).collect()}  # a row per range
+    def part(i: pd.Series, known: pd.Series, h: pd.Series) -> pd.Series:
+        known, value = known.to_numpy(bool), i.to_numpy(np.int64)
+        high = (h.to_numpy(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        below = np.searchsorted(cuts, value, "left")
+        at_cut = np.searchsorted(cuts, value, "right") > below
+        pieces = np.where(at_cut, np.append(ranges, 1)[below], 1)
+        divided = (high * np.where(known, pieces, null_ranges + 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        return pd.Series(np.where(known, passed[below] + at_cut * (1 + divided), divided).astype("int32"))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("part", part(F.coalesce("id", F.lit(0)), F.col("id").isNotNull(), "hash"))
+    tops = {r[0]: r[1] for r in rows.groupBy("part").agg(F.max(F.struct("id", "hash"))).collect()}  # a row per range
     order = sorted(tops)
     after = {p: order[(k + 1) % len(order)] for k, p in enumerate(order)}
     known = F.create_map(*[F.lit(x) for p in order for x in (p, after[p])]) if order else F.create_map(F.lit(0), F.lit(0))
-    top = F.create_map(*[x for p in order for x in (F.lit(p), F.lit(tops[p]).cast("long"))]) if order else F.create_map(F.lit(0), F.lit(0).cast("long"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("part", part("id"))
+
+    def top(field: str) -> Column:
+        pairs = [x for p in order for x in (F.lit(p), F.lit(tops[p][field]).cast("long"))] or [F.lit(0), F.lit(0).cast("long")]
+        return F.element_at(F.create_map(*pairs), F.col("part"))
+
+    is_top = F.col("id").eqNullSafe(top("id")) & (F.col("hash") == top("hash"))
     own = F.struct("part", F.lit(False).alias("guest"))
     guest = F.struct(F.element_at(known, F.col("part")).alias("part"), F.lit(True).alias("guest"))
     dealt = rows.withColumn(
-        "to", F.explode(F.when(F.col("id").eqNullSafe(F.element_at(top, F.col("part"))), F.array(own, guest)).otherwise(F.array(own)))
-    ).select("to.part", "to.guest", "id", "text")
+        "to", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own)))
+    ).select("to.part", "to.guest", "id", "text", "hash")
     # the exchange keeps the rows of a range together, in order; a range's guests come first
     dealt = dealt.repartition(parts // 2, "part").sortWithinPartitions(
-        "part", F.col("guest").desc(), F.col("id").asc_nulls_first(), F.xxhash64("text")
-    )
+        "part", F.col("guest").desc(), F.col("id").asc_nulls_first(), "hash"
+    ).drop("hash")
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -141,7 +157,12 @@ def next_in_order(docs: DataFrame, id_col: str, text_col: str, fn, schema: str)
 
 
 def edit_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprint of every text and of its edited text, whose last third comes from the next document."""
+    """Fingerprint of every text and of its edited text, whose last third comes from the next document.
+
+    A row for each row of `docs`; other columns are ignored. A null text counts as empty. Null ids are the lowest;
+    rows of one id follow each other by the hash of their text. A single row is its own next; an empty table gives
+    an empty result.
+    """
     seed = safe_seed(docs, text_col)
 
     def report(i, text: str, follower: str) -> tuple:
