@@ -52,11 +52,25 @@ def presence(text: str, letters: str, flags: np.ndarray) -> bool:
     return True
 
 
+def _packed(flags: np.ndarray) -> bytes:
+    """The marked n-grams as numbers, or as a bitmap where that is shorter: at most _SIZES[-1] / 8 bytes and one."""
+    grams = np.flatnonzero(flags).astype("<i4")
+    return b"n" + grams.tobytes() if 32 * len(grams) < len(flags) else b"b" + np.packbits(flags).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    """The n-grams of `_packed` in ascending order."""
+    if packed[:1] == b"n":
+        return np.frombuffer(packed, "<i4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(packed, np.uint8, offset=1))).astype("<i4")
+
+
 def fit(docs: DataFrame, *, per_language: int = 400, landmarks: int = 40, ridge: float = 1e-2, seed: int = 7) -> dict | None:
     """Model from the rows whose crc32(id) mod 3 is not 1 and whose lang is not null; None if there are none.
 
     About `per_language` rows of each language are used, chosen by a hash of the id; `landmarks` of
-    them per language are landmarks. Both bound what reaches the driver: n-gram sets, not texts.
+    them per language are landmarks. Both bound what reaches the driver: n-gram sets of at most 33 kB
+    each (see `_packed`), so 13 MB a language, and no texts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -76,18 +90,18 @@ def fit(docs: DataFrame, *, per_language: int = 400, landmarks: int = 40, ridge:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(_SIZES[-1], np.uint8)
         for b in batches:
-            rows = [(i, lang, np.flatnonzero(flags).astype("<i4").tobytes()) for i, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True) if presence(t, alphabet, flags)]
+            rows = [(i, lang, _packed(flags)) for i, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True) if presence(t, alphabet, flags)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary()))], ["id", "lang", "grams"])
 
     got = sample.select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(sets, "id long, lang string, grams binary").collect()
-    got = sorted(((r[1], r[0], np.frombuffer(bytes(r[2]), "<i4")) for r in got), key=lambda r: (r[0], r[1], len(r[2])))
+    got = sorted(((r[1], r[0], bytes(r[2])) for r in got), key=lambda r: (r[0], r[1], len(r[2])))
     languages = sorted({r[0] for r in got})
     if not languages:
         return None
     marks = []
     for lang in languages:
         own = [r[2] for r in got if r[0] == lang]
-        marks += [own[i] for i in np.linspace(0, len(own) - 1, min(landmarks, len(own))).astype(int)]
+        marks += [_unpacked(own[i]) for i in np.linspace(0, len(own) - 1, min(landmarks, len(own))).astype(int)]
     vocab = np.unique(np.concatenate(marks))
     table = np.zeros((len(vocab), len(marks)), np.float32)
     for k, g in enumerate(marks):
@@ -99,7 +113,7 @@ def fit(docs: DataFrame, *, per_language: int = 400, landmarks: int = 40, ridge:
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
     rows = np.zeros((len(got), len(marks)))
-    for k, (_, _, g) in enumerate(got):
+    for k, g in enumerate(_unpacked(r[2]) for r in got):
         at = np.minimum(np.searchsorted(vocab, g), len(vocab) - 1)
         rows[k] = table[at[vocab[at] == g]].sum(0) / np.sqrt(len(g))
     x = np.c_[rows @ whiten, np.ones(len(rows))]
