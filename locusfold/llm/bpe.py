@@ -233,7 +233,10 @@ def encode_documents(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id"
 
 
 def encode_digests(docs: DataFrame, ranks_path: str) -> DataFrame:
-    """Digests of `encode_documents`: the ids, and the decoded text's bytes."""
+    """Digests of `encode_documents`: the ids, and the decoded text's bytes; a row for each row of `docs`.
+
+    A null text counts as empty; null and repeated ids are kept; an empty table gives an empty result.
+    """
     return encode_documents(docs, ranks_path).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("text_back").cast("binary"), 256).alias("decoded_sha256"),

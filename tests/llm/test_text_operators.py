@@ -268,6 +268,27 @@ def test_next_of_ties_and_single_rows(spark):
     assert r.edited_sha256 == hashlib.sha256(b"aba").hexdigest() and r.near_next == 1.0
 
 
+def test_next_of_hot_and_null_ids(spark):
+    """A third of the rows without an id and a third with one id are divided among ranges; the order stays whole."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k % 250} " * (1 + k % 5)) for k in range(900)]
+    df = spark.createDataFrame(rows + [(7, "same text")] * 40, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.h, r.text) for r in df.collect()), reverse=True)
+    want = []
+    for k, (known, i, _, t) in enumerate(order):
+        follower, n = order[(k + 1) % len(order)][3], len(t) // 3
+        want.append((i if known else None, hashlib.sha256((t[:len(t) - n] + follower[:n]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in fingerprint.edit_report(df.repartition(5)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("n", [0, 1, 500, 8321, 8322, 200000])
+def test_packed_ngrams_are_bounded_and_whole(n):
+    flags = np.zeros(langid._SIZES[-1], np.uint8)
+    flags[np.random.default_rng(n).choice(len(flags), n, replace=False)] = 1
+    packed = langid._packed(flags)
+    assert len(packed) <= len(flags) // 8 + 1 and np.array_equal(langid._unpacked(packed), np.flatnonzero(flags))
+
+
 @pytest.mark.parametrize("call", [
     secrets.mask, minhash.keep_one, langid.keep_known, suffix.strip_repeats,
     lambda d: packing.pack_documents(d, PACK), minhash.dedup_report, fingerprint.edit_report, suffix.repeat_report,
