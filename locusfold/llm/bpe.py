@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows
-from .pretokens import pretokens
+from .pretokens import PretokenMemo
 
-#: Entries of the remembered transitions, which are emptied when full, and of two generations of encoded pretokens.
-MEMO_ENTRIES = 1 << 20
+#: Entries of the remembered transitions, which are emptied when full.
+STEPS = 3 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,8 +38,7 @@ class BpeTransducer:
         self.tokens = {v: k for k, v in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t))}  # proper prefixes: what may still grow
         self.spines: dict[bytes, tuple | None] = {}
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = PretokenMemo(self.pretoken)
         self.forget()
 
     def forget(self) -> None:
@@ -48,6 +47,7 @@ class BpeTransducer:
         self.states: list[tuple] = [start]
         self.numbers = {start: 0}
         self.steps: dict[int, tuple[int, bytes]] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
     def merge(self, data: bytes, trace: list | None = None) -> list[bytes]:
         """Merging in order of rank, for single tokens and the rare compatibility test."""
@@ -109,21 +109,26 @@ class BpeTransducer:
         which a longer token may still start."""
         before, pending, lengths, live = state
         pending += byte
-        n = len(pending)
-        for start in live:
-            token = pending[start:]
-            if token in self.ranks:
-                last = pending[start - lengths[start - 1]:start] if start else before
-                if self.compatible(last, token):
-                    break
-        lengths += (n - start,)
-        live = (*(j for j in live if pending[j:] in self.prefixes), n)
-        settled = live[0]
+        n, found, growing = len(pending), -1, []
+        for j in live:
+            token = pending[j:]
+            if found < 0 and token in self.ranks:
+                pair = pending[j - lengths[j - 1]:j] if j else before, token
+                fits = self.pairs.get(pair)
+                if fits is None:
+                    fits = self.pairs[pair] = self.compatible(*pair)
+                if fits:
+                    found = j
+            if token in self.prefixes:
+                growing.append(j)
+        growing.append(n)
+        lengths += (n - found,)
+        settled = growing[0]
         if not settled:
-            return (before, pending, lengths, live), b""
-        used = set()
-        for j in live:  # the deepest position that all chains share
-            while j != settled:
+            return (before, pending, lengths, tuple(growing)), b""
+        used: set[int] = set()
+        for j in growing:  # the deepest position that all chains share
+            while j != settled and j not in used:
                 if j > settled:
                     used.add(j)
                     j -= lengths[j - 1]
@@ -136,8 +141,9 @@ class BpeTransducer:
             j -= lengths[j - 1]
         if settled:
             before = pending[settled - lengths[settled - 1]:settled]
-        kept = tuple(k if i in used else 0 for i, k in enumerate(lengths[settled:], settled + 1))
-        return (before, pending[settled:], kept, tuple(j - settled for j in live)), b"".join(reversed(out))
+            pending = pending[settled:]
+        kept = tuple([k if i in used else 0 for i, k in enumerate(lengths[settled:], settled + 1)])
+        return (before, pending, kept, tuple([j - settled for j in growing])), b"".join(reversed(out))
 
     def _learn(self, number: int, byte: int) -> tuple[int, bytes]:
         """The transition of a numbered state by a byte, determinised now."""
@@ -159,7 +165,7 @@ class BpeTransducer:
 
     def stream(self, data: Iterable[int]) -> Iterator[bytes]:
         """Ids of one pretoken given byte by byte, as soon as they are settled."""
-        if len(self.steps) > MEMO_ENTRIES:
+        if len(self.steps) > STEPS:
             self.forget()
         number, get = 0, self.steps.get
         for byte in data:
@@ -168,19 +174,13 @@ class BpeTransducer:
                 yield ids
         yield self._flush(self.states[number])
 
+    def encode(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers; short pretokens are remembered for a while."""
+        return self.memo.text(text)
+
     def pretoken(self, word: str) -> bytes:
         return b"".join(self.stream(word.encode()))
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers; pretokens are remembered for a while."""
-        words = pretokens(text)
-        if len(self.memo) > MEMO_ENTRIES // 2:
-            self.older, self.memo = self.memo, {}
-        memo, older = self.memo, self.older
-        for w in {w for w in words if w not in memo}:
-            memo[w] = older.get(w) or self.pretoken(w)
-        return b"".join(map(memo.__getitem__, words))
-
 
 class StreamingDecoder:
     """Ids to text in pieces: an incremental UTF-8 machine holds back an unfinished character.

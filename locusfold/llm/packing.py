@@ -21,10 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
-from .pretokens import pretokens
-
-#: Entries of each of the two generations of a worker's memory of encoded pretokens, and letters of a pretoken that is remembered.
-MEMO_ENTRIES, MEMO_LETTERS = 1 << 18, 48
+from .pretokens import PretokenMemo
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -34,21 +31,6 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class _Memo(dict):
-    """Packed ids by pretoken; one that is not there comes from the generation before, or from `encode`."""
-
-    def __init__(self, encode, older: dict):
-        self.encode, self.older = encode, older
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(word)
-        if len(word) <= MEMO_LETTERS:
-            self[word] = ids
-        return ids
-
-
 class PretokenEncoder:
     """Encodes texts with a `tokenizers` file as its plain call does; every distinct pretoken is encoded once, by the
     file's BPE model, and remembered.
@@ -65,18 +47,16 @@ class PretokenEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.visible = self.tokenizer.model, _visible_bytes()
-        self.memo = _Memo(self._pretoken, {})
+        self.memo = PretokenMemo(self._pretoken)
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for t in texts:
-            if len(self.memo) > MEMO_ENTRIES:
-                self.memo = _Memo(self._pretoken, dict(self.memo))
             if any(a in t for a in self.added):
                 out.append(self._packed(self.tokenizer.encode(t, add_special_tokens=False).ids))
             else:
-                out.append(b"".join(map(self.memo.__getitem__, pretokens(t))))
+                out.append(self.memo.text(t))
         return out
 
     def _pretoken(self, word: str) -> bytes:
