@@ -319,8 +319,10 @@ def _block_links(ids: list[int], owners: np.ndarray, sets: list[np.ndarray], sid
 def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between different components of a bucket.
 
-    A bucket is cut into blocks of about BLOCK members, and a task compares one block with itself or
-    with one other; what leaves it are at most as many links as the blocks have members.
+    Members of a bucket's largest component are connected already, so they meet the bucket's other
+    members only; those meet all. Both kinds are cut into blocks of about BLOCK members, and a task
+    compares one block with itself or with one other; what leaves it are at most as many links as
+    the blocks have members.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,11 +332,17 @@ def _across(mixed: DataFrame, texts: DataFrame) -> DataFrame:
             )
 
     sets = texts.select("id", "text").mapInArrow(pack, "id long, set binary")
-    blocks = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own, other = F.col("own"), F.col("other")
+    sizes = mixed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    blocks = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).select(
+        "bucket", F.col("top.component").alias("largest"), F.ceil(F.col("top.n") / BLOCK).alias("inner"),
+        F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("outer"),
+    )
+    own, other, inside, spot = F.col("own"), F.col("other"), F.col("component") == F.col("largest"), F.xxhash64("id")
+    place = F.when(inside, F.pmod(spot, F.col("inner"))).otherwise(F.col("inner") + F.pmod(spot, F.col("outer")))
+    partners = F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0)), F.col("inner") + F.col("outer") - 1)
     rows = (
-        mixed.join(blocks, "bucket").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        mixed.join(blocks, "bucket").withColumn("own", place).withColumn("partners", partners).join(sets, "id")
+        .withColumn("other", F.explode("partners"))
         .select("bucket", F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), "id", "component", "set", (own > other).cast("int").alias("side"))
     )
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")

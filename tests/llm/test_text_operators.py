@@ -108,6 +108,34 @@ def test_minhash_blocks_find_chains():
     assert links == [(1, 2)]
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+@pytest.mark.parametrize("largest", [20, 1])
+def test_minhash_across_spares_the_largest_component_only(spark, monkeypatch, block, largest):
+    """Chains of drifting texts in one bucket: the links found join the same components as all links do."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(40):
+        rows.append((i, " ".join(words)))
+        for _ in range(6 if i % 10 == 9 else 1):  # every tenth step is too long for a link
+            words[rng.integers(60)] = f"x{rng.random()}"
+    component = {i: min(i, i if i >= largest else 0) for i, _ in rows}
+    sets = dict(zip((i for i, _ in rows), minhash.shingle_sets([t for _, t in rows]), strict=True))
+
+    def classes(links):
+        of = dict(component)
+        for a, b in links:
+            x, y = sorted((of[a], of[b]))
+            of = {k: x if v == y else v for k, v in of.items()}
+        return of
+
+    mixed = spark.createDataFrame([(1, i, c) for i, c in component.items()], "bucket long, id long, component long")
+    found = [(r.a, r.b) for r in minhash._across(mixed, spark.createDataFrame(rows, "id long, text string")).collect()]
+    want = [(a, b) for a in sets for b in range(a) if component[a] != component[b] and minhash.similar(sets[a], sets[b])]
+    assert classes(found) == classes(want) and len(set(classes(want).values())) > 2
+
+
 @pytest.mark.parametrize("limits", [suffix.Limits(), suffix.Limits(part=1 << 16, hot=2, shard=1 << 12, queue=64)])
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_suffix_dedup(table, limits, request):
