@@ -47,15 +47,21 @@ def materialize(df: DataFrame) -> DataFrame:
     The files are deleted when the application ends, or by `forget`.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.option("compression", "zstd").parquet(path)
-    target, files = _file_system(spark, path)
-    files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the application ends."""
+    path = f"{scratch_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
+    return path
+
+
 def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())

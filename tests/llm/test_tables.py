@@ -207,7 +207,7 @@ def test_sql(name, spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "pages"):
         path = f"{sf_dir}/{t}.parquet"
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path + '/*.parquet' if os.path.isdir(path) else path}'")
     sql = con.sql(queries.oracle_sql()[name])
