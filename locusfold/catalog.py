@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import attribution, core, evaluation, genome, importance  # noqa: F401  they register their queries
+from .plans import attribution, core, evaluation, genome, importance, models  # noqa: F401  they register their queries
 from .plans.registry import ORACLES, QUERIES, Query
 
 

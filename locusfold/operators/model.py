@@ -7,39 +7,23 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import inverse_transform, target_transform
+from .metrics import inverse_transform
+from .ridge import fit_ridge
 
 
 def standardize(df: DataFrame, features: Sequence[str], fit_filter: str = "split = 'train'") -> DataFrame:
-    """Features minus the train mean over the train population deviation (0 counts as 1)."""
+    """Features minus the train mean over the train population deviation (0 counts as 1). For thousands of features, `fit_ridge` scales vectors itself."""
     stats = df.filter(fit_filter).agg(*[F.avg(c).alias(f"_m_{c}") for c in features], *[F.stddev_pop(c).alias(f"_s_{c}") for c in features])
     scale = lambda c: F.when(F.col(f"_s_{c}") == 0, 1.0).otherwise(F.col(f"_s_{c}"))
     return df.crossJoin(F.broadcast(stats)).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / scale(c) for c in features}).select(*df.columns)  # one row joins
 
 
 def ridge_alpha_search(df: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float], transform: str = "identity"):
-    """(coefficients, search table): fitted on train for each alpha, chosen by the least validation MSE.
-
-    The objective ||y - Xw - b||^2 + alpha ||w||^2 is Spark's with regParam alpha / n * std(y).
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
+    """(coefficients, search table) of `fit_ridge` on feature columns as they are: fitted on train for each alpha, chosen by the least validation MSE."""
+    values = F.array(*[F.col(c).cast("double") for c in features])
+    fit = fit_ridge(df.select("split", F.col(label).alias("_label"), values.alias("values")), len(features), {"_label": transform}, alphas, slots=None, scale=False, features=features)
     spark = df.sparkSession
-    y = target_transform(F.col(label).cast("double"), transform)
-    rows = VectorAssembler(inputCols=list(features), outputCol="features").transform(df.withColumn("_y", y)).select("features", "_y", "split").persist()
-    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
-    n, std = train.agg(F.count("*"), F.stddev_pop("_y")).first()
-    found = []
-    for a in alphas:
-        model = LinearRegression(labelCol="_y", solver="normal", elasticNetParam=0.0, standardization=False, regParam=a / n * std).fit(train)
-        mse = model.transform(val).agg(F.avg((F.col("prediction") - F.col("_y")) ** 2)).first()[0]
-        found.append((float(a), mse, model))
-    rows.unpersist()
-    best = min(found, key=lambda x: x[1])
-    coefs = [(f, float(c)) for f, c in zip(features, best[2].coefficients, strict=True)] + [("intercept", float(best[2].intercept))]
-    search = spark.createDataFrame([(a, m, a == best[0]) for a, m, _ in found], "alpha double, val_mse double, chosen boolean")
-    return spark.createDataFrame(coefs, "feature_name string, coef double"), search
+    return fit.coef_frame(spark).drop("target"), fit.search_frame(spark).drop("target")
 
 
 def linear_scorer(features: Sequence[str], coefs: dict[str, float], transform: str = "identity") -> Column:

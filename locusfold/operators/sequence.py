@@ -320,16 +320,23 @@ def kmer_features(loci: DataFrame, edges: Sequence[tuple[int, int]], k_values: S
     return loci.select(*key, lf, rf).mapInArrow(run, f"{_kinds(loci, key)}, feature string, value double")
 
 
-def gc_features(loci: DataFrame, edges: Sequence[tuple[int, int]], flank_mode: str = "separate", key: Sequence[str] = ("id",)) -> DataFrame:
-    """Share of G and C among the valid bases by side and bin; 0 without any. `pooled` weighs both sides by length."""
-    bins = flank_bins(loci, edges, key)
-    several = len(edges) > 1
-    valid = F.length(F.regexp_replace("bases", "[^ACGT]", ""))
-    gc = F.length(F.regexp_replace("bases", "[^GC]", ""))
-    side = F.col("side") if flank_mode == "separate" else F.lit("flank")
-    name = F.concat(side, F.concat(F.lit("_bin"), F.col("bin")) if several else F.lit(""), F.lit("_gc"))
-    sums = bins.groupBy(*key, name.alias("feature")).agg(F.sum(gc).alias("gc"), F.sum(valid).alias("valid"))
-    return sums.select(*key, "feature", F.coalesce(F.col("gc") / F.nullif(F.col("valid"), F.lit(0)), F.lit(0.0)).alias("value"))
+def gc_features(loci: DataFrame, edges: Sequence[tuple[int, int]], flank_mode: str = "separate", key: Sequence[str] = ("id",), lf: str = "lf", rf: str = "rf") -> DataFrame:
+    """Share of G and C among the valid bases by side and bin; 0 without any. `pooled` weighs both sides by length. A row's bins are computed where it lies."""
+    n = F.length(lf)
+
+    def share(*texts: Column) -> Column:
+        joined = F.concat(*[F.coalesce(t, F.lit("")) for t in texts])
+        valid = F.length(F.regexp_replace(joined, "[^ACGT]", ""))
+        return F.coalesce(F.length(F.regexp_replace(joined, "[^GC]", "")) / F.nullif(valid, F.lit(0)), F.lit(0.0))
+
+    rows = []
+    for b, (lo, hi) in enumerate(edges):
+        near, far = F.greatest(n - lo, F.lit(0)), F.greatest(n - hi, F.lit(0))
+        left, right = F.substring(lf, (far + 1).cast("int"), (near - far).cast("int")), F.substring(rf, lo + 1, hi - lo)
+        tag = f"_bin{b}" if len(edges) > 1 else ""
+        rows += [(f"left{tag}_gc", share(left)), (f"right{tag}_gc", share(right))] if flank_mode == "separate" else [(f"flank{tag}_gc", share(left, right))]
+    pairs = F.array(*[F.struct(F.lit(name).alias("feature"), v.alias("value")) for name, v in rows])
+    return loci.select(*key, F.inline(pairs))
 
 
 def motif_onehot(df: DataFrame, unit: str, rev_comp: str, k: int, key: Sequence[str] = ("id",)) -> DataFrame:

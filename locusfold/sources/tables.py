@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,22 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import require_columns
 from ..operators.sequence import chunk_lengths, pieces_of
+from ..operators.staging import scratch as scratch
 
 REPEAT_CLASSES = "SINE|LINE|LTR|DNA|Satellite|RC|RNA|Retroposon"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir; where that is unset, a temporary folder of a local session, an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def read_table(spark: SparkSession, path: str, schema: str, required: Sequence[str] = (), columns: Sequence[str] | None = None, sep: str = "\t") -> DataFrame:
     """Table with a header; columns are matched by name, so a header without a required one is an error."""
     header = spark.read.option("sep", sep).option("header", True).csv(path)
