@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import avg_rank, exact_quantiles, join_same, present
-from .relational import dice
-from .resampling import bootstrap_means, by_size, in_blocks, interval, shuffled
+from .resampling import bootstrap_means, in_pieces, interval, permuted_places, pieces, sum_vectors
 from .sequence import canonical_kmer
+from .staging import stored
 
 
 def relative_delta(delta: Column, difference: Column, eps: float = 1e-6) -> Column:
@@ -156,51 +156,61 @@ def processed_scores(kmers: DataFrame, strata: Sequence[str], use_ranks: bool =
     return avg_rank(rows, "score", strata, "_r").withColumn("score", F.col("_r")).drop("_r") if use_ranks else rows
 
 
+#: Places of a stratum up to which a table tells the k-mer of each; beyond it, a search by the k-mers' first places does.
+LABELS = 1 << 24
+
+
 def stratified_permutation(kmers: DataFrame, n_perm: int, seed: int = 42, use_ranks: bool = True, use_absolute: bool = False, by: Sequence[str] = (), key: str = "obs") -> tuple[DataFrame, DataFrame]:
-    """(observed means, null means): per k-mer the mean score, and its means with scores shuffled within each distance.
+    """(observed means, null means): per k-mer its mean score, and `null_means`, its mean in each permutation of the scores within every distance.
 
-    A task shuffles one distance in a block of permutations and returns sums by k-mer, so rows times
-    permutations are never shuffled between tasks. `key` numbers the rows. Distances of more rows
-    than a task may gather are ordered by a hash of (seed, permutation, row) and met by a join.
+    In a permutation, the k-mers of a distance take places one after the other, by name, and a bijection gives each score
+    a place: a score needs only its number and the k-mers' counts to find its k-mer, so rows never meet. Sums by k-mer are
+    vectors over permutations. `key` numbers the rows; rows without a k-mer are left out. Processed rows are written once, by a job of this call.
     """
     strata = [*by, "distance"]
-    rows = processed_scores(kmers, strata, use_ranks, use_absolute).select(*strata, "kmer", "score", key)
+    rows = stored(processed_scores(kmers.filter("kmer is not null"), strata, use_ranks, use_absolute).select(*strata, "kmer", F.col("score").cast("double").alias("score"), key))
     observed = rows.groupBy(*by, "kmer").agg(F.avg("score").alias("observed_mean"), F.count("*").alias("n_occurrences"))
-    small, large = by_size(rows, strata)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*strata).dtypes)
-    name = dict(rows.dtypes)["kmer"]
+    dealt, info = pieces(rows, strata, key)
+    words = rows.groupBy(*strata, "kmer").agg(F.count("*").alias("_count"))
+    lists = F.array_sort(F.collect_list(F.struct("kmer", "_count")))  # as many as a distance has different k-mers
+    words = words.groupBy(*strata).agg(lists.alias("_words")).select(*strata, F.col("_words.kmer").alias("_kmers"), F.col("_words._count").alias("_counts"))
+    info = stored(join_same(info, words, strata, "inner"))
 
-    def shuffle(stratum: tuple, frame: pd.DataFrame, perms: range) -> pd.DataFrame:
-        frame = frame.sort_values(key, kind="stable")
-        code, words = pd.factorize(frame["kmer"])
+    def shuffle(stratum: tuple, frame: pd.DataFrame, about: pd.Series, perms: range):
         score = frame["score"].to_numpy(np.float64)
-        text = "|".join(map(str, stratum))
-        sums = np.stack([np.bincount(code, score[shuffled(seed, text, p, len(score))], len(words)) for p in perms])
-        return pd.DataFrame({**dict(zip(strata, stratum, strict=True)), "kmer": words, "n": np.bincount(code, minlength=len(words)), "first": perms.start, "sums": list(sums.T)})
-
-    sums = in_blocks(small.filter("kmer is not null"), strata, n_perm, shuffle, f"{kinds}, kmer {name}, n long, first int, sums array<double>")
-    each = sums.select(*by, "kmer", "n", F.col("first"), F.posexplode("sums").alias("i", "s")).select(*by, "kmer", (F.col("first") + F.col("i")).alias("perm"), "n", "s")
-    if large is not None:
-        placed = large.withColumn("place", F.row_number().over(Window.partitionBy(*strata).orderBy(key)))
-        perms = placed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
-        drawn = perms.withColumn("place", F.row_number().over(Window.partitionBy(*strata, "perm").orderBy(dice(seed, "perm", key), key))).select(*strata, "perm", "place", "score")
-        met = join_same(perms.select(*strata, "perm", "place", "kmer"), drawn, [*strata, "perm", "place"], "inner")
-        each = each.unionByName(met.groupBy(*by, "kmer", "perm").agg(F.count("*").alias("n"), F.sum("score").alias("s")))
-    return observed, each.groupBy(*by, "perm", "kmer").agg((F.sum("s") / F.sum("n")).alias("null_mean"))
+        score = score[np.lexsort((score, frame["_h"].to_numpy()))]
+        ends = np.cumsum(about["_counts"])
+        n = int(about["_n"])
+        label = np.repeat(np.arange(len(ends)), about["_counts"]) if n <= LABELS else None
+        sums = np.empty((len(ends), len(perms)))
+        places = int(about["_before"]) + np.arange(len(score))
+        for i, to in enumerate(permuted_places(seed, stratum, perms, places, n)):
+            sums[:, i] = np.bincount(label[to] if label is not None else np.searchsorted(ends, to, "right"), score, len(ends))
+        for word, total in zip(about["_kmers"], sums, strict=True):
+            yield {**dict(zip(by, stratum, strict=False)), "kmer": word, "_sums": total}
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*by, "kmer").dtypes)
+    each = in_pieces(dealt.select(*strata, "score", "_h", "_piece"), info, strata, n_perm, shuffle, f"{kinds}_vector int, _sums array<double>")
+    vectors = F.array_sort(F.collect_list(F.struct("_vector", "_sums")))  # n_perm numbers of a k-mer
+    sums = sum_vectors(each, [*by, "kmer", "_vector"], "_sums").groupBy(*by, "kmer").agg(vectors.alias("_v")).withColumn("_v", F.flatten("_v._sums"))
+    null = join_same(sums, observed.select(*by, "kmer", "n_occurrences"), [*by, "kmer"], "inner")
+    return observed, null.select(*by, "kmer", F.transform("_v", lambda s: s / F.col("n_occurrences")).alias("null_means"))
+
+
+def null_rows(null: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, perm, kmer, null_mean): the vectors of `stratified_permutation` as rows, for results that list them."""
+    return null.select(*by, "kmer", F.posexplode("null_means").alias("perm", "null_mean")).select(*by, "perm", "kmer", "null_mean")
 
 
 def permutation_pvalues(observed: DataFrame, null: DataFrame, min_count: int = 30, use_absolute: bool = False, by: Sequence[str] = ()) -> DataFrame:
-    """(b + 1) / (m + 1): one-sided for absolute scores, two-sided around the null's mean otherwise."""
-    keys = [*by, "kmer"]
-    centre = null.groupBy(*keys).agg(F.avg("null_mean").alias("centre"))
-    joined = null.join(observed.filter(F.col("n_occurrences") >= min_count), keys).join(centre, keys)
-    hit = F.col("null_mean") >= F.col("observed_mean") if use_absolute else F.abs(F.col("null_mean") - F.col("centre")) >= F.abs(F.col("observed_mean") - F.col("centre"))
-    out = joined.groupBy(*keys).agg(
-        F.first("n_occurrences").alias("n_occurrences"), F.first("observed_mean").alias("observed_mean"), F.first("centre").alias("null_mean"),
-        ((F.count_if(hit) + 1) / (F.count("*") + 1)).alias("p_value"),
-    )
-    up = F.lit("higher") if use_absolute else F.when(F.col("observed_mean") > F.col("null_mean"), "higher").otherwise("lower")
-    return out.withColumn("effect_direction", up)
+    """(b + 1) / (m + 1): one-sided for absolute scores, two-sided around the null's mean otherwise. Permutations are counted on their vector."""
+    n = F.size("null_means")
+    mean = F.aggregate("null_means", F.lit(0.0), lambda s, x: s + x) / n
+    rows = join_same(null, observed.filter(F.col("n_occurrences") >= min_count), [*by, "kmer"], "inner").withColumn("null_mean", mean)
+    seen, centre = F.col("observed_mean"), F.col("null_mean")
+    hits = F.size(F.filter("null_means", lambda x: x >= seen if use_absolute else F.abs(x - centre) >= F.abs(seen - centre)))
+    up = F.lit("higher") if use_absolute else F.when(seen > centre, "higher").otherwise("lower")
+    return rows.select(*by, "kmer", "n_occurrences", "observed_mean", "null_mean", ((hits + 1) / (n + 1)).alias("p_value"), up.alias("effect_direction"))
 
 
 def raw_effect(kmers: DataFrame, by: Sequence[str] = ()) -> DataFrame:

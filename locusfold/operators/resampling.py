@@ -1,18 +1,18 @@
-"""Bootstraps and permutations in blocks of replicates.
+"""Bootstraps and permutations of groups of any size, in pieces of rows and blocks of replicates.
 
-A task has one group and one block of replicates: it draws by a counter-based generator keyed by
-(seed, replicate), so that results do not depend on partitioning, and returns the replicates'
-statistics alone. A group of more than GROUP_ROWS rows is not gathered: its draws meet its rows by
-an equi-join.
+A group is cut into pieces by a hash of its rows' order and its size alone. What a piece draws follows from counters
+keyed by the seed, the group and the replicate, so results depend neither on partitioning nor on where a piece is
+computed. A piece returns sums by replicate as vectors, which are added element by element after one exchange.
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +29,6 @@ def draws(seed: int, replicate: int, n: int, first: int = 0, count: int | None =
     return ((bits.random_raw(n if count is None else count) >> np.uint64(11)) * 2.0**-53 * n).astype(np.int64)
 
 
-def shuffled(seed: int, stratum: str, replicate: int, n: int) -> np.ndarray:
-    """The permutation of n rows of a stratum in a replicate."""
-    key = np.array([seed, (zlib.crc32(stratum.encode()) << 32) + replicate], np.uint64)
-    return np.random.Generator(np.random.Philox(key=key)).permutation(n)
-
-
 def by_size(df: DataFrame, per: Sequence[str], limit: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame | None]:
     """(rows of groups up to `limit`, rows of larger ones or None)."""
     sizes = df.groupBy(*per).agg(F.count("*").alias("_size"))
@@ -113,3 +107,129 @@ def interval(df: DataFrame, value: str, per: Sequence[str], level: float) -> Dat
     """(per, lo, hi, n_boot) of replicates; a group has as many values as there are replicates."""
     a = (1 - level) / 2
     return df.groupBy(*per).agg(F.percentile(value, a).alias("lo"), F.percentile(value, 1 - a).alias("hi"), F.count(value).alias("n_boot"))
+
+
+#: Rows of a piece, and replicates of a vector. Both are part of the results' definition: change them and other draws are made.
+PIECE_ROWS, WIDTH = 1 << 20, 512
+
+
+def pieces(rows: DataFrame, per: Sequence[str], order: str, each: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with _h, a hash of the order, and _piece; a row per piece with its _size, the rows before it and its group's _n).
+
+    Groups have as many pieces as their size asks for. Rows of equal order stay in one piece. `rows` is read three times.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(order))
+    sizes = hashed.groupBy(*per).agg(F.ceil(F.count("*") / (each or PIECE_ROWS)).alias("_parts"))
+    dealt = join_same(hashed, sizes, per, "inner").withColumn("_piece", F.pmod(F.col("_h"), F.col("_parts")).cast("int")).drop("_parts")
+    counts = dealt.groupBy(*per, "_piece").agg(F.count("*").alias("_size"))
+    group = Window.partitionBy(*per)
+    before = F.sum("_size").over(group.orderBy("_piece")) - F.col("_size")
+    return dealt, counts.select(*per, "_piece", "_size", before.alias("_before"), F.sum("_size").over(group).alias("_n"))
+
+
+def in_pieces(dealt: DataFrame, info: DataFrame, per: Sequence[str], n: int, fn: Callable[[tuple, pd.DataFrame, pd.Series, range], Iterator[dict]], schema: str) -> DataFrame:
+    """Rows of `fn(group's key, a piece's rows, its row of info, the replicates of a vector)` for all pieces and vectors of n replicates.
+
+    Few pieces are dealt out several times, to share their vectors among tasks; which of the tasks has a vector does not show in the result.
+    """
+    vectors = -(-n // WIDTH)
+    count = info.count()
+    lots = max(1, min(vectors, 256 // max(count, 1)))
+    columns = [x.strip().split(" ")[0].strip("`") for x in schema.split(",")]
+
+    def run(key: tuple, rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(about):
+            for v in range(int(key[-1]), vectors, lots):
+                out += [{"_vector": v, **r} for r in fn(key[:-2], rows, about.iloc[0], range(v * WIDTH, min(n, (v + 1) * WIDTH)))]
+        return pd.DataFrame(out, columns=columns)
+
+    lot = F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("_lot")
+    left, right = (df.select("*", lot).groupBy(*per, "_piece", "_lot") for df in (dealt, info))
+    return left.cogroup(right).applyInPandas(run, schema)
+
+
+def sum_vectors(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """(keys, vector): vectors of doubles added element by element within equal keys, one vector held at a time."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, held = None, None, []
+
+        def flush(schema: pa.Schema) -> pa.RecordBatch:
+            cols = [pa.array([k[i] for k, _ in held], schema.field(i).type) for i in range(len(keys))]
+            batch = pa.RecordBatch.from_arrays([*cols, pa.array([v for _, v in held], pa.list_(pa.float64()))], [*keys, vector])
+            held.clear()
+            return batch
+
+        schema = None
+        for b in batches:
+            schema = b.schema
+            lists = b.column(len(keys))
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for i, k in enumerate(zip(*(b.column(j).to_pylist() for j in range(len(keys))), strict=True)):
+                part = flat[ends[i]:ends[i + 1]]
+                if k == key:
+                    total += part
+                else:
+                    if key is not None:
+                        held.append((key, total))
+                    key, total = k, part.copy()
+            if len(held) > 1000:
+                yield flush(schema)
+        if key is not None:
+            held.append((key, total))
+            yield flush(schema)
+
+    return df.select(*keys, vector).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, `{vector}` array<double>")
+
+
+def stream(seed: int, group: tuple, at: int, count: int) -> np.ndarray:
+    """`count` raw numbers of 64 bits from place `at`, a multiple of 4, of the stream of a group."""
+    name = int.from_bytes(hashlib.blake2b("\x1f".join("" if x is None or x != x else str(x) for x in group).encode(), digest_size=8).digest(), "little")
+    bits = np.random.Philox(key=np.array([seed, name], np.uint64))
+    bits.advance(at // 4)
+    return bits.random_raw(count)
+
+
+def permuted_places(seed: int, group: tuple, replicates: range, places: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """For each replicate, where a random permutation of 0..n-1 puts these places: nothing is sorted and no other place is needed.
+
+    A Feistel network over pairs (l, r) with l < a, r < b and a b >= n: halves are shifted in turn by random functions of
+    the other half, eight times or, for small n, more often. Results of n or more, fewer than a in all, go through it again.
+    """
+    a = max(1, int(np.ceil(np.sqrt(n))))
+    b = max(1, -(-n // a))
+    rounds = 4 + 96 // (n + 1)  # of two shifts
+    need = -(-rounds * (a + b) // 4) * 4
+    size = len(places)
+    left, right = (x.astype(np.intp) for x in np.divmod(places, b))
+    chunk = max(1, min((1 << 14) // max(size, 1), (1 << 16) // need))  # few places: several replicates at once
+    for first in range(replicates.start, replicates.stop, chunk):
+        m = min(chunk, replicates.stop - first)
+        bits = stream(seed, group, first * need, need * m).reshape(m, need) >> np.uint64(33)
+        up = (bits[:, :rounds * b] * np.uint64(a) >> np.uint64(31)).astype(np.intp).reshape(m, rounds, b)
+        down = (bits[:, rounds * b:rounds * (a + b)] * np.uint64(b) >> np.uint64(31)).astype(np.intp).reshape(m, rounds, a)
+        of = np.repeat(np.arange(m), size) if m > 1 else np.zeros(1, np.intp)
+        out = _network(np.tile(left, m), np.tile(right, m), of, up, down, a, b)
+        if a * b > n:
+            while len(far := np.flatnonzero(out >= n)):
+                out[far] = _network(*np.divmod(out[far], b), of[far] if m > 1 else of, up, down, a, b)
+        yield from out.reshape(m, size)
+
+
+def _network(l: np.ndarray, r: np.ndarray, of: np.ndarray, up: np.ndarray, down: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Places of pairs after all shifts by the tables of their replicates `of`; the pairs are overwritten. Sums stay below twice
+    their bound, so the smaller of x and x - bound, as unsigned numbers, is x modulo the bound."""
+    spare = np.empty_like(l)
+    m, rounds, _ = up.shape
+    at_b, at_a = of * b, of * a
+    for k in range(rounds):
+        for x, bound, table, y, at in ((l, a, up, r, at_b), (r, b, down, l, at_a)):
+            np.take(table[:, k].ravel(), y if m == 1 else y + at, out=spare, mode="clip")
+            x += spare
+            np.subtract(x, bound, out=spare)
+            np.minimum(x.view(np.uintp), spare.view(np.uintp), out=x.view(np.uintp))
+    l *= b
+    l += r
+    return l

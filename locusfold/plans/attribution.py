@@ -140,7 +140,7 @@ def _perm(spark, sf):
 
 @query("stratified_permutation")
 def stratified_permutation(spark, sf):
-    return rounded(_perm(spark, sf)[1], 5)
+    return rounded(a.null_rows(_perm(spark, sf)[1]), 5)
 
 
 @query("permutation_pvalues")

@@ -94,13 +94,68 @@ def test_large_groups_take_the_join(spark, monkeypatch):
     for g, n in (("g", 60), ("h", 30)):
         for b in range(20):
             assert got[g, b] == pytest.approx(np.mean([numbered[g, int(i)] for i in resampling.draws(42, b, n)]))
-    monkeypatch.setattr(attribution, "by_size", lambda df, per, limit=0: (df.filter("false"), df))
-    kmers = spark.createDataFrame([(i, i % 4, float(i * 7 % 31), f"k{i % 3}") for i in range(60)], "obs long, distance long, ig_score double, kmer string")
-    observed, null = attribution.stratified_permutation(kmers, 30, use_ranks=False)
-    sums = {}
-    for r in null.join(observed, "kmer").collect():
-        sums[r.perm] = sums.get(r.perm, 0) + r.null_mean * r.n_occurrences
-    assert len(sums) == 30 and all(v == pytest.approx(sum(i * 7 % 31 for i in range(60))) for v in sums.values())
+
+
+def test_permutations_of_pieces(spark, monkeypatch):
+    """Many pieces and vectors, k-mers found by table or by search, any partitioning and nulls: the scores of every permutation add up, and all ways agree."""
+    rows = [(i, i % 4 if i % 9 else None, float(i * 7 % 31), f"k{i % 3}" if i % 10 else None, "x" if i % 2 else None) for i in range(120)]
+    kmers = spark.createDataFrame(rows, "obs long, distance long, ig_score double, kmer string, part string")
+    monkeypatch.setattr(resampling, "PIECE_ROWS", 7)
+    monkeypatch.setattr(resampling, "WIDTH", 8)
+    seen = []
+    for parts, labels in ((1, 1 << 24), (9, 0)):
+        monkeypatch.setattr(attribution, "LABELS", labels)
+        observed, null = attribution.stratified_permutation(kmers.repartition(parts), 30, use_ranks=False, by=["part"])
+        seen.append({(r.part, r.kmer): r.null_means for r in null.collect()})
+        n = {(r.part, r.kmer): r.n_occurrences for r in observed.collect()}
+    assert seen[0].keys() == seen[1].keys() == n.keys() and len(n) == 6
+    assert all(len(seen[0][k]) == 30 and seen[0][k] == pytest.approx(seen[1][k]) for k in n)
+    for part in ("x", None):
+        total = sum(r[2] for r in rows if r[3] is not None and r[4] == part)
+        for p in range(30):
+            assert sum(seen[0][k][p] * n[k] for k in n if k[0] == part) == pytest.approx(total)
+    ps = attribution.permutation_pvalues(observed, null, min_count=1, by=["part"]).collect()
+    means = {(r.part, r.kmer): r.observed_mean for r in observed.collect()}
+    for r in ps:
+        x = np.array(seen[0][r.part, r.kmer])
+        far = np.abs(x - x.mean()) >= abs(means[r.part, r.kmer] - x.mean()) - 1e-12
+        assert r.p_value == pytest.approx((far.sum() + 1) / 31) and r.null_mean == pytest.approx(x.mean())
+    assert len(ps) == 6
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 97, 1000, 65537])
+def test_places_are_permuted_evenly(n):
+    """Bijections; each place is hit equally often, and for small n each permutation; parts of a range and of the replicates give the same."""
+    m = 6000 if n <= 6 else 400
+    all_places = np.array(list(resampling.permuted_places(3, ("d", 1), range(m), np.arange(n), n)))
+    assert (np.sort(all_places, axis=1) == np.arange(n)).all()
+    part = list(resampling.permuted_places(3, ("d", 1), range(130, 140), np.arange(n // 3, n), n))
+    assert (np.array(part) == all_places[130:140, n // 3:]).all()
+    if n <= 6:
+        for place in all_places.T:
+            assert (np.abs(np.bincount(place, minlength=n) / m - 1 / n) < 5 * np.sqrt(1 / n / m)).all()
+        kinds = math.factorial(n)
+        counts = np.unique(all_places, axis=0, return_counts=True)[1]
+        spread = ((counts - m / kinds) ** 2).sum() * kinds / m + (kinds - len(counts)) * m / kinds  # chi-square
+        assert abs(spread - (kinds - 1)) <= 5 * np.sqrt(2 * kinds)
+    else:  # sums of a third of the places have the mean and spread of draws without replacement
+        sums = all_places[:, :n // 3].sum(1)
+        k = n // 3
+        spread = np.sqrt(k * (n + 1) * (n - k) / 12)
+        assert abs(sums.mean() - k * (n - 1) / 2) < 5 * spread / np.sqrt(m) and 0.85 < sums.std() / spread < 1.15
+        pairs = (all_places[:, 1:] - all_places[:, :-1] == 1).mean()
+        assert abs(pairs - 1 / n) < 5 * np.sqrt(1 / n / (m * n)) + 1e-4
+
+
+def test_vectors_add_up(spark):
+    rows = [(i % 5 if i % 7 else None, "b" if i % 2 else None, [float(i), 1.0, -float(i)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, w string, v array<double>").repartition(11)
+    want = {}
+    for k, w, v in rows:
+        want[k, w] = np.add(want.get((k, w), 0), v)
+    got = {(r.k, r.w): r.v for r in resampling.sum_vectors(df, ["k", "w"], "v").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert resampling.sum_vectors(df.filter("false"), ["k"], "v").count() == 0
 
 
 def test_draws_of_chunks_are_those_of_the_whole():
@@ -212,5 +267,5 @@ def test_registered_queries_without_sql():
     """Those that SQL cannot express, or not at their size; every other one has SQL."""
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {
         "bootstrap_metrics", "correlation_pvalue", "hierarchical_profiles", "local_effect_ci", "metric_by_flank_ci", "metric_by_model_type_ci", "pca_projection", "permutation_pvalues",
-        "position_profile_ci", "profile_kmeans", "profile_mean_ci", "silhouette_sweep", "stratified_permutation",
+        "position_profile_ci", "profile_kmeans", "profile_mean_ci", "ridge_kmer_coefficients", "ridge_kmer_predictions", "ridge_kmer_search", "silhouette_sweep", "stratified_permutation",
     }

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from locusfold import catalog
+from locusfold.operators.resampling import permuted_places
 
 
 def generator(*key):
@@ -37,15 +38,16 @@ def test_permutations_take_all_rows(spark, orders):
         values = sorted(v for _, v in pool)
         scored.update({k: values.index(v) + (values.count(v) + 1) / 2 for k, v in pool})
     observed = [sum(scored[k] for k in scored if k % 12 == j) / 40 for j in range(2)]
-    null = {}
-    for perm in range(10_000):
-        sums = [0.0, 0.0]
-        for stratum, pool in ((str(i), p) for i, p in strata.items()):
-            places = sorted(k for k, _ in pool)
-            order = generator(42, (zlib.crc32(stratum.encode()) << 32) + perm).permutation(len(places))
-            for k, x in zip(places, order):
-                sums[k % 12] += scored[places[x]]
-        null.update({(f"K{j}", perm): sums[j] / 40 for j in range(2)})
+    hashes = {r.k: r.h for r in spark.createDataFrame([(r[0],) for r in rows], "k long").selectExpr("k", "xxhash64(k) as h").collect()}
+    sums = np.zeros((10_000, 2))
+    for stratum, pool in strata.items():
+        keys = sorted((k for k, _ in pool), key=hashes.get)
+        first = sum(k % 12 == 0 for k in keys)  # K0 has the first places
+        for perm, to in enumerate(permuted_places(42, (stratum,), range(10_000), np.arange(len(keys)), len(keys))):
+            assert sorted(to) == list(range(len(keys)))
+            for k, at in zip(keys, to):
+                sums[perm, int(at >= first)] += scored[k]
+    null = {(f"K{j}", perm): sums[perm, j] / 40 for j in range(2) for perm in range(10_000)}
     got = {(r.kmer, r.perm): r.null_mean for r in catalog.queries()["stratified_permutation"](spark, path).collect()}
     assert got.keys() == null.keys()
     assert all(abs(got[x] - null[x]) < 2e-5 for x in null)
