@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import avg_rank, exact_quantiles, join_same, present
-from .resampling import bootstrap_means, in_pieces, interval, permuted_places, pieces, sum_vectors
+from .resampling import bootstrap_interval, in_pieces, permuted_places, pieces, whole_vectors
 from .sequence import canonical_kmer
 from .staging import stored
 
@@ -84,7 +84,7 @@ def position_profile(df: DataFrame, attr: str = "attr") -> DataFrame:
 def position_profile_ci(df: DataFrame, n_boot: int = 1000, level: float = 0.95, seed: int = 42, attr: str = "attr", key: Sequence[str] = ("id", "rev_comp")) -> DataFrame:
     """Percentile interval of `position_profile` over resamples of the rows."""
     rows = df.select(F.struct(*key).alias("row"), F.posexplode(attr).alias("pos", "x")).withColumn("x", F.abs("x")).filter(present("x"))
-    return interval(bootstrap_means(rows, "x", "row", n_boot, seed, ["pos"]), "v", ["pos"], level).drop("n_boot")
+    return bootstrap_interval(rows, "x", "row", n_boot, seed, ["pos"], level).drop("n_boot")
 
 
 def smooth_profile(profile: DataFrame, window: int, value: str = "mean_abs", flank: str = "flank", pos: str = "pos") -> DataFrame:
@@ -168,9 +168,9 @@ def stratified_permutation(kmers: DataFrame, n_perm: int, seed: int = 42, use_ra
     vectors over permutations. `key` numbers the rows; rows without a k-mer are left out. Processed rows are written once, by a job of this call.
     """
     strata = [*by, "distance"]
-    rows = stored(processed_scores(kmers.filter("kmer is not null"), strata, use_ranks, use_absolute).select(*strata, "kmer", F.col("score").cast("double").alias("score"), key))
+    rows = stored(processed_scores(kmers.filter("kmer is not null"), strata, use_ranks, use_absolute).select(*strata, "kmer", F.col("score").cast("double").alias("score"), F.xxhash64(key).alias("_h")))
     observed = rows.groupBy(*by, "kmer").agg(F.avg("score").alias("observed_mean"), F.count("*").alias("n_occurrences"))
-    dealt, info = pieces(rows, strata, key)
+    dealt, info = pieces(rows, strata)
     words = rows.groupBy(*strata, "kmer").agg(F.count("*").alias("_count"))
     lists = F.array_sort(F.collect_list(F.struct("kmer", "_count")))  # as many as a distance has different k-mers
     words = words.groupBy(*strata).agg(lists.alias("_words")).select(*strata, F.col("_words.kmer").alias("_kmers"), F.col("_words._count").alias("_counts"))
@@ -191,9 +191,7 @@ def stratified_permutation(kmers: DataFrame, n_perm: int, seed: int = 42, use_ra
 
     kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*by, "kmer").dtypes)
     each = in_pieces(dealt.select(*strata, "score", "_h", "_piece"), info, strata, n_perm, shuffle, f"{kinds}_vector int, _sums array<double>")
-    vectors = F.array_sort(F.collect_list(F.struct("_vector", "_sums")))  # n_perm numbers of a k-mer
-    sums = sum_vectors(each, [*by, "kmer", "_vector"], "_sums").groupBy(*by, "kmer").agg(vectors.alias("_v")).withColumn("_v", F.flatten("_v._sums"))
-    null = join_same(sums, observed.select(*by, "kmer", "n_occurrences"), [*by, "kmer"], "inner")
+    null = join_same(whole_vectors(each, [*by, "kmer"]), observed.select(*by, "kmer", "n_occurrences"), [*by, "kmer"], "inner")
     return observed, null.select(*by, "kmer", F.transform("_v", lambda s: s / F.col("n_occurrences")).alias("null_means"))
 
 

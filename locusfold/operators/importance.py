@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .metrics import METRICS, regression_metrics
 from .ranks import present
-from .resampling import bootstrap_means, interval
+from .resampling import bootstrap_interval
 
 
 def layout(spark: SparkSession, n_flank: int, n_prefix: int = 0, n_str: int = 0, n_gap: int = 0) -> DataFrame:
@@ -81,7 +81,7 @@ def local_effect_ci(perturbed: DataFrame, n_boot: int = 10000, level: float = 0.
     """Percentile interval of `local_effect`'s mean by region over resamples of its rows."""
     each = _abs_pct(perturbed, ["region_id", "id", "rev_comp"], log_space).filter("abs_pct is not null")
     keyed = each.select("region_id", F.struct("id", "rev_comp").alias("row"), "abs_pct")
-    return interval(bootstrap_means(keyed, "abs_pct", "row", n_boot, seed, ["region_id"]), "v", ["region_id"], level).drop("n_boot")
+    return bootstrap_interval(keyed, "abs_pct", "row", n_boot, seed, ["region_id"], level).drop("n_boot")
 
 
 def global_effect(perturbed: DataFrame, truth: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def profile_mean_ci(profiles: DataFrame, n_boot: int = 10000, level: float = 0.9
     """`profile_mean` with the percentile interval of every mean over resamples of the loci."""
     by = ["side", "region_idx"]
     rows = profiles.filter(present("value")).select(*by, "id", "value")
-    ci = interval(bootstrap_means(rows, "value", "id", n_boot, seed, by), "v", by, level).drop("n_boot")
+    ci = bootstrap_interval(rows, "value", "id", n_boot, seed, by, level).drop("n_boot")
     return profile_mean(profiles).join(ci, by, "left")
 
 

@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import avg_rank, present
-from .resampling import _drawn_size, by_size, draws, in_blocks, interval, resample
+from .ranks import avg_rank, join_same, present
+from .resampling import drawn_size, in_pieces, pieces, times, whole_vectors, with_interval
+from .staging import stored
 from .stats import correlation, correlation_pvalue
 
 EPSILON = 2.220446049250313e-16
@@ -123,30 +124,88 @@ class _Sample:
         return mse, mean(np.abs(self.error)), mean(np.abs(self.error) / np.maximum(np.abs(self.x[1]), EPSILON)), r2, pearson, spearman
 
 
+#: Sums over drawn rows that give all metrics but Spearman_r; labels and predictions are taken from their group's means.
+SUMS = ("square", "absolute", "relative", "t", "tt", "p", "pp", "pt")
+
+
+def _of_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, metric, _v) of a row per group with an array per sum and _k drawn rows. Without spread, R2 and Pearson_r are NaN."""
+    each = F.transform(F.arrays_zip(*SUMS), lambda z: F.struct(*[(z[n] / F.col("_k")).alias(n) for n in SUMS]))
+    rows = rows.withColumn("_z", each)
+    nan, tiny = F.lit(float("nan")), 1e-13
+
+    def spread(square: Column, mean: Column) -> Column:
+        var = square - mean * mean
+        return F.when(var > square * tiny, var)
+
+    def vector(f) -> Column:
+        return F.transform("_z", lambda z: F.coalesce(f(z), nan))
+
+    values = {
+        "MSE": vector(lambda z: z["square"]), "MAE": vector(lambda z: z["absolute"]), "MAPE": vector(lambda z: z["relative"]),
+        "R2": vector(lambda z: 1 - z["square"] / spread(z["tt"], z["t"])),
+        "Pearson_r": vector(lambda z: (z["pt"] - z["p"] * z["t"]) / F.sqrt(spread(z["tt"], z["t"]) * spread(z["pp"], z["p"]))),
+    }
+    return rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("_v")) for m, v in values.items()])).alias("s")).select(*by, "s.*")
+
+
+def _drawn_ranks(dealt: DataFrame, info: DataFrame, by: Sequence[str], n_boot: int, seed: int, frac: float) -> DataFrame:
+    """(by, metric, _v) of Spearman_r for groups of several pieces: ranks reach across pieces, so their drawn rows are ranked replicate by replicate."""
+    lot = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")
+    left, right = (df.select("*", lot).groupBy(*by, "_piece", "replicate") for df in (join_same(dealt, info.select(*by).distinct(), by, "inner"), info))
+
+    def draw(key: tuple, rows: pd.DataFrame, about: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.iloc[np.lexsort((rows["true"], rows["pred"], rows["_h"]))]
+        one = about.iloc[0]
+        at = np.repeat(np.arange(len(rows)), times(seed, one, int(key[-1]), drawn_size(int(one["_n"]), frac)))
+        return rows[[*by, "replicate", "pred", "true"]].iloc[at]
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in dealt.select(*by).dtypes)
+    drawn = left.cogroup(right).applyInPandas(draw, f"{kinds}replicate int, pred double, true double")
+    names = [c for c in by if c != "task"]
+    scored = regression_metrics(drawn.withColumnsRenamed({"pred": "pred_t", "true": "true_t", "task": "_task"}), [*names, "_task", "replicate"], ["t"]).drop("task").withColumnRenamed("_task", "task")
+    return scored.groupBy(*by).agg(F.collect_list("Spearman_r").alias("_v")).select(*by, F.lit("Spearman_r").alias("metric"), "_v")
+
+
 def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, level: float = 0.95, seed: int = 42, resample_frac: float = 1.0, key: str = "id", per: Sequence[str] = ()) -> DataFrame:
     """(per, task, metric, lo, hi, n_boot): percentile interval of every metric over resamples of each group's rows.
 
-    `key` orders the rows of a group. Rows with a missing value are left out of their task.
+    `key` orders the rows of a group, by its hash. Rows with a missing value are left out of their task. Draws are the same
+    whatever the group's size: a group of one piece is scored where it lies; of larger ones, pieces return sums by
+    replicate, and only Spearman's ranks need the drawn rows themselves. The rows are written once, by a job of this call.
     """
-    long = long_predictions(df, tasks, [*per, key]).filter(present("pred", "true"))
     by = [*per, "task"]
-    small, large = by_size(long, by)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in long.select(*by).dtypes)
-
-    def replicate(group: tuple, rows: pd.DataFrame, replicates: range) -> pd.DataFrame:
-        rows = rows.sort_values(key, kind="stable")
-        sample = _Sample(rows["pred"].to_numpy(np.float64), rows["true"].to_numpy(np.float64))
-        n = len(rows)
-        got = [sample.scores(np.bincount(draws(seed, r, n, 0, _drawn_size(n, resample_frac)), minlength=n)) for r in replicates]
-        return pd.DataFrame({**dict(zip(by, group, strict=True)), "replicate": list(replicates), **{m: pd.array([g[i] for g in got], "Float64") for i, m in enumerate(METRICS)}})
-
-    each = in_blocks(small, by, n_boot, replicate, f"{kinds}, replicate int, " + ", ".join(f"{m} double" for m in METRICS))
-    if large is not None:
-        drawn = resample(large, n_boot, seed, key, by, resample_frac).withColumnsRenamed({"pred": "pred_t", "true": "true_t", "task": "_task"})
-        scored = regression_metrics(drawn, [*per, "_task", "replicate"], ["t"]).drop("task").withColumnRenamed("_task", "task")
-        each = each.unionByName(scored.select(*by, "replicate", *METRICS))
-    stack = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
-    return interval(each.select(*by, stack.alias("s")).select(*by, "s.*"), "value", [*by, "metric"], level)
+    long = stored(long_predictions(df, tasks, [*per, key]).filter(present("pred", "true")).select(*by, F.xxhash64(key).alias("_h"), "pred", "true"))
+    dealt, info = pieces(long, by)
+    means = long.groupBy(*by).agg(F.avg("pred").alias("_mp"), F.avg("true").alias("_mt"))
+    info = stored(join_same(info, means, by, "inner"))
+
+    def replicate(group: tuple, rows: pd.DataFrame, about: pd.Series, replicates: range):
+        pred, true = (rows[c].to_numpy(np.float64) for c in ("pred", "true"))
+        order = np.lexsort((true, pred, rows["_h"].to_numpy()))
+        pred, true = pred[order], true[order]
+        k = drawn_size(int(about["_n"]), resample_frac)
+        drawn = (times(seed, about, r, k) for r in replicates)
+        if len(about["_sizes"]) == 1:
+            sample = _Sample(pred, true)
+            named = zip(METRICS, np.array([[math.nan if x is None else x for x in sample.scores(w)] for w in drawn]).T, strict=True)
+        else:
+            error, t, p = pred - true, true - about["_mt"], pred - about["_mp"]
+            sums = np.stack([error**2, np.abs(error), np.abs(error) / np.maximum(np.abs(true), EPSILON), t, t * t, p, p * p, p * t])
+            named = zip(SUMS, np.stack([sums @ w for w in drawn], axis=1), strict=True)
+        for name, v in named:
+            yield {**dict(zip(by, group, strict=True)), "metric": name, "_sums": v}
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in long.select(*by).dtypes)
+    whole = whole_vectors(in_pieces(dealt, info, by, n_boot, replicate, f"{kinds}metric string, _vector int, _sums array<double>"), [*by, "metric"])
+    several = info.filter(F.size("_sizes") > 1)
+    if not several.isEmpty():
+        whole = stored(whole)
+        size = F.greatest(F.least(F.col("_n"), F.lit(10)), F.floor(F.col("_n") * resample_frac))
+        sums = whole.filter(F.col("metric").isin(*SUMS)).groupBy(*by).pivot("metric", list(SUMS)).agg(F.first("_v"))
+        sums = join_same(sums, several.select(*by, size.alias("_k")).distinct(), by, "inner")
+        whole = whole.filter(F.col("metric").isin(*METRICS)).unionByName(_of_sums(sums, by)).unionByName(_drawn_ranks(dealt, several, by, n_boot, seed, resample_frac))
+    return with_interval(whole, F.col("_v"), [*by, "metric"], level)
 
 
 def _wide_intervals(intervals: DataFrame, per: Sequence[str]) -> DataFrame:

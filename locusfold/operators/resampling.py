@@ -13,118 +13,30 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import join_same
-
-#: Rows of a group that a task gathers at most (a few columns of 8 bytes), and blocks that a group's replicates are dealt to.
-GROUP_ROWS, BLOCKS = 1 << 22, 16
-
-
-def draws(seed: int, replicate: int, n: int, first: int = 0, count: int | None = None) -> np.ndarray:
-    """Numbers below n: the draws first .. first + count (n of them by default) of a replicate; `first` is a multiple of 4."""
-    bits = np.random.Philox(key=np.array([seed, replicate], np.uint64))
-    bits.advance(first // 4)
-    return ((bits.random_raw(n if count is None else count) >> np.uint64(11)) * 2.0**-53 * n).astype(np.int64)
-
-
-def by_size(df: DataFrame, per: Sequence[str], limit: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of groups up to `limit`, rows of larger ones or None)."""
-    sizes = df.groupBy(*per).agg(F.count("*").alias("_size"))
-    if (sizes.agg(F.max("_size")).first()[0] or 0) <= limit:
-        return df, None
-    rows = join_same(df, sizes, per, "inner")
-    return rows.filter(F.col("_size") <= limit).drop("_size"), rows.filter(F.col("_size") > limit).drop("_size")
-
-
-def in_blocks(df: DataFrame, per: Sequence[str], n: int, fn: Callable[[tuple, pd.DataFrame, range], pd.DataFrame], schema: str) -> DataFrame:
-    """`fn(group's key, rows, replicates)` for every group and block of replicates; `schema` starts with the columns of `per`."""
-    blocks = min(BLOCKS, n)
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        b = int(key[-1])
-        return fn(key[:-1], rows, range(n * b // blocks, n * (b + 1) // blocks))
-
-    dealt = df.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.groupBy(*per, "_block").applyInPandas(run, schema)
-
-
-def _drawn_size(n: int, frac: float) -> int:
-    return max(min(n, 10), int(np.floor(n * frac)))
-
-
-def numbered(df: DataFrame, per: Sequence[str], order: str) -> DataFrame:
-    """`df` with _i, a number from 0 within the group: rows are dealt to parts by a hash of `order` and counted from part to part."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.withColumn("_part", F.pmod(F.xxhash64(order), F.lit(parts)))
-    sums = rows.groupBy(*per, "_part").agg(F.count("*").alias("_s"))
-    sums = sums.select(*per, "_part", (F.sum("_s").over(Window.partitionBy(*per).orderBy("_part")) - F.col("_s")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(*per, "_part").orderBy(order)) - 1
-    return join_same(rows.withColumn("_i", within), sums, [*per, "_part"], "inner").withColumn("_i", F.col("_i") + F.col("_before")).drop("_part", "_before")
-
-
-def resample(df: DataFrame, n_boot: int, seed: int, order: str, per: Sequence[str] = (), frac: float = 1.0, chunk: int = 1 << 16) -> DataFrame:
-    """Rows of B resamples with replacement, with their replicate, by an equi-join: the way for groups of any size."""
-    rows = numbered(df, per, order)
-    sizes = df.groupBy(*per).agg(F.count("*").alias("_n"))
-    drawn = F.greatest(F.least(F.col("_n"), F.lit(10)), F.floor(F.col("_n") * frac))
-    jobs = sizes.withColumn("_k", drawn).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    jobs = jobs.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1, F.lit(chunk).cast("long")))).repartition(*per, "replicate", "_first")
-
-    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(len(f)):
-                one = f.iloc[[at]]
-                n, k, first, replicate = (int(one[c].iloc[0]) for c in ("_n", "_k", "_first", "replicate"))
-                i = draws(seed, replicate, n, first, min(chunk, k - first))
-                yield one[[*per, "replicate"]].loc[one.index.repeat(len(i))].assign(_i=i)
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in jobs.select(*per, "replicate").dtypes)
-    met = jobs.mapInPandas(draw, f"{kinds}, _i long")
-    return join_same(met, rows, [*per, "_i"], "inner").drop("_i")
-
-
-def bootstrap_means(df: DataFrame, value: str, order: str, n_boot: int, seed: int, per: Sequence[str]) -> DataFrame:
-    """(per, replicate, v): the mean of a value in each resample of each group."""
-    small, large = by_size(df.select(*per, order, value), per)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*per).dtypes)
-
-    def means(key: tuple, rows: pd.DataFrame, replicates: range) -> pd.DataFrame:
-        x = rows.sort_values("_order")[value].to_numpy(np.float64)
-        v = [x[draws(seed, r, len(x))].mean() for r in replicates]
-        return pd.DataFrame({**dict(zip(per, key, strict=True)), "replicate": list(replicates), "v": v})
-
-    # a struct is no key to sort by in pandas: its place among the group's rows is
-    placed = small.withColumn("_order", F.row_number().over(Window.partitionBy(*per).orderBy(order))).drop(order)
-    out = in_blocks(placed, per, n_boot, means, f"{kinds}, replicate int, v double")
-    if large is not None:
-        out = out.unionByName(resample(large, n_boot, seed, order, per).groupBy(*per, "replicate").agg(F.avg(value).alias("v")))
-    return out
-
-
-def interval(df: DataFrame, value: str, per: Sequence[str], level: float) -> DataFrame:
-    """(per, lo, hi, n_boot) of replicates; a group has as many values as there are replicates."""
-    a = (1 - level) / 2
-    return df.groupBy(*per).agg(F.percentile(value, a).alias("lo"), F.percentile(value, 1 - a).alias("hi"), F.count(value).alias("n_boot"))
-
+from .ranks import join_same, present
+from .staging import stored
 
 #: Rows of a piece, and replicates of a vector. Both are part of the results' definition: change them and other draws are made.
 PIECE_ROWS, WIDTH = 1 << 20, 512
 
 
-def pieces(rows: DataFrame, per: Sequence[str], order: str, each: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(`rows` with _h, a hash of the order, and _piece; a row per piece with its _size, the rows before it and its group's _n).
+def pieces(rows: DataFrame, per: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(`rows` with _piece; a row per piece with its _size, its number _at, the rows before it, its group's _n and the _sizes of all its pieces).
 
-    Groups have as many pieces as their size asks for. Rows of equal order stay in one piece. `rows` is read three times.
+    `rows` has _h, a hash that orders the rows of a group. Groups have as many pieces as their size asks for; rows of equal
+    hash stay in one piece. `rows` is read three times.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(order))
-    sizes = hashed.groupBy(*per).agg(F.ceil(F.count("*") / (each or PIECE_ROWS)).alias("_parts"))
-    dealt = join_same(hashed, sizes, per, "inner").withColumn("_piece", F.pmod(F.col("_h"), F.col("_parts")).cast("int")).drop("_parts")
+    sizes = rows.groupBy(*per).agg(F.ceil(F.count("*") / PIECE_ROWS).alias("_parts"))
+    dealt = join_same(rows, sizes, per, "inner").withColumn("_piece", F.pmod(F.col("_h"), F.col("_parts")).cast("int")).drop("_parts")
     counts = dealt.groupBy(*per, "_piece").agg(F.count("*").alias("_size"))
     group = Window.partitionBy(*per)
     before = F.sum("_size").over(group.orderBy("_piece")) - F.col("_size")
-    return dealt, counts.select(*per, "_piece", "_size", before.alias("_before"), F.sum("_size").over(group).alias("_n"))
+    at = F.row_number().over(group.orderBy("_piece")) - 1
+    every = F.array_sort(F.collect_list(F.struct("_piece", "_size")).over(group))["_size"]  # one for every PIECE_ROWS rows
+    return dealt, counts.select(*per, "_piece", "_size", at.alias("_at"), before.alias("_before"), F.sum("_size").over(group).alias("_n"), every.alias("_sizes"))
 
 
 def in_pieces(dealt: DataFrame, info: DataFrame, per: Sequence[str], n: int, fn: Callable[[tuple, pd.DataFrame, pd.Series, range], Iterator[dict]], schema: str) -> DataFrame:
@@ -184,6 +96,65 @@ def sum_vectors(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     return df.select(*keys, vector).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, f"{kinds}, `{vector}` array<double>")
 
 
+def whole_vectors(each: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _v): the sums over pieces, all replicates of a key in one array."""
+    vectors = F.array_sort(F.collect_list(F.struct("_vector", "_sums")))  # as many numbers as replicates
+    return sum_vectors(each, [*keys, "_vector"], "_sums").groupBy(*keys).agg(vectors.alias("_v")).withColumn("_v", F.flatten("_v._sums"))
+
+
+def drawn_size(n: int, frac: float) -> int:
+    """Rows of a resample: a share of the group, at least ten or all."""
+    return max(min(n, 10), int(np.floor(n * frac)))
+
+
+def times(seed: int, about: pd.Series, replicate: int, drawn: int) -> np.ndarray:
+    """How often a replicate of `drawn` rows of the group takes each row of a piece, with replacement.
+
+    The replicate is first split among the pieces, by a multinomial draw that all pieces repeat alike, then within each.
+    Groups of equal size and order are drawn alike.
+    """
+    key = np.array([seed, replicate], np.uint64)
+    size = int(about["_size"])
+    if len(about["_sizes"]) > 1:
+        split = np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, 1], np.uint64)))
+        drawn = split.multinomial(drawn, np.asarray(about["_sizes"]) / int(about["_n"]))[int(about["_at"])]
+    raw = np.random.Philox(key=key, counter=np.array([0, 0, int(about["_piece"]), 0], np.uint64)).random_raw(int(drawn))
+    return np.bincount(((raw >> np.uint64(11)) * 2.0**-53 * size).astype(np.intp), minlength=size)
+
+
+def with_interval(df: DataFrame, values: Column, per: Sequence[str], level: float) -> DataFrame:
+    """(per, lo, hi, n_boot): the percentile interval, with linear interpolation, of an array; NaN and null are left out."""
+    known = F.array_sort(F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x)))
+    rows = df.select(*per, known.alias("_s")).withColumn("n_boot", F.size("_s").cast("long"))
+
+    def at(p: float) -> Column:
+        place = F.lit(p) * (F.col("n_boot") - 1)
+        low, high = (F.get("_s", f(place).cast("int")) for f in (F.floor, F.ceil))
+        return low + (place - F.floor(place)) * (high - low)
+
+    return rows.select(*per, at((1 - level) / 2).alias("lo"), at((1 + level) / 2).alias("hi"), "n_boot")
+
+
+def bootstrap_interval(df: DataFrame, value: str, order: str, n_boot: int, seed: int, per: Sequence[str], level: float) -> DataFrame:
+    """(per, lo, hi, n_boot): percentile interval of the mean of a value over resamples of each group's rows.
+
+    Rows without the value are left out. Pieces return a sum per replicate, so the exchange is bounded by pieces times
+    replicates. The rows are written once, by a job of this call.
+    """
+    rows = stored(df.filter(present(value)).select(*per, F.xxhash64(order).alias("_h"), F.col(value).cast("double").alias("_x")))
+    dealt, info = pieces(rows, per)
+
+    def sums(group: tuple, frame: pd.DataFrame, about: pd.Series, replicates: range) -> Iterator[dict]:
+        x = frame["_x"].to_numpy(np.float64)
+        x = x[np.lexsort((x, frame["_h"].to_numpy()))]
+        n = int(about["_n"])
+        yield {**dict(zip(per, group, strict=True)), "_sums": np.array([times(seed, about, r, n) @ x / n for r in replicates])}
+
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*per).dtypes)
+    each = in_pieces(dealt, stored(info), per, n_boot, sums, f"{kinds}_vector int, _sums array<double>")
+    return with_interval(whole_vectors(each, per), F.col("_v"), per, level)
+
+
 def stream(seed: int, group: tuple, at: int, count: int) -> np.ndarray:
     """`count` raw numbers of 64 bits from place `at`, a multiple of 4, of the stream of a group."""
     name = int.from_bytes(hashlib.blake2b("\x1f".join("" if x is None or x != x else str(x) for x in group).encode(), digest_size=8).digest(), "little")

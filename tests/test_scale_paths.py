@@ -82,18 +82,56 @@ def test_missing_values_in_statistics(spark):
     assert m.n == 3 and m.MSE == pytest.approx((1 + 4 + 4) / 3)
 
 
-def test_large_groups_take_the_join(spark, monkeypatch):
-    """Groups over the bound: the draws of the join are those of the blocks up to the numbering of the rows."""
+def plain_times(seed, replicate, hashes, parts, drawn):
+    """How often each row is drawn, for rows given by their hashes: split among pieces, then within them."""
+    piece = np.array([h % parts for h in hashes])
+    used, sizes = np.unique(piece, return_counts=True)
+    key = np.array([seed, replicate], np.uint64)
+    shares = [drawn]
+    if len(used) > 1:
+        shares = np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, 1], np.uint64))).multinomial(drawn, sizes / len(hashes))
+    out = np.zeros(len(hashes), int)
+    for p, n, c in zip(used, sizes, shares):
+        rows = sorted(np.flatnonzero(piece == p), key=lambda i: hashes[i])
+        for x in np.random.Philox(key=key, counter=np.array([0, 0, p, 0], np.uint64)).random_raw(int(c)):
+            out[rows[int((int(x) >> 11) / 2**53 * n)]] += 1
+    return out
+
+
+@pytest.mark.parametrize("size", [1000, 25])
+def test_bootstraps_of_pieces(spark, monkeypatch, size):
+    """Groups of one and of several pieces: the same draws by brute force, any partitioning, nulls in keys and values."""
+    monkeypatch.setattr(resampling, "PIECE_ROWS", size)
+    monkeypatch.setattr(resampling, "WIDTH", 8)
     rng = random.Random(10)
-    rows = [(f"i{k}", "g" if k % 3 else "h", float(rng.randrange(100))) for k in range(90)]
-    df = spark.createDataFrame(rows, "id string, g string, v double")
-    numbered = {(r.g, r._i): r.v for r in resampling.numbered(df, ["g"], "id").collect()}
-    assert len(numbered) == 90
-    monkeypatch.setattr(resampling, "by_size", lambda df, per, limit=0: (df.filter("false"), df))
-    got = {(r.g, r.replicate): r.v for r in resampling.bootstrap_means(df, "v", "id", 20, 42, ["g"]).collect()}
-    for g, n in (("g", 60), ("h", 30)):
-        for b in range(20):
-            assert got[g, b] == pytest.approx(np.mean([numbered[g, int(i)] for i in resampling.draws(42, b, n)]))
+    rows = [(f"i{k}", "g" if k % 3 else None, float(rng.randrange(100)), float(rng.randrange(1, 60))) for k in range(90)]
+    rows += [("x", "g", None, 1.0), ("y", "g", float("nan"), 2.0), ("z", "one", 5.0, 4.0)]
+    df = spark.createDataFrame(rows, "id string, g string, pred_t double, true_t double")
+    hashes = {r.id: r.h for r in df.selectExpr("id", "xxhash64(id) h").collect()}
+    known = [r for r in rows if r[2] is not None and r[2] == r[2]]
+    groups = {g: [r for r in known if r[1] == g] for g in ("g", None, "one")}
+    want = {}
+    for g, pool in groups.items():
+        h = [hashes[r[0]] for r in pool]
+        draws = [plain_times(42, b, h, -(-len(pool) // size), len(pool)) for b in range(20)]
+        assert all(w.sum() == len(pool) for w in draws)
+        p, t = (np.array([r[i] for r in pool]) for i in (2, 3))
+        want[g] = [(np.repeat(p, w), np.repeat(t, w)) for w in draws]
+    got = {r.g: r for r in resampling.bootstrap_interval(df.repartition(5), "pred_t", "id", 20, 42, ["g"], 0.9).collect()}
+    assert got.keys() == want.keys()
+    for g, pairs in want.items():
+        assert (got[g].lo, got[g].hi, got[g].n_boot) == pytest.approx((*np.quantile([p.mean() for p, _ in pairs], [0.05, 0.95]), 20))
+    found = {(r.g, r.metric): r for r in metrics.bootstrap_metrics(df.repartition(3), ["t"], 20, 0.9, per=["g"]).collect()}
+    assert len(found) == 18
+    mid = lambda x: (x[:, None] > x).sum(1) + ((x[:, None] == x).sum(1) + 1) / 2
+    for g in ("g", None):
+        for metric, f in {
+            "MSE": lambda p, t: ((p - t) ** 2).mean(), "MAE": lambda p, t: abs(p - t).mean(), "MAPE": lambda p, t: (abs(p - t) / t).mean(), "R2": lambda p, t: 1 - ((p - t) ** 2).mean() / t.var(),
+            "Pearson_r": lambda p, t: np.corrcoef(p, t)[0, 1], "Spearman_r": lambda p, t: np.corrcoef(mid(p), mid(t))[0, 1],
+        }.items():
+            r = found[g, metric]
+            assert (r.lo, r.hi, r.n_boot) == pytest.approx((*np.quantile([f(p, t) for p, t in want[g]], [0.05, 0.95]), 20)), (g, metric)
+    assert found["one", "MSE"].lo == 1.0 and found["one", "R2"].n_boot == 0 and found["one", "R2"].lo is None
 
 
 def test_permutations_of_pieces(spark, monkeypatch):
@@ -158,12 +196,6 @@ def test_vectors_add_up(spark):
     assert resampling.sum_vectors(df.filter("false"), ["k"], "v").count() == 0
 
 
-def test_draws_of_chunks_are_those_of_the_whole():
-    whole = resampling.draws(1, 5, 1000)
-    assert (np.concatenate([resampling.draws(1, 5, 1000, at, min(256, 1000 - at)) for at in range(0, 1000, 256)]) == whole).all()
-    assert whole.min() >= 0 and whole.max() < 1000 and len(set(whole.tolist())) > 550
-
-
 def test_correlation_tails(spark):
     """Against Student's density, integrated."""
     df = spark.createDataFrame([(0.3, 20), (-0.05, 200), (0.9, 7), (1.0, 5), (0.5, 2), (None, 9)], "r double, n long")

@@ -185,11 +185,14 @@ def test_bootstraps_are_whole(spark, tmp_path):
     ci = lambda v: np.quantile(v, [0.025, 0.975])
 
     got = {r.pos: (r.lo, r.hi) for r in run("position_profile_ci")}
-    x = np.abs(np.array(vectors))[draws(6, 1000)].mean(1)
+    one = {r.i: r.h for r in spark.range(100).selectExpr("id as i", "xxhash64(id) as h").collect()}  # hashes order the rows of a group
+    both = {(r.i, r.c): r.h for r in spark.range(100).selectExpr("id as i", "explode(array(false, true)) as c").selectExpr("i", "c", "xxhash64(struct(i as id, c as rev_comp)) as h").collect()}
+    order = sorted(range(6), key=lambda v: both[v // 2, v % 2 == 1])
+    x = np.abs(np.array(vectors))[order][draws(6, 1000)].mean(1)
     assert sorted(got) == list(range(64)) and all(np.allclose(got[i], ci(x[:, i]), atol=2e-5) for i in got)
 
     groups = defaultdict(list)
-    for k, c, _, price, *_ in rows:
+    for k, c, _, price, *_ in sorted(rows, key=lambda r: one[r[0] // 2]):
         groups[f"m{c % 4}", c % 6 + 1, k % 2 == 1].append((price / 1000, 0.9 * price / 1000 + c % 17, c % 100 / 100, c % 100 / 200 + k % 7 / 20))
     got = {(r.run, r.motif_len, r.rev_comp, r.task, r.metric): r for r in run("bootstrap_metrics")}
     assert len(got) == len(groups) * 2 * 6
@@ -206,11 +209,11 @@ def test_bootstraps_are_whole(spark, tmp_path):
 
     effects = defaultdict(list)
     sides = defaultdict(lambda: defaultdict(list))
-    for k, _, _, price, *_ in rows:
+    for k, _, _, price, *_ in sorted(rows, key=lambda r: both[r[0] // 8, r[0] // 4 % 2 == 1]):
         e = abs(100 * (price % 100 / 10) / (k // 4 % 50 + 10))
         effects[k % 4].append(e)
         sides["up" if (k % 2 == 0) != (k // 4 % 2 == 1) else "down", k % 4 // 2][k // 8].append(e)
-    for name, want in (("local_effect_ci", effects), ("profile_mean_ci", {g: [np.mean(x) for _, x in sorted(v.items())] for g, v in sides.items()})):
+    for name, want in (("local_effect_ci", effects), ("profile_mean_ci", {g: [np.mean(x) for _, x in sorted(v.items(), key=lambda i: one[i[0]])] for g, v in sides.items()})):
         got = {r.region_id if name == "local_effect_ci" else (r.side, r.region_idx): (r.lo, r.hi) for r in run(name)}
         assert got.keys() == want.keys() and len(got) == 4
         for g, v in want.items():
