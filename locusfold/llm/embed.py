@@ -3,14 +3,14 @@
 Vectors are scaled to length 1, so cosine >= 0.98 means a distance of at most r = 0.2. Coarse
 inverted lists come from k-means on a bounded sample, as many as give lists of about BLOCK rows of
 one label, and so do the codes of the residuals by subspace; every vector is indexed. A near vector
-can lie in another list only if the border between the two lists is within r of the query. Its way
-across the border is one direction of many, so lists are probed up to a margin of SIGMAS standard
-deviations of a random direction's share, and no more than r (with `sigmas` None it is r, and no
-pair can be missed). Of two lists that may hold a pair, the lower one's vector asks the higher. A
+can lie in another list only if the border between the two lists is within r of the query, so all
+lists with such a border are probed and no pair can be missed. (With `sigmas`, the margin is so many
+standard deviations of a random direction's share of r: fewer probes, but pairs can be missed where
+vectors lie near a subspace of few dimensions.) Of two lists that may hold a pair, the lower one's vector asks the higher. A
 vector's asymmetric distance to a code, from table look-ups, differs from the true one by no more
 than the code's error, which is stored; so what is dropped before the exact rerank is not near.
 
-Equal vectors are one class. A task compares a block of queries with a block of one list; it
+Equal vectors of a label are one class, known by a number of its own. A task compares a block of queries with a block of one list; it
 returns counts and a spanning forest of the links, never all pairs.
 """
 
@@ -26,10 +26,8 @@ from pyspark.sql import functions as F
 from .common import components, forget, materialize, small_batches
 
 COSINE = 0.98
-#: Rows that train the quantiser, most lists, subspaces, codes of a subspace, rows of a block and queries of a block.
-SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, QUERIES = 20_000, 1024, 8, 32, 1024, 8192
-#: Standard deviations of a random direction that the probes cover.
-SIGMAS = 4.5
+#: Rows that train the quantiser (or eight for each list), most lists, subspaces, codes of a subspace, rows of a block and queries of a block.
+SAMPLE, LISTS, SUBSPACES, CODES, BLOCK, QUERIES = 20_000, 1 << 15, 8, 32, 1024, 8192
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -49,7 +47,8 @@ def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return _squared(x, centres).argmin(1)
+    step = max(1, (1 << 23) // max(len(centres), 1))
+    return np.concatenate([_squared(x[i:i + step], centres).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
 class Quantiser:
@@ -74,8 +73,8 @@ class Quantiser:
         """Mask (rows, lists) of a vector's own list and those whose border with it is within `margin`."""
         d = _squared(x, self.centres)
         own = d.argmin(1)
-        apart = np.sqrt(_squared(self.centres, self.centres))
-        return d - d.min(1, keepdims=True) <= 2 * apart[own] * margin + 1e-9
+        apart = np.sqrt(_squared(self.centres[own], self.centres))
+        return d - d.min(1, keepdims=True) <= 2 * apart * margin + 1e-9
 
     def approximate(self, x: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of rows of x to coded vectors of one list."""
@@ -108,13 +107,13 @@ def _forest(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray) -
     return [(find(v), v) for v in list(parent) if find(v) != v]
 
 
-def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sigmas: float | None = SIGMAS) -> DataFrame:
+def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sigmas: float | None = None) -> DataFrame:
     """id, n_links, component_id, kept of every row.
 
     Rows are compared only where labels are equal and not null. A vector that is null, empty, zero
     or holds a null or non-finite component links with nothing, and so does a row with a null id
-    (null component, kept) or a vector of another length. Rows of one id count as vectors of their
-    own for n_links; other columns are ignored; an empty table gives an empty result.
+    (null component, kept) or a vector of another length. Rows of one id are vectors of their own, each
+    with its own n_links, and one node of a component; other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     small_batches(spark)
@@ -122,44 +121,38 @@ def link_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     clean = (
         v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     )
-    everyone = vectors.select(F.col(id_col).cast("long").alias("id"))
-    good = vectors.filter(clean & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v")
-    )
-    members = materialize(good.withColumn("length", F.size("v")))
+    good = clean & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()
+    members = materialize(vectors.filter(good).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("length", F.size("v")))
     classes = members.groupBy("label", "v", "length").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    classes = materialize(classes)
+    classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()))
+    others = vectors.filter(~F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("n_links"))
     lengths = sorted(r[0] for r in classes.select("length").distinct().collect())  # a row per length of vector
     if not lengths:
-        return everyone.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+        return others.select(F.col("id").alias(id_col), "n_links", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = [_compare(classes.filter(F.col("length") == n), sigmas) for n in lengths]
     links, counts = found[0]
     for more_links, more_counts in found[1:]:
         links, counts = links.unionByName(more_links), counts.unionByName(more_counts)
-    counts = counts.groupBy("label", "rep").agg(F.sum("n").alias("n_links"))
-    named = members.join(classes, ["label", "v"]).select("id", "label", "rep", F.col("n").alias("copies"))
+    counts = classes.select("label", "v", "rep", "n", "class").join(counts.groupBy("class").agg(F.sum("n").alias("linked")), "class", "left")
+    named = members.join(counts, ["label", "v"])
     copies = named.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    each = named.join(counts, ["label", "rep"], "left").select(
-        "id", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
-    )
-    each = each.groupBy("id").agg(F.max("n_links").alias("n_links"))
+    each = named.select("id", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links")).unionByName(others)
     own = components(links.unionByName(copies))
-    return everyone.join(each, "id", "left").join(own, "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
+    return each.join(own, "id", "left").select(
+        F.col("id").alias(id_col), "n_links", F.coalesce("component", "id").alias("component_id"), F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
     )
 
 
 def _compare(classes: DataFrame, sigmas: float | None) -> tuple[DataFrame, DataFrame]:
-    """(links a, b), (label, rep, n): forest edges between representatives, and linked vectors by representative."""
+    """(links a, b), (class, n): forest edges between the smallest ids of classes, and linked vectors by class."""
     spark = classes.sparkSession
     radius = float(np.sqrt(2 - 2 * COSINE))
-    dice = F.xxhash64("rep", "label")
+    dice = F.xxhash64("rep", "label", "class")
     total, largest, length = classes.groupBy("label").count().agg(F.sum("count"), F.max("count")).join(classes.limit(1).select("length")).first()
     margin = radius if sigmas is None else min(radius, sigmas * radius / float(np.sqrt(length)))
-    share = min(1.0, SAMPLE / total)
-    sample = classes.filter(F.pmod(dice, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
     lists = min(LISTS, -(-largest // BLOCK))
+    share = min(1.0, max(SAMPLE, 8 * lists) / total)
+    sample = classes.filter(F.pmod(dice, F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
     model = spark.sparkContext.broadcast(Quantiser(_unit([r[0] for r in sample.orderBy(dice).select("v").collect()]), lists))  # about SAMPLE rows
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,37 +164,37 @@ def _compare(classes: DataFrame, sigmas: float | None) -> tuple[DataFrame, DataF
             at, codes, error = q.encode(x)
             probes = q.probes(x, margin) & (np.arange(len(q.centres)) >= at[:, None])
             yield pd.DataFrame({
-                "label": f["label"], "rep": f["rep"], "n": f["n"], "v": [r.tobytes() for r in x], "list": at.astype("int32"),
+                "label": f["label"], "class": f["class"], "rep": f["rep"], "n": f["n"], "v": [r.tobytes() for r in x], "list": at.astype("int32"),
                 "codes": [c.tobytes() for c in codes], "error": error, "probes": [np.flatnonzero(m).astype("int32") for m in probes],
             })
 
     kind = dict(classes.dtypes)["label"]
-    coded = materialize(classes.select("label", "rep", "n", "v").mapInPandas(
-        index, f"label {kind}, rep long, n long, v binary, list int, codes binary, error double, probes array<int>"
+    coded = materialize(classes.select("label", "class", "rep", "n", "v").mapInPandas(
+        index, f"label {kind}, class long, rep long, n long, v binary, list int, codes binary, error double, probes array<int>"
     ))
     sizes = coded.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     asked = coded.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.ceil(F.count("*") / QUERIES).alias("q_blocks"))
-    sizes = F.broadcast(sizes.join(asked, ["label", "list"]))  # a row per label and list
+    sizes = materialize(sizes.join(asked, ["label", "list"]))  # a row per label and list; Spark broadcasts it if its size allows
     data = coded.join(sizes, ["label", "list"]).select(
-        "label", "list", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"),
+        "label", "list", F.pmod(F.xxhash64("class"), F.col("blocks")).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)).alias("q_block"),
-        F.lit(-1).alias("asks"), "rep", "n", "v", "codes", "error",
+        F.lit(-1).alias("asks"), "class", "rep", "n", "v", "codes", "error",
     )
     queries = coded.withColumnRenamed("list", "asks").withColumn("list", F.explode("probes")).join(sizes, ["label", "list"]).select(
         "label", "list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"),
-        F.pmod(F.xxhash64("rep", F.lit(1)), F.col("q_blocks")).alias("q_block"),
-        "asks", "rep", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"),
+        F.pmod(F.xxhash64("class", F.lit(1)), F.col("q_blocks")).alias("q_block"),
+        "asks", "class", "rep", "n", "v", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"),
     )
 
     def match(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         asking = frame["asks"] >= 0
         q, held = frame[asking], frame[~asking]
         if not len(q) or not len(held):
-            return pd.DataFrame({"label": [], "rep": [], "n": [], "other": []})
+            return pd.DataFrame({"class": [], "n": [], "a": [], "b": []})
         x, y = (np.frombuffer(b"".join(f["v"]), np.float64).reshape(len(f), -1) for f in (q, held))
         codes = np.frombuffer(b"".join(held["codes"]), np.uint8).reshape(len(held), -1)
         bound = radius + held["error"].to_numpy()[None, :] + 1e-9
-        ids, others, n, m = q["rep"].to_numpy(), held["rep"].to_numpy(), held["n"].to_numpy(), q["n"].to_numpy()
+        ids, others, n, m = q["class"].to_numpy(), held["class"].to_numpy(), held["n"].to_numpy(), q["n"].to_numpy()
         found = []
         for i in range(0, len(q), 1024):
             a, b = np.nonzero(model.value.approximate(x[i:i + 1024], key[1], codes) <= bound)
@@ -216,15 +209,14 @@ def _compare(classes: DataFrame, sigmas: float | None) -> tuple[DataFrame, DataF
         linked = np.bincount(a, n[b], len(ids)).astype(np.int64)
         back = np.bincount(b[across], m[a[across]], len(others)).astype(np.int64)
         at, of = np.flatnonzero(linked), np.flatnonzero(back)
-        edges = _forest(a, b, ids, others)
+        edges = _forest(a, b, q["rep"].to_numpy(), held["rep"].to_numpy())
+        counted, none = len(at) + len(of), [None] * len(edges)
         return pd.DataFrame({
-            "label": key[0],
-            "rep": np.r_[ids[at], others[of], [e[0] for e in edges]].astype("int64"), "n": np.r_[linked[at], back[of], [0] * len(edges)].astype("int64"),
-            "other": pd.array([None] * (len(at) + len(of)) + [e[1] for e in edges], "Int64"),
+            "class": pd.array([*ids[at], *others[of], *none], "Int64"), "n": pd.array([*linked[at], *back[of], *none], "Int64"),
+            "a": pd.array([None] * counted + [e[0] for e in edges], "Int64"), "b": pd.array([None] * counted + [e[1] for e in edges], "Int64"),
         })
 
     both = data.unionByName(queries).groupBy("label", "list", "block", "q_block")
-    got = materialize(both.applyInPandas(match, f"label {kind}, rep long, n long, other long"))
+    got = materialize(both.applyInPandas(match, "class long, n long, a long, b long"))
     forget(coded)
-    links = got.filter("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b"))
-    return links, got.filter("other is null").select("label", "rep", "n")
+    return got.filter("b is not null").select("a", "b"), got.filter("b is null").select("class", "n")

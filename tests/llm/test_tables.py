@@ -100,13 +100,39 @@ def test_recall_of_the_probes(spark):
     before = embed.BLOCK
     embed.BLOCK = 100
     try:
-        for sigmas in (embed.SIGMAS, None):
+        for sigmas in (4.5, None):
             got = {a.vec_id: a.n_links for a in embed.link_vectors(v, sigmas=sigmas).collect()}
             assert sum(got.values()) > 0 and got == {i: want.get(i, 0) for i in got}
     finally:
         embed.BLOCK = before
 
 
+@pytest.mark.parametrize("rank", [2, 3])
+@pytest.mark.parametrize("block", [32, 1000])
+def test_no_pair_is_missed_near_a_subspace(spark, rank, block):
+    """Vectors of 64 dimensions near a plane or a space, where neighbours lie across borders of lists head on."""
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(3000, rank)) @ rng.normal(size=(rank, 64)) + rng.normal(size=(3000, 64)) * 1e-4
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, e.tolist(), 0) for i, e in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    want = ((x @ x.T >= 0.98).sum(1) - 1).tolist()
+    before, embed.BLOCK = embed.BLOCK, block
+    try:
+        got = {r.vec_id: r.n_links for r in embed.link_vectors(v).collect()}
+    finally:
+        embed.BLOCK = before
+    assert sum(want) > 0 and [got[i] for i in range(3000)] == want
+
+
+def test_repeated_ids_have_links_of_their_own(spark):
+    """Id 5 has v and w: v has one link, w has two; both rows and all they reach are one component. So does an id in two labels."""
+    v, w = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, v, 0), (5, w, 0), (7, [1.0, 0.01, 0.0], 0), (8, [0.01, 1.0, 0.0], 0), (9, [0.0, 1.0, 0.01], 0), (3, w, 1), (5, w, 1), (11, None, 1), (11, v, 2)]
+    got = sorted(tuple(r) for r in embed.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    # 3 and 5 are equal in label 1, so that the component of 5 starts at 3
+    assert got == sorted([(5, 1, 3, False), (5, 2, 3, False), (7, 1, 3, False), (8, 2, 3, False), (9, 2, 3, False), (3, 1, 3, True), (5, 1, 3, False), (11, 0, 11, True), (11, 0, 11, True)])
+
+
 def plain_pipeline(rows, language):
     """(doc_id, text) of what reaches packing, by brute force; `language` tells which rows the classifier keeps."""
     rows = [r for r in rows if r[0] in language]
