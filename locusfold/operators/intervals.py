@@ -1,8 +1,10 @@
 """Interval operators on 0-based half-open ranges.
 
-Range joins are equi-joins on (chrom, bin): both sides are exploded over the bins that they touch
-and the overlap is checked as a residual. A pair counts only in the first bin that both touch, so
-no pair appears twice.
+Range joins are equi-joins on (chrom, level, cell). Cells of a level are eight times as wide as those of the one below, and
+an interval lives on the finest level on which it touches few cells, so it makes few rows whatever its length. Of a pair,
+the interval on the finer level asks the cells that it touches on the other's level; the overlap is checked as a residual,
+and a pair counts only in the first cell that both touch, so no pair appears twice. Only levels that the other side has
+are asked, which a small job finds out while the plan is built.
 """
 
 from __future__ import annotations
@@ -12,6 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stored
+
+#: Levels, and cells that an interval touches on its own level at most (and one more).
+LEVELS, CELLS = 8, 16
 PRIORITY = ("train", "val", "test")
 
 
@@ -38,29 +44,72 @@ def merge_intervals(regions: DataFrame, bin_bp: int = 1 << 20) -> DataFrame:
     )
 
 
-def _bins(start: Column, end: Column, bin_bp: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / bin_bp), F.floor(F.greatest(start, end - 1) / bin_bp)))
+def _level(start: Column, end: Column, bin_bp: int) -> Column:
+    length = end - start
+    out = F.lit(0)
+    for i in range(LEVELS - 1):
+        out = out + (length > CELLS * bin_bp * 8**i).cast("int")
+    return out
+
+
+def _width(level: Column, bin_bp: int) -> Column:
+    return F.lit(bin_bp).cast("long") * F.pow(F.lit(8), level).cast("long")
+
+
+def _cells(start: Column, end: Column, width: Column) -> Column:
+    return F.sequence(F.floor(start / width), F.floor(F.greatest(start, end - 1) / width))
+
+
+def _levels(df: DataFrame, start: str, end: str, bin_bp: int) -> list[int]:
+    """The levels that intervals live on: LEVELS rows at most reach the driver."""
+    return sorted(r[0] for r in df.select(_level(F.col(start), F.col(end), bin_bp).alias("l")).distinct().collect() if r[0] is not None)
+
+
+def _at_home(df: DataFrame, start: str, end: str, bin_bp: int) -> DataFrame:
+    """`df` once for each cell (_level, _cell) that an interval touches on its own level."""
+    rows = df.withColumn("_level", _level(F.col(start), F.col(end), bin_bp))
+    return rows.withColumn("_cell", F.explode(_cells(F.col(start), F.col(end), _width(F.col("_level"), bin_bp))))
+
+
+def _asking(df: DataFrame, start: str, end: str, bin_bp: int, levels: Sequence[int], above: bool) -> DataFrame:
+    """`df` once for each cell that an interval touches on those of `levels` that lie above its own (or are its own, unless `above`)."""
+    own = _level(F.col(start), F.col(end), bin_bp)
+    each = F.array(*[
+        F.when((own < k) if above else (own <= k), F.transform(_cells(F.col(start), F.col(end), _width(F.lit(k), bin_bp)), lambda c: F.struct(F.lit(k).alias("_level"), c.alias("_cell")))) for k in levels or [0]  # noqa: B023
+    ])
+    return df.withColumn("_c", F.explode(F.flatten(F.filter(each, lambda x: x.isNotNull())))).select(*df.columns, "_c._level", "_c._cell")
+
+
+def _meet(query: DataFrame, regions: DataFrame, start: str, end: str, bin_bp: int, how: str) -> DataFrame:
+    """Join of `query` with `regions`, whose columns are r_<name>, once for each overlapping pair."""
+    above, below = _levels(regions, "r_start", "r_end", bin_bp), _levels(query, start, end, bin_bp)
+    sides = [(_asking(query, start, end, bin_bp, above, False), _at_home(regions, "r_start", "r_end", bin_bp))]
+    higher = [k for k in below if above and k > above[0]]
+    if higher:  # queries on a higher level than some region
+        sides.append((_at_home(query, start, end, bin_bp), _asking(regions, "r_start", "r_end", bin_bp, higher, True)))
+    out = None
+    for q, r in sides:
+        r = r.withColumnsRenamed({"_level": "_r_level", "_cell": "_r_cell"})
+        met = (
+            (F.col("chrom") == F.col("r_chrom")) & (F.col("_level") == F.col("_r_level")) & (F.col("_cell") == F.col("_r_cell"))
+            & (F.col("r_start") < F.col(end)) & (F.col("r_end") > F.col(start))
+        )
+        if how == "inner":
+            met = met & (F.col("_cell") == F.floor(F.greatest(start, "r_start") / _width(F.col("_level"), bin_bp)))
+        one = q.join(r, met, how).drop("_level", "_cell", "_r_level", "_r_cell")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def overlap_pairs(query: DataFrame, regions: DataFrame, start: str = "str_start", end: str = "str_end", bin_bp: int = 4096) -> DataFrame:
-    """Every overlapping pair once: the columns of `query`, then those of `regions` as r_<name>."""
-    q = query.withColumn("_bin", _bins(F.col(start), F.col(end), bin_bp))
-    r = regions.select(*[F.col(c).alias(f"r_{c}") for c in regions.columns]).withColumn("_r_bin", _bins(F.col("r_start"), F.col("r_end"), bin_bp))
-    met = (
-        (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_r_bin"))
-        & (F.col("r_start") < F.col(end)) & (F.col("r_end") > F.col(start))
-        & (F.col("_bin") == F.floor(F.greatest(start, "r_start") / bin_bp))
-    )
-    return q.join(r, met).drop("_bin", "_r_bin")
+    """Every overlapping pair once: the columns of `query`, then those of `regions` as r_<name>. Both are read once while the plan is built."""
+    return _meet(query, regions.select(*[F.col(c).alias(f"r_{c}") for c in regions.columns]), start, end, bin_bp, "inner")
 
 
 def overlapping_ids(query: DataFrame, regions: DataFrame, key: str = "id", start: str = "str_start", end: str = "str_end", bin_bp: int = 4096) -> DataFrame:
-    """Distinct keys of the query rows that overlap any region; regions are merged first."""
-    q = query.select(key, "chrom", start, end).withColumn("_bin", _bins(F.col(start), F.col(end), bin_bp))
-    r = merge_intervals(regions).select(F.col("chrom").alias("r_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    r = r.withColumn("_r_bin", _bins(F.col("r_start"), F.col("r_end"), bin_bp))
-    met = (F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_r_bin")) & (F.col("r_start") < F.col(end)) & (F.col("r_end") > F.col(start))
-    return q.join(r, met, "left_semi").select(key).distinct()
+    """Distinct keys of the query rows that overlap any region; regions are merged first, by a job of this call."""
+    r = stored(merge_intervals(regions).select(F.col("chrom").alias("r_chrom"), F.col("start").alias("r_start"), F.col("end").alias("r_end")))
+    return _meet(query.select(key, "chrom", start, end), r, start, end, bin_bp, "left_semi").select(key).distinct()
 
 
 def overlaps_any(query: DataFrame, regions: DataFrame, key: str = "id", **kw) -> DataFrame:

@@ -1,6 +1,7 @@
 """Value tables of the sequence, interval and statistics operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,32 @@ def test_merge_keeps_touching_apart(spark):
         assert got == [("c", 0, 5), ("c", 5, 12), ("d", 0, 1)]
 
 
+def test_overlaps_of_any_length(spark):
+    """Short and long intervals on both sides, over cell borders of all levels, empty ones and other chromosomes: every pair once, few rows each."""
+    rng = random.Random(3)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            size = rng.choice([0, 1, 5, 60, 1000, 5000, 70_000, 600_000, 9_000_000])
+            at = rng.choice([64, 512, 4096, 32768, 262144]) * rng.randrange(1, 30) - rng.choice([0, 1, size // 2, size]) if rng.random() < 0.6 else rng.randrange(10_000_000)
+            out.append((i, rng.choice(["a", "a", "b"]), max(at, 0), max(at, 0) + size))
+        return out
+
+    queries, regions = some(400), some(300)
+    q = spark.createDataFrame(queries, "id long, chrom string, str_start long, str_end long")
+    r = spark.createDataFrame([(c, s, e, str(i)) for i, c, s, e in regions], "chrom string, start long, end long, name string")
+    want = sorted((i, str(j)) for i, c, s, e in queries for j, d, a, b in regions if c == d and a < e and b > s)
+    for width in (64, 4096):
+        assert sorted((x.id, x.r_name) for x in intervals.overlap_pairs(q, r, bin_bp=width).select("id", "r_name").collect()) == want
+        # merging turns touching cover into one region; an empty one lies in none or within another
+        assert {x.id for x in intervals.overlapping_ids(q, r, bin_bp=width).collect()} == {i for i, _ in want}
+        home = intervals._at_home(q, "str_start", "str_end", width).groupBy("id").count().agg({"count": "max"}).first()[0]
+        asked = intervals._asking(q, "str_start", "str_end", width, range(intervals.LEVELS), False).groupBy("id").count().agg({"count": "max"}).first()[0]
+        assert home <= intervals.CELLS + 2 and asked <= 2 * intervals.CELLS + 2 * intervals.LEVELS
+    assert intervals.overlap_pairs(q, r.filter("false")).count() == intervals.overlap_pairs(q.filter("false"), r).count() == 0
+
+
 def test_overlap_counts_pairs_once(spark):
     q = spark.createDataFrame([(1, "c", 0, 10000)], "id int, chrom string, str_start long, str_end long")
     r = spark.createDataFrame([("c", 5, 9000), ("c", 10000, 10001)], "chrom string, start long, end long")
