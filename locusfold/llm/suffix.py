@@ -29,6 +29,8 @@ from .minhash import mix, powers
 WINDOW, GRAM = 50, 16
 #: Segments that a task gathers before it sends their minimizers on.
 CHUNK = 1 << 19
+#: Bytes of text whose segments are computed at once (one text may be longer): arrays of eight bytes for each byte of it.
+AT_ONCE = 1 << 19
 #: Bytes of a minimizer and of a segment's hash on the way: together they tell segments apart.
 KEY_BYTES, HASH_BYTES = 6, 8
 #: What is found out about 2^NEIGHBOURS ids next to each other travels in one row per part.
@@ -87,6 +89,18 @@ def segments(texts: list[bytes], again: bool = False) -> tuple[np.ndarray, ...]:
     return low[new], place[new], a - start, b - start, whole
 
 
+def slices(texts: list[bytes]) -> Iterator[slice]:
+    """Neighbouring texts of about AT_ONCE bytes together."""
+    first = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > AT_ONCE:
+            yield slice(first, i)
+            first, size = i, 0
+        size += len(t)
+    if first < len(texts):
+        yield slice(first, len(texts))
+
+
 def _bytes(x: np.ndarray) -> bytes:
     return x.tobytes()
 
@@ -145,14 +159,16 @@ def repeated_segments(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
         keys, wholes, owners, held = [], [], [], 0
         for b in batches:
             ids = np.array(b.column(0).to_pylist(), np.int64)
-            key, place, _, _, whole = segments([(t or "").encode() for t in b.column(1).to_pylist()])
-            keys.append(key)
-            wholes.append(whole)
-            owners.append(ids[place])
-            held += len(key)
-            if held >= CHUNK:
-                yield flush()
-                keys, wholes, owners, held = [], [], [], 0
+            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            for some in slices(texts):
+                key, place, _, _, whole = segments(texts[some])
+                keys.append(key)
+                wholes.append(whole)
+                owners.append(ids[some][place])
+                held += len(key)
+                if held >= CHUNK:
+                    yield flush()
+                    keys, wholes, owners, held = [], [], [], 0
         if held:
             yield flush()
 
@@ -237,28 +253,31 @@ def _cut(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, hashes, texts, found = (b.column(i).to_pylist() for i in range(4))
-            raw = [(t or "").encode() if f else b"" for t, f in zip(texts, found, strict=True)]
-            key, place, start, end, whole = segments(raw)
-            out = []
-            edges = np.searchsorted(place, np.arange(len(raw) + 1))
-            for p, wanted in enumerate(found):
-                a, z = edges[p], edges[p + 1]
-                if not wanted or a == z:
-                    continue
-                doc, h, data = ids[p], hashes[p], raw[p]
-                hit = _member(whole[a:z], wanted["settled"])
-                if hit.any():
-                    spans = _merged(np.stack((start[a:z][hit], end[a:z][hit]), 1))
-                    out.append((None, doc, h, None, None, spans.astype("<i4").tobytes()))
-                hit = np.flatnonzero(_member(whole[a:z], wanted["hot"])) + a
-                second, which, begin, stop, _ = segments([data[start[i]:end[i]] for i in hit.tolist()], again=True)
-                divided = mix(key[hit][which] ^ second).view(np.int64)
-                for k, s, e in zip(divided.tolist(), (start[hit][which] + begin).tolist(), (start[hit][which] + stop).tolist(), strict=True):
-                    out.append((k, doc, h, s, data[s:e], None))
-                hit = np.flatnonzero(_member(whole[a:z], wanted["mixed"])) + a
-                for k, s, e in zip(key[hit].view(np.int64).tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
-                    out.append((k, doc, h, s, data[s:e], None))
-            yield _rows(names, types, out)
+            every = [(t or "").encode() if f else b"" for t, f in zip(texts, found, strict=True)]
+            del texts
+            for some in slices(every):
+                raw = every[some]
+                key, place, start, end, whole = segments(raw)
+                out = []
+                edges = np.searchsorted(place, np.arange(len(raw) + 1))
+                for p, wanted in enumerate(found[some]):
+                    a, z = edges[p], edges[p + 1]
+                    if not wanted or a == z:
+                        continue
+                    doc, h, data = ids[some.start + p], hashes[some.start + p], raw[p]
+                    hit = _member(whole[a:z], wanted["settled"])
+                    if hit.any():
+                        spans = _merged(np.stack((start[a:z][hit], end[a:z][hit]), 1))
+                        out.append((None, doc, h, None, None, spans.astype("<i4").tobytes()))
+                    hit = np.flatnonzero(_member(whole[a:z], wanted["hot"])) + a
+                    second, which, begin, stop, _ = segments([data[start[i]:end[i]] for i in hit.tolist()], again=True)
+                    divided = mix(key[hit][which] ^ second).view(np.int64)
+                    for k, s, e in zip(divided.tolist(), (start[hit][which] + begin).tolist(), (start[hit][which] + stop).tolist(), strict=True):
+                        out.append((k, doc, h, s, data[s:e], None))
+                    hit = np.flatnonzero(_member(whole[a:z], wanted["mixed"])) + a
+                    for k, s, e in zip(key[hit].view(np.int64).tolist(), start[hit].tolist(), end[hit].tolist(), strict=True):
+                        out.append((k, doc, h, s, data[s:e], None))
+                yield _rows(names, types, out)
 
     # all columns go in, so that no column is pruned and the exchange of the rows can be used again
     first = ("doc", "hash", "text", "found")
