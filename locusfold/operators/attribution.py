@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import avg_rank, exact_quantiles, join_same, present
+from .ranks import avg_rank, avg_ranks, exact_quantiles, join_same, present
 from .resampling import bootstrap_interval, in_pieces, permuted_places, pieces, whole_vectors
 from .sequence import canonical_kmer
 from .staging import stored
@@ -101,33 +102,61 @@ def relative_axis(pos: Column, n_left: int, n_middle: int) -> Column:
 
 
 def kmer_occurrences(averaged: DataFrame, k: int, n_left: int, n_right: int, max_distance: int | None = None, seq: str = "sequence", motif_class: str = "motif_class") -> DataFrame:
-    """(distance, ig_score, kmer, motif_class): k bases from each distance outward on both flanks with their mean attribution."""
+    """(distance, ig_score, kmer, motif_class): k bases from each distance outward on both flanks with their mean attribution.
+
+    A row's windows are taken where it lies, in one pass over its flanks. A window with a missing attribution, or beyond
+    the end of an array, has a null score; a row without sequence has null k-mers.
+    """
     far = min(max_distance or n_left, n_left - k + 1, n_right - k + 1)
-    d = F.col("distance")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / k
-    rows = averaged.withColumn("distance", F.explode(F.sequence(F.lit(1), F.lit(far))))
-    left = F.struct(mean(F.slice("left", n_left - d - k + 2, k)).alias("ig_score"), F.substring(seq, n_left - d - k + 2, F.lit(k)).alias("w"))
-    right = F.struct(mean(F.slice("right", d, k)).alias("ig_score"), F.substring(seq, F.length(seq) - n_right + d, F.lit(k)).alias("w"))
-    return rows.select("distance", F.explode(F.array(left, right)).alias("s"), motif_class).select("distance", "s.ig_score", canonical_kmer(F.col("s.w")).alias("kmer"), motif_class)
+    distance = np.arange(1, far + 1, dtype=np.int32)
+    inner = n_left - distance - k + 1  # first place of the left windows
+
+    def means(values: pa.Scalar, first: np.ndarray, size: int) -> np.ndarray:
+        x = np.full(size, np.nan)
+        if values.is_valid:
+            own = values.values.to_numpy(zero_copy_only=False)[:size]
+            x[:len(own)] = own
+        return np.lib.stride_tricks.sliding_window_view(x, k)[first].mean(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                scores, words = [], []
+                for left, right, text in zip(b.column(0), b.column(1), b.column(2).to_pylist(), strict=True):
+                    scores += [means(left, inner, n_left), means(right, distance - 1, n_right)]
+                    starts = np.concatenate([inner, len(text or "") - n_right + distance - 1]).tolist()
+                    words += [None] * len(starts) if text is None else [text[i:i + k] for i in starts]
+                row = np.repeat(np.arange(b.num_rows), 2 * far)
+                score = pa.array(np.concatenate(scores), pa.float64(), from_pandas=True)  # NaN becomes null
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(distance, 2 * b.num_rows)), score, pa.array(words, pa.string()), b.column(3).take(pa.array(row))], ["distance", "ig_score", "w", motif_class])
+
+    if far < 1:
+        raise ValueError("no distance leaves room for a k-mer on both flanks")
+    given = averaged.select(F.col("left").cast("array<double>").alias("left"), F.col("right").cast("array<double>").alias("right"), seq, F.col(motif_class).cast("string").alias(motif_class))
+    found = given.mapInArrow(run, f"distance int, ig_score double, w string, `{motif_class}` string")
+    return found.select("distance", "ig_score", canonical_kmer(F.col("w")).alias("kmer"), motif_class)
 
 
 def rank_candidates(pairs: DataFrame, weights: Sequence[float] = (1, 1, 5), min_diff: float = 0.05, n: int = 20, key: str = "id", max_delta: float | None = None, max_error: float | None = None) -> DataFrame:
     """Top pairs of each task by a weighted sum of ordinal percentile ranks: small error, small delta, large difference.
 
     Ordinal ranks count the pairs with worse values, ties by key; pairs over `max_delta` or `max_error` are left out.
+    Candidates are written once, by a job of this call.
     """
     rows = pairs.filter(F.col("diff") >= min_diff)
     for c, top in (("delta", max_delta), ("error", max_error)):
         rows = rows if top is None else rows.filter(F.col(c) <= top)
+    rows = stored(rows.withColumns({f"_{c}": F.col(c) if c == "diff" else -F.col(c) for c in ("error", "delta", "diff")}))
     sizes = rows.groupBy("task").agg(F.count("*").alias("_size"))
-    out = join_same(rows, sizes, ["task"])
-    for c, up in (("error", False), ("delta", False), ("diff", True)):
+    out = join_same(avg_ranks(rows, {f"_{c}": f"_{c}_mid" for c in ("error", "delta", "diff")}, ["task"]), sizes, ["task"])
+    for c in ("error", "delta", "diff"):
         # a tie's rows are told apart by key among themselves: only they share a window
-        ranked = avg_rank(out.withColumn("_v", F.col(c) if up else -F.col(c)), "_v", ["task"], "_mid")
-        tie = Window.partitionBy("task", "_v")
-        below = F.col("_mid") - (F.count("*").over(tie) + 1) / 2
+        tie = Window.partitionBy("task", f"_{c}")
+        below = F.col(f"_{c}_mid") - (F.count("*").over(tie) + 1) / 2
         place = below + F.row_number().over(tie.orderBy(key)) - 1
-        out = ranked.withColumn(f"{c}_rank", F.when(F.col("_size") == 1, 1.0).otherwise(place / F.nullif(F.col("_size") - 1, F.lit(0)))).drop("_v", "_mid")
+        out = out.withColumn(f"{c}_rank", F.when(F.col("_size") == 1, 1.0).otherwise(place / F.nullif(F.col("_size") - 1, F.lit(0))))
+    out = out.drop(*[f"_{c}{end}" for c in ("error", "delta", "diff") for end in ("", "_mid")])
     score = (weights[0] * F.col("error_rank") + weights[1] * F.col("delta_rank") + weights[2] * F.col("diff_rank")) / sum(weights)
     w = Window.partitionBy("task").orderBy(F.desc("score"), key)
     return out.drop("_size").withColumn("score", score).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)  # a top-k filter: each task sends n rows of a group at most
@@ -230,16 +259,38 @@ def adjust_pvalues(df: DataFrame, p: str = "p_value", per: Sequence[str] = ()) -
 
 
 def dual_significance(df: DataFrame, alpha: float = 0.01, percentile: float = 99.0, per: Sequence[str] = ("scope",)) -> DataFrame:
-    """Adds effect size, its percentile rank, and significance by FDR, by effect, and by both."""
-    adjusted = adjust_pvalues(df, per=per).withColumn("effect_size", F.col("raw_observed") - F.col("raw_expected"))
-    ranked = avg_rank(adjusted, "effect_size", per, "_r")
-    sizes = ranked.withColumn("_size", F.abs("effect_size"))
-    limits = join_same(ranked.groupBy(*per).agg(F.count("*").alias("_n")), exact_quantiles(sizes, "_size", {"effect_threshold": percentile / 100}, per), per)
-    out = join_same(ranked, limits, per).withColumn("effect_percentile", 100 * F.col("_r") / F.col("_n")).drop("_r", "_n")
+    """Adds effect size, its percentile rank, and significance by FDR, by effect, and by both. Adjusted rows are written once, by a job of this call."""
+    effect = F.col("raw_observed") - F.col("raw_expected")
+    adjusted = stored(adjust_pvalues(df, per=per).withColumn("effect_size", effect).withColumn("_size", F.abs(effect)))
+    counts = adjusted.groupBy(*per).agg(F.count("*").alias("_n"))
+    limits = join_same(counts, exact_quantiles(adjusted, "_size", {"effect_threshold": percentile / 100}, per), per)
+    out = join_same(avg_rank(adjusted.drop("_size"), "effect_size", per, "_r"), limits, per).withColumn("effect_percentile", 100 * F.col("_r") / F.col("_n")).drop("_r", "_n")
     out = out.withColumn("sig_fdr", F.col("p_adj_fdr_bh") < alpha).withColumn("sig_effect", F.abs("effect_size") > F.col("effect_threshold"))
     return out.withColumn("sig_dual", F.col("sig_fdr") & F.col("sig_effect"))
 
 
+def significance_counts(df: DataFrame, alphas: Sequence[float] = (0.05, 0.01, 0.001), per: Sequence[str] = ("scope",)) -> DataFrame:
+    """(per, alpha, n, n_fdr, n_bonferroni, n_dual): rows of `dual_significance` below each level by FDR, by Bonferroni, and by FDR with a large effect."""
+    level = F.explode(F.array(*map(F.lit, alphas))).alias("alpha")
+    fdr = F.col("p_adj_fdr_bh") < F.col("alpha")
+    return df.select(*per, "p_adj_fdr_bh", "p_adj_bonferroni", "sig_effect", level).groupBy(*per, "alpha").agg(
+        F.count("*").alias("n"), F.count_if(fdr).alias("n_fdr"), F.count_if(F.col("p_adj_bonferroni") < F.col("alpha")).alias("n_bonferroni"), F.count_if(fdr & F.col("sig_effect")).alias("n_dual")
+    )
+
+
+def effect_histogram(df: DataFrame, bins: int = 50, per: Sequence[str] = ("scope",)) -> DataFrame:
+    """(per, bin, lo, hi, n, n_large): effect sizes in equal bins between the least and the largest, the last one closed, and those over the threshold.
+
+    Empty bins have no row; a scope with one value has all of it in bin 0. Missing effects are left out.
+    """
+    rows = df.filter(present("effect_size"))
+    ends = rows.groupBy(*per).agg(F.min("effect_size").alias("_a"), F.max("effect_size").alias("_b"))
+    width = (F.col("_b") - F.col("_a")) / bins
+    at = F.when(width > 0, F.least(F.floor((F.col("effect_size") - F.col("_a")) / width), F.lit(bins - 1))).otherwise(0).cast("long")
+    out = join_same(rows, ends, per).groupBy(*per, at.alias("bin"), "_a", "_b").agg(F.count("*").alias("n"), F.count_if("sig_effect").alias("n_large"))
+    return out.select(*per, "bin", (F.col("_a") + F.col("bin") * width).alias("lo"), (F.col("_a") + (F.col("bin") + 1) * width).alias("hi"), "n", "n_large")
+
+
 def significance_diagnostics(df: DataFrame, bins: int = 50) -> DataFrame:
     """Histogram of p-values with the number of significant rows by class, for plots."""
     at = F.least(F.floor(F.col("p_value") * bins), F.lit(bins - 1)).cast("long")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .metrics import METRICS, regression_metrics
+from .model import loaded
 from .ranks import present
 from .resampling import bootstrap_interval
 
@@ -49,13 +54,59 @@ def shuffle_region(seq: Column, start: Column, end: Column, seed: int, *keys: st
 def perturbed_predictions(samples: DataFrame, regions: DataFrame, n_perm: int, scorer, seed: int = 42, seq: str = "input") -> DataFrame:
     """(id, rev_comp, region_id, perm, baseline, permuted): `scorer` maps a sequence column to a prediction column.
 
-    Samples meet the bounded region table by an explode; every perturbed sequence lives in its row only.
+    Samples meet the bounded region table by an explode; every perturbed sequence lives in its row only, and a sample's
+    baseline is scored once, before. For models that score batches, see `perturbed_scores`.
     """
+    samples = samples.withColumn("_baseline", scorer(F.col(seq)))
     plan = regions.select(F.collect_list(F.struct("region_id", "token_start", "token_end")).alias("regions"))  # the region table is one short array
     rows = samples.crossJoin(F.broadcast(plan)).withColumn("r", F.explode("regions")).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))))
     rows = rows.withColumn("region_id", F.col("r.region_id"))
     mixed = shuffle_region(F.col(seq), F.col("r.token_start"), F.col("r.token_end"), seed, "id", "rev_comp", "region_id", "perm")
-    return rows.withColumn("_mixed", mixed).select("id", "rev_comp", "region_id", "perm", scorer(F.col(seq)).alias("baseline"), scorer(F.col("_mixed")).alias("permuted"))
+    return rows.withColumn("_mixed", mixed).select("id", "rev_comp", "region_id", "perm", F.col("_baseline").alias("baseline"), scorer(F.col("_mixed")).alias("permuted"))
+
+
+def shuffled(seq: str, start: int, end: int, seed: int, *keys) -> str:
+    """`shuffle_region` of one string: the same order of the same hashes."""
+    text = "|".join([str(seed), *(str(k).lower() if isinstance(k, bool) else str(k) for k in keys if k is not None)])
+    part = seq[start:end]
+    drawn = sorted((hashlib.md5(f"{text}|{i}".encode()).hexdigest(), b) for i, b in enumerate(part, 1))
+    return seq[:start] + "".join(b for _, b in drawn) + seq[end:]
+
+
+def perturbed_scores(samples: DataFrame, regions: DataFrame, n_perm: int, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], tasks: Sequence[str], seed: int = 42, seq: str = "input",
+                     at_once: int = 256) -> DataFrame:
+    """(id, rev_comp, task, region_id, perm, baseline, permuted) by a model that scores batches.
+
+    `load()` gives a scorer as `batch_score` takes it, once in each Python worker: of a frame with id, rev_comp and `seq` it
+    returns a frame with a column per task, row by row. Permuted inputs are made inside the batch, `at_once` at a time, and a
+    sample's baseline is scored once: it costs 1 + regions x permutations evaluations. A sample without input has null
+    scores. The region table is a short array that reaches the driver.
+    """
+    plan = [(r.region_id, r.token_start, r.token_end, p) for r in regions.select("region_id", "token_start", "token_end").orderBy("region_id").collect() for p in range(n_perm)]
+    token = uuid.uuid4().hex
+    kinds = dict(samples.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = loaded(token, load)
+        for f in frames:
+            for one in f.itertuples(index=False):
+                text = getattr(one, seq)
+                scored = []
+                jobs = [None, *plan]
+                for at in range(0, len(jobs) if text is not None else 0, at_once):
+                    inputs = [text if j is None else shuffled(text, j[1], j[2], seed, one.id, one.rev_comp, j[0], j[3]) for j in jobs[at:at + at_once]]
+                    given = pd.DataFrame({"id": [one.id] * len(inputs), "rev_comp": [one.rev_comp] * len(inputs), seq: inputs})
+                    scored.append(scorer(given)[list(tasks)].to_numpy(np.float64))
+                values = np.concatenate(scored) if scored else np.full((len(jobs), len(tasks)), np.nan)
+                n = len(plan)
+                yield pd.DataFrame({
+                    "id": [one.id] * n * len(tasks), "rev_comp": [one.rev_comp] * n * len(tasks), "task": np.repeat(list(tasks), n), "region_id": [j[0] for j in plan] * len(tasks),
+                    "perm": [j[3] for j in plan] * len(tasks), "baseline": np.repeat(values[0], n), "permuted": values[1:].T.ravel(),
+                })
+
+    schema = f"id {kinds['id']}, rev_comp {kinds['rev_comp']}, task string, region_id long, perm int, baseline double, permuted double"
+    out = samples.select("id", "rev_comp", seq).mapInPandas(run, schema)
+    return out.withColumns({c: F.when(present(c), F.col(c)) for c in ("baseline", "permuted")})
 
 
 def delta_summary(perturbed: DataFrame, per: Sequence[str] = ("task",)) -> DataFrame:
@@ -98,6 +149,30 @@ def region_table(regions: DataFrame, local: DataFrame, global_: DataFrame) -> Da
     return regions.withColumn("midpoint", (F.col("distance_start") + F.col("distance_end")) / 2).join(local, "region_id", "left").join(global_, "region_id", "left")
 
 
+def top_regions(table: DataFrame, values: Sequence[str] = ("local_mean", "d_Spearman_r"), n: int = 10) -> DataFrame:
+    """(ranking, place, table's columns): the `n` largest regions by each value, ties by region; regions without the value have no place."""
+    out = None
+    for v in values:
+        rows = table.filter(present(v)).orderBy(F.desc(v), "region_id").limit(n)
+        place = F.row_number().over(Window.orderBy(F.desc(v), "region_id")).alias("place")  # n rows
+        one = rows.select(F.lit(v).alias("ranking"), place, *table.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def flank_summary(table: DataFrame, values: Sequence[str] = ("local_mean", "d_Spearman_r")) -> DataFrame:
+    """(flank, value, n_regions, max, mean, min, and the region_idx, distance_start and distance_end of the largest, the first of equal ones)."""
+    each = [F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias("x")) for v in values]
+    where = F.struct("region_idx", "distance_start", "distance_end")
+    rows = table.select("flank", where.alias("w"), F.explode(F.array(*each)).alias("s")).select("flank", "w", "s.*")
+    known = F.when(present("x"), F.col("x"))
+    out = rows.groupBy("flank", "value").agg(
+        F.count("*").alias("n_regions"), F.max(known).alias("max"), F.avg(known).alias("mean"), F.min(known).alias("min"),
+        F.max_by("w", F.when(present("x"), F.struct("x", -F.col("w.region_idx")))).alias("w"),
+    )
+    return out.select("flank", "value", "n_regions", "max", "mean", "min", "w.*")
+
+
 def left_right_compare(table: DataFrame, value: str = "local_mean") -> DataFrame:
     return table.groupBy("region_idx").agg(
         F.max(F.when(F.col("flank") == "left", F.col(value))).alias("left_value"), F.max(F.when(F.col("flank") == "right", F.col(value))).alias("right_value")

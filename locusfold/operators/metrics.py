@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import avg_rank, join_same, present
+from .ranks import avg_rank as avg_rank, avg_ranks, join_same, present
 from .resampling import drawn_size, in_pieces, pieces, times, whole_vectors, with_interval
 from .staging import stored
 from .stats import correlation, correlation_pvalue
@@ -51,12 +51,12 @@ def long_predictions(df: DataFrame, tasks: Sequence[str], keep: Sequence[str]) -
 def regression_metrics(df: DataFrame, group: Sequence[str], tasks: Sequence[str] | None = None, pvalues: bool = False) -> DataFrame:
     """One row per group and task: n, MSE, MAE, MAPE, R2, Pearson_r, Spearman_r[, Pearson_p, Spearman_p].
 
-    Rows whose prediction or label is missing (null or NaN) are left out.
+    Rows whose prediction or label is missing (null or NaN) are left out. `df` is read once, by a job of this call.
     """
     tasks = list(tasks or detect_tasks(df))
-    long = long_predictions(df, tasks, group).filter(present("pred", "true"))
+    long = stored(long_predictions(df, tasks, group).filter(present("pred", "true")))
     by = [*group, "task"]
-    ranked = avg_rank(avg_rank(long, "pred", by, "rank_pred"), "true", by, "rank_true")
+    ranked = avg_ranks(long, {"pred": "rank_pred", "true": "rank_true"}, by)
     err = F.col("pred") - F.col("true")
     out = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(err * err).alias("MSE"), F.avg(F.abs(err)).alias("MAE"),

@@ -38,6 +38,17 @@ def predict_native(df: DataFrame, features: Sequence[str], coefs: dict[str, floa
     return df.withColumn(out, linear_scorer(features, coefs, transform))
 
 
+_LOADED: dict[str, object] = {}
+
+
+def loaded(token: str, load: Callable):
+    """What `load()` returns, kept in the Python worker from task to task; another token takes its place."""
+    if token not in _LOADED:
+        _LOADED.clear()
+        _LOADED[token] = load()
+    return _LOADED[token]
+
+
 def batch_score(df: DataFrame, scorer: Callable, out_schema: str, keep: Sequence[str]) -> DataFrame:
     """`scorer(pandas frame) -> pandas frame` over Arrow batches; `keep` and what it adds come out."""
     kept = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c in keep)

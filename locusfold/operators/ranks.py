@@ -28,26 +28,33 @@ def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(named, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys], how).drop(*[f"_right_{k}" for k in keys])
 
 
-def in_ranges(df: DataFrame, value: str, out: str = "_range") -> DataFrame:
-    """`df` with the number of the value range that a row lies in: one for each shuffle partition, cut at quantiles."""
+def cuts_of(df: DataFrame, values: Sequence[str]) -> list[list[float]]:
+    """Ends of value ranges of several columns, one range for each shuffle partition: one job reads `df` once for all of them."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / parts for i in range(1, parts)]
+    if not probs:
+        return [[] for _ in values]
+    found = df.select(*[F.col(v).cast("double").alias(f"_{i}") for i, v in enumerate(values)]).approxQuantile([f"_{i}" for i in range(len(values))], probs, 0.25 / parts)
+    return [sorted({c for c in cuts if float("-inf") < c < float("inf")}) for cuts in found]
+
+
+def in_ranges(df: DataFrame, value: str, out: str = "_range", cuts: Sequence[float] | None = None) -> DataFrame:
+    """`df` with the number of the value range that a row lies in. Without `cuts`, a job finds them while the plan is built."""
     from pyspark.ml.feature import Bucketizer
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = cuts_of(df, [value])[0] if cuts is None else cuts
     rows = df.withColumn("_range_of", F.col(value).cast("double"))
-    probs = [i / parts for i in range(1, parts)]
-    cuts = sorted(set(rows.approxQuantile("_range_of", probs, 0.25 / parts))) if probs else []
-    cuts = [c for c in cuts if float("-inf") < c < float("inf")]
     if not cuts:
         return rows.withColumn(out, F.lit(0.0)).drop("_range_of")
     return Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_range_of", outputCol=out, handleInvalid="keep").transform(rows).drop("_range_of")
 
 
-def ranked_values(df: DataFrame, value: str, per: Sequence[str] = ()) -> DataFrame:
+def ranked_values(df: DataFrame, value: str, per: Sequence[str] = (), cuts: Sequence[float] | None = None) -> DataFrame:
     """(per, value, _n, _upto, _total): every distinct value, its rows, the rows up to it and all rows of its group.
 
     Ties are one row each. Counts are added up within value ranges and shifted by those of the ranges below.
     """
-    counts = in_ranges(df.filter(present(value)), value).groupBy(*per, "_range", value).agg(F.count("*").alias("_n"))
+    counts = in_ranges(df.filter(present(value)), value, cuts=cuts).groupBy(*per, "_range", value).agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*per)
     sums = counts.groupBy(*per, "_range").agg(F.sum("_n").alias("_s"))  # a row per group and range
     sums = sums.select(*per, "_range", (F.sum("_s").over(group.orderBy("_range")) - F.col("_s")).alias("_before"), F.sum("_s").over(group).alias("_total"))
@@ -61,6 +68,15 @@ def avg_rank(df: DataFrame, value: str, partition: Sequence[str] = (), out: str
     return join_same(df, ranks, [*partition, value])
 
 
+def avg_ranks(df: DataFrame, values: Mapping[str, str], partition: Sequence[str] = ()) -> DataFrame:
+    """`df` with midranks of several values (column -> name): `df` is read once for the ends of all ranges, then once for each value and once for the result."""
+    out = df
+    for (value, name), cuts in zip(values.items(), cuts_of(df, list(values)), strict=True):
+        ranks = ranked_values(df, value, partition, cuts).select(*partition, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name))
+        out = join_same(out, ranks, [*partition, value])
+    return out
+
+
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float], per: Sequence[str] = ()) -> DataFrame:
     """(per, a column per name): exact quantiles with linear interpolation; groups without values are absent."""
     rows = ranked_values(df, value, per)

@@ -13,8 +13,12 @@ from .registry import query, rounded
 
 _L = 24
 _REL = "abs(delta) / CASE WHEN abs(pred - base) <= 1e-6 THEN 1.0 ELSE abs(pred - base) END"
-_SUMMARY = f"count(*) AS n, round(avg({_REL}), 5) AS rel_mean, round(quantile_cont({_REL}, 0.5), 5) AS rel_median, round(stddev_pop(abs(delta)), 5) AS delta_std, round(100.0 * count(*) FILTER ({_REL} > 0.05) / count(*), 5) AS pct_over_5"
-_COLS = ["n", "rel_mean", "rel_median", "delta_std", "pct_over_5"]
+_DELTA = "abs(delta)"
+_SUMMARY = "count(*) AS n, " + ", ".join(
+    f"round(avg({x}), 5) AS {c}_mean, round(max({x}), 5) AS {c}_max, round(stddev_pop({x}), 5) AS {c}_std, round(quantile_cont({x}, 0.5), 5) AS {c}_median" for c, x in (("delta", _DELTA), ("rel", _REL))
+) + ", " + ", ".join(f"round(100.0 * count(*) FILTER ({_REL} > {x}) / count(*), 5) AS pct_over_{c}" for c, x in ((5, 0.05), (1, 0.01))) + (
+    ", round(avg(pred - base), 5) AS diff_mean, round(min(pred - base), 5) AS diff_min, round(max(pred - base), 5) AS diff_max, round(quantile_cont(pred - base, 0.5), 5) AS diff_median"
+)
 
 
 @query("relative_delta", sql(f"SELECT id, rev_comp, round({_REL}, 6) AS rel FROM attr", "attr"))
@@ -24,12 +28,12 @@ def relative_delta(spark, sf):
 
 @query("convergence_summary", sql(f"SELECT task, {_SUMMARY} FROM attr GROUP BY task", "attr"))
 def convergence_summary(spark, sf):
-    return rounded(a.convergence_summary(d.attr(spark, sf)).select("task", *_COLS), 5)
+    return rounded(a.convergence_summary(d.attr(spark, sf)), 5)
 
 
 @query("informative_summary", sql(f"SELECT task, abs(pred - base) > 0.75 AS informative, {_SUMMARY} FROM attr GROUP BY ALL", "attr"))
 def informative_summary(spark, sf):
-    return rounded(a.informative_summary(d.attr(spark, sf), 0.75).select("task", "informative", *_COLS), 5)
+    return rounded(a.informative_summary(d.attr(spark, sf), 0.75), 5)
 
 
 @query("method_sweep", sql(f"SELECT task, CASE WHEN rev_comp THEN 'gauss' ELSE 'riemann' END AS method, id % 3 AS n_steps, count(*) AS n, round(100.0 * count(*) FILTER ({_REL} > 0.05) / count(*), 5) AS pct_over FROM attr GROUP BY ALL", "attr"))
@@ -50,9 +54,10 @@ def _pairs(spark, sf):
     return a.pair_strands(d.attr(spark, sf), ["pred", "attr", "sequence", "motif_class", "delta"])
 
 
-@query("pair_strands", sql(_PAIRS + "SELECT id, round(fwd_pred, 6) AS fwd_pred, round(rc_pred, 6) AS rc_pred FROM p", "attr"))
+@query("pair_strands", sql(_PAIRS + "SELECT id, round(fwd_pred, 6) AS fwd_pred, round(rc_pred, 6) AS rc_pred, round(list_sum(f), 4) AS fwd_attr, round(list_sum(r), 4) AS rc_attr, sequence AS fwd_sequence, motif_class AS fwd_motif_class, round(fd, 6) AS fwd_delta, round(rd, 6) AS rc_delta FROM p", "attr"))
 def pair_strands(spark, sf):
-    return rounded(_pairs(spark, sf).select("id", "fwd_pred", "rc_pred"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 4).alias(c)
+    return rounded(_pairs(spark, sf).select("id", "fwd_pred", "rc_pred", total("fwd_attr"), total("rc_attr"), "fwd_sequence", "fwd_motif_class", "fwd_delta", "rc_delta"))
 
 
 @query("normalize_attr", sql("SELECT id, rev_comp, i, round(attr[i] / (pred - base), 5) AS x FROM attr, (SELECT unnest(range(1, 65)) AS i)", "attr"))
@@ -171,9 +176,23 @@ def _dual(spark, sf):
     return a.dual_significance(_results(spark, sf), 0.02, 90.0)
 
 
-@query("dual_significance", sql(_SCOPES + _P + "SELECT scope, kmer, bh < 0.02 AS sig_fdr, abs(es) > t AS sig_effect, bh < 0.02 AND abs(es) > t AS sig_dual FROM bh JOIN th USING (scope)", "kmers"))
+@query("dual_significance", sql(_SCOPES + _P + "SELECT scope, kmer, round(bh, 6) AS p_adj_fdr_bh, round(bf, 6) AS p_adj_bonferroni, round(es, 3) AS effect_size, round(100 * (rank() OVER (PARTITION BY scope ORDER BY es) + (count(*) OVER (PARTITION BY scope, es) - 1) / 2.0) / m, 5) AS effect_percentile, bh < 0.02 AS sig_fdr, abs(es) > t AS sig_effect, bh < 0.02 AND abs(es) > t AS sig_dual FROM bh JOIN th USING (scope)", "kmers"))
 def dual_significance(spark, sf):
-    return _dual(spark, sf).select("scope", "kmer", "sig_fdr", "sig_effect", "sig_dual")
+    cols = _dual(spark, sf).withColumns({"effect_size": F.round("effect_size", 3), "effect_percentile": F.round("effect_percentile", 5)})
+    return rounded(cols.select("scope", "kmer", "p_adj_fdr_bh", "p_adj_bonferroni", "effect_size", "effect_percentile", "sig_fdr", "sig_effect", "sig_dual"))
+
+
+_ALPHAS = (0.05, 0.02, 0.004)
+
+
+@query("significance_counts", sql(_SCOPES + _P + "SELECT scope, alpha, count(*) AS n, count(*) FILTER (bh < alpha) AS n_fdr, count(*) FILTER (bf < alpha) AS n_bonferroni, count(*) FILTER (bh < alpha AND abs(es) > t) AS n_dual FROM bh JOIN th USING (scope), (SELECT unnest([0.05, 0.02, 0.004]::DOUBLE[]) AS alpha) GROUP BY ALL", "kmers"))
+def significance_counts(spark, sf):
+    return a.significance_counts(_dual(spark, sf), _ALPHAS)
+
+
+@query("effect_histogram", sql(_SCOPES + _P + ", mm AS (SELECT scope, min(es) AS a, max(es) AS b FROM bh GROUP BY scope) SELECT scope, least(floor((es - a) / ((b - a) / 50)), 49)::BIGINT AS bin, round(a + least(floor((es - a) / ((b - a) / 50)), 49) * ((b - a) / 50), 4) AS lo, round(a + (least(floor((es - a) / ((b - a) / 50)), 49) + 1) * ((b - a) / 50), 4) AS hi, count(*) AS n, count(*) FILTER (abs(es) > t) AS n_large FROM bh JOIN th USING (scope) JOIN mm USING (scope) GROUP BY ALL", "kmers"))
+def effect_histogram(spark, sf):
+    return rounded(a.effect_histogram(_dual(spark, sf)), 4)
 
 
 @query("significance_diagnostics", sql(_SCOPES + _P + "SELECT least(floor(p_value * 50), 49)::BIGINT AS bin, CASE WHEN bh < 0.02 AND abs(es) > t THEN 'dual' WHEN bh < 0.02 THEN 'fdr' ELSE 'none' END AS kind, count(*) AS n, round(max(-log10(greatest(bh, 1e-300))), 5) AS max_neg_log10 FROM bh JOIN th USING (scope) GROUP BY ALL", "kmers"))
@@ -270,7 +289,8 @@ def write_run_summary(spark, sf):
     return spark.read.json(path)
 
 
-@query("normalize_attr_schema", sql("SELECT id, rev_comp, 'length' AS task, round(pred, 6) AS pred FROM attr UNION ALL SELECT id, rev_comp, 'variation', round(pred, 6) FROM attr", "attr"))
+@query("normalize_attr_schema", sql("SELECT id, rev_comp, unnest(['length', 'variation']) AS task, round(list_sum(attr), 4) AS attr, round(pred, 6) AS pred, round(base, 6) AS base FROM attr", "attr"))
 def normalize_attr_schema(spark, sf):
     raw = d.attr(spark, sf).select(F.col("id").alias("hipstr_names"), "rev_comp", F.col("attr").alias("attributions"), F.col("pred").alias("predictions_length"), F.col("pred").alias("predictions"), F.col("base").alias("baseline_predictions"))
-    return rounded(io.normalize_attr_schema(raw, ["length", "variation"]).select("id", "rev_comp", "task", "pred"))
+    total = F.aggregate("attr", F.lit(0.0), lambda s, x: s + x)
+    return rounded(io.normalize_attr_schema(raw, ["length", "variation"]).select("id", "rev_comp", "task", F.round(total, 4).alias("attr"), "pred", "base"))

@@ -119,9 +119,9 @@ def locus_qc_kept(spark, sf):
     return _funnel(spark, sf)[0].select("id", "tract")
 
 
-@query("locus_qc_examples", sql(_REASON + f"SELECT reason, id, substr(w, greatest(o - 15, 0) + 1, least(o, 15)) AS before, {_TRACT} AS tract FROM q QUALIFY row_number() OVER (PARTITION BY reason ORDER BY id) <= 10", "tracts"))
+@query("locus_qc_examples", sql(_REASON + f"SELECT reason, id, substr(w, greatest(o - 15, 0) + 1, least(o, 15)) AS before, {_TRACT} AS tract, substr(w, o + str_end - str_start + 1, 15) AS after FROM q QUALIFY row_number() OVER (PARTITION BY reason ORDER BY id) <= 10", "tracts"))
 def locus_qc_examples(spark, sf):
-    return _funnel(spark, sf)[2].select("reason", "id", "before", "tract")
+    return _funnel(spark, sf)[2].select("reason", "id", "before", "tract", "after")
 
 
 @query("motif_integrity", sql(f", v AS (SELECT id, least({_ROT.format('w')}, {_ROT.format('(' + _RC.format('w') + ')')}) AS a FROM words) SELECT count(*) FILTER (a NOT IN ('ACGT', 'AACC')) AS n_violations, count(*) AS n_checked FROM v", "words"))

@@ -39,7 +39,10 @@ _SCORE = "(strpos({0}, 'AC') + strpos({0}, 'GT') * 2 + length(replace({0}, 'CG',
 _TOKENS = "[12, 40, 0, 52][region_id + 1]"
 
 
-@query("perturbed_predictions", sql(f", p AS (SELECT id, rev_comp, sequence, region_id, perm, {_TOKENS} AS tk FROM attr, (SELECT unnest(range(0, 4)) AS region_id), (SELECT unnest(range(0, 3)) AS perm)), s AS (SELECT *, left(sequence, tk) || array_to_string(list_transform(list_sort(list_transform(range(1, 13), lambda k: md5('42|' || id || '|' || rev_comp::VARCHAR || '|' || region_id || '|' || perm || '|' || k) || substr(sequence, tk + k, 1))), lambda x: right(x, 1)), '') || substr(sequence, tk + 13) AS mixed FROM p) SELECT id, rev_comp, region_id, perm, {_SCORE.format('sequence')} AS baseline, {_SCORE.format('mixed')} AS permuted FROM s", "attr"))
+_PERTURBED = f", p AS (SELECT id, rev_comp, sequence, region_id, perm, {_TOKENS} AS tk FROM attr, (SELECT unnest(range(0, 4)) AS region_id), (SELECT unnest(range(0, 3)) AS perm)), s AS (SELECT *, left(sequence, tk) || array_to_string(list_transform(list_sort(list_transform(range(1, 13), lambda k: md5('42|' || id || '|' || rev_comp::VARCHAR || '|' || region_id || '|' || perm || '|' || k) || substr(sequence, tk + k, 1))), lambda x: right(x, 1)), '') || substr(sequence, tk + 13) AS mixed FROM p)"
+
+
+@query("perturbed_predictions", sql(_PERTURBED + f" SELECT id, rev_comp, region_id, perm, {_SCORE.format('sequence')} AS baseline, {_SCORE.format('mixed')} AS permuted FROM s", "attr"))
 def perturbed_predictions(spark, sf):
     rows = d.attr(spark, sf).select("id", "rev_comp", F.col("sequence").alias("input"))
     score = lambda s: (F.instr(s, "AC") + F.instr(s, "GT") * 2 + F.length(F.replace(s, F.lit("CG"), F.lit("")))).cast("double")
@@ -88,11 +91,41 @@ def _table(spark, sf):
 _ENDS = "CASE flank WHEN 'left' THEN 17 - distance_end ELSE 28 + distance_start END AS token_start, CASE flank WHEN 'left' THEN 17 - distance_start ELSE 28 + distance_end END AS token_end"
 
 
-@query("region_table", sql(_PCT + _GLOBAL + _REGIONS + f", l AS (SELECT region_id, round(avg(p), 5) AS local_mean, round(stddev_samp(p), 5) AS local_std, count(p) AS n, count(*) FILTER (p IS NULL) AS n_zero FROM e GROUP BY region_id) SELECT region_id, flank, region_idx, distance_start, distance_end, {_ENDS}, (distance_start + distance_end) / 2.0 AS midpoint, l.* EXCLUDE (region_id), g.* EXCLUDE (region_id) FROM rg LEFT JOIN l USING (region_id) LEFT JOIN g USING (region_id)", "perturbed"))
+_RT = _PCT + _GLOBAL + _REGIONS + f", l AS (SELECT region_id, round(avg(p), 5) AS local_mean, round(stddev_samp(p), 5) AS local_std, count(p) AS n, count(*) FILTER (p IS NULL) AS n_zero FROM e GROUP BY region_id), rt AS (SELECT region_id, flank, region_idx, distance_start, distance_end, {_ENDS}, (distance_start + distance_end) / 2.0 AS midpoint, l.* EXCLUDE (region_id), g.* EXCLUDE (region_id) FROM rg LEFT JOIN l USING (region_id) LEFT JOIN g USING (region_id)) "
+
+
+@query("region_table", sql(_RT + "SELECT * FROM rt", "perturbed"))
 def region_table(spark, sf):
     return rounded(_table(spark, sf), 5)
 
 
+@query("top_regions", sql(_RT + "SELECT 'local_mean' AS ranking, row_number() OVER (ORDER BY local_mean DESC, region_id) AS place, * FROM rt WHERE local_mean IS NOT NULL UNION ALL SELECT 'd_Spearman_r', row_number() OVER (ORDER BY \"d_Spearman_r\" DESC, region_id), * FROM rt WHERE \"d_Spearman_r\" IS NOT NULL", "perturbed"))
+def top_regions(spark, sf):
+    return i.top_regions(rounded(_table(spark, sf), 5)).withColumn("place", F.col("place").cast("long"))
+
+
+@query("flank_summary", sql(_RT + ", v AS (SELECT flank, unnest(['local_mean', 'd_Spearman_r']) AS value, unnest([local_mean, \"d_Spearman_r\"]) AS x, region_idx, distance_start, distance_end FROM rt) SELECT flank, value, count(*) AS n_regions, round(max(x), 5) AS max, round(avg(x), 4) AS mean, round(min(x), 5) AS min, arg_max(region_idx, (x, -region_idx)) AS region_idx, arg_max(distance_start, (x, -region_idx)) AS distance_start, arg_max(distance_end, (x, -region_idx)) AS distance_end FROM v GROUP BY flank, value", "perturbed"))
+def flank_summary(spark, sf):
+    return i.flank_summary(rounded(_table(spark, sf), 5)).withColumn("mean", F.round("mean", 4))
+
+
+def _load():
+    """A stand-in for a model's loading: the scores of `perturbed_predictions` from batches, and their halves."""
+    def scorer(f):
+        x = f["input"]
+        score = (x.str.find("AC") + 1 + (x.str.find("GT") + 1) * 2 + x.str.replace("CG", "").str.len()).astype(float)
+        return f[["id"]].assign(length=score, variation=score / 2)
+
+    return scorer
+
+
+@query("perturbed_scores", sql(_PERTURBED + f", b AS (SELECT id, rev_comp, region_id, perm, {_SCORE.format('sequence')} AS x, {_SCORE.format('mixed')} AS y FROM s) SELECT id, rev_comp, 'length' AS task, region_id, perm::INT AS perm, x AS baseline, y AS permuted FROM b UNION ALL SELECT id, rev_comp, 'variation', region_id, perm::INT, x / 2, y / 2 FROM b", "attr"))
+def perturbed_scores(spark, sf):
+    rows = d.attr(spark, sf).select("id", "rev_comp", F.col("sequence").alias("input"))
+    return i.perturbed_scores(rows, i.flank_regions(i.layout(spark, 24, 0, 8, 0), 12), 3, _load, ["length", "variation"])
+
+
+
 @query("left_right_compare", sql(_PCT + ", l AS (SELECT region_id, avg(p) AS v FROM e GROUP BY region_id) SELECT a.region_id // 2 AS region_idx, round(a.v, 5) AS left_value, round(b.v, 5) AS right_value, round(a.v - b.v, 5) AS difference FROM l a JOIN l b ON a.region_id % 2 = 0 AND b.region_id = a.region_id + 1", "perturbed"))
 def left_right_compare(spark, sf):
     return rounded(i.left_right_compare(_table(spark, sf)), 5)

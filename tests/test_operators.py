@@ -154,3 +154,73 @@ def test_reach_of_zero_profile(spark):
     df = spark.createDataFrame([(1, 50.0, 0.0), (1, 150.0, -1.0), (2, 50.0, 1.0), (2, 1500.0, 1.0)], ["id", "midpoint", "value"])
     got = {r.id: tuple(r)[1:] for r in importance.reach_metrics(df).collect()}
     assert got[1] == (0.0, 0.0, 0.0) and got[2] == (775.0, 0.5, 1500.0)
+
+
+def test_scores_of_permuted_inputs(spark, tmp_path):
+    """Every input is scored once, the baseline too; the column scorer and the batch scorer agree; the model is loaded once in a worker."""
+    rows = [(1, False, "ACGTACGTTGCA"), (2, True, "TTTTGGGGCCCC"), (3, False, None), (4, None, "A")]
+    samples = spark.createDataFrame(rows, "id long, rev_comp boolean, input string").coalesce(1)
+    regions = spark.createDataFrame([(0, 0, 5), (1, 4, 12), (2, 3, 3)], "region_id long, token_start long, token_end long")
+    log = str(tmp_path / "log")
+
+    def load():
+        def note(text):
+            with open(log, "a") as f:
+                f.write(text)
+
+        note("load\n")
+
+        def scorer(f):
+            note("score\n" * len(f))
+            at = f["input"].str.find("G") + f["input"].str.find("C") * 3.0
+            return f[["id"]].assign(a=at, b=-at)
+
+        return scorer
+
+    got = importance.perturbed_scores(samples, regions, 2, load, ["a", "b"], at_once=4)
+    found = {(r.id, r.region_id, r.perm, r.task): (r.baseline, r.permuted) for r in got.collect()}
+    assert len(found) == 4 * 3 * 2 * 2
+    lines = open(log).read().split()
+    assert lines.count("load") == 1 and lines.count("score") == 3 * (1 + 3 * 2)
+    score = lambda s: (F.instr(s, "G") - 1 + (F.instr(s, "C") - 1) * 3).cast("double")
+    for r in importance.perturbed_predictions(samples, regions, 2, score).collect():
+        assert found[r.id, r.region_id, r.perm, "a"] == (r.baseline, r.permuted)
+        assert found[r.id, r.region_id, r.perm, "b"] == ((-r.baseline, -r.permuted) if r.id != 3 else (None, None))
+
+
+def test_reports_of_regions(spark):
+    rows = [(i, "left" if i % 2 == 0 else "right", i // 2, i // 2 * 10, i // 2 * 10 + 10, x, y) for i, (x, y) in enumerate([(1.0, 0.5), (2.0, None), (3.0, 0.1), (3.0, 0.2), (None, 0.5), (float("nan"), 0.4)])]
+    table = spark.createDataFrame(rows, "region_id long, flank string, region_idx long, distance_start long, distance_end long, local_mean double, d_Spearman_r double")
+    top = [(r.ranking, r.place, r.region_id) for r in importance.top_regions(table, n=3).orderBy("ranking", "place").collect()]
+    assert top == [("d_Spearman_r", 1, 0), ("d_Spearman_r", 2, 4), ("d_Spearman_r", 3, 5), ("local_mean", 1, 2), ("local_mean", 2, 3), ("local_mean", 3, 1)]
+    got = {(r.flank, r.value): tuple(r)[2:] for r in importance.flank_summary(table).collect()}
+    assert got["left", "local_mean"] == (3, 3.0, 2.0, 1.0, 1, 10, 20) and got["right", "local_mean"] == (3, 3.0, 2.5, 2.0, 1, 10, 20)
+    assert got["left", "d_Spearman_r"][:4] == (3, 0.5, pytest.approx(1.1 / 3), 0.1) and got["left", "d_Spearman_r"][4] == 0
+
+
+def test_effects_in_bins(spark):
+    rows = [("s", float(x), x > 8, 0.001 * x, 0.01 * x) for x in range(11)] + [("one", 2.0, False, 0.5, 1.0), ("s", None, False, 0.03, 0.3)]
+    df = spark.createDataFrame(rows, "scope string, effect_size double, sig_effect boolean, p_adj_fdr_bh double, p_adj_bonferroni double")
+    got = {(r.scope, r.bin): (r.lo, r.hi, r.n, r.n_large) for r in attribution.effect_histogram(df, 5).collect()}
+    assert got == {("s", 0): (0, 2, 2, 0), ("s", 1): (2, 4, 2, 0), ("s", 2): (4, 6, 2, 0), ("s", 3): (6, 8, 2, 0), ("s", 4): (8, 10, 3, 2), ("one", 0): (2, 2, 1, 0)}
+    counts = {(r.scope, r.alpha): tuple(r)[2:] for r in attribution.significance_counts(df, (0.05, 0.005)).collect()}
+    assert counts["s", 0.05] == (12, 12, 5, 2) and counts["s", 0.005] == (12, 5, 1, 0) and counts["one", 0.05] == (1, 0, 0, 0)
+
+
+def test_kmers_at_every_distance(spark):
+    """Against slices of each row; nulls in arrays, short arrays and no sequence; time grows with the flank, not with its square."""
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("ACGT") for _ in range(26)), [rng.random() for _ in range(12)], [rng.random() for _ in range(10)], "AC") for _ in range(20)]
+    rows += [(None, [1.0] * 12, [2.0] * 10, None), ("A" * 26, [None] + [1.0] * 11, [1.0] * 7, "A"), ("C" * 26, None, [float(i) for i in range(10)], "C")]
+    df = spark.createDataFrame(rows, "sequence string, left array<double>, right array<double>, motif_class string")
+    got = sorted(map(str, (tuple(r) for r in attribution.kmer_occurrences(df, 3, 12, 10, 9).withColumn("ig_score", F.round("ig_score", 9)).collect())))
+    want = []
+    turn = str.maketrans("ACGT", "TGCA")
+    for seq, left, right, motif in rows:
+        for d in range(1, 9):
+            for part, text in (((left or [])[12 - d - 2:12 - d + 1], seq and seq[12 - d - 2:12 - d + 1]), ((right or [])[d - 1:d + 2], seq and seq[16 + d - 1:16 + d + 2])):
+                score = round(sum(part) / 3, 9) if len(part) == 3 and None not in part else None
+                want.append(str((d, score, text and min(text, text.translate(turn)[::-1]), motif)))
+    assert got == sorted(want)
+    with pytest.raises(ValueError):
+        attribution.kmer_occurrences(df, 13, 12, 10)
