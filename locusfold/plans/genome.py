@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sequence as s
+from ..sources import tables as io
 from . import derive as d
 from .derive import CHUNK, FLANK, sql
 from .registry import query, rounded
@@ -33,11 +34,21 @@ def genome_chunks(spark, sf):
     return d.chunks(spark, sf)[0]
 
 
-@query("fetch_window", sql(f"SELECT id, {_LF} AS lf, {_RF} AS rf, {_TRACT} AS tract FROM tracts", "tracts"))
+_FETCHED = sql(f"SELECT id, {_LF} AS lf, {_RF} AS rf, {_TRACT} AS tract FROM tracts", "tracts")
+
+
+@query("fetch_window", _FETCHED)
 def fetch_window(spark, sf):
     return _windows(spark, sf, {"lf": (F.col("str_start") - FLANK, F.col("str_start")), "rf": (F.col("str_end"), F.col("str_end") + FLANK), "tract": (F.col("str_start"), F.col("str_end"))})[0].select("id", "lf", "rf", "tract")
 
 
+@query("fetch_window_stored", _FETCHED)
+def fetch_window_stored(spark, sf):
+    store = io.write_genome_store(d.chunks(spark, sf)[0])
+    windows = {"lf": (F.col("str_start") - FLANK, F.col("str_start")), "rf": (F.col("str_end"), F.col("str_end") + FLANK), "tract": (F.col("str_start"), F.col("str_end"))}
+    return s.fetch_window(d.tracts(spark, sf), store, windows, chunk_bp=CHUNK).select("id", "lf", "rf", "tract")
+
+
 @query("reverse_complement", sql(f"SELECT chrom AS id, {_RC.format('seq')} AS rc FROM genome", "genome"))
 def reverse_complement(spark, sf):
     return d.genome(spark, sf).select(F.col("chrom").alias("id"), s.reverse_complement(F.col("seq")).alias("rc"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -91,6 +92,21 @@ def _chunked(lines: DataFrame, chunk_bp: int) -> tuple[DataFrame, DataFrame]:
     return chunks, chunk_lengths(chunks)
 
 
+def write_genome_store(chunks: DataFrame, buckets: int | None = None, name: str | None = None) -> DataFrame:
+    """`chunks` written once, dealt into files by (chrom, chunk_idx), and read back: `fetch_window` then shuffles loci alone.
+
+    `buckets` is the number of files' groups, by default that of shuffle partitions; choose it so that one holds some hundred
+    MB of bases. `name` is that of a table in the session's catalog (a new one by default); its files lie in the shared folder,
+    so that `spark.table(name)` serves later jobs of the application.
+    """
+    spark = chunks.sparkSession
+    name = name or f"genome_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = chunks.repartition(n, "chrom", "chunk_idx")  # each group of files is written by one task
+    dealt.write.bucketBy(n, "chrom", "chunk_idx").sortBy("chrom", "chunk_idx").option("path", scratch(spark)).saveAsTable(name)
+    return spark.table(name)
+
+
 def project_region_dump(dump: DataFrame, chrom: str, start: str, end: str, class_col: str | None = None, regex: str | None = REPEAT_CLASSES) -> DataFrame:
     """Region dump to (chrom, start, end[, region_class]); the class must match the pattern anywhere."""
     cols = [F.col(chrom).alias("chrom"), F.col(start).cast("long").alias("start"), F.col(end).cast("long").alias("end")]

@@ -301,3 +301,32 @@ def test_registered_queries_without_sql():
         "bootstrap_metrics", "correlation_pvalue", "hierarchical_profiles", "local_effect_ci", "metric_by_flank_ci", "metric_by_model_type_ci", "pca_projection", "permutation_pvalues",
         "position_profile_ci", "profile_kmeans", "profile_mean_ci", "ridge_kmer_coefficients", "ridge_kmer_predictions", "ridge_kmer_search", "silhouette_sweep", "stratified_permutation",
     }
+
+
+def test_stored_genome_is_not_shuffled(spark):
+    """Windows of a store equal those of chunks; the plan moves loci to the store's files, with no exchange over the chunks."""
+    rng = random.Random(14)
+    seqs = [(f"c{i}", "".join(rng.choice("ACGT") for _ in range(n))) for i, n in enumerate((0, 5, 64, 1000, 700))]
+    chunks, _ = sequence.genome_chunks(spark.createDataFrame(seqs, "chrom string, seq string"), 64)
+    loci = spark.createDataFrame([(i, f"c{rng.randrange(6)}", at := rng.randrange(1000), at + rng.randrange(80)) for i in range(200)], "id long, chrom string, str_start long, str_end long")
+    windows = {"lf": (F.col("str_start") - 20, F.col("str_start")), "tract": (F.col("str_start"), F.col("str_end"))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = tables.write_genome_store(chunks, buckets=5)
+        got = sequence.fetch_window(loci, store, windows, chunk_bp=64)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted(map(tuple, sequence.fetch_window(loci, chunks, windows, chunk_bp=64).collect()))
+    join = plan[plan.index("SortMergeJoin"):].splitlines()
+    deep = lambda line: len(line) - len(line.lstrip(" :+-"))
+    right = next(i for i in range(len(join) - 1, 0, -1) if "FileScan" in join[i])
+    above, level = [], deep(join[right])
+    for line in reversed(join[1:right]):  # the way from the scan of the store up to the join
+        if deep(line) < level:
+            above.append(line)
+            level = deep(line)
+    assert "Bucketed: true" in join[right] and not any("Exchange" in x for x in above), plan
+    assert "Exchange hashpartitioning(chrom" in plan  # the loci's
