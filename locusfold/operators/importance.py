@@ -256,13 +256,6 @@ def silhouette_sweep(df: DataFrame, ks: Sequence[int] = tuple(range(2, 8)), seed
     return df.sparkSession.createDataFrame(found, "k int, silhouette double")
 
 
-def hierarchical_profiles(df: DataFrame, k: int = 3, seed: int = 42, col: str = "unit") -> DataFrame:
-    from pyspark.ml.clustering import BisectingKMeans
-
-    rows = _features(df, col)
-    return BisectingKMeans(k=k, seed=seed).fit(rows).transform(rows).drop("features").withColumnRenamed("prediction", "cluster")
-
-
 def long_range_cluster(labels: DataFrame, reach: DataFrame, key: str = "id") -> DataFrame:
     """Members of the cluster with the largest mean centre of mass, in order of their own."""
     joined = labels.filter("cluster >= 0").join(reach, key)

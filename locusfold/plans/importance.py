@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import importance as i
+from ..operators import ward
 from ..operators import metrics
 from . import derive as d
 from .derive import sql
@@ -188,7 +189,12 @@ def silhouette_sweep(spark, sf):
 
 @query("hierarchical_profiles")
 def hierarchical_profiles(spark, sf):
-    return i.hierarchical_profiles(_units(spark, sf)).select("id", "cluster")
+    return ward.hierarchical_profiles(_units(spark, sf))[0].select("id", "cluster")
+
+
+@query("hierarchy_heights")
+def hierarchy_heights(spark, sf):
+    return rounded(ward.hierarchical_profiles(_units(spark, sf))[1])
 
 
 def _labels(spark, sf):

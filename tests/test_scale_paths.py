@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusfold import catalog
-from locusfold.operators import attribution, importance, metrics, ranks, resampling, sequence, stats
+from locusfold.operators import attribution, importance, metrics, ranks, resampling, sequence, stats, ward
 from locusfold.sources import tables
 
 
@@ -233,7 +233,7 @@ def test_clusters_of_planted_profiles(spark):
     centres = np.eye(3).repeat(4, 1)
     x = np.vstack([centres[i % 3] + rng.uniform(0, 0.1, 12) for i in range(45)])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, unit array<double>")
-    for fn in (importance.profile_kmeans, importance.hierarchical_profiles):
+    for fn in (importance.profile_kmeans, lambda f: ward.hierarchical_profiles(f)[0]):
         got = {r.id: r.cluster for r in fn(df).collect()}
         assert got.pop(99, -2) == -2
         assert len(set(got.values())) == 3 and all(got[i] == got[i % 3] for i in got)
@@ -298,7 +298,7 @@ def test_windows_that_no_chunk_meets(spark):
 def test_registered_queries_without_sql():
     """Those that SQL cannot express, or not at their size; every other one has SQL."""
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {
-        "bootstrap_metrics", "correlation_pvalue", "hierarchical_profiles", "local_effect_ci", "metric_by_flank_ci", "metric_by_model_type_ci", "pca_projection", "permutation_pvalues",
+        "bootstrap_metrics", "correlation_pvalue", "hierarchical_profiles", "hierarchy_heights", "local_effect_ci", "metric_by_flank_ci", "metric_by_model_type_ci", "pca_projection", "permutation_pvalues",
         "position_profile_ci", "profile_kmeans", "profile_mean_ci", "ridge_kmer_coefficients", "ridge_kmer_predictions", "ridge_kmer_search", "silhouette_sweep", "stratified_permutation",
     }
 
@@ -330,3 +330,58 @@ def test_stored_genome_is_not_shuffled(spark):
             level = deep(line)
     assert "Bucketed: true" in join[right] and not any("Exchange" in x for x in above), plan
     assert "Exchange hashpartitioning(chrom" in plan  # the loci's
+
+
+def plain_ward(x):
+    """(height, sets) of each merge by trying all pairs."""
+    sets = [frozenset([i]) for i in range(len(x))]
+    out = []
+    while len(sets) > 1:
+        best = None
+        for i in range(len(sets)):
+            for j in range(i):
+                a, b = (np.array(sorted(sets[q])) for q in (i, j))
+                h = np.sqrt(2 * len(a) * len(b) / (len(a) + len(b)) * ((x[a].mean(0) - x[b].mean(0)) ** 2).sum())
+                if best is None or h < best[0]:
+                    best = (h, i, j)
+        h, i, j = best
+        both = sets[i] | sets[j]
+        sets = [s for q, s in enumerate(sets) if q not in (i, j)] + [both]
+        out.append((h, both))
+    return out
+
+
+def test_ward_is_exact_on_small_tables(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5)) + rng.integers(0, 3, 40)[:, None] * 2
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id long, unit array<double>").repartition(5)
+    want = plain_ward(x)
+    for k in (1, 3, 7, 40):
+        rows, merges = ward.hierarchical_profiles(df, k)
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.cluster, set()).add(r.id)
+        sets = {frozenset([i]) for i in range(40)}
+        for _, both in want[:40 - k]:
+            sets = {s for s in sets if not s <= both} | {both}
+        assert set(map(frozenset, got.values())) == sets
+        assert [len(got[c]) for c in range(k)] == sorted(map(len, sets), reverse=True)
+    steps = merges.orderBy("step").collect()
+    assert [r.height for r in steps] == pytest.approx([h for h, _ in want]) and [r.rows for r in steps] == [len(s) for _, s in want]
+    high = (want[-3][0] + want[-2][0]) / 2
+    assert ward.hierarchical_profiles(df, height=high)[0].select("cluster").distinct().count() == 3
+    twice = ward.hierarchical_profiles(df.unionByName(df.withColumn("id", F.col("id") + 1000)), 3)
+    assert twice[1].count() == 39 and twice[1].agg({"rows": "max"}).first()[0] == 80
+    rows, merges = ward.hierarchical_profiles(df.filter("id = 99"))
+    assert rows.count() == merges.count() == 0
+
+
+def test_ward_of_condensed_rows(spark):
+    """More rows than summaries: planted clusters are found, all rows are counted."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 6)) * 0.1 + np.arange(3000)[:, None] % 4 * 3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, unit array<double>").repartition(6)
+    rows, merges = ward.hierarchical_profiles(df, 4, most=50)
+    got = {r.id: r.cluster for r in rows.collect()}
+    assert len(got) == 3000 and len(set(got.values())) == 4 and all(got[i] == got[i % 4] for i in got)
+    assert merges.count() == 49 and merges.agg({"rows": "max"}).first()[0] == 3000
