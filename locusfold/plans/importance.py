@@ -105,9 +105,9 @@ def top_regions(spark, sf):
     return i.top_regions(rounded(_table(spark, sf), 5)).withColumn("place", F.col("place").cast("long"))
 
 
-@query("flank_summary", sql(_RT + ", v AS (SELECT flank, unnest(['local_mean', 'd_Spearman_r']) AS value, unnest([local_mean, \"d_Spearman_r\"]) AS x, region_idx, distance_start, distance_end FROM rt) SELECT flank, value, count(*) AS n_regions, round(max(x), 5) AS max, round(avg(x), 4) AS mean, round(min(x), 5) AS min, arg_max(region_idx, (x, -region_idx)) AS region_idx, arg_max(distance_start, (x, -region_idx)) AS distance_start, arg_max(distance_end, (x, -region_idx)) AS distance_end FROM v GROUP BY flank, value", "perturbed"))
+@query("flank_summary", sql(_RT + ", v AS (SELECT flank, unnest(['local_mean', 'd_Spearman_r']) AS value, unnest([local_mean, \"d_Spearman_r\"]) AS x, region_idx, distance_start, distance_end FROM rt) SELECT flank, value, count(*) AS n_regions, round(max(x), 5) AS max, round(avg(x) + 1e-7, 4) AS mean, round(min(x), 5) AS min, arg_max(region_idx, (x, -region_idx)) AS region_idx, arg_max(distance_start, (x, -region_idx)) AS distance_start, arg_max(distance_end, (x, -region_idx)) AS distance_end FROM v GROUP BY flank, value", "perturbed"))
 def flank_summary(spark, sf):
-    return i.flank_summary(rounded(_table(spark, sf), 5)).withColumn("mean", F.round("mean", 4))
+    return i.flank_summary(rounded(_table(spark, sf), 5)).withColumn("mean", F.round(F.col("mean") + 1e-7, 4))
 
 
 def _load():
