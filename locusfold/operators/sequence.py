@@ -184,7 +184,8 @@ def assemble_input(loci: DataFrame, chunks: DataFrame, n_flank: int, n_str: int,
     )
 
 
-SEGMENTS = ("prefix", "left_flank", "left_str", "gap", "right_str", "right_flank", "suffix")
+# The labels of an input's segments, in order.
+SEGMENTS = ("prefix_prompt", "left_flank", "left_str", "str_prompt", "right_str", "right_flank", "suffix_prompt")
 
 
 def segment_labels(n_flank: int, n_str: int, n_prefix: int = 0, n_gap: int = 0, n_suffix: int = 0) -> Column:

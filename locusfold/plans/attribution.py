@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attribution as a
 from ..operators import cohort
+from ..operators import sequence as seq
 from ..sources import tables as io
 from . import derive as d
 from .derive import sql
@@ -60,6 +61,13 @@ def pair_strands(spark, sf):
     return rounded(_pairs(spark, sf).select("id", "fwd_pred", "rc_pred", total("fwd_attr"), total("rc_attr"), "fwd_sequence", "fwd_motif_class", "fwd_delta", "rc_delta"))
 
 
+@query("segment_labels", sql("SELECT id, rev_comp, CASE WHEN i <= 24 THEN 'left_flank' WHEN i <= 32 THEN 'left_str' WHEN i <= 40 THEN 'right_str' ELSE 'right_flank' END AS segment, count(*) AS n, round(sum(abs(attr[i])), 4) AS total FROM attr, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL", "attr"))
+def segment_labels(spark, sf):
+    """Attribution by segment of the model's input."""
+    rows = d.attr(spark, sf).select("id", "rev_comp", F.explode(F.arrays_zip(seq.segment_labels(24, 8).alias("segment"), F.col("attr"))).alias("x"))
+    return rows.groupBy("id", "rev_comp", F.col("x.segment").alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum(F.abs("x.attr")), 4).alias("total"))
+
+
 @query("normalize_attr", sql("SELECT id, rev_comp, i, round(attr[i] / (pred - base), 5) AS x FROM attr, (SELECT unnest(range(1, 65)) AS i)", "attr"))
 def normalize_attr(spark, sf):
     rows = d.attr(spark, sf).withColumn("x", a.normalize_attr(F.col("attr"), F.col("pred") - F.col("base")))

@@ -224,3 +224,8 @@ def test_kmers_at_every_distance(spark):
     assert got == sorted(want)
     with pytest.raises(ValueError):
         attribution.kmer_occurrences(df, 13, 12, 10)
+
+
+def test_segment_labels(spark):
+    got = spark.range(1).select(sequence.segment_labels(3, 2, 1, 4, 2).alias("x")).first().x
+    assert got == ["prefix_prompt"] + ["left_flank"] * 3 + ["left_str"] * 2 + ["str_prompt"] * 4 + ["right_str"] * 2 + ["right_flank"] * 3 + ["suffix_prompt"] * 2
