@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -172,11 +174,22 @@ def logo_matrix(averaged: DataFrame, locus_id, n_left: int, n_right: int, max_di
     return rows.select("pos", *[F.when(F.col("base") == b, F.col("x")).otherwise(0.0).alias(b) for b in "ACGT"])
 
 
-def enrichment_scopes(kmers: DataFrame, by_motif: bool = False, windows: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """Every occurrence once per scope (all, its motif class) and window (global, inclusive distance ranges)."""
+def in_windows(kmers: DataFrame, windows: Sequence[tuple[int, int]]) -> DataFrame:
+    """The rows whose distance lies in one of the inclusive `windows`: a filter that files ordered by distance answer from their statistics."""
+    return kmers.filter(reduce(or_, [F.col("distance").between(a, b) for a, b in windows]))
+
+
+def enrichment_scopes(kmers: DataFrame, by_motif: bool = False, windows: Sequence[tuple[int, int]] = (), whole: bool = True) -> DataFrame:
+    """Every occurrence once per scope (all, its motif class) and window (global, inclusive distance ranges).
+
+    Without `whole` there is no global window, and rows outside of all windows are not read where `kmers` comes from `write_kmers`.
+    """
+    if not whole and not windows:
+        raise ValueError("windows are needed where the global one is left out")
     scopes = [F.lit("all")] + ([F.concat(F.lit("motif_"), F.col("motif_class"))] if by_motif else [])
-    spans = [F.lit("global")] + [F.when(F.col("distance").between(a, b), F.lit(f"{a}-{b}")) for a, b in windows]
-    out = kmers.withColumn("scope", F.explode(F.array(*scopes))).withColumn("window", F.explode(F.array(*spans)))
+    spans = ([F.lit("global")] if whole else []) + [F.when(F.col("distance").between(a, b), F.lit(f"{a}-{b}")) for a, b in windows]
+    rows = kmers if whole else in_windows(kmers, windows)
+    out = rows.withColumn("scope", F.explode(F.array(*scopes))).withColumn("window", F.explode(F.array(*spans)))
     return out.filter("window is not null")
 
 
@@ -241,9 +254,33 @@ def permutation_pvalues(observed: DataFrame, null: DataFrame, min_count: int = 3
 
 
 def raw_effect(kmers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Observed mean score, and the mean of the distances' pool means over a k-mer's occurrences."""
-    pools = kmers.groupBy(*by, "distance").agg(F.avg("ig_score").alias("pool"))
-    return kmers.join(pools, [*by, "distance"]).groupBy(*by, "kmer").agg(F.avg("ig_score").alias("raw_observed"), F.avg("pool").alias("raw_expected"))
+    """Observed mean score, and the mean of the distances' pool means over a k-mer's occurrences.
+
+    Rows are summed by distance and k-mer before any exchange; pools are made of these sums, so no row meets its pool. Rows
+    without a distance or a value of `by` are left out; a missing score counts in no mean, but its occurrence has its pool's.
+    """
+    strata = [*by, "distance"]
+    cells = kmers.dropna(subset=strata).groupBy(*strata, "kmer").agg(F.sum("ig_score").alias("_s"), F.count("ig_score").alias("_c"), F.count("*").alias("_n"))
+    pool = Window.partitionBy(*strata)
+    cells = cells.withColumn("_pool", F.try_divide(F.sum("_s").over(pool), F.sum("_c").over(pool)))
+    seen = F.when(F.col("_pool").isNotNull(), F.col("_n"))
+    return cells.groupBy(*by, "kmer").agg(
+        F.try_divide(F.sum("_s"), F.sum("_c")).alias("raw_observed"), F.try_divide(F.sum(seen * F.col("_pool")), F.sum(seen)).alias("raw_expected")
+    )
+
+
+def enrichment_run(kmers: DataFrame, by_motif: bool = False, windows: Sequence[tuple[int, int]] = (), n_perm: int = 10_000, seed: int = 42, use_ranks: bool = True, use_absolute: bool = False, min_count: int = 30, key: str = "obs") -> DataFrame:
+    """The whole test of k-mers by distance: a row per scope, window and k-mer of `min_count` occurrences or more.
+
+    Scopes are all rows and, with `by_motif`, each motif class; windows are the given ones, or the global one where none is
+    given. Scores are ranked and permuted within each distance of a scope and window; raw effects are means of the scores as
+    they are. Rows without a k-mer, and a scope's rows without a motif class, are left out; an empty table gives no rows.
+    `key` numbers the rows. Runs the jobs of `stratified_permutation`.
+    """
+    by = ["scope", "window"]
+    rows = enrichment_scopes(kmers.filter("kmer is not null and distance is not null"), by_motif, windows, whole=not windows).filter("scope is not null")
+    observed, null = stratified_permutation(rows, n_perm, seed, use_ranks, use_absolute, by, key)
+    return permutation_pvalues(observed, null, min_count, use_absolute, by).join(raw_effect(rows, by), [*by, "kmer"])
 
 
 def adjust_pvalues(df: DataFrame, p: str = "p_value", per: Sequence[str] = ()) -> DataFrame:

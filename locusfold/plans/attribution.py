@@ -143,6 +143,27 @@ def enrichment_scopes(spark, sf):
     return _scoped(spark, sf).groupBy("scope", "window").agg(F.count("*").alias("n"), F.countDistinct("kmer").alias("n_kmers"))
 
 
+_WINDOWS = [(1, 3), (3, 6)]
+_STORED = ", st AS (SELECT kmer, distance, motif_class, ig_score::FLOAT::DOUBLE AS ig_score FROM kmers), w AS (SELECT st.*, scope, w AS \"window\" FROM st, LATERAL (SELECT unnest(['all', 'motif_' || motif_class]) AS scope), LATERAL (SELECT unnest([CASE WHEN distance BETWEEN 1 AND 3 THEN '1-3' END, CASE WHEN distance BETWEEN 3 AND 6 THEN '3-6' END]) AS w) WHERE w IS NOT NULL), wr AS (SELECT *, rank() OVER (PARTITION BY scope, \"window\", distance ORDER BY ig_score) + (count(*) OVER (PARTITION BY scope, \"window\", distance, ig_score) - 1) / 2.0 AS r, avg(ig_score) OVER (PARTITION BY scope, \"window\", distance) AS pool FROM w) "
+
+
+def _ordered(spark, sf):
+    return io.write_kmers(d.kmers(spark, sf), _folder(spark))
+
+
+@query("enrichment_windows", sql(_STORED + "SELECT scope, \"window\", kmer, count(*) AS n_occurrences, round(avg(r), 5) AS observed_mean, round(avg(ig_score), 5) AS raw_observed, round(avg(pool), 5) AS raw_expected FROM wr GROUP BY ALL", "kmers"))
+def enrichment_windows(spark, sf):
+    by = ["scope", "window"]
+    rows = a.enrichment_scopes(_ordered(spark, sf), True, _WINDOWS, whole=False)
+    ranked = a.processed_scores(rows, [*by, "distance"]).groupBy(*by, "kmer").agg(F.count("*").alias("n_occurrences"), F.avg("score").alias("observed_mean"))
+    return rounded(ranked.join(a.raw_effect(rows, by), [*by, "kmer"]), 5)
+
+
+@query("enrichment_run")
+def enrichment_run(spark, sf):
+    return rounded(a.enrichment_run(_ordered(spark, sf), True, _WINDOWS, _N_PERM), 5)
+
+
 #: Permutations of the reference's k-mer enrichment; SQL is too slow for them, the tests compare with brute force.
 _N_PERM = 10_000
 

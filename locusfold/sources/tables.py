@@ -123,10 +123,19 @@ def load_runs(spark: SparkSession, root: str, prefix: str | None = None, filenam
     return rows if prefix is None else rows.filter((F.col("run") == prefix) | F.col("run").startswith(f"{prefix}_"))
 
 
-def write_kmers(df: DataFrame, path: str) -> DataFrame:
-    """k-mer table with narrow types, written as Parquet and read back."""
-    df.withColumn("distance", F.col("distance").cast("short")).withColumn("ig_score", F.col("ig_score").cast("float")).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def write_kmers(df: DataFrame, path: str, files: int | None = None, group_bytes: int = 32 << 20) -> DataFrame:
+    """k-mer table with narrow types, written as Parquet in files ordered by distance, and read back.
+
+    A file holds a range of distances, sorted by distance and k-mer, so a filter on distance reads the row groups (of about
+    `group_bytes`) and pages that may have one. A distance of many rows is divided among files by a hash of its rows; only
+    copies in all columns stay together. `files` is the number of files (by default as many as shuffle partitions, or fewer
+    for small tables). Ends of the ranges come from a sample, which reads `df` once more.
+    """
+    rows = df.withColumn("distance", F.col("distance").cast("short")).withColumn("ig_score", F.col("ig_score").cast("float"))
+    ranges = rows.withColumn("_deal", F.xxhash64(*rows.columns)).repartitionByRange(*([files] if files else []), "distance", "_deal")
+    ordered = ranges.sortWithinPartitions("distance", "kmer").drop("_deal")
+    ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+    return df.sparkSession.read.schema(ordered.schema).parquet(path)
 
 
 def general_format(col: Column, digits: int = 6) -> Column:

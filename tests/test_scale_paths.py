@@ -298,7 +298,7 @@ def test_windows_that_no_chunk_meets(spark):
 def test_registered_queries_without_sql():
     """Those that SQL cannot express, or not at their size; every other one has SQL."""
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {
-        "bootstrap_metrics", "correlation_pvalue", "hierarchical_profiles", "hierarchy_heights", "local_effect_ci", "metric_by_flank_ci", "metric_by_model_type_ci", "pca_projection", "permutation_pvalues",
+        "bootstrap_metrics", "correlation_pvalue", "enrichment_run", "hierarchical_profiles", "hierarchy_heights", "local_effect_ci", "metric_by_flank_ci", "metric_by_model_type_ci", "pca_projection", "permutation_pvalues",
         "position_profile_ci", "profile_kmeans", "profile_mean_ci", "ridge_kmer_coefficients", "ridge_kmer_predictions", "ridge_kmer_search", "silhouette_sweep", "stratified_permutation",
     }
 
@@ -385,3 +385,44 @@ def test_ward_of_condensed_rows(spark):
     got = {r.id: r.cluster for r in rows.collect()}
     assert len(got) == 3000 and len(set(got.values())) == 4 and all(got[i] == got[i % 4] for i in got)
     assert merges.count() == 49 and merges.agg({"rows": "max"}).first()[0] == 3000
+
+
+def read_rows(df):
+    """(rows, bytes read) of a scan: rows that leave the reader, and what it took from the files."""
+    files = df.sparkSession._jvm.org.apache.hadoop.fs.FileSystem
+
+    def taken():
+        return sum(s.getBytesRead() for s in files.getAllStatistics())
+
+    before = taken()
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    return leaf.metrics().apply("numOutputRows").value(), taken() - before
+
+
+def test_windows_read_their_part_of_the_files(spark, tmp_path):
+    """Files are ordered by distance, also where one has half of the rows; scans shrink with the window."""
+    rows = spark.range(400_000).select(
+        F.col("id").alias("obs"), F.when(F.col("id") % 2 == 0, 40).otherwise(F.expr("xxhash64(id) % 100 + 100")).cast("int").alias("distance"),
+        F.rand(3).alias("ig_score"), F.concat(F.lit("K"), F.col("id") % 7).alias("kmer"), F.lit("A").alias("motif_class"),
+    )
+    kmers = tables.write_kmers(rows, str(tmp_path / "kmers"), files=8, group_bytes=1 << 18)
+    assert dict(kmers.dtypes) == dict(rows.dtypes) | {"distance": "smallint", "ig_score": "float"}
+    sizes = [r.n for r in kmers.groupBy(F.col("_metadata.file_path")).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 400_000 and len(sizes) > 4 and max(sizes) < 2 * 400_000 / 8  # the hot distance is divided
+    assert kmers.agg(F.sum(F.hash("obs", "distance", "kmer").cast("long"))).first() == rows.agg(F.sum(F.hash("obs", F.col("distance").cast("short"), "kmer").cast("long"))).first()
+
+    def part(*windows):
+        return attribution.in_windows(kmers, windows).select("obs", "ig_score")
+
+    whole, most = read_rows(part((0, 1000)))  # a window of everything, read by the same kind of scan
+    got = [read_rows(part(*w)) for w in ([(5, 9)], [(12, 13), (60, 61)], [(0, 30)], [(100, 200)])]
+    want = [part(*w).count() for w in ([(5, 9)], [(12, 13), (60, 61)], [(0, 30)])]
+    assert whole == 400_000 and want == [sum(rows.filter(c).count() for c in cs) for cs in (["distance between 5 and 9"], ["distance in (12, 13, 60, 61)"], ["distance <= 30"])]
+    assert got[0][0] < whole / 8 and got[1][0] < whole / 4 and got[0][0] <= got[2][0] < whole * 0.6
+    assert got[0][1] < most / 8 and got[1][1] < most / 6 and got[2][1] < most / 4 and got[3][1] < most / 2
+
+
+def test_windows_alone_need_windows(spark):
+    with pytest.raises(ValueError):
+        attribution.enrichment_scopes(spark.range(1), whole=False)

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from locusfold import catalog
+from locusfold.operators.attribution import enrichment_run
 from locusfold.operators.resampling import permuted_places
 
 
@@ -16,16 +17,20 @@ def generator(*key):
     return np.random.Generator(np.random.Philox(key=np.array(key, np.uint64)))
 
 
-@pytest.fixture(scope="module")
-def orders(spark, tmp_path_factory):
-    """(path, rows) of 80 orders with two k-mers of 40 rows over ten distances."""
+def some_orders(spark, path, each):
+    """Rows of orders with two k-mers of `each` rows over ten distances, written to `path`."""
     rng = random.Random(1)
-    path = str(tmp_path_factory.mktemp("orders"))
-    keys = [12 * i + j for i in range(40) for j in range(2)]
+    keys = [12 * i + j for i in range(each) for j in range(2)]
     rows = [(k, rng.randrange(1, 500), "O", rng.randrange(10**5, 5 * 10**5) / 1.0 + 5000 * (k % 12), datetime(1995, 1, 1), "1-URGENT") for k in keys]
     kind = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
     spark.createDataFrame(rows, kind).write.parquet(f"{path}/orders.parquet")
-    return path, rows
+    return rows
+
+
+@pytest.fixture(scope="module")
+def orders(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("orders"))
+    return path, some_orders(spark, path, 40)
 
 
 def test_permutations_take_all_rows(spark, orders):
@@ -58,6 +63,59 @@ def test_permutations_take_all_rows(spark, orders):
         assert n == 40 and abs(p - (hits + 1) / 10_001) < 1e-3  # equal means may differ in the last bit
 
 
+def test_enrichment_of_every_scope_and_window(spark, tmp_path):
+    """The registered run equals a plain one: scopes and windows of the stored table, each permuted by its own places."""
+    path = str(tmp_path)
+    rows = some_orders(spark, path, 240)
+    hashes = {r.k: r.h for r in spark.createDataFrame([(r[0],) for r in rows], "k long").selectExpr("k", "xxhash64(k) as h").collect()}
+    table = [(key, cust % 10 + 1, float(np.float32(price / 1000 - 150)), f"K{key % 12}", f"motif_A{cust % 2}") for key, cust, _, price, *_ in rows]
+    want = {}
+    for scope in ("all", "motif_A0", "motif_A1"):
+        for name, lo, hi in (("1-3", 1, 3), ("3-6", 3, 6)):
+            strata = defaultdict(list)
+            for r in table:
+                if lo <= r[1] <= hi and scope in ("all", r[4]):
+                    strata[r[1]].append(r)
+            words = sorted({r[3] for pool in strata.values() for r in pool})
+            n, seen, raw, pools, null = Counter(), Counter(), Counter(), Counter(), {w: np.zeros(10_000) for w in words}
+            for distance, pool in strata.items():
+                pool.sort(key=lambda r: hashes[r[0]])
+                values = sorted(r[2] for r in pool)
+                score = [values.index(r[2]) + (values.count(r[2]) + 1) / 2 for r in pool]
+                for r, x in zip(pool, score, strict=True):
+                    n[r[3]] += 1
+                    seen[r[3]] += x
+                    raw[r[3]] += r[2]
+                    pools[r[3]] += sum(values) / len(values)
+                owner = np.array([words.index(w) for w in sorted(r[3] for r in pool)])  # k-mers take places by name
+                for perm, to in enumerate(permuted_places(42, (scope, name, distance), range(10_000), np.arange(len(pool)), len(pool))):
+                    for w, x in zip(words, np.bincount(owner[to], score, len(words)), strict=True):
+                        null[w][perm] += x
+            for w in words:
+                if n[w] >= 30:
+                    mean, chance = seen[w] / n[w], null[w] / n[w]
+                    p = (np.sum(np.abs(chance - chance.mean()) >= abs(mean - chance.mean()) - 1e-9) + 1) / 10_001
+                    want[scope, name, w] = (n[w], mean, chance.mean(), p, raw[w] / n[w], pools[w] / n[w])
+    got = {(r.scope, r.window, r.kmer): (r.n_occurrences, r.observed_mean, r.null_mean, r.p_value, r.raw_observed, r.raw_expected) for r in catalog.queries()["enrichment_run"](spark, path).collect()}
+    assert got.keys() == want.keys() and got
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-3), k  # means that are equal may differ in the last bit
+
+
+def test_enrichment_of_odd_rows(spark):
+    """Rows without a k-mer, a distance, a score or a motif class; too few occurrences; an empty table."""
+    rows = [(i, d, None if i == 5 else float(i % 7), None if i % 11 == 3 else f"K{i % 2}", None if i % 5 == 0 else "M") for i, d in enumerate([1, 2, None] * 40)]
+    kmers = spark.createDataFrame(rows, "obs long, distance int, ig_score double, kmer string, motif_class string")
+    used = [r for r in rows if r[1] and r[3]]
+    got = {(r.scope, r.window, r.kmer): r for r in enrichment_run(kmers, True, n_perm=50, min_count=10).collect()}
+    assert {k[:2] for k in got} == {("all", "global"), ("motif_M", "global")}
+    for (scope, _, w), r in got.items():
+        own = [x for x in used if x[3] == w and (scope == "all" or x[4])]
+        assert r.n_occurrences == len(own) and 0 < r.p_value <= 1
+        assert r.raw_observed == pytest.approx(np.mean([x[2] for x in own if x[2] is not None]))
+    assert enrichment_run(kmers, n_perm=50, min_count=1000).count() == enrichment_run(kmers.limit(0), n_perm=50).count() == 0
+
+
 TO_BASES = str.maketrans("abcdefghijklmnopqrstuvwxyz", ("ACGT" * 7)[:26])
 
 
