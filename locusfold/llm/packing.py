@@ -154,20 +154,23 @@ def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
 
 
 def pack(pieces: DataFrame, *, keys: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length",
-         capacity: int = 2048, salts: int = 64) -> DataFrame:
+         capacity: int = 2048, salts: int = 64, salt_rows: int = 1 << 14) -> DataFrame:
     """`pieces` with sequence_id and offset: every sequence is gapless from 0 and within `capacity`.
 
     Lengths must lie in 1..capacity. `keys` order the rows of a length; rows with equal keys
     (also null ones) are kept, each with a slot of its own. Columns of any other name are passed on,
-    but for sequence_id and offset, which are written anew. An empty table stays empty.
+    but for sequence_id and offset, which are written anew. An empty table stays empty. Ranks of a
+    length are counted in `salts` parts, or in more where these would have over `salt_rows` rows.
     """
-    salt = F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")
     passed = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = materialize(pieces.select(F.struct(*passed).alias("row"), F.col(length_col).cast("int").alias("len"), salt.alias("salt")))
-    counts = materialize(rows.groupBy("len", "salt").count())
-    histogram = {r[0]: r[1] for r in counts.groupBy("len").agg(F.sum("count")).collect()}  # at most `capacity` rows
+    rows = materialize(pieces.select(F.struct(*passed).alias("row"), F.col(length_col).cast("int").alias("len")))
+    histogram = {r[0]: r[1] for r in rows.groupBy("len").count().collect()}  # at most `capacity` rows
     if any(n is None or not 1 <= n <= capacity for n in histogram):
         raise ValueError(f"lengths must lie in 1..{capacity}")
+    parts = rows.sparkSession.createDataFrame([(n, max(salts, -(-rows_of // salt_rows))) for n, rows_of in histogram.items()], "len int, parts long")
+    salt = F.pmod(F.xxhash64(*[F.col("row")[k] for k in keys]), F.col("parts")).alias("salt")
+    rows = rows.join(F.broadcast(parts), "len").select("row", "len", salt)  # a row for each length
+    counts = materialize(rows.groupBy("len", "salt").count())
     plan = sorted(plan_best_fit(histogram, capacity))
     table = np.array(plan or np.zeros((0, 5)), dtype=np.int64).reshape(-1, 5)
     place = table[:, 0] * (1 << 46) + table[:, 1]
