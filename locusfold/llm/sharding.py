@@ -107,10 +107,10 @@ def shard_documents(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id"
     )
     total = int(rows.agg(F.sum("size")).first()[0] or 0)
     allowed = int(total / shards * tolerance)
-    # rows of a small group get one key; the large groups are at most one for each `allowed` bytes
-    large = [r[0] for r in rows.groupBy("hi").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("bytes") > allowed)).select("hi").collect()]
-    cut = F.col("hi").isin(large) if large else F.lit(False)
-    rows = rows.withColumn("place", F.col("lo")).withColumn("lo", F.when(cut, F.col("lo")).otherwise(0))
+    # rows of a small group get one key; the large groups are at most one for each `allowed` bytes: shards / tolerance rows
+    groups = rows.groupBy("hi").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    large = materialize(groups.filter((F.col("n") > 1) & (F.col("bytes") > allowed)).select("hi", F.lit(True).alias("cut")))
+    rows = rows.join(F.broadcast(large), "hi", "left").withColumn("place", F.col("lo")).withColumn("lo", F.when(F.col("cut"), F.col("lo")).otherwise(0)).drop("cut")
     fine = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     cuts = splitters(rows, shards * fine, allowed)
     table = np.array([_pack(min(k, _TOP - 1)) for k, _, _ in cuts], "S16")
