@@ -170,6 +170,11 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
+    """`predict` for all of `docs` (doc_id, text, lang) by the model that `fit` learns from them.
+
+    Null ids, texts and languages, repeated rows and other columns are as stated there; without labelled
+    rows every text is `und`, and an empty table gives an empty result. Runs the jobs of `fit`.
+    """
     return predict(docs, fit(docs))
 
 

@@ -2,7 +2,7 @@
 
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -52,6 +52,21 @@ def test_packing(table, capacity, request):
     assert len(used) <= 1.01 * -(-total // capacity) + 1
 
 
+def test_ranks_in_many_parts(spark):
+    """A length with more rows than its parts may hold is ranked in more parts: every slot is taken once."""
+    pieces = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.when(F.col("id") % 3 > 0, 20).otherwise(F.col("id") % 19 + 1).alias("length"))
+    by = defaultdict(list)
+    for r in packing.pack(pieces.unionByName(pieces.limit(50)), capacity=20, salts=2, salt_rows=100).collect():
+        by[r.sequence_id].append((r.offset, r.length))
+    assert sum(map(len, by.values())) == 5050
+    for part in by.values():
+        end = 0
+        for at, n in sorted(part):
+            assert at == end
+            end += n
+        assert end <= 20
+
+
 def test_best_fit_plan_is_whole_and_tight():
     rng = np.random.default_rng(3)
     lengths = rng.integers(1, 101, 5000)
@@ -237,6 +252,54 @@ def test_language_is_learnt(docs, odd, none):
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
 
 
+def plain_languages(rows, landmarks, ridge, seen=62):
+    """{id: (language, score)} of (id, text, lang) by sets of n-grams, a full kernel matrix and ridge regression on its roots."""
+    train = sorted((lang, i, t) for i, t, lang in rows if lang and t and zlib.crc32(str(i).encode()) % 3 != 1 and any(c.isalpha() for c in t))
+    common = Counter(c for _, _, t in train for c in {x for x in t.lower() if x.isalpha()})
+    own = {x: c for c in sorted(common, key=lambda c: (-common[c], c))[:seen] for x in (c, c.upper())}
+
+    def grams(text):
+        plain = "".join(own.get(c, "*") if c.isalpha() else " " for c in text)
+        return {plain[i:i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    sets = [grams(t) for _, _, t in train]
+    langs = sorted({r[0] for r in train})
+    marks = []
+    for lang in langs:
+        mine = [s for s, r in zip(sets, train, strict=True) if r[0] == lang]
+        marks += [mine[int(i)] for i in np.linspace(0, len(mine) - 1, min(landmarks, len(mine)))]
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    root = vectors[:, values > 1e-6 * values[-1]] / np.sqrt(values[values > 1e-6 * values[-1]])
+    x = np.c_[kernel(sets, marks) @ root, np.ones(len(sets))]
+    weight = np.array([1 / sum(r[0] == lang for r in train) for lang, *_ in train])
+    weight *= len(train) / weight.sum()
+    y = np.array([[1.0 if r[0] == lang else -1.0 for lang in langs] for r in train])
+    w = np.linalg.lstsq(np.r_[x * np.sqrt(weight)[:, None], np.sqrt(ridge) * np.eye(x.shape[1])], np.r_[y * np.sqrt(weight)[:, None], np.zeros((x.shape[1], len(langs)))], rcond=None)[0]
+    out = {}
+    for i, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        fit = np.exp(3 * (np.r_[kernel([grams(t)], marks)[0] @ root, 1] @ w))
+        out[i] = (langs[fit.argmax()], fit.max() / fit.sum())
+    return out
+
+
+def test_language_against_a_plain_kernel_machine(docs, spark):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.orderBy("doc_id").limit(150).collect()]
+    rows += [(-1, None, "en"), (-2, " 12 ", "en"), (-3, "Ωμέγα ½ ﬁn", None), (-4, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=10**6, landmarks=9)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    want = plain_languages(rows, 9, 1e-2)
+    assert got.keys() == want.keys()
+    for i, (lang, score) in want.items():
+        assert got[i][0] == lang and abs(got[i][1] - score) < 2e-3, i
+
+
 def test_held_out_rule(docs):
     got = {r.doc_id: r.held_out for r in langid.predict(docs, None).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in got}
