@@ -25,23 +25,22 @@ def merge_intervals(regions: DataFrame, bin_bp: int = 1 << 20) -> DataFrame:
     """Per chromosome, intervals merged while a start lies below the running end (touching ones stay apart).
 
     The running end is taken within position bins and carried over the bins by their maxima, so a
-    chromosome is not one task's work.
+    chromosome is not one task's work. An interval ends where the running end stands at the next one that opens, so rows of
+    equal start and end may come in any order.
     """
     r = regions.select("chrom", "start", "end").withColumn("bin", F.floor(F.col("start") / bin_bp))
+    chrom = Window.partitionBy("chrom")
     tops = r.groupBy("chrom", "bin").agg(F.max("end").alias("top"))
-    before = Window.partitionBy("chrom").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("carried", F.max("top").over(before)).drop("top")
+    before = chrom.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("chrom", "bin", F.max("top").over(before).alias("carried"), F.max("top").over(chrom).alias("last"))
     within = Window.partitionBy("chrom", "bin").orderBy("start", "end")
     seen = F.max("end").over(within.rowsBetween(Window.unboundedPreceding, -1))
-    opened = r.join(tops, ["chrom", "bin"]).withColumn("seen", F.greatest(seen, "carried")).withColumn(
-        "opens", F.coalesce(F.col("start") >= F.col("seen"), F.lit(True)).cast("long")
-    )
-    islands = opened.groupBy("chrom", "bin").agg(F.sum("opens").alias("n"))
-    islands = islands.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return (
-        opened.join(islands, ["chrom", "bin"]).withColumn("island", F.sum("opens").over(within) + F.col("shift"))
-        .groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
-    )
+    opened = r.join(tops, ["chrom", "bin"]).withColumn("seen", F.greatest(seen, "carried")).filter(F.coalesce(F.col("start") >= F.col("seen"), F.lit(True)))
+    later = opened.groupBy("chrom", "bin").agg(F.min("seen").alias("first"))
+    later = later.select("chrom", "bin", F.lead("first").over(chrom.orderBy("bin")).alias("later"))
+    near = F.lead("seen").over(Window.partitionBy("chrom", "bin").orderBy("start", "end", "seen"))
+    ends = opened.withColumn("near", near).join(later, ["chrom", "bin"])
+    return ends.select("chrom", "start", F.when(F.col("end").isNotNull(), F.coalesce("near", "later", "last")).alias("end"))
 
 
 def _level(start: Column, end: Column, bin_bp: int) -> Column:

@@ -60,6 +60,29 @@ def test_merge_keeps_touching_apart(spark):
         assert got == [("c", 0, 5), ("c", 5, 12), ("d", 0, 1)]
 
 
+def test_merge_of_equal_rows(spark):
+    """Repeated, empty and open-ended intervals over the borders of bins, against one pass in order."""
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), at := rng.randrange(400), at + rng.choice([0, 0, 1, 2, 9, 40])) for _ in range(60)] * 3 + [("a", 7, None), ("c", 3, None), ("c", 3, 3), ("c", 3, 9), ("c", 3, 9)]
+    rng.shuffle(rows)
+    want = []
+    for chrom in "abc":
+        top = None
+        for _, at, end in sorted((r for r in rows if r[0] == chrom), key=lambda r: (r[1], -1 if r[2] is None else r[2])):
+            if top is None or at >= top:
+                want.append([chrom, at, end])
+            elif end is not None:
+                want[-1][2] = max(want[-1][2], end)
+            top = end if top is None else max(top, top if end is None else end)
+    df = spark.createDataFrame(rows, "chrom string, start long, end long")
+    key = lambda r: (r[0], r[1], -1 if r[2] is None else r[2])
+    for width in (4, 64, 1 << 20):
+        merged = intervals.merge_intervals(df.repartition(5), width)
+        assert sorted(map(tuple, merged.collect()), key=key) == sorted(map(tuple, want), key=key)
+    # no window numbers the islands, so no order of equal rows counts
+    assert "island" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_overlaps_of_any_length(spark):
     """Short and long intervals on both sides, over cell borders of all levels, empty ones and other chromosomes: every pair once, few rows each."""
     rng = random.Random(3)
