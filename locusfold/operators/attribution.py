@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ranks import avg_rank, avg_ranks, exact_quantiles, join_same, present
-from .resampling import bootstrap_interval, in_pieces, permuted_places, pieces, whole_vectors
+from .resampling import bootstrap_interval, dealt_sums, in_pieces, permuted_places, pieces, whole_vectors
 from .sequence import canonical_kmer
 from .staging import stored
 
@@ -200,13 +200,17 @@ def processed_scores(kmers: DataFrame, strata: Sequence[str], use_ranks: bool =
 
 #: Places of a stratum up to which a table tells the k-mer of each; beyond it, a search by the k-mers' first places does.
 LABELS = 1 << 24
+#: A stratum of more rows than the first and fewer than the second (a bound of numpy's draws), with EACH rows or more to a k-mer on average,
+#: has its k-mers dealt to the rows without places. Part of the results' definition.
+DIRECT, EACH = (1 << 14, 10**9), 64
 
 
 def stratified_permutation(kmers: DataFrame, n_perm: int, seed: int = 42, use_ranks: bool = True, use_absolute: bool = False, by: Sequence[str] = (), key: str = "obs") -> tuple[DataFrame, DataFrame]:
     """(observed means, null means): per k-mer its mean score, and `null_means`, its mean in each permutation of the scores within every distance.
 
     In a permutation, the k-mers of a distance take places one after the other, by name, and a bijection gives each score
-    a place: a score needs only its number and the k-mers' counts to find its k-mer, so rows never meet. Sums by k-mer are
+    a place: a score needs only its number and the k-mers' counts to find its k-mer, so rows never meet. In large strata
+    k-mers are dealt to the scores by a faster draw, whose arrangements are equally likely too. Sums by k-mer are
     vectors over permutations. `key` numbers the rows; rows without a k-mer are left out. Processed rows are written once, by a job of this call.
     """
     strata = [*by, "distance"]
@@ -223,6 +227,11 @@ def stratified_permutation(kmers: DataFrame, n_perm: int, seed: int = 42, use_ra
         score = score[np.lexsort((score, frame["_h"].to_numpy()))]
         ends = np.cumsum(about["_counts"])
         n = int(about["_n"])
+        if DIRECT[0] < n < DIRECT[1] and n >= EACH * len(ends):
+            sums = np.stack(list(dealt_sums(seed, stratum, perms, score, about, about["_counts"])), axis=1)
+            for word, total in zip(about["_kmers"], sums, strict=True):
+                yield {**dict(zip(by, stratum, strict=False)), "kmer": word, "_sums": total}
+            return
         label = np.repeat(np.arange(len(ends)), about["_counts"]) if n <= LABELS else None
         sums = np.empty((len(ends), len(perms)))
         places = int(about["_before"]) + np.arange(len(score))

@@ -21,6 +21,8 @@ from .staging import stored
 
 #: Rows of a piece, and replicates of a vector. Both are part of the results' definition: change them and other draws are made.
 PIECE_ROWS, WIDTH = 1 << 20, 512
+#: Rows that are worked on at once within a piece, so that they stay in the cache.
+NEAR = 1 << 14
 
 
 def pieces(rows: DataFrame, per: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -182,13 +184,67 @@ def permuted_places(seed: int, group: tuple, replicates: range, places: np.ndarr
         up = (bits[:, :rounds * b] * np.uint64(a) >> np.uint64(31)).astype(np.intp).reshape(m, rounds, b)
         down = (bits[:, rounds * b:rounds * (a + b)] * np.uint64(b) >> np.uint64(31)).astype(np.intp).reshape(m, rounds, a)
         of = np.repeat(np.arange(m), size) if m > 1 else np.zeros(1, np.intp)
-        out = _network(np.tile(left, m), np.tile(right, m), of, up, down, a, b)
+        step = size * m if m > 1 else NEAR  # one replicate of many places: parts that stay in the cache
+        out = np.concatenate([_network(np.tile(left[i:i + step], m), np.tile(right[i:i + step], m), of, up, down, a, b) for i in range(0, max(size, 1), step)])
         if a * b > n:
             while len(far := np.flatnonzero(out >= n)):
                 out[far] = _network(*np.divmod(out[far], b), of[far] if m > 1 else of, up, down, a, b)
         yield from out.reshape(m, size)
 
 
+def dealt_sums(seed: int, group: tuple, replicates: range, score: np.ndarray, about: pd.Series, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """For each replicate, the sums of a piece's scores by label where a random permutation deals labels, `counts` of each, to the group's rows.
+
+    How many of each label a piece gets follows a multivariate hypergeometric draw that all pieces repeat alike. Within it, rows
+    draw labels independently, by shares; then as many rows as a label has too many, chosen at random, take the missing labels
+    in random order. No step tells rows apart, so all arrangements of these counts are equally likely.
+    """
+    name = int.from_bytes(hashlib.blake2b("\x1f".join("" if x is None or x != x else str(x) for x in group).encode(), digest_size=8).digest(), "little")
+    at, sizes, m, k = int(about["_at"]), [int(x) for x in about["_sizes"]], len(score), len(counts)
+    for r in replicates:
+        wanted = left = np.asarray(counts, np.int64)
+        if len(sizes) > 1:
+            split = np.random.Generator(np.random.SFC64([seed, name, r]))
+            for size in sizes[:at + 1]:
+                wanted = split.multivariate_hypergeometric(left, size, method="marginals")
+                left = left - wanted
+        bits = np.random.SFC64([seed, name, r, at, 1])
+        rng = np.random.Generator(bits)
+        shares = np.diff(np.round(np.cumsum(wanted) * (65536 / m)).astype(np.int64), prepend=0)
+        table = np.repeat(np.arange(k, dtype=np.uint8 if k <= 256 else np.uint16), shares)
+        label = np.take(table, bits.random_raw(-(-m // 4)).view(np.uint16)[:m], mode="clip")
+        have, sums = np.zeros(k, np.int64), np.zeros(k)
+        for i in range(0, m, NEAR):
+            part = label[i:i + NEAR].astype(np.intp)
+            have += np.bincount(part, minlength=k)
+            sums += np.bincount(part, score[i:i + NEAR], k)
+        over, lack = np.maximum(have - wanted, 0), np.maximum(wanted - have, 0)
+        if over.any():
+            moved, new = _surplus(rng, label, have, over), np.repeat(np.arange(k), lack)
+            rng.shuffle(new)
+            x = score[moved]
+            sums += np.bincount(new, x, k) - np.bincount(label[moved], x, k)
+        yield sums
+
+
+def _surplus(rng: np.random.Generator, label: np.ndarray, have: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """Places of `over` rows of each label, chosen at random: the first ones of a random sequence of places, or else of all rows with the label."""
+    out, ends = [], np.cumsum(have)
+    order = np.argsort(label, kind="stable") if len(have) > 64 else None
+    if order is None:
+        tried = rng.integers(0, len(label), min(len(label), int(2 * (over * (len(label) / np.maximum(have, 1))).max()) + 64))
+        nth, first = np.arange(len(tried)), np.empty(len(label), np.intp)
+        first[tried[::-1]] = nth[::-1]
+        tried = tried[first[tried] == nth]
+        kinds = label[tried]
+    for x in np.flatnonzero(over):
+        found = tried[kinds == x] if order is None else ()
+        if len(found) < over[x]:
+            found = rng.choice(np.flatnonzero(label == x) if order is None else order[ends[x] - have[x]:ends[x]], over[x], replace=False)
+        out.append(found[:over[x]])
+    return np.concatenate(out)
+
+
 def _network(l: np.ndarray, r: np.ndarray, of: np.ndarray, up: np.ndarray, down: np.ndarray, a: int, b: int) -> np.ndarray:
     """Places of pairs after all shifts by the tables of their replicates `of`; the pairs are overwritten. Sums stay below twice
     their bound, so the smaller of x and x - bound, as unsigned numbers, is x modulo the bound."""

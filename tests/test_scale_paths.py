@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,46 @@ def test_places_are_permuted_evenly(n):
         assert abs(pairs - 1 / n) < 5 * np.sqrt(1 / n / (m * n)) + 1e-4
 
 
+def test_labels_are_dealt_evenly():
+    """Few rows: each arrangement equally often; many: mean, spread and covariance of sums without replacement, with one piece and with several, few labels and many."""
+    few = pd.Series({"_at": 0, "_sizes": [4]})
+    sums = np.array(list(resampling.dealt_sums(1, ("d",), range(6000), np.array([1.0, 2.0, 4.0, 8.0]), few, np.array([2, 1, 1]))))
+    kinds, counts = np.unique(sums, axis=0, return_counts=True)
+    assert len(kinds) == 12 and ((counts - 500) ** 2).sum() / 500 < 11 + 5 * np.sqrt(22)
+    assert (sums.sum(1) == 15).all()
+    rng = np.random.default_rng(2)
+    m = 500
+    for counts, sizes in (([3000, 900, 100], [4000]), ([3000, 900, 100], [1500, 2000, 500]), ([40] * 100, [4000]), ([40] * 100, [2500, 1500])):
+        score, counts, total = rng.permutation(4000).astype(float), np.array(counts), np.zeros((m, len(counts)))
+        ends = np.cumsum(sizes)
+        for at, (size, end) in enumerate(zip(sizes, ends)):
+            about = pd.Series({"_at": at, "_sizes": sizes})
+            total += np.array(list(resampling.dealt_sums(3, ("d", at * 0), range(m), score[end - size:end], about, counts)))
+        assert (total.sum(1) == score.sum()).all()
+        spread = np.sqrt(counts * (4000 - counts) / 3999 * score.var())
+        far = (total - counts * score.mean()) / spread
+        assert (np.abs(far.mean(0)) < 5 / np.sqrt(m)).all() and 0.9 < (far**2).mean() < 1.1
+        assert abs(np.corrcoef(far[:, 0], far[:, 1])[0, 1] + np.sqrt(np.prod(counts[:2] / (4000 - counts[:2])))) < 5 / np.sqrt(m)
+
+
+def test_permutations_of_large_strata(spark, monkeypatch):
+    """Dealt and placed k-mers have the same null distribution; the dealt ones depend on no partitioning and need no places."""
+    monkeypatch.setattr(attribution, "DIRECT", (1 << 14, 10**9))
+    monkeypatch.setattr(resampling, "PIECE_ROWS", 9000)
+    kmers = spark.range(40_000).selectExpr("id AS obs", "id % 2 AS distance", "double(hash(id) % 1000) AS ig_score", "concat('k', id % 3) AS kmer")
+    seen = []
+    for parts, direct in ((1, 1 << 14), (7, 1 << 14), (3, 1 << 20)):
+        monkeypatch.setattr(attribution, "DIRECT", (direct, 10**9))
+        if direct < 1 << 20:
+            monkeypatch.setattr(attribution, "permuted_places", None)
+        else:
+            monkeypatch.setattr(attribution, "permuted_places", resampling.permuted_places)
+        seen.append({r.kmer: np.array(r.null_means) for r in attribution.stratified_permutation(kmers.repartition(parts), 600)[1].collect()})
+    for k in ("k0", "k1", "k2"):
+        assert (seen[0][k] == seen[1][k]).all()
+        assert abs(seen[0][k].mean() - seen[2][k].mean()) < 7 * seen[2][k].std() / np.sqrt(600) and 0.85 < seen[0][k].std() / seen[2][k].std() < 1.15
+
+
 def test_vectors_add_up(spark):
     rows = [(i % 5 if i % 7 else None, "b" if i % 2 else None, [float(i), 1.0, -float(i)]) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, w string, v array<double>").repartition(11)
