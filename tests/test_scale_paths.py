@@ -2,8 +2,10 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +228,35 @@ def test_permutations_of_large_strata(spark, monkeypatch):
         assert abs(seen[0][k].mean() - seen[2][k].mean()) < 7 * seen[2][k].std() / np.sqrt(600) and 0.85 < seen[0][k].std() / seen[2][k].std() < 1.15
 
 
+def test_words_are_counted_in_bounded_slices(monkeypatch):
+    """A batch of many texts is cut by their bytes, so what a task holds is bounded; counts are those of plain counting by table and by sorting."""
+    monkeypatch.setattr(sequence, "SLICE", 200)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 3, 30, 150, 900]))) for _ in range(60)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(61)), pa.array(texts)], ["id", "s"])
+    slices = list(sequence._sliced([batch], [1]))
+    assert sum((b.to_pylist() for b in slices), []) == batch.to_pylist()
+    sizes = [[len(t or "") for t in b.column(1).to_pylist()] for b in slices]
+    assert all(sum(x) - max(x) <= 200 for x in sizes) and len(slices) > 20
+    for k in (1, 2, 5):
+        want = Counter((i, t[j:j + k]) for i, t in enumerate(texts) if t for j in range(len(t) - k + 1) if "N" not in t[j:j + k])
+        row, code, n = sequence._counted([(t or "").encode() for t in texts], np.arange(61), k)
+        assert dict(zip(zip(row.tolist(), sequence._words(code, k).to_pylist()), n.tolist(), strict=True)) == want
+
+
+def test_motifs_are_judged_once(spark):
+    """Loci are counted by unit before motifs are compared; classes of windows need no pattern and no rotation by index."""
+    df = spark.createDataFrame([("GTAC", "AC/ACGT", 4)] * 3 + [("AAAA", "ACGT", 4), ("AC", "ACGT", 2), (None, "ACGT", 4)], "unit string, motif string, motif_len int")
+    got = sequence.motif_integrity(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(got.first()) == (1, 5)  # no variant has two letters; a null unit is checked
+    assert plan.count("Aggregate") == 2
+    windows = spark.createDataFrame([("XxTT",), ("XGA",), ("N",), ("NA",), ("XX",), ("",), (None,), ("xTX",)], "s string").select("s", sequence.motif_class_from_window(F.col("s"), 0, 4).alias("c"))
+    assert {r.s: r.c for r in windows.collect()} == {"XxTT": "A", "XGA": "AG", "N": "N", "NA": "NA", "XX": "unknown", "": "unknown", None: None, "xTX": "A"}
+    shown = windows._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in shown.lower() and "lambda" not in shown.lower()
+
+
 def test_vectors_add_up(spark):
     rows = [(i % 5 if i % 7 else None, "b" if i % 2 else None, [float(i), 1.0, -float(i)]) for i in range(200)]
     df = spark.createDataFrame(rows, "k int, w string, v array<double>").repartition(11)
