@@ -498,3 +498,14 @@ def test_windows_read_their_part_of_the_files(spark, tmp_path):
 def test_windows_alone_need_windows(spark):
     with pytest.raises(ValueError):
         attribution.enrichment_scopes(spark.range(1), whole=False)
+
+
+def test_whole_hulls_are_fetched_without_gathering(spark):
+    """Hulls in one chunk, over several and beyond the chromosome; the gathering exchange gets only those over a chunk's end."""
+    text = "ACGTTGCAGGATCCATTACGGAC"
+    chunks, _ = sequence.genome_chunks(spark.createDataFrame([("c", text)], "chrom string, seq string"), 5)
+    loci = spark.createDataFrame([(i, "c" if i != 9 else "x", i, i + 1 + i % 7) for i in range(30)], "id long, chrom string, a long, b long")
+    got = sequence.fetch_window(loci, chunks, {"w": (F.col("a"), F.col("b")), "v": (F.col("a") - 1, F.col("a"))}, chunk_bp=5)
+    assert {r.id: (r.w, r.v) for r in got.collect()} == {i: (text[i:i + 1 + i % 7], text[i - 1:i] if i else "") if i != 9 else ("", "") for i in range(30)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and plan.count("collect_list") == 1
