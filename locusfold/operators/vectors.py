@@ -11,10 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sequence import BASES, _counted, _kinds, motif_onehot
-
-#: Rows of which the features are held at once.
-ROWS = 256
+from .sequence import _CODES, BASES, SLICE, _counted, _kinds, _sliced
 
 
 @dataclass(frozen=True)
@@ -60,14 +57,98 @@ class FeatureSpace:
         return spark.createDataFrame(list(enumerate(self.names())), "slot int, feature string")
 
 
-def _binned(space: FeatureSpace, left: list[bytes], right: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Texts of all bins and their group: row * number of groups + group. Left bins count from the repeat outwards."""
-    texts, at, g = [], [], len(space.groups)
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, first byte and size of each text) of an array of strings; a null is empty."""
+    whole = pc.fill_null(texts, "").cast(pa.large_string())
+    ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1, whole.offset * 8)
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)
+    return data, ends[:-1], np.diff(ends)
+
+
+def _bases(space: FeatureSpace, left: pa.Array, right: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(code of each base, bases from it to its bin's end, row * number of groups + group) bin by bin and side by side. Left bins count from the repeat outwards."""
+    g = len(space.groups)
+    sides = _flat(left), _flat(right)
     for b, (lo, hi) in enumerate(space.edges):
-        texts += [t[max(len(t) - hi, 0):max(len(t) - lo, 0)] for t in left]
-        texts += [t[lo:hi] for t in right]
-        at += [np.arange(len(left)) * g + b, np.arange(len(right)) * g + (len(space.edges) + b if space.flank_mode == "separate" else b)]
-    return texts, np.concatenate(at)
+        for far, (data, first, size) in enumerate(sides):
+            near, end = (np.clip(x, 0, size) for x in ((lo, hi) if far else (size - hi, size - lo)))
+            n = np.maximum(end - near, 0)
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            group = len(space.edges) + b if far and space.flank_mode == "separate" else b
+            yield _CODES[data[np.repeat(first + near, n) + place]], np.repeat(n, n) - place, row * g + group
+
+
+def _features(space: FeatureSpace, left: pa.Array, right: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) by row and slot: one sort of row * width + slot of all k-mers of all rows gives counts in order."""
+    groups, width, size = len(space.groups), space.width, len(left)
+    codes, rest, at = map(np.concatenate, zip(*_bases(space, left, right), strict=True))
+    known = codes < 4
+    row, group = np.divmod(at, groups)
+    kind = np.int32 if size * width < 2**31 else np.int64
+    keys, start = [], (row * width).astype(kind)
+    for k in space.k_values:
+        n = max(len(codes) - k + 1, 0)
+        word, good = np.zeros(n, kind), rest[:n] >= k
+        for j in range(k):
+            word *= 4
+            word += codes[j:n + j]
+            good &= known[j:n + j]
+        good = np.flatnonzero(good)
+        keys.append(start[good] + (space.offset(k) + group[good] * 4**k).astype(kind) + word[good])
+    if space.gc:
+        valid = np.bincount(at[known], minlength=size * groups)
+        gc = np.bincount(at[(codes == 1) | (codes == 2)], minlength=size * groups)
+        hit = np.flatnonzero(gc)
+        keys.append((hit // groups * width + space.gc_offset + hit % groups).astype(kind))
+    has = np.flatnonzero(places >= 0)
+    keys.append((has * width + space.motif_offset + places[has]).astype(kind))
+    key = np.sort(np.concatenate(keys))
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.intp)
+    value = np.diff(np.append(first, len(key))).astype(np.float64)
+    row, slot = np.divmod(key[first], width)
+    if space.gc:
+        value[(slot >= space.gc_offset) & (slot < space.motif_offset)] = gc[hit] / valid[hit]
+    return row, slot, value
+
+
+def _long_features(space: FeatureSpace, left: pa.Array, right: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `_features`, for one row of long flanks: its k-mers are counted in slices."""
+    groups, (a,), (b,) = len(space.groups), *([(t or "").encode() for t in x.to_pylist()] for x in (left, right))
+    texts = [t for lo, hi in space.edges for t in (a[max(len(a) - hi, 0):max(len(a) - lo, 0)], b[lo:hi])]
+    side = len(space.edges) if space.flank_mode == "separate" else 0
+    at = np.array([g for i in range(len(space.edges)) for g in (i, side + i)])
+    slot, value = [], []
+    for k in space.k_values:
+        where, code, n = _counted(texts, at, k)
+        slot.append(space.offset(k) + where * 4**k + code)
+        value.append(n.astype(np.float64))
+    if space.gc:
+        gc = np.bincount(at, [len(t) - len(t.translate(None, b"GC")) for t in texts], groups)
+        valid = np.bincount(at, [len(t) - len(t.translate(None, BASES.encode())) for t in texts], groups)
+        hit = np.flatnonzero(gc)
+        slot.append(space.gc_offset + hit)
+        value.append(gc[hit] / valid[hit])
+    if places[0] >= 0:
+        slot.append(space.motif_offset + places)
+        value.append(np.ones(1))
+    slot, value = np.concatenate(slot), np.concatenate(value)
+    order = np.argsort(slot)
+    return np.zeros(len(slot), np.int64), slot[order], value[order]
+
+
+def _places(motifs: dict[str, int], unit: pa.Array, rev_comp: pa.Array) -> np.ndarray:
+    """Place of each strand's rotation class among the motifs, -1 if it is none: as `motif_onehot`, each different unit of a batch once."""
+    units = unit.dictionary_encode()
+    table = []
+    for u in units.dictionary.to_pylist():
+        table.append([motifs.get(min(w[i:] + w[:i] for i in range(max(len(w), 1))), -1) for w in (u, u.translate(_PAIRS)[::-1])])
+    found = np.array([*table, [-1, -1]])
+    at = pc.fill_null(units.indices, len(table)).to_numpy(zero_copy_only=False)
+    return found[at, pc.fill_null(rev_comp, False).to_numpy(zero_copy_only=False).astype(np.intp)]
+
+
+_PAIRS = str.maketrans("ACGT", "TGCA")
 
 
 def flank_vectors(loci: DataFrame, space: FeatureSpace, keep: Sequence[str] = ("id",), lf: str = "lf", rf: str = "rf", unit: str = "unit", rev_comp: str = "rev_comp") -> DataFrame:
@@ -75,51 +156,23 @@ def flank_vectors(loci: DataFrame, space: FeatureSpace, keep: Sequence[str] = ("
 
     Bases other than A, C, G and T make no k-mer and no share; a null flank counts as empty. A motif that the vocabulary
     lacks, or a null one, has no slot. `unit` and `rev_comp` are read only if the space has motifs. Nothing is shuffled:
-    the vocabulary of motifs (4^k rows at most) goes to the rows.
+    rows are counted where they lie, in slices of about SLICE bytes of flanks.
     """
-    rows = loci
-    if space.motifs:
-        extra = [c for c in (lf, rf) if c not in keep]
-        rows = motif_onehot(loci, unit, rev_comp, len(space.motifs[0]), [*(c for c in keep if c != rev_comp), *extra])
-    place = F.col("place").cast("int") if space.motifs else F.lit(None).cast("int")
-    groups = len(space.groups)
-
-    def features(left: list[bytes], right: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        texts, at = _binned(space, left, right)
-        row, slot, value = [], [], []
-        for k in space.k_values:
-            where, code, n = _counted(texts, at, k)
-            row.append(where // groups)
-            slot.append(space.offset(k) + where % groups * 4**k + code)
-            value.append(n.astype(np.float64))
-        if space.gc:
-            size = len(left) * groups
-            gc = np.bincount(at, [len(t) - len(t.translate(None, b"GC")) for t in texts], size)
-            valid = np.bincount(at, [len(t) - len(t.translate(None, BASES.encode())) for t in texts], size)
-            hit = np.flatnonzero(gc)
-            row.append(hit // groups)
-            slot.append(space.gc_offset + hit % groups)
-            value.append(gc[hit] / valid[hit])
-        has = np.flatnonzero(places >= 0)
-        row.append(has)
-        slot.append(space.motif_offset + places[has])
-        value.append(np.ones(len(has)))
-        row, slot, value = map(np.concatenate, (row, slot, value))
-        order = np.lexsort((slot, row))
-        return row[order], slot[order], value[order]
+    motifs = {m: i for i, m in enumerate(space.motifs)}
+    n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                left, right = ([(t or "").encode() for t in b.column(len(keep) + i).to_pylist()] for i in range(2))
-                places = pc.fill_null(b.column(len(keep) + 2), -1).to_numpy(zero_copy_only=False)
-                row, slot, value = features(left, right, places)
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(left)))]).astype(np.int32))
-                vector = [pa.ListArray.from_arrays(ends, pa.array(slot.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:len(keep)], *vector], [*keep, "slots", "values"])
-
-    return rows.select(*keep, lf, rf, place.alias("_place")).mapInArrow(run, f"{_kinds(loci, keep)}, slots array<int>, values array<double>")
+        for b in _sliced(batches, (n, n + 1)):
+            left, right = b.column(n), b.column(n + 1)
+            places = _places(motifs, b.column(n + 2), b.column(n + 3)) if motifs else np.full(b.num_rows, -1)
+            long = b.num_rows == 1 and sum(len(x[0].as_py() or "") for x in (left, right)) > SLICE
+            row, slot, value = (_long_features if long else _features)(space, left, right, places)
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32))
+            vector = [pa.ListArray.from_arrays(ends, pa.array(slot.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *vector], [*keep, "slots", "values"])
+
+    read = [F.col(c).alias(f"_{i}") for i, c in enumerate([lf, rf, *([unit, rev_comp] if motifs else [])])]
+    return loci.select(*keep, *read).mapInArrow(run, f"{_kinds(loci, keep)}, slots array<int>, values array<double>")
 
 
 def to_vectors(table: DataFrame, names: DataFrame, key: Sequence[str], feature: str = "feature", value: str = "value") -> DataFrame:

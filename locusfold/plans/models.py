@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators import ridge, sequence, vectors
@@ -36,12 +38,21 @@ _VECTORS = sql(
 )
 
 
+def _totals(batches):
+    """Of (id, slots, values): the id, the number of slots, the sum of the values and that of their products with slot + 1."""
+    for b in batches:
+        size = np.diff(b.column(1).offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        slots, values = (b.column(i).flatten().to_numpy() for i in (1, 2))
+        sums = [np.bincount(row, v, len(size)) for v in (values, (slots + 1) * values)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (size.astype(np.int64), *sums))], ["id", "n_slots", "total", "weighted"])
+
+
 @query("kmer_vectors", _VECTORS)
 def kmer_vectors(spark, sf):
     rows = vectors.flank_vectors(_loci(spark, sf), _space(spark, (3, 4)))
-    total = F.aggregate("values", F.lit(0.0), lambda a, v: a + v)
-    weighted = F.aggregate(F.zip_with("slots", "values", lambda s, v: (s + 1) * v), F.lit(0.0), lambda a, v: a + v)
-    return rows.select("id", F.size("slots").cast("long").alias("n_slots"), F.round(total, 6).alias("total"), F.round(weighted, 4).alias("weighted"))
+    sums = rows.mapInArrow(_totals, f"id {dict(rows.dtypes)['id']}, n_slots long, total double, weighted double")
+    return sums.select("id", "n_slots", F.round("total", 6).alias("total"), F.round("weighted", 4).alias("weighted"))
 
 
 def ridge_rows(spark, sf):
