@@ -25,6 +25,13 @@ from .staging import batch_rows
 BLOCK, LANES, PIECE = 256, 16, 1 << 22
 #: Features and targets at most: the driver holds the square of their number.
 WIDEST = 16384
+
+
+def _batch(total: int) -> int:
+    """Rows of an Arrow batch: 64, or as many as have a quarter of PIECE numbers where they are dense."""
+    return max(64, PIECE // 4 // total)
+
+
 _SUM = "i int, j int, lane int, n long, mi binary, mj binary, g binary"
 
 
@@ -124,7 +131,7 @@ def moments(rows: DataFrame, width: int, targets: Sequence[str], slots: str | No
                     row = [i, j, lane, n, mi.tobytes(), mj.tobytes(), block.tobytes()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)], _NAMES)
 
-    with batch_rows(rows.sparkSession, 64):
+    with batch_rows(rows.sparkSession, _batch(total)):
         sums = rows.select(values, *([slots] if slots else []), *targets).mapInArrow(part, _SUM)
         lanes = sums.repartition("i", "j", "lane").sortWithinPartitions("i", "j", "lane").mapInPandas(lambda f: _merge_sorted(f, True), _SUM)
         blocks = lanes.repartition("i", "j").sortWithinPartitions("i", "j").mapInPandas(lambda f: _merge_sorted(f, False), _SUM).collect()  # width^2 / 2 numbers
@@ -208,7 +215,7 @@ def fit_ridge(rows: DataFrame, width: int, targets: Mapping[str, str], alphas: S
             sums += ((x[:, :width] @ w + b - np.tile(x[:, width:], a)) ** 2).sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(range(a * t), pa.int32()), pa.array([n] * a * t, pa.int64()), pa.array(sums)], ["k", "n", "sse"])
 
-    with batch_rows(rows.sparkSession, 64):
+    with batch_rows(rows.sparkSession, _batch(width + t)):
         held = whole.filter(F.col(split) == "val").select(values, *([slots] if slots else []), *names)
         got = {r.k: r.mse for r in held.mapInArrow(errors, "k int, n long, sse double").groupBy("k").agg((F.sum("sse") / F.nullif(F.sum("n"), F.lit(0))).alias("mse")).collect()}
     shared.unpersist()
