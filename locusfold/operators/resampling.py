@@ -23,6 +23,8 @@ from .staging import stored
 PIECE_ROWS, WIDTH = 1 << 20, 512
 #: Rows that are worked on at once within a piece, so that they stay in the cache.
 NEAR = 1 << 14
+#: Rows of a block, which a number of 16 bits tells apart: larger pieces are drawn block by block. Part of the results' definition too.
+BLOCK = 1 << 16
 
 
 def pieces(rows: DataFrame, per: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +114,8 @@ def drawn_size(n: int, frac: float) -> int:
 def times(seed: int, about: pd.Series, replicate: int, drawn: int) -> np.ndarray:
     """How often a replicate of `drawn` rows of the group takes each row of a piece, with replacement.
 
-    The replicate is first split among the pieces, by a multinomial draw that all pieces repeat alike, then within each.
+    The replicate is first split among the pieces, by a multinomial draw that all pieces repeat alike, then within each; in
+    pieces of over BLOCK rows it is split among blocks in the same way, whose draws are numbers of 16 bits that stay in the cache.
     Groups of equal size and order are drawn alike.
     """
     key = np.array([seed, replicate], np.uint64)
@@ -120,8 +123,22 @@ def times(seed: int, about: pd.Series, replicate: int, drawn: int) -> np.ndarray
     if len(about["_sizes"]) > 1:
         split = np.random.Generator(np.random.Philox(key=key, counter=np.array([0, 0, 0, 1], np.uint64)))
         drawn = split.multinomial(drawn, np.asarray(about["_sizes"]) / int(about["_n"]))[int(about["_at"])]
-    raw = np.random.Philox(key=key, counter=np.array([0, 0, int(about["_piece"]), 0], np.uint64)).random_raw(int(drawn))
-    return np.bincount(((raw >> np.uint64(11)) * 2.0**-53 * size).astype(np.intp), minlength=size)
+    if size <= BLOCK:
+        raw = np.random.Philox(key=key, counter=np.array([0, 0, int(about["_piece"]), 0], np.uint64)).random_raw(int(drawn))
+        return np.bincount(_scaled(raw, size), minlength=size)
+    bits = np.random.SFC64([seed, replicate, int(about["_piece"])])
+    starts = np.arange(0, size, BLOCK)
+    sizes = np.minimum(size - starts, BLOCK)
+    out = np.empty(size, np.int32)
+    for at, n, k in zip(starts.tolist(), sizes.tolist(), np.random.Generator(bits).multinomial(int(drawn), sizes / size).tolist(), strict=True):
+        taken = bits.random_raw(-(-k // 4)).view(np.uint16)[:k] if n == 1 << 16 else _scaled(bits.random_raw(k), n)
+        out[at:at + n] = np.bincount(taken, minlength=n)
+    return out
+
+
+def _scaled(raw: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of 64 random bits as numbers below n."""
+    return ((raw >> np.uint64(11)) * 2.0**-53 * n).astype(np.intp)
 
 
 def with_interval(df: DataFrame, values: Column, per: Sequence[str], level: float) -> DataFrame:

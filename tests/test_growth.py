@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from locusfold.operators import ridge, vectors
+from locusfold.operators import resampling, ridge, vectors
 from locusfold.operators.sequence import motif_onehot
 from locusfold.plans import models
 
@@ -60,3 +60,21 @@ def test_vectors_of_odd_flanks(spark, monkeypatch):
         assert len(got) == len(rows) and all(
             np.array_equal(sorted(got[i]), vectors._features(space, whole.slice(i, 1).to_batches()[0].column(1), whole.slice(i, 1).to_batches()[0].column(2), np.array([-1 if places[i] is None else places[i]]))[1]) for i in got
         )
+
+
+def test_draws_of_large_pieces_are_made_by_blocks(monkeypatch):
+    """Blocks of 2^16 rows take 16 bits a draw, the rest of a piece is scaled; all draws are made, evenly."""
+    size = 2 * (1 << 16) + 1000
+    about = {"_size": size, "_sizes": [size], "_n": size, "_at": 0, "_piece": 3}
+    drawn = np.array([resampling.times(5, about, r, size) for r in range(40)])
+    assert (drawn.sum(1) == size).all() and drawn.shape == (40, size)
+    bits = np.random.SFC64([5, 7, 3])
+    split = np.random.Generator(bits).multinomial(size, np.array([65536, 65536, 1000]) / size)
+    assert np.array_equal(drawn[7, :65536], np.bincount(bits.random_raw(-(-int(split[0]) // 4)).view(np.uint16)[:split[0]], minlength=65536))
+    means = drawn.mean(0)
+    for part in (means[:65536], means[65536:131072], means[131072:]):
+        assert abs(part.mean() - 1) < 5 / np.sqrt(40 * len(part)) and abs(part.var() * 40 - 1) < 8 / np.sqrt(len(part))
+    assert abs(np.corrcoef(drawn[0], drawn[1])[0, 1]) < 5 / np.sqrt(size)
+    small = {**about, "_size": 100, "_sizes": [100], "_n": 100}
+    raw = np.random.Philox(key=np.array([5, 0], np.uint64), counter=np.array([0, 0, 3, 0], np.uint64)).random_raw(100)
+    assert np.array_equal(resampling.times(5, small, 0, 100), np.bincount([int((int(x) >> 11) / 2**53 * 100) for x in raw], minlength=100))
