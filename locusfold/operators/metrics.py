@@ -102,15 +102,16 @@ class _Sample:
 
     def __init__(self, pred: np.ndarray, true: np.ndarray):
         self.x = (pred, true)
-        self.error = pred - true
+        error = pred - true
+        self.errors = error**2, np.abs(error), np.abs(error) / np.maximum(np.abs(true), EPSILON)
         self.ties = [np.unique(x, return_inverse=True)[1] for x in self.x]
 
     def scores(self, times: np.ndarray) -> tuple:
-        n = times.sum()
+        n, times = times.sum(), times.astype(np.float64)
         mean = lambda v: float(times @ v / n)
         sizes = [np.bincount(t, times) for t in self.ties]
         varied = [np.count_nonzero(s) > 1 for s in sizes]
-        mse = mean(self.error**2)
+        mse, mae, mape = map(mean, self.errors)
         r2 = pearson = spearman = None
         if varied[1]:
             r2 = 1 - mse / mean((self.x[1] - mean(self.x[1])) ** 2)
@@ -121,7 +122,7 @@ class _Sample:
                 a, b = a - mean(a), b - mean(b)
                 both.append(mean(a * b) / math.sqrt(mean(a * a) * mean(b * b)))
             pearson, spearman = both
-        return mse, mean(np.abs(self.error)), mean(np.abs(self.error) / np.maximum(np.abs(self.x[1]), EPSILON)), r2, pearson, spearman
+        return mse, mae, mape, r2, pearson, spearman
 
 
 #: Sums over drawn rows that give all metrics but Spearman_r; labels and predictions are taken from their group's means.
@@ -149,8 +150,91 @@ def _of_sums(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("_v")) for m, v in values.items()])).alias("s")).select(*by, "s.*")
 
 
+#: Rows of a group of which a task holds the order, about 50 bytes a row; drawn rows of larger groups are ranked through an exchange.
+RANK_ROWS = 1 << 23
+#: Rows whose ranks are multiplied at once.
+RANK_PART = 1 << 16
+
+
+class _Order:
+    """The order of a group's rows by predictions and by labels, given as codes that sort as these do; Spearman's r of resamples of the rows."""
+
+    def __init__(self, pred: np.ndarray, true: np.ndarray):
+        self.by, self.ties = [], []
+        for code in (pred, true):
+            order = np.argsort(code, kind="stable").astype(np.int32)
+            code = code[order]
+            new = np.r_[True, code[1:] != code[:-1]]
+            at = np.flatnonzero(new).astype(np.int32)
+            sizes = np.diff(np.append(at, np.int32(len(code))))
+            self.by.append(order)
+            self.ties.append(None if new.all() else (np.repeat(at, sizes), np.repeat(at + sizes, sizes)))
+        place = np.empty(len(pred), np.int32)
+        place[self.by[1]] = np.arange(len(pred), dtype=np.int32)
+        self.across = place[self.by[0]]
+
+    def spearman(self, drawn: np.ndarray) -> float:
+        """Of rows drawn as often as stated; NaN without spread."""
+        n = int(drawn.sum())
+        drawn = drawn.astype(np.uint8 if drawn.max() < 256 else np.int64)  # small numbers stay in the cache
+        kind = np.int32 if n < 2**30 else np.int64
+        found = []
+        for order, ties in zip(self.by, self.ties, strict=True):
+            taken = drawn[order]
+            twice = np.cumsum(taken, dtype=kind)
+            if ties is None:
+                twice *= 2
+                twice -= taken.astype(kind, copy=False)
+            else:
+                upto = np.append(kind(0), twice)
+                twice = upto[ties[0]] + upto[ties[1]]
+            twice -= kind(n)  # two midranks less n + 1, their mean
+            found.append((taken, twice))
+        (taken, a), (taken_b, b) = found
+        sums = np.zeros(3)
+        for i in range(0, len(a), RANK_PART):
+            at = slice(i, i + RANK_PART)
+            x, y = a[at].astype(np.float64), b[at].astype(np.float64)
+            weighted = taken[at] * x
+            sums += weighted @ x, (taken_b[at] * y) @ y, weighted @ b[self.across[at]].astype(np.float64)
+        return float(sums[2] / math.sqrt(sums[0] * sums[1])) if sums[0] > 0 and sums[1] > 0 else math.nan
+
+
+def _piece_ranks(dealt: DataFrame, info: DataFrame, by: Sequence[str], n_boot: int, seed: int, frac: float) -> DataFrame:
+    """(by, metric, _v) of Spearman_r for groups of several pieces and at most RANK_ROWS rows.
+
+    Ranks are found once for all rows and packed by piece, in the order of the draws. A task gets a group's packed ranks and repeats
+    the draws of all its pieces for some replicates: no drawn row is moved.
+    """
+    ranked = avg_ranks(join_same(dealt, info.select(*by).distinct(), by, "inner"), {"pred": "rank_pred", "true": "rank_true"}, by)
+    rows = ranked.select(*by, "_piece", "_h", *[(F.floor(f"rank_{c}") - 1).cast("int").alias(c) for c in ("pred", "true")])  # tells values apart as ranks do
+    kinds = "".join(f"`{c}` {t}, " for c, t in rows.select(*by).dtypes)
+
+    def pack(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.iloc[np.lexsort((frame["true"], frame["pred"], frame["_h"]))]
+        return pd.DataFrame([[*key, *(frame[c].to_numpy(np.int32).tobytes() for c in ("pred", "true"))]], columns=[*by, "_piece", "pred", "true"])
+
+    packed = rows.groupBy(*by, "_piece").applyInPandas(pack, f"{kinds}_piece int, pred binary, true binary")
+    packed = stored(join_same(packed, info.select(*by, "_piece", "_size", "_at", "_n", "_sizes"), [*by, "_piece"], "inner"))
+    lots = max(1, min(n_boot, 256 // max(1, info.select(*by).distinct().count())))
+
+    def score(key: tuple, pieces_: pd.DataFrame) -> pd.DataFrame:
+        pieces_ = pieces_.sort_values("_at")
+        codes = [np.concatenate([np.frombuffer(x, np.int32) for x in pieces_[c]]) for c in ("pred", "true")]
+        about = [one for _, one in pieces_[["_piece", "_size", "_at", "_n", "_sizes"]].iterrows()]
+        del pieces_
+        order, k = _Order(*codes), drawn_size(len(codes[0]), frac)
+        del codes
+        found = [order.spearman(np.concatenate([times(seed, one, r, k) for one in about])) for r in range(int(key[-1]), n_boot, lots)]
+        return pd.DataFrame([[*key[:-1], found]], columns=[*by, "_v"])
+
+    dealt_out = packed.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+    scored = dealt_out.groupBy(*by, "_lot").applyInPandas(score, f"{kinds}_v array<double>")
+    return scored.groupBy(*by).agg(F.flatten(F.collect_list("_v")).alias("_v")).select(*by, F.lit("Spearman_r").alias("metric"), "_v")
+
+
 def _drawn_ranks(dealt: DataFrame, info: DataFrame, by: Sequence[str], n_boot: int, seed: int, frac: float) -> DataFrame:
-    """(by, metric, _v) of Spearman_r for groups of several pieces: ranks reach across pieces, so their drawn rows are ranked replicate by replicate."""
+    """(by, metric, _v) of Spearman_r for groups of over RANK_ROWS rows: their drawn rows are ranked replicate by replicate."""
     lot = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate")
     left, right = (df.select("*", lot).groupBy(*by, "_piece", "replicate") for df in (join_same(dealt, info.select(*by).distinct(), by, "inner"), info))
 
@@ -172,7 +256,7 @@ def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, l
 
     `key` orders the rows of a group, by its hash. Rows with a missing value are left out of their task. Draws are the same
     whatever the group's size: a group of one piece is scored where it lies; of larger ones, pieces return sums by
-    replicate, and only Spearman's ranks need the drawn rows themselves. The rows are written once, by a job of this call.
+    replicate, and Spearman's ranks are found by tasks that hold the ranks of all rows of a group (RANK_ROWS at most). The rows are written once, by a job of this call.
     """
     by = [*per, "task"]
     long = stored(long_predictions(df, tasks, [*per, key]).filter(present("pred", "true")).select(*by, F.xxhash64(key).alias("_h"), "pred", "true"))
@@ -204,7 +288,10 @@ def bootstrap_metrics(df: DataFrame, tasks: Sequence[str], n_boot: int = 1000, l
         size = F.greatest(F.least(F.col("_n"), F.lit(10)), F.floor(F.col("_n") * resample_frac))
         sums = whole.filter(F.col("metric").isin(*SUMS)).groupBy(*by).pivot("metric", list(SUMS)).agg(F.first("_v"))
         sums = join_same(sums, several.select(*by, size.alias("_k")).distinct(), by, "inner")
-        whole = whole.filter(F.col("metric").isin(*METRICS)).unionByName(_of_sums(sums, by)).unionByName(_drawn_ranks(dealt, several, by, n_boot, seed, resample_frac))
+        whole = whole.filter(F.col("metric").isin(*METRICS)).unionByName(_of_sums(sums, by))
+        for ranks, some in ((_piece_ranks, several.filter(F.col("_n") <= RANK_ROWS)), (_drawn_ranks, several.filter(F.col("_n") > RANK_ROWS))):
+            if not some.isEmpty():
+                whole = whole.unionByName(ranks(dealt, some, by, n_boot, seed, resample_frac))
     return with_interval(whole, F.col("_v"), [*by, "metric"], level)
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from locusfold.operators import resampling, ridge, vectors
+from locusfold.operators import metrics, resampling, ridge, vectors
 from locusfold.operators.sequence import motif_onehot
 from locusfold.plans import models
 
@@ -78,3 +80,22 @@ def test_draws_of_large_pieces_are_made_by_blocks(monkeypatch):
     small = {**about, "_size": 100, "_sizes": [100], "_n": 100}
     raw = np.random.Philox(key=np.array([5, 0], np.uint64), counter=np.array([0, 0, 3, 0], np.uint64)).random_raw(100)
     assert np.array_equal(resampling.times(5, small, 0, 100), np.bincount([int((int(x) >> 11) / 2**53 * 100) for x in raw], minlength=100))
+
+
+def test_ranks_of_several_pieces_move_no_drawn_rows(spark, monkeypatch):
+    """Spearman's intervals of groups of several pieces are those of the drawn rows themselves, which only groups beyond RANK_ROWS send."""
+    monkeypatch.setattr(resampling, "PIECE_ROWS", 20)
+    rows = [(i, i % 2, float(i * 7 % 31), float(i * 5 % 23), 1.0 if i % 2 else float(i % 4)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, g int, pred_a double, true_a double, pred_b double").withColumn("true_b", F.col("true_a"))
+    seen = []
+    for bound in (1 << 23, 1):
+        monkeypatch.setattr(metrics, "RANK_ROWS", bound)
+        if bound > 1:
+            monkeypatch.setattr(metrics, "_drawn_ranks", None)
+        got = metrics.bootstrap_metrics(df.repartition(3), ["a", "b"], 15, 0.9, per=["g"]).filter("metric = 'Spearman_r'").collect()
+        seen.append({(r.g, r.task): (r.lo, r.hi, r.n_boot) for r in got})
+        monkeypatch.undo()
+        monkeypatch.setattr(resampling, "PIECE_ROWS", 20)
+    assert seen[0].keys() == seen[1].keys() and len(seen[0]) == 4
+    for key, (lo, hi, n) in seen[0].items():
+        assert (lo, hi, n) == ((None, None, 0) if key == (1, "b") else (pytest.approx(seen[1][key][0]), pytest.approx(seen[1][key][1]), 15))
