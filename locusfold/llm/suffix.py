@@ -29,6 +29,8 @@ from .minhash import mix, powers
 WINDOW, GRAM = 50, 16
 #: Segments that a task gathers before it sends their minimizers on.
 CHUNK = 1 << 19
+#: Rows of packed segments in one Arrow batch: some hundred KB each.
+SENT = 8
 #: Bytes of text whose segments are computed at once (one text may be longer): arrays of eight bytes for each byte of it.
 AT_ONCE = 1 << 19
 #: Bytes of a minimizer and of a segment's hash on the way: together they tell segments apart.
@@ -101,6 +103,13 @@ def slices(texts: list[bytes]) -> Iterator[slice]:
         yield slice(first, len(texts))
 
 
+def _joined(held: list[np.ndarray]) -> np.ndarray:
+    """The arrays as one; the list is emptied, so that they are not held beside it."""
+    out = np.concatenate(held)
+    held.clear()
+    return out
+
+
 def _bytes(x: np.ndarray) -> bytes:
     return x.tobytes()
 
@@ -138,23 +147,26 @@ def repeated_segments(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            key, whole, doc = np.concatenate(keys), np.concatenate(wholes), np.concatenate(owners)
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, whole, doc = _joined(keys), _joined(wholes), _joined(owners)
             order = np.lexsort((doc, whole, key))
             key, whole, doc = key[order], whole[order], doc[order]
+            del order
             first = np.r_[True, (whole[1:] != whole[:-1]) | (key[1:] != key[:-1])]
             fresh = first | np.r_[True, doc[1:] != doc[:-1]]
-            low = np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(doc))))
-            fresh &= first | (doc > low)
+            fresh &= first | (doc > np.repeat(doc[first], np.diff(np.append(np.flatnonzero(first), len(doc)))))
             key, whole, doc, first = key[fresh], whole[fresh], doc[fresh], first[fresh]
-            part = (np.where(first, key, doc.astype(np.uint64) * _A) >> np.uint64(20)) % np.uint64(parts)
+            part = ((np.where(first, key, doc.astype(np.uint64) * _A) >> np.uint64(20)) % np.uint64(parts)).astype(np.int32)
             order = np.lexsort((doc, first, part))
             key, whole, doc, first, part = key[order], whole[order], doc[order], first[order], part[order].astype(np.int64)
-            rows = [
-                (int(part[a]), bool(first[a]), _short(key[a:b], KEY_BYTES) if first[a] else None, _short(whole[a:b], HASH_BYTES), _bytes(doc[a:b]))
-                for a, b in _grouped(part * 2 + first)
-            ]
-            return _rows(["part", "first", "keys", "wholes", "docs"], [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], rows)
+            del order, fresh
+            spans = list(_grouped(part * 2 + first))
+            for i in range(0, len(spans), SENT):
+                rows = [
+                    (int(part[a]), bool(first[a]), _short(key[a:b], KEY_BYTES) if first[a] else None, _short(whole[a:b], HASH_BYTES), _bytes(doc[a:b]))
+                    for a, b in spans[i:i + SENT]
+                ]
+                yield _rows(["part", "first", "keys", "wholes", "docs"], [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()], rows)
 
         keys, wholes, owners, held = [], [], [], 0
         for b in batches:
@@ -167,10 +179,10 @@ def repeated_segments(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
                 owners.append(ids[some][place])
                 held += len(key)
                 if held >= CHUNK:
-                    yield flush()
-                    keys, wholes, owners, held = [], [], [], 0
+                    yield from flush()
+                    held = 0
         if held:
-            yield flush()
+            yield from flush()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, wholes, docs_ = [], [], []
@@ -185,9 +197,10 @@ def repeated_segments(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
                 else:
                     ready.append((d, w, np.zeros(len(d), np.uint8)))
         if keys:
-            k, w, d = np.concatenate(keys), np.concatenate(wholes), np.concatenate(docs_)
+            k, w, d = _joined(keys), _joined(wholes), _joined(docs_)
             order = np.lexsort((d, w, k))
             k, w, d = k[order], w[order], d[order]
+            del order
             new_key = np.r_[True, k[1:] != k[:-1]]
             new_whole = new_key | np.r_[True, w[1:] != w[:-1]]
             at_key, at_whole = np.flatnonzero(new_key), np.flatnonzero(new_whole)
@@ -199,9 +212,11 @@ def repeated_segments(docs: DataFrame, parts: int, limits: Limits) -> DataFrame:
             use = late | (kind != _SETTLED)
             ready.append((d[use], w[use], kind[use]))
         if ready:
-            d, w, m = (np.concatenate([r[i] for r in ready]) for i in range(3))
+            d, w, m = map(_joined, map(list, zip(*ready, strict=True)))
+            ready.clear()
             order = np.argsort(d, kind="stable")
             d, w, m = d[order], w[order], m[order]
+            del order
             spans = list(_grouped(d >> NEIGHBOURS))
             for i in range(0, len(spans), 1024):
                 yield _rows(
