@@ -54,7 +54,8 @@ class FeatureSpace:
 
     def frame(self, spark: SparkSession) -> DataFrame:
         """(slot, feature): one row per feature, as many as the parameters make."""
-        return spark.createDataFrame(list(enumerate(self.names())), "slot int, feature string")
+        names = self.names()
+        return spark.createDataFrame(pa.table({"slot": pa.array(range(len(names)), pa.int32()), "feature": names}))
 
 
 def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusfold.operators import metrics, resampling, ridge, vectors
+from locusfold.operators import metrics, resampling, ridge, sequence, vectors
 from locusfold.operators.sequence import motif_onehot
 from locusfold.plans import models
 
@@ -64,6 +64,34 @@ def test_vectors_of_odd_flanks(spark, monkeypatch):
         )
 
 
+def test_long_tables_are_named_after_counting(spark, monkeypatch):
+    """A locus leaves Python as one row; its features are named by a small table, except in spaces too large for one. Flanks of any length, in slices too."""
+    rows = [(i or None, lf, rf) for i, (lf, rf) in enumerate([
+        ("ACGTTGCA", "GGNCCATT"), (None, "ACACAC"), ("", ""), ("TTéACG", "acgtACGé"), ("A", "NNNN"), ("ACGTACGTAC" * 9, "TTTT" * 30), (None, None), ("GC", None), ("ACGTTGCA", "ACGTTGCA"), ("GG", "TTTACA"),
+    ])]
+    df = spark.createDataFrame(rows, "id int, lf string, rf string").repartition(1)
+    for mode, edges in (("separate", ((0, 3), (3, 100))), ("pooled", ((0, 3), (3, 100))), ("separate", ((0, 5),))):
+        want = {}
+        for i, lf, rf in rows:
+            for b, (lo, hi) in enumerate(edges):
+                a, z = (lf or "").encode(), (rf or "").encode()
+                for side, t in (("left", a[max(len(a) - hi, 0):max(len(a) - lo, 0)]), ("right", z[lo:hi])):
+                    for k in (2, 1, 4):
+                        for w in (t[j:j + k] for j in range(len(t) - k + 1)):
+                            if set(w) <= set(b"ACGT"):
+                                key = i, f"{side if mode == 'separate' else 'flank'}{f'_bin{b}' if len(edges) > 1 else ''}_{k}mer_{w.decode()}"
+                                want[key] = want.get(key, 0.0) + 1.0
+        for named, size in ((1 << 18, 1 << 18), (1 << 18, 40), (0, 40)):
+            monkeypatch.setattr(sequence, "NAMED", named)
+            for module in (sequence, vectors):
+                monkeypatch.setattr(module, "SLICE", size)
+            got = sequence.kmer_features(df, edges, (2, 1, 4), mode)
+            assert got.dtypes == [("id", "int"), ("feature", "string"), ("value", "double")]
+            found = got.collect()
+            assert {(r.id, r.feature): r.value for r in found} == want and len(found) == len(want), (mode, named, size)
+            assert ("Generate" in plan(got)) == (named > 0)
+
+
 def test_draws_of_large_pieces_are_made_by_blocks(monkeypatch):
     """Blocks of 2^16 rows take 16 bits a draw, the rest of a piece is scaled; all draws are made, evenly."""
     size = 2 * (1 << 16) + 1000
