@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,14 +80,48 @@ def _bases(space: FeatureSpace, left: pa.Array, right: pa.Array) -> Iterator[tup
             yield _CODES[data[np.repeat(first + near, n) + place]], np.repeat(n, n) - place, row * g + group
 
 
-def _features(space: FeatureSpace, left: pa.Array, right: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, slot, value) by row and slot: one sort of row * width + slot of all k-mers of all rows gives counts in order."""
-    groups, width, size = len(space.groups), space.width, len(left)
+def _even(texts: pa.Array) -> bool:
+    """Whether all texts have one size."""
+    sizes = pc.min_max(pc.fill_null(pc.binary_length(texts), 0))
+    return sizes["min"] == sizes["max"]
+
+
+def _even_keys(space: FeatureSpace, left: pa.Array, right: pa.Array, kind: type) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(keys row * width + slot of all k-mers, G and C by row and group, known bases so) of flanks of one size a side, as matrices."""
+    groups, size = len(space.groups), len(left)
+    start = (np.arange(size) * space.width).astype(kind)[:, None]
+    keys, gc, valid = [], np.zeros((size, groups), np.int64), np.zeros((size, groups), np.int64)
+    for far, (data, first, sizes) in enumerate(map(_flat, (left, right))):
+        n = int(sizes[0])
+        whole = _CODES[data[int(first[0]):int(first[0]) + size * n].reshape(size, n)]
+        known = whole < 4
+        clean = known.all()
+        for b, (lo, hi) in enumerate(space.edges):
+            cut = slice(lo, hi) if far else slice(max(n - hi, 0), max(n - lo, 0))
+            codes, group = whole[:, cut], len(space.edges) + b if far and space.flank_mode == "separate" else b
+            for k in space.k_values:
+                m = codes.shape[1] - k + 1
+                if m < 1:
+                    continue
+                word = np.zeros((size, m), kind)
+                for j in range(k):
+                    word *= 4
+                    word += codes[:, j:j + m]
+                word += start + kind(space.offset(k) + group * 4**k)
+                keys.append(word.ravel() if clean else word[np.logical_and.reduce([known[:, cut][:, j:j + m] for j in range(k)])])
+            if space.gc:
+                gc[:, group] += ((codes == 1) | (codes == 2)).sum(1)
+                valid[:, group] += known[:, cut].sum(1)
+    return keys, gc.ravel(), valid.ravel()
+
+
+def _uneven_keys(space: FeatureSpace, left: pa.Array, right: pa.Array, kind: type) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """As `_even_keys`, for flanks of any sizes."""
+    groups, size = len(space.groups), len(left)
     codes, rest, at = map(np.concatenate, zip(*_bases(space, left, right), strict=True))
     known = codes < 4
     row, group = np.divmod(at, groups)
-    kind = np.int32 if size * width < 2**31 else np.int64
-    keys, start = [], (row * width).astype(kind)
+    keys, start = [], (row * space.width).astype(kind)
     for k in space.k_values:
         n = max(len(codes) - k + 1, 0)
         word, good = np.zeros(n, kind), rest[:n] >= k
@@ -97,9 +131,16 @@ def _features(space: FeatureSpace, left: pa.Array, right: pa.Array, places: np.n
             good &= known[j:n + j]
         good = np.flatnonzero(good)
         keys.append(start[good] + (space.offset(k) + group[good] * 4**k).astype(kind) + word[good])
+    valid = np.bincount(at[known], minlength=size * groups)
+    return keys, np.bincount(at[(codes == 1) | (codes == 2)], minlength=size * groups), valid
+
+
+def _features(space: FeatureSpace, left: pa.Array, right: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, slot, value) by row and slot: one sort of row * width + slot of all k-mers of all rows gives counts in order."""
+    groups, width, size = len(space.groups), space.width, len(left)
+    kind = np.int32 if size * width < 2**31 else np.int64
+    keys, gc, valid = (_even_keys if all(map(_even, (left, right))) else _uneven_keys)(space, left, right, kind)
     if space.gc:
-        valid = np.bincount(at[known], minlength=size * groups)
-        gc = np.bincount(at[(codes == 1) | (codes == 2)], minlength=size * groups)
         hit = np.flatnonzero(gc)
         keys.append((hit // groups * width + space.gc_offset + hit % groups).astype(kind))
     has = np.flatnonzero(places >= 0)
@@ -152,13 +193,8 @@ def _places(motifs: dict[str, int], unit: pa.Array, rev_comp: pa.Array) -> np.nd
 _PAIRS = str.maketrans("ACGT", "TGCA")
 
 
-def flank_vectors(loci: DataFrame, space: FeatureSpace, keep: Sequence[str] = ("id",), lf: str = "lf", rf: str = "rf", unit: str = "unit", rev_comp: str = "rev_comp") -> DataFrame:
-    """`keep`, slots array<int> and values array<double>: the features of each row that are not zero, by slot.
-
-    Bases other than A, C, G and T make no k-mer and no share; a null flank counts as empty. A motif that the vocabulary
-    lacks, or a null one, has no slot. `unit` and `rev_comp` are read only if the space has motifs. Nothing is shuffled:
-    rows are counted where they lie, in slices of about SLICE bytes of flanks.
-    """
+def _vectors(loci: DataFrame, space: FeatureSpace, keep: Sequence[str], read: Sequence[str], arrays: dict[str, str], pack: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """`keep` and `arrays` (names and types of elements), which `pack` makes of the slots and values of a slice of rows."""
     motifs = {m: i for i, m in enumerate(space.motifs)}
     n = len(keep)
 
@@ -169,11 +205,25 @@ def flank_vectors(loci: DataFrame, space: FeatureSpace, keep: Sequence[str] = ("
             long = b.num_rows == 1 and sum(len(x[0].as_py() or "") for x in (left, right)) > SLICE
             row, slot, value = (_long_features if long else _features)(space, left, right, places)
             ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]).astype(np.int32))
-            vector = [pa.ListArray.from_arrays(ends, pa.array(slot.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], *vector], [*keep, "slots", "values"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in pack(slot, value))], [*keep, *arrays])
+
+    rows = loci.select(*keep, *[F.col(c).alias(f"_{i}") for i, c in enumerate(read if motifs else read[:2])])
+    return rows.mapInArrow(run, ", ".join([_kinds(loci, keep), *(f"{c} array<{t}>" for c, t in arrays.items())]))
+
+
+def flank_vectors(loci: DataFrame, space: FeatureSpace, keep: Sequence[str] = ("id",), lf: str = "lf", rf: str = "rf", unit: str = "unit", rev_comp: str = "rev_comp") -> DataFrame:
+    """`keep`, slots array<int> and values array<double>: the features of each row that are not zero, by slot.
+
+    Bases other than A, C, G and T make no k-mer and no share; a null flank counts as empty. A motif that the vocabulary
+    lacks, or a null one, has no slot. `unit` and `rev_comp` are read only if the space has motifs. Nothing is shuffled:
+    rows are counted where they lie, in slices of about SLICE bytes of flanks.
+    """
+    return _vectors(loci, space, keep, (lf, rf, unit, rev_comp), {"slots": "int", "values": "double"}, lambda slot, value: [slot.astype(np.int32), value])
+
 
-    read = [F.col(c).alias(f"_{i}") for i, c in enumerate([lf, rf, *([unit, rev_comp] if motifs else [])])]
-    return loci.select(*keep, *read).mapInArrow(run, f"{_kinds(loci, keep)}, slots array<int>, values array<double>")
+def packed_counts(loci: DataFrame, space: FeatureSpace, keep: Sequence[str] = ("id",), lf: str = "lf", rf: str = "rf") -> DataFrame:
+    """`keep` and counts array<long>: as `flank_vectors`, of a space of k-mers only, a count and its slot as count * 2^32 + slot."""
+    return _vectors(loci, space, keep, (lf, rf), {"counts": "bigint"}, lambda slot, value: [value.astype(np.int64) << 32 | slot])
 
 
 def to_vectors(table: DataFrame, names: DataFrame, key: Sequence[str], feature: str = "feature", value: str = "value") -> DataFrame:
