@@ -92,6 +92,18 @@ def test_long_tables_are_named_after_counting(spark, monkeypatch):
             assert ("Generate" in plan(got)) == (named > 0)
 
 
+def test_hulls_are_cut_once(spark):
+    """Windows and filters on them do not cut the hull out of the chunk anew: it is cut once in each of the two ways."""
+    text = "ACGTTGCAAC" * 13
+    chunks, _ = sequence.genome_chunks(spark.createDataFrame([("c", text)], "chrom string, seq string"), 16)
+    loci = spark.createDataFrame([(i, "c", i * 3, i * 3 + 2 + i % 4) for i in range(50)] + [(99, "d", 5, 9)], "id int, chrom string, str_start long, str_end long")
+    got = sequence.fetch_window(loci, chunks, {"lf": (F.col("str_start") - 5, F.col("str_start")), "rf": (F.col("str_end"), F.col("str_end") + 5)}, chunk_bp=16)
+    got = got.filter((F.length("lf") == 5) & (F.length("rf") == 5))
+    assert plan(got).count("substring(seq") == 2
+    want = {(i, text[i * 3 - 5:i * 3], text[i * 3 + 2 + i % 4:][:5]) for i in range(2, 50)}
+    assert {(r.id, r.lf, r.rf) for r in got.collect()} == {x for x in want if len(x[1]) == len(x[2]) == 5}
+
+
 def test_draws_of_large_pieces_are_made_by_blocks(monkeypatch):
     """Blocks of 2^16 rows take 16 bits a draw, the rest of a piece is scaled; all draws are made, evenly."""
     size = 2 * (1 << 16) + 1000
